@@ -62,7 +62,8 @@ def positional_reward(df: DataFrame, completion: str = "completion", correct: st
     base = acc + F.when(perfect, F.lit(PERFECT_BONUS)).otherwise(F.lit(0.0))
     reward = F.when((ratio < RATIO_LOW) | (ratio > RATIO_HIGH), base * RATIO_FACTOR).otherwise(base)
     return s.select(
-        *[x for x in df.columns],
+        *[x for x in df.columns if x != completion],
+        c.alias(completion),
         matches.alias("matches"),
         acc.cast("double").alias("char_accuracy"),
         n.cast("bigint").alias("expected_len"),
