@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import queries_corpus, queries_render, queries_reward, queries_score
+from . import queries_corpus, queries_monitor, queries_render, queries_reward, queries_score
 
-_MODULES = [queries_corpus, queries_score, queries_reward, queries_render]
+_MODULES = [queries_corpus, queries_score, queries_reward, queries_render, queries_monitor]
 
 
 def _shipped(fn):
