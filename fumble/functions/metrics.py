@@ -14,7 +14,7 @@ Two implementations, chosen per job (never per row):
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,7 +65,12 @@ def _distance_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def edit_distance(a: Column | str, b: Column | str, impl: str = "native") -> Column:
-    """Levenshtein distance in code points (bigint); null if either is null."""
+    """Levenshtein distance in code points (bigint); null if either is null.
+
+    The banded result is bound once per row (through a one-element
+    ``transform``) so it is never evaluated twice, and the full quadratic run
+    happens only when the band was too narrow.
+    """
     a, b = col_(a), col_(b)
     if impl == "arrow":
         return F.when(a == b, F.lit(0).cast("bigint")).otherwise(_distance_udf(a, b))
@@ -74,12 +79,19 @@ def edit_distance(a: Column | str, b: Column | str, impl: str = "native") -> Col
     la, lb = F.length(a), F.length(b)
     band = F.abs(la - lb) + F.greatest(F.lit(16), F.ceil(F.greatest(la, lb) * 0.2).cast("int"))
     d_band = F.call_function("levenshtein", a, b, band)
-    return (
-        F.when(a == b, F.lit(0))
-        .when(d_band >= 0, d_band)
-        .otherwise(F.levenshtein(a, b))
-        .cast("bigint")
-    )
+    exact = F.element_at(
+        F.transform(F.array(d_band), lambda d: F.when(d >= 0, d).otherwise(F.levenshtein(a, b))), 1)
+    return F.when(a == b, F.lit(0)).otherwise(exact).cast("bigint")
+
+
+def with_edit_distance(df: DataFrame, a: str, b: str, out: str, impl: str = "native") -> DataFrame:
+    """``df`` plus column ``out`` = edit distance of columns ``a`` and ``b``.
+
+    A separate projection: later metrics referencing ``out`` several times
+    read the value instead of re-running the distance (Catalyst does not
+    collapse a projection whose non-trivial output is referenced twice).
+    """
+    return df.withColumn(out, edit_distance(a, b, impl))
 
 
 def exact_match(pred: Column | str, expected: Column | str) -> Column:
@@ -144,21 +156,43 @@ METRIC_SENTINEL = {"exact_match": 0, "char_accuracy": 0.0, "word_accuracy": 0.0,
 
 
 def typo_metrics(pred: Column | str, expected: Column | str, impl: str = "native") -> list[Column]:
-    """The five evaluation metrics as named columns.
+    """F3–F10 as named Column expressions (convenient for small inputs; the
+    DataFrame operator ``score_frame`` computes each distance only once).
 
     A null prediction or expected text yields the failure sentinel
     ``(0, 0.0, 0.0, 1.0, 999)``.
     """
     p, e = col_(pred), col_(expected)
     d = edit_distance(p, e, impl)
+    wd = F.when((words_joined(p) == p) & (words_joined(e) == e), d).otherwise(
+        edit_distance(words_joined(p), words_joined(e), impl))
+    return _metric_record(p, e, d, wd)
+
+
+def _metric_record(p: Column, e: Column, d: Column, wd: Column) -> list[Column]:
     n = F.length(e)
+    pw, ew = words_joined(p), words_joined(e)
+    longest = F.greatest(F.length(pw), F.length(ew))
+    wacc = F.when(F.length(ew) > 0, 1 - wd / longest).otherwise(F.lit(0.0))
     failed = p.isNull() | e.isNull()
     s = METRIC_SENTINEL
     return [
         F.when(failed, F.lit(s["exact_match"])).otherwise(exact_match(p, e)).cast("int").alias("exact_match"),
         F.when(failed, F.lit(s["char_accuracy"])).otherwise(char_accuracy(d, n)).cast("double").alias("char_accuracy"),
-        F.when(failed, F.lit(s["word_accuracy"])).otherwise(
-            word_accuracy(p, e, guard="expected", impl=impl, raw_distance=d)).cast("double").alias("word_accuracy"),
+        F.when(failed, F.lit(s["word_accuracy"])).otherwise(wacc).cast("double").alias("word_accuracy"),
         F.when(failed, F.lit(s["cer"])).otherwise(cer_eval(d, n)).cast("double").alias("cer"),
         F.when(failed, F.lit(s["char_distance"])).otherwise(d).cast("bigint").alias("char_distance"),
     ]
+
+
+def score_frame(df: DataFrame, pred: str, expected: str, keep: list[str], impl: str = "native") -> DataFrame:
+    """F3–F10 over a DataFrame in stages: raw distance, then the distance of
+    whitespace-normalised texts (reusing the raw one when normalisation
+    changes nothing), then the metric record from the stored distances."""
+    p, e = F.col(pred), F.col(expected)
+    s1 = df.select(*keep, p.alias("_p"), e.alias("_e"))
+    s1 = with_edit_distance(s1, "_p", "_e", "_d", impl)
+    s2 = s1.select("*", words_joined("_p").alias("_pw"), words_joined("_e").alias("_ew"))
+    s3 = s2.withColumn("_wd", F.when((F.col("_pw") == F.col("_p")) & (F.col("_ew") == F.col("_e")), F.col("_d"))
+                       .otherwise(edit_distance("_pw", "_ew", impl)))
+    return s3.select(*keep, *_metric_record(F.col("_p"), F.col("_e"), F.col("_d"), F.col("_wd")))

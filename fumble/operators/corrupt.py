@@ -120,25 +120,31 @@ def build_pairs(
     """
     passages = make_passages(sampled, seed=seed, trim=trim, keep=keep)
     noisy = keyboard_noise(F.col("passage"), F.col("pair_id"), prob=prob, seed=noise_seed)
+    # The keyboard arm is null exactly when the passage is null, so the
+    # quarantine test never needs the (expensive) noisy text: a filter on it
+    # would be pushed below the repartition and run the noise twice.
     if external is None:
         routed = passages.withColumn("typos", noisy).withColumn("arm", F.lit("keyboard"))
+        ok = F.col("passage").isNotNull()
     else:
         ext = external.select(F.col("pair_id"), F.col("text_with_typos"))
         to_noise = route_is_noise(F.col("doc_id"), F.col("round"), seed, noise_share)
         routed = (
             passages.join(ext, on="pair_id", how="left")
             .withColumn("arm", F.when(to_noise, F.lit("keyboard")).otherwise(F.lit("external")))
+            .withColumn("ok", F.col("passage").isNotNull() & (to_noise | F.col("text_with_typos").isNotNull()))
             .withColumn("typos", F.when(to_noise, noisy).otherwise(F.col("text_with_typos")))
             .drop("text_with_typos")
         )
+        ok = F.col("ok")
+    routed = routed.withColumn("_ok", ok)
     pairs = routed.select(
         "pair_id", "doc_id", "source", "round", *keep,
         flatten_newlines("passage").alias("correct"),
         flatten_newlines("typos").alias("typos"),
-        "arm",
+        "arm", "_ok",
     )
-    ok = F.col("correct").isNotNull() & F.col("typos").isNotNull()
-    return pairs.filter(ok), pairs.filter(~ok)
+    return pairs.filter(F.col("_ok")).drop("_ok"), pairs.filter(~F.col("_ok")).drop("_ok")
 
 
 def apply_prepare(sampled: DataFrame, prepare_fn: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import tags as TG
-from ..functions.text import col_, py_strip
+from ..functions.text import col_, py_strip, words_joined
 from . import align
 
 # Reward weights and limits of the reasoning reward.
@@ -100,13 +100,11 @@ def format_reward_cols(c: Column) -> dict[str, Column]:
     }
 
 
-def answer_reward_cols(c: Column, correct: Column, impl: str = "native") -> dict[str, Column]:
-    """G3 with F7, F9, F16: ``max(0, 2.5(1-cer)) + max(0, 1.5·word_acc)``,
-    +0.5 on equality, ×0.8 when the answer is over 1.2× longer."""
-    pred = F.when(TG.has_answer(c), TG.extract_answer(c)).otherwise(py_strip(c))
-    d = M.edit_distance(pred, correct, impl)
+def _answer_from(pred: Column, correct: Column, d: Column, wd: Column) -> dict[str, Column]:
     cer = M.cer_reward(d, F.length(correct))
-    wacc = M.word_accuracy(pred, correct, guard="both", impl=impl, raw_distance=d)
+    pw, ew = words_joined(pred), words_joined(correct)
+    longest = F.greatest(F.length(pw), F.length(ew))
+    wacc = F.when(longest > 0, 1 - wd / longest).otherwise(F.lit(0.0))
     base = F.greatest(F.lit(0.0), CHAR_WEIGHT * (1 - cer)) + F.greatest(F.lit(0.0), WORD_WEIGHT * wacc)
     exact = pred == correct
     with_bonus = base + F.when(exact, F.lit(EXACT_BONUS)).otherwise(F.lit(0.0))
@@ -118,6 +116,35 @@ def answer_reward_cols(c: Column, correct: Column, impl: str = "native") -> dict
     }
 
 
+def answer_text(c: Column) -> Column:
+    """F16 as used by the answer reward: the answer block if closed, else the stripped completion."""
+    return F.when(TG.has_answer(c), TG.extract_answer(c)).otherwise(py_strip(c))
+
+
+def answer_reward_cols(c: Column, correct: Column, impl: str = "native") -> dict[str, Column]:
+    """G3 with F7, F9, F16: ``max(0, 2.5(1-cer)) + max(0, 1.5·word_acc)``,
+    +0.5 on equality, ×0.8 when the answer is over 1.2× longer.
+
+    Column form; ``with_answer_reward`` computes each distance once."""
+    pred = answer_text(c)
+    d = M.edit_distance(pred, correct, impl)
+    pw, ew = words_joined(pred), words_joined(correct)
+    wd = F.when((pw == pred) & (ew == correct), d).otherwise(M.edit_distance(pw, ew, impl))
+    return _answer_from(pred, correct, d, wd)
+
+
+def with_answer_reward(df: DataFrame, completion: str = "completion", correct: str = "correct",
+                       impl: str = "native") -> DataFrame:
+    """G3 over a DataFrame, one distance per row and text pair (staged)."""
+    s1 = df.withColumn("_pred", answer_text(F.col(completion)))
+    s1 = M.with_edit_distance(s1, "_pred", correct, "_d", impl)
+    s2 = s1.select("*", words_joined("_pred").alias("_pw"), words_joined(correct).alias("_ew"))
+    s3 = s2.withColumn("_wd", F.when((F.col("_pw") == F.col("_pred")) & (F.col("_ew") == F.col(correct)), F.col("_d"))
+                       .otherwise(M.edit_distance("_pw", "_ew", impl)))
+    cols = _answer_from(F.col("_pred"), F.col(correct), F.col("_d"), F.col("_wd"))
+    return s3.select(*df.columns, *[v.alias(k) for k, v in cols.items()])
+
+
 def length_band(n: Column) -> Column:
     """G4 length part: <10 → 0; <50 → 0.25·n/50; ≤300 → 0.5; ≤500 → 0.5(1-(n-300)/200); else 0.1."""
     return (
@@ -168,14 +195,17 @@ def reasoning_reward(df: DataFrame, completion: str = "completion", correct: str
     block and at 4.0 when not properly ordered; failed rows give 0.0.
 
     ``df`` holds one completion per row next to its pair's ``correct`` text
-    and D2 corrections (see ``with_word_corrections``).
+    and D2 corrections (see ``with_word_corrections``). Tag tests, the answer
+    distance and the reasoning text are each computed once per row in
+    successive projections.
     """
     base = df.withColumn("_c", unwrap_completion(F.col(completion), strip=False))
     c = F.col("_c")
     fmt = format_reward_cols(c)
-    ans = answer_reward_cols(c, F.col(correct), impl)
     thk = thinking_reward_cols(c, F.col(word_corrs), stems)
-    staged = base.select(*df.columns, *[v.alias(k) for k, v in {**fmt, **ans, **thk}.items()])
+    staged = with_answer_reward(base, "_c", correct, impl).select(
+        *df.columns, "_c", "predicted_text", "cer", "word_acc", "answer_score", "exact", "length_penalty",
+        *[v.alias(k) for k, v in {**fmt, **thk}.items()])
     total = F.col("format_score") + F.col("answer_score") + F.col("think_score")
     capped = (
         F.when(~F.col("has_think"), F.least(total, F.lit(CAP_NO_THINK)))
@@ -183,7 +213,7 @@ def reasoning_reward(df: DataFrame, completion: str = "completion", correct: str
         .otherwise(total)
     )
     failed = F.col(correct).isNull() | F.col(word_corrs).isNull()
-    return staged.select(
+    return staged.drop("_c").select(
         "*",
         F.when(~F.col("has_think") & (total > CAP_NO_THINK), total - CAP_NO_THINK).alias("think_penalty"),
         F.when(F.col("has_think") & ~F.col("proper_format") & (total > CAP_BAD_FORMAT),

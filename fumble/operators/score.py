@@ -24,7 +24,7 @@ def score(df: DataFrame, pred_col: str = "prediction", expected_col: str = "corr
     metrics (Catalyst's CollapseProject keeps one ``levenshtein`` call).
     """
     keep = keep if keep is not None else [c for c in df.columns]
-    return df.select(*keep, *M.typo_metrics(F.col(pred_col), F.col(expected_col), impl=impl))
+    return M.score_frame(df, pred_col, expected_col, keep, impl=impl)
 
 
 def realign_completions(prompts: DataFrame, results: DataFrame) -> DataFrame:

@@ -102,12 +102,12 @@ def q_format_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_answer_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = all_pairs(spark, sf_dir, fold=True).select("pair_id", "correct")
     lc = layout_completions(pairs).withColumn("completion", ascii_fold("completion"))
-    cols = reward.answer_reward_cols(F.col("completion"), F.col("correct"))
-    return lc.select("pair_id", F.col("layout").cast("int").alias("layout"),
-                     r6(cols["answer_score"]).alias("answer_score"), r6(cols["cer"]).alias("cer"),
-                     r6(cols["word_acc"]).alias("word_acc"),
-                     F.coalesce(cols["exact"], F.lit(False)).alias("exact"),
-                     F.coalesce(cols["length_penalty"], F.lit(False)).alias("length_penalty"))
+    r = reward.with_answer_reward(lc)
+    return r.select("pair_id", F.col("layout").cast("int").alias("layout"),
+                    r6(F.col("answer_score")).alias("answer_score"), r6(F.col("cer")).alias("cer"),
+                    r6(F.col("word_acc")).alias("word_acc"),
+                    F.coalesce(F.col("exact"), F.lit(False)).alias("exact"),
+                    F.coalesce(F.col("length_penalty"), F.lit(False)).alias("length_penalty"))
 
 
 def q_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
