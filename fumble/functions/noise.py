@@ -13,6 +13,7 @@ partitioning or retries.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,6 +107,7 @@ def keyboard_noise(
     prob: float | Column = 0.1,
     seed: int = 0,
     keyboard: str = "qwerty",
+    impl: str = "native",
 ) -> Column:
     """Noisy copy of ``text``; ``row_key`` identifies the row (and variant).
 
@@ -121,6 +123,10 @@ def keyboard_noise(
     if keyboard not in KEYBOARDS:
         return text
     threshold = (prob * 100).cast("int") if isinstance(prob, Column) else F.lit(int(prob * 100))
+    if impl == "arrow":
+        return _noise_udf(keyboard, seed)(text, row_key.cast("string"), threshold)
+    if impl != "native":
+        raise ValueError(f"unknown noise impl {impl!r}")
     slots = F.array(F.lit(None).cast("string"), *[F.lit(s) for s in _slot_array(KEYBOARDS[keyboard])])
     base = rand_u(seed, "noise", row_key)
 
@@ -170,3 +176,86 @@ def noise_sql_duckdb(text: str, row_key: str, prob: float = 0.1, seed: int = 0)
     )
     per_char = f"(CASE WHEN lower(c) <> c THEN upper({new}) ELSE {new} END)"
     return f"array_to_string(list_transform(string_split({text}, ''), lambda c, i: {per_char}), '')"
+
+
+# ---------------------------------------------------------------- arrow impl
+
+def _np_mix(x):
+    import numpy as np
+
+    return (((x >> np.uint64(16)) ^ x) * np.uint64(MIX)) & np.uint64(MASK32)
+
+
+def _np_fin(x):
+    import numpy as np
+
+    return (x >> np.uint64(16)) ^ x
+
+
+def noise_text(text: str, key: str, threshold: int, seed: int = 0, keyboard: str = "qwerty") -> str:
+    """The same noise for one text with numpy over its code points.
+
+    Identical draws to the Catalyst expression: md5 base per row, integer
+    mixer per character index, pick only for replaced characters.
+    """
+    import hashlib
+
+    import numpy as np
+
+    neigh = KEYBOARDS[keyboard]
+    base = int(hashlib.md5(f"{seed}:noise:{key}".encode()).hexdigest()[:8], 16)
+    cps = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    n = cps.size
+    if n == 0:
+        return text
+    # lower-cased code point per character and the pieces of non-ASCII characters
+    lower = cps.copy()
+    upper_ascii = (cps >= 65) & (cps <= 90)
+    lower[upper_ascii] += 32
+    special: dict[int, str] = {}
+    for cp in np.unique(cps[cps >= 128]).tolist():
+        ch = chr(cp)
+        lc = ch.lower()
+        if len(lc) == 1 and lc in neigh:
+            lower[cps == cp] = ord(lc)
+        else:
+            special[cp] = (lc.upper() if lc != ch else lc)
+    is_key = ((lower >= 97) & (lower <= 122)) | (lower == 32)
+    if special:
+        is_key &= ~np.isin(cps, np.fromiter(special.keys(), dtype=np.uint32))
+    i = np.arange(n, dtype=np.uint64)
+    x = (np.uint64(base) ^ (i * np.uint64(GOLDEN))) & np.uint64(MASK32)
+    d = _np_fin(_np_mix(_np_mix(x)))
+    hit = is_key & ((d % np.uint64(100)) <= np.uint64(threshold))
+    out = np.where(is_key, lower, cps).astype(np.uint32)
+    if hit.any():
+        idx = np.nonzero(hit)[0]
+        picks = _np_fin(_np_mix(d[idx]))
+        for j, p, lc in zip(idx.tolist(), picks.tolist(), lower[idx].tolist()):
+            options = neigh[chr(lc)]
+            out[j] = ord(options[p % len(options)])
+    # restore case where the original differed from its lower form
+    recase = is_key & (lower != cps)
+    ascii_lower = (out >= 97) & (out <= 122)
+    out[recase & ascii_lower] -= 32
+    if not special:
+        return out.tobytes().decode("utf-32-le")
+    pieces = [special.get(c) if c in special else chr(o) for c, o in zip(cps.tolist(), out.tolist())]
+    return "".join(pieces)
+
+
+_UDF_CACHE: dict = {}
+
+
+def _noise_udf(keyboard: str, seed: int):
+    key = (keyboard, seed)
+    if key not in _UDF_CACHE:
+        @F.pandas_udf("string")
+        def noise_batch(texts: pd.Series, keys: pd.Series, thresholds: pd.Series) -> pd.Series:
+            return pd.Series([
+                None if t is None else noise_text(t, k, int(th), seed, keyboard)
+                for t, k, th in zip(texts.tolist(), keys.tolist(), thresholds.tolist())
+            ])
+
+        _UDF_CACHE[key] = noise_batch
+    return _UDF_CACHE[key]

@@ -37,10 +37,12 @@ def realign_completions(prompts: DataFrame, results: DataFrame) -> DataFrame:
     wins; prompts without a result get null. Both sides are reduced to one
     row per key before the join, so duplicated keys cannot multiply rows.
     """
-    p = prompts.withColumn("_key", norm_key("prompt"))
+    # Keys are shuffled as 128-bit digests of the normalised prompt, not as
+    # whole texts; duplicated keys (copies) are reduced map-side first.
+    p = prompts.withColumn("_key", F.unhex(F.md5(norm_key("prompt"))))
     owner = p.groupBy("_key").agg(F.max("idx").alias("idx"))
     res = (
-        results.withColumn("_key", norm_key("prompt"))
+        results.withColumn("_key", F.unhex(F.md5(norm_key("prompt"))))
         .groupBy("_key")
         .agg(F.max_by("completion", "ridx").alias("completion"))
     )

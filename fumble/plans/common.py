@@ -23,6 +23,8 @@ K_PER_SOURCE = 20    # documents per corpus and round
 TEST_ROUNDS = 10     # rounds of the test split
 EXTERNAL_SEED = 7    # stand-in for the external arm (see external_typos)
 EXTERNAL_PROB = 0.2
+NOISE_IMPL = "arrow"   # numpy kernel; equal to the Catalyst expression (tests/test_properties.py)
+DIST_IMPL = "arrow"    # bit-parallel distance; equal to Catalyst levenshtein (tests/test_properties.py)
 
 
 def u_sql(salt: str, *keys: str, seed: int = SEED) -> str:
@@ -60,7 +62,7 @@ def all_pairs(spark: SparkSession, sf_dir: str, trim: bool = True, fold: bool =
     pairs = p.select(
         "pair_id", "doc_id", "source", "lang",
         corrupt.flatten_newlines("passage").alias("correct"),
-        corrupt.flatten_newlines(keyboard_noise(F.col("passage"), F.col("pair_id"), prob=PROB, seed=NOISE_SEED)).alias("typos"),
+        corrupt.flatten_newlines(keyboard_noise(F.col("passage"), F.col("pair_id"), prob=PROB, seed=NOISE_SEED, impl=NOISE_IMPL)).alias("typos"),
     )
     if fold:
         pairs = pairs.withColumn("correct", ascii_fold("correct")).withColumn("typos", ascii_fold("typos"))
@@ -77,7 +79,7 @@ def external_typos(passages: DataFrame) -> DataFrame:
     """
     return passages.select(
         "pair_id",
-        keyboard_noise(F.col("passage"), F.col("pair_id"), prob=EXTERNAL_PROB, seed=EXTERNAL_SEED).alias("text_with_typos"),
+        keyboard_noise(F.col("passage"), F.col("pair_id"), prob=EXTERNAL_PROB, seed=EXTERNAL_SEED, impl=NOISE_IMPL).alias("text_with_typos"),
     )
 
 

@@ -9,7 +9,7 @@ from ..functions.noise import keyboard_noise, noise_sql_duckdb
 from ..operators import corrupt, sample
 from ..session import rebalance, spread
 from ..sources.tables import load
-from .common import (EXTERNAL_PROB, EXTERNAL_SEED, K_PER_SOURCE, NOISE_SEED, PROB, SEED, TEST_ROUNDS,
+from .common import (EXTERNAL_PROB, EXTERNAL_SEED, K_PER_SOURCE, NOISE_IMPL, NOISE_SEED, PROB, SEED, TEST_ROUNDS,
                      all_passages, external_typos, id_sql, passages_sql, u_sql)
 
 
@@ -40,7 +40,7 @@ def q_passage_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_keyboard_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C3 over every whole document text."""
     docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", keyboard_noise(F.col("text"), F.col("doc_id"), prob=PROB, seed=NOISE_SEED).alias("typos"))
+    return docs.select("doc_id", keyboard_noise(F.col("text"), F.col("doc_id"), prob=PROB, seed=NOISE_SEED, impl=NOISE_IMPL).alias("typos"))
 
 
 def q_noise_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

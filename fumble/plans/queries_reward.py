@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import tags as TG
 from ..operators import align, report, reward
 from ..functions.text import ascii_fold
-from .common import all_pairs, fold_sql, pairs_sql, r6
+from .common import DIST_IMPL, all_pairs, fold_sql, pairs_sql, r6
 from .queries_score import _strip_sql, _words_sql
 
 # Completion layouts of the reference's reward self-tests.
@@ -102,7 +102,7 @@ def q_format_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_answer_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = all_pairs(spark, sf_dir, fold=True).select("pair_id", "correct")
     lc = layout_completions(pairs).withColumn("completion", ascii_fold("completion"))
-    r = reward.with_answer_reward(lc)
+    r = reward.with_answer_reward(lc, impl=DIST_IMPL)
     return r.select("pair_id", F.col("layout").cast("int").alias("layout"),
                     r6(F.col("answer_score")).alias("answer_score"), r6(F.col("cer")).alias("cer"),
                     r6(F.col("word_acc")).alias("word_acc"),
@@ -131,7 +131,7 @@ def q_thinking_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = reward.with_word_corrections(all_pairs(spark, sf_dir).select("pair_id", "source", "correct", "typos"))
-    return reward.reasoning_reward(layout_completions(pairs))
+    return reward.reasoning_reward(layout_completions(pairs), impl=DIST_IMPL)
 
 
 def q_thinking_reward(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from ..functions.text import WS_RE2
 from ..operators import corrupt, report, sample, score
 from ..session import rebalance
 from ..sources.tables import load
-from .common import K_PER_SOURCE, NOISE_SEED, PROB, SEED, all_pairs, fold_sql, id_sql, pairs_sql, r6, u_sql
+from .common import DIST_IMPL, K_PER_SOURCE, NOISE_IMPL, NOISE_SEED, PROB, SEED, all_pairs, fold_sql, id_sql, pairs_sql, r6, u_sql
 
 NOISE_LEVELS = (0.0, 0.05, 0.1, 0.2)
 
@@ -28,7 +28,7 @@ def _metric_cols():
 def q_typo_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F3–F10 for every document's pair, prediction = the uncorrected typo text."""
     pairs = all_pairs(spark, sf_dir, fold=True)
-    return score.score(pairs, pred_col="typos", expected_col="correct", keep=["pair_id"]).select(
+    return score.score(pairs, pred_col="typos", expected_col="correct", keep=["pair_id"], impl=DIST_IMPL).select(
         "pair_id", *_metric_cols())
 
 
@@ -41,7 +41,7 @@ def _means(scored: DataFrame, by: list[str]) -> DataFrame:
 def q_metrics_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H1 per language over every document's pair."""
     pairs = all_pairs(spark, sf_dir, fold=True)
-    return _means(score.score(pairs, pred_col="typos", expected_col="correct", keep=["lang"]), ["lang"])
+    return _means(score.score(pairs, pred_col="typos", expected_col="correct", keep=["lang"], impl=DIST_IMPL), ["lang"])
 
 
 def sampled_pairs(spark: SparkSession, sf_dir: str, fold: bool = True) -> DataFrame:
@@ -58,7 +58,7 @@ def sampled_pairs(spark: SparkSession, sf_dir: str, fold: bool = True) -> DataFr
 def q_noise_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How bad is keyboard noise per language if nothing is corrected? (flagship)"""
     pairs = sampled_pairs(spark, sf_dir)
-    return _means(score.score(pairs, pred_col="typos", expected_col="correct", keep=["lang"]), ["lang"])
+    return _means(score.score(pairs, pred_col="typos", expected_col="correct", keep=["lang"], impl=DIST_IMPL), ["lang"])
 
 
 def q_baseline_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,11 +73,11 @@ def q_baseline_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = all_passages(spark, sf_dir)
     levels = F.array(*[F.struct(F.lit(i).alias("eval_idx"), F.lit(x).alias("prob")) for i, x in enumerate(NOISE_LEVELS)])
     e = p.select("lang", "pair_id", "passage", F.explode(levels).alias("lv"))
-    noisy = keyboard_noise(F.col("passage"), F.col("pair_id"), prob=F.col("lv.prob"), seed=NOISE_SEED)
+    noisy = keyboard_noise(F.col("passage"), F.col("pair_id"), prob=F.col("lv.prob"), seed=NOISE_SEED, impl=NOISE_IMPL)
     allp = e.select(F.col("lang").alias("run_id"), F.col("lv.eval_idx").alias("eval_idx"),
                     ascii_fold(corrupt.flatten_newlines("passage")).alias("correct"),
                     ascii_fold(corrupt.flatten_newlines(noisy)).alias("prediction"))
-    scored = score.score(allp, keep=["run_id", "eval_idx"])
+    scored = score.score(allp, keep=["run_id", "eval_idx"], impl=DIST_IMPL)
     means = report.evaluation_means(scored, by=["run_id", "eval_idx"])
     cmp = report.baseline_comparison(means)
     return cmp.select("run_id", "eval_idx", *[r6(F.col(c)).alias(c) for c in cmp.columns if c not in ("run_id", "eval_idx")])
