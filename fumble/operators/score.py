@@ -58,7 +58,10 @@ def strip_prompt_prefix(generated: str, prompt: str):
 def evaluation_records(scored: DataFrame, typo_col: str = "typos", expected_col: str = "correct",
                        pred_col: str = "prediction", width: int = 200) -> DataFrame:
     """H9: one display row per example, texts truncated to ``width`` characters."""
+    keep = [c for c in scored.columns if c not in (typo_col, expected_col, pred_col, "exact_match", "char_accuracy",
+                                                    "word_accuracy", "cer", "char_distance")]
     return scored.select(
+        *keep,
         truncate(typo_col, width).alias("typo_text"),
         truncate(expected_col, width).alias("correct_text"),
         truncate(pred_col, width).alias("prediction"),

@@ -59,6 +59,19 @@ def q_build_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ok.select("pair_id", "doc_id", "source", F.col("round").cast("int"), "correct", "typos", "arm")
 
 
+TRAIN_ROUNDS = 100
+
+
+def q_labelled_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B7 + B9: train (100 rounds) and test (10 rounds) samples drawn
+    independently, labelled with the task and counted per split."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source")
+    train = sample.sample_rounds(docs, rounds=TRAIN_ROUNDS, k=K_PER_SOURCE, seed=SEED).withColumn("split", F.lit("train"))
+    test = sample.sample_rounds(docs, rounds=TEST_ROUNDS, k=K_PER_SOURCE, seed=SEED + 1).withColumn("split", F.lit("test"))
+    labelled = sample.labelled_union((train, "typo"), (test, "typo"))
+    return labelled.groupBy("split", "task").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def q_corruption_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request texts for the passages routed to the external arm."""
     p = all_passages(spark, sf_dir, trim=True)
@@ -119,9 +132,19 @@ def _build_pairs_sql() -> str:
     )
 
 
+def _split_sql(name: str, rounds: int, seed: int) -> str:
+    u = u_sql("sample", "r", "doc_id", seed=seed)
+    return (
+        f"SELECT '{name}' AS split, 'typo' AS task, count(*) AS n_rows FROM ("
+        f"SELECT row_number() OVER (PARTITION BY source, r ORDER BY {u}, doc_id) AS rn "
+        f"FROM documents, range(0, {rounds}) t(r)) WHERE rn <= {K_PER_SOURCE}"
+    )
+
+
 def oracles() -> dict[str, str]:
     before, after = corrupt.EXTERNAL_REQUEST.split("{text}")
     return {
+        "labelled_split_sizes": _split_sql("train", TRAIN_ROUNDS, SEED) + " UNION ALL " + _split_sql("test", TEST_ROUNDS, SEED + 1),
         "sample_by_source": _sample_sql(None),
         "sample_rounds": _sample_sql(TEST_ROUNDS),
         "shuffle_head": (
@@ -157,4 +180,5 @@ def queries() -> dict:
         "noise_variants": q_noise_variants,
         "build_pairs": q_build_pairs,
         "corruption_requests": q_corruption_requests,
+        "labelled_split_sizes": q_labelled_split_sizes,
     }

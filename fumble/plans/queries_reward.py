@@ -110,6 +110,15 @@ def q_answer_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.coalesce(F.col("length_penalty"), F.lit(False)).alias("length_penalty"))
 
 
+def q_legacy_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G8 over the four layouts (texts folded for the byte-based oracle)."""
+    pairs = all_pairs(spark, sf_dir, fold=True).select("pair_id", "correct")
+    lc = layout_completions(pairs).withColumn("completion", ascii_fold("completion"))
+    r = reward.legacy_reward(lc, impl=DIST_IMPL)
+    return r.select("pair_id", F.col("layout").cast("int").alias("layout"),
+                    *[r6(F.col(c)).alias(c) for c in ("format_score", "answer_score", "think_score", "reward")])
+
+
 def q_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D1 exploded: one row per phrase correction of every document's pair."""
     pairs = all_pairs(spark, sf_dir)
@@ -243,6 +252,27 @@ def _answer_sql() -> str:
     )
 
 
+def _legacy_sql() -> str:
+    src = _layout_sql(f"(SELECT pair_id, correct FROM {pairs_sql(fold=True)})")
+    src = f"(SELECT pair_id, layout, correct, {fold_sql('completion')} AS completion FROM {src})"
+    f = _format_sql_cols()
+    ha, ht, proper = f["has_answer"], f["has_think"], f["proper_format"]
+    fmt = f"(CASE WHEN {proper} THEN 1.0 WHEN {ht} AND {ha} THEN 0.5 WHEN {ha} THEN 0.3 ELSE 0.0 END)"
+    block = _strip_sql("regexp_extract(completion, '(?s)<answer>(.*?)</answer>', 1)")
+    cer_t = f"(levenshtein({block}, correct) / CAST(greatest(length(correct), 1) AS DOUBLE))"
+    cer_w = "(levenshtein(completion, correct) / CAST(greatest(length(correct), 1) AS DOUBLE))"
+    ans = f"(CASE WHEN {ha} THEN greatest(0.0, 3 * (1 - {cer_t})) ELSE greatest(0.0, 2 * (1 - {cer_w})) END)"
+    think = _strip_sql("regexp_extract(completion, '(?s)<think>(.*?)</think>', 1)")
+    stems = " OR ".join(f"instr(lower({think}), '{s}') > 0" for s in TG.LEGACY_STEMS)
+    thk = (f"(CASE WHEN {ht} AND length({think}) > 20 AND length({think}) < 500 THEN 0.5 + "
+           f"CASE WHEN {stems} THEN 0.5 ELSE 0.0 END ELSE 0.0 END)")
+    return (
+        f"SELECT pair_id, CAST(layout AS INTEGER) AS layout, round(CAST({fmt} AS DOUBLE), 6) AS format_score, "
+        f"round(CAST({ans} AS DOUBLE), 6) AS answer_score, round(CAST({thk} AS DOUBLE), 6) AS think_score, "
+        f"round(CAST({fmt} AS DOUBLE) + {ans} + CAST({thk} AS DOUBLE), 6) AS reward FROM {src}"
+    )
+
+
 def _positional_corrections_sql() -> str:
     def words(x):
         return f"list_filter(regexp_split_to_array(lower({_strip_sql(x)}), '{_ws()}+'), lambda w: w <> '')"
@@ -299,6 +329,7 @@ def oracles() -> dict[str, str]:
             f"round({fmt['outside_penalty']}, 6) AS outside_penalty FROM {layouts}"
         ),
         "answer_reward": _answer_sql(),
+        "legacy_reward": _legacy_sql(),
         "corrections_positional": _positional_corrections_sql(),
     }
 
@@ -312,6 +343,7 @@ def queries() -> dict:
         "format_check": q_format_check,
         "format_reward": q_format_reward,
         "answer_reward": q_answer_reward,
+        "legacy_reward": q_legacy_reward,
         "corrections": q_corrections,
         "corrections_positional": q_corrections_positional,
         "thinking_target": q_thinking_target,

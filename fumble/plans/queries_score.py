@@ -32,6 +32,16 @@ def q_typo_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         "pair_id", *_metric_cols())
 
 
+def q_evaluation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H9: one display row per pair (texts truncated to 200 characters)."""
+    pairs = all_pairs(spark, sf_dir, fold=True).withColumn("prediction", F.col("typos"))
+    scored = score.score(pairs, pred_col="prediction", expected_col="correct",
+                         keep=["pair_id", "typos", "correct", "prediction"], impl=DIST_IMPL)
+    rec = score.evaluation_records(scored)
+    return rec.select("pair_id", "typo_text", "correct_text", "prediction", "exact_match",
+                      *[r6(F.col(c)).alias(c) for c in ("char_accuracy", "word_accuracy", "cer")])
+
+
 def _means(scored: DataFrame, by: list[str]) -> DataFrame:
     m = report.evaluation_means(scored, by=by)
     return m.select(*by, *[r6(F.col(c)).alias(c) for c in
@@ -175,6 +185,12 @@ def oracles() -> dict[str, str]:
         "metrics_by_lang": _means_sql(pairs_sql(fold=True), "lang"),
         "noise_report": _means_sql(_sampled_pairs_sql(), "lang"),
         "baseline_comparison": _baseline_sql(),
+        "evaluation_records": (
+            "SELECT pair_id, substr(typos, 1, 200) AS typo_text, substr(correct, 1, 200) AS correct_text, "
+            "substr(typos, 1, 200) AS prediction, exact_match, round(char_accuracy, 6) AS char_accuracy, "
+            "round(word_accuracy, 6) AS word_accuracy, round(cer, 6) AS cer "
+            f"FROM (SELECT pair_id, typos, correct, {metrics_sql('typos', 'correct')} FROM {pairs_sql(fold=True)})"
+        ),
     }
 
 
@@ -184,4 +200,5 @@ def queries() -> dict:
         "metrics_by_lang": q_metrics_by_lang,
         "noise_report": q_noise_report,
         "baseline_comparison": q_baseline_comparison,
+        "evaluation_records": q_evaluation_records,
     }
