@@ -94,7 +94,7 @@ def oracles() -> dict[str, str]:
         ),
         "error_counts": (
             "SELECT run_id, step, total_errors FROM (SELECT run_id, step, "
-            "sum(hits) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total_errors "
+            "CAST(sum(hits) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS total_errors "
             "FROM (SELECT run_id, step, sum(CASE WHEN isnan(value) OR isinf(value) THEN 1 ELSE 0 END) AS hits "
             f"FROM {LOG_SQL} GROUP BY run_id, step)) WHERE total_errors > 0"
         ),
