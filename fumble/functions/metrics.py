@@ -169,9 +169,11 @@ def typo_metrics(pred: Column | str, expected: Column | str, impl: str = "native
     return _metric_record(p, e, d, wd)
 
 
-def _metric_record(p: Column, e: Column, d: Column, wd: Column) -> list[Column]:
+def _metric_record(p: Column, e: Column, d: Column, wd: Column,
+                   pw: Column | None = None, ew: Column | None = None) -> list[Column]:
     n = F.length(e)
-    pw, ew = words_joined(p), words_joined(e)
+    pw = words_joined(p) if pw is None else pw
+    ew = words_joined(e) if ew is None else ew
     longest = F.greatest(F.length(pw), F.length(ew))
     wacc = F.when(F.length(ew) > 0, 1 - wd / longest).otherwise(F.lit(0.0))
     failed = p.isNull() | e.isNull()
@@ -195,4 +197,5 @@ def score_frame(df: DataFrame, pred: str, expected: str, keep: list[str], impl:
     s2 = s1.select("*", words_joined("_p").alias("_pw"), words_joined("_e").alias("_ew"))
     s3 = s2.withColumn("_wd", F.when((F.col("_pw") == F.col("_p")) & (F.col("_ew") == F.col("_e")), F.col("_d"))
                        .otherwise(edit_distance("_pw", "_ew", impl)))
-    return s3.select(*keep, *_metric_record(F.col("_p"), F.col("_e"), F.col("_d"), F.col("_wd")))
+    return s3.select(*keep, *_metric_record(F.col("_p"), F.col("_e"), F.col("_d"), F.col("_wd"),
+                                            F.col("_pw"), F.col("_ew")))

@@ -30,9 +30,17 @@ def py_strip(c: Column | str) -> Column:
     return F.btrim(col_(c), F.lit(WS_CHARS))
 
 
+def _spaces(c: Column | str) -> Column:
+    """Every whitespace character mapped to a plain space (``translate``, no regex)."""
+    return F.translate(col_(c), WS_CHARS, " " * len(WS_CHARS))
+
+
 def words_joined(c: Column | str) -> Column:
-    """``' '.join(s.split())``: strip, then collapse whitespace runs to one space."""
-    return F.regexp_replace(py_strip(c), WS_JAVA + "+", " ")
+    """``' '.join(s.split())``: whitespace to spaces, trim, collapse runs.
+
+    The collapsing regex only runs on texts that contain a double space."""
+    t = F.btrim(_spaces(c), F.lit(" "))
+    return F.when(F.instr(t, "  ") > 0, F.regexp_replace(t, " {2,}", " ")).otherwise(t)
 
 
 def word_count(c: Column | str) -> Column:
@@ -45,7 +53,7 @@ def word_count(c: Column | str) -> Column:
 
 def norm_key(c: Column | str) -> Column:
     """Join key for prompts: all whitespace removed, lower-cased; null -> ''."""
-    return F.lower(F.regexp_replace(F.coalesce(col_(c), F.lit("")), WS_JAVA + "+", ""))
+    return F.lower(F.translate(F.coalesce(col_(c), F.lit("")), WS_CHARS, ""))
 
 
 def ascii_fold(c: Column | str) -> Column:

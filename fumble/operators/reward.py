@@ -100,9 +100,11 @@ def format_reward_cols(c: Column) -> dict[str, Column]:
     }
 
 
-def _answer_from(pred: Column, correct: Column, d: Column, wd: Column) -> dict[str, Column]:
+def _answer_from(pred: Column, correct: Column, d: Column, wd: Column,
+                 pw: Column | None = None, ew: Column | None = None) -> dict[str, Column]:
     cer = M.cer_reward(d, F.length(correct))
-    pw, ew = words_joined(pred), words_joined(correct)
+    pw = words_joined(pred) if pw is None else pw
+    ew = words_joined(correct) if ew is None else ew
     longest = F.greatest(F.length(pw), F.length(ew))
     wacc = F.when(longest > 0, 1 - wd / longest).otherwise(F.lit(0.0))
     base = F.greatest(F.lit(0.0), CHAR_WEIGHT * (1 - cer)) + F.greatest(F.lit(0.0), WORD_WEIGHT * wacc)
@@ -141,7 +143,7 @@ def with_answer_reward(df: DataFrame, completion: str = "completion", correct: s
     s2 = s1.select("*", words_joined("_pred").alias("_pw"), words_joined(correct).alias("_ew"))
     s3 = s2.withColumn("_wd", F.when((F.col("_pw") == F.col("_pred")) & (F.col("_ew") == F.col(correct)), F.col("_d"))
                        .otherwise(M.edit_distance("_pw", "_ew", impl)))
-    cols = _answer_from(F.col("_pred"), F.col(correct), F.col("_d"), F.col("_wd"))
+    cols = _answer_from(F.col("_pred"), F.col(correct), F.col("_d"), F.col("_wd"), F.col("_pw"), F.col("_ew"))
     return s3.select(*df.columns, *[v.alias(k) for k, v in cols.items()])
 
 

@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import WS_JAVA, WS_RE2
+from ..functions.text import WS_CHARS, WS_RE2
 from ..operators import render, score
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, spread
 from ..sources import files
 from ..sources.tables import load
 from .common import all_pairs, pairs_sql
@@ -77,13 +77,13 @@ def q_prefix_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_realign_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I1 over all documents: prompts are the texts (exact copies share a key);
-    results come back with whitespace collapsed and upper-cased, one per
+    results come back with whitespace changed and lower-cased, one per
     document, and must be placed at the right prompt index."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
     prompts = docs.select(F.col("doc_id").alias("idx"), F.col("text").alias("prompt"))
     results = docs.select(
         F.col("doc_id").alias("ridx"),
-        F.lower(F.regexp_replace("text", WS_JAVA + "+", " ")).alias("prompt"),
+        F.lower(F.translate("text", WS_CHARS, " " * len(WS_CHARS))).alias("prompt"),
         F.concat(F.lit("gen-"), F.col("doc_id").cast("string")).alias("completion"),
     )
     return score.realign_completions(prompts, results).select("idx", "completion")
