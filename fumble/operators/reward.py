@@ -80,8 +80,10 @@ def format_reward_cols(c: Column) -> dict[str, Column]:
     """1.0 proper / 0.5 both / 0.3 answer only / 0, minus min(0.5, ratio)
     when the outside ratio exceeds 0.1 (floor 0). ``outside_penalty`` and
     ``outside_ratio_recorded`` are null unless the penalty applied."""
-    think, answer, proper = TG.has_think(c), TG.has_answer(c), TG.proper_format(c)
-    ratio = TG.outside_ratio(c)
+    return _format_from(TG.has_think(c), TG.has_answer(c), TG.proper_format(c), TG.outside_ratio(c))
+
+
+def _format_from(think: Column, answer: Column, proper: Column, ratio: Column) -> dict[str, Column]:
     raw = (
         F.when(proper, F.lit(FORMAT_PROPER))
         .when(think & answer, F.lit(FORMAT_BOTH))
@@ -161,10 +163,12 @@ def length_band(n: Column) -> Column:
 def thinking_reward_cols(c: Column, word_corrs: Column, stems: tuple[str, ...] = TG.ERROR_STEMS) -> dict[str, Column]:
     """G4 with F17–F20. ``word_corrs`` is the D2 array of the pair. All
     components are null when the completion has no closed think block."""
-    think = TG.has_think(c)
     content = TG.extract_reasoning(c)
-    low = F.lower(content)
-    n = F.length(content)
+    return _thinking_from(TG.has_think(c), F.lower(content), F.length(content), word_corrs, stems)
+
+
+def _thinking_from(think: Column, low: Column, n: Column, word_corrs: Column,
+                   stems: tuple[str, ...] = TG.ERROR_STEMS) -> dict[str, Column]:
     mentions = TG.stem_mentions(low, stems)
     typos = F.filter(word_corrs, lambda p: p["typo"] != "")
     fixes = F.filter(word_corrs, lambda p: p["correct"] != "")
@@ -203,9 +207,14 @@ def reasoning_reward(df: DataFrame, completion: str = "completion", correct: str
     """
     base = df.withColumn("_c", unwrap_completion(F.col(completion), strip=False))
     c = F.col("_c")
-    fmt = format_reward_cols(c)
-    thk = thinking_reward_cols(c, F.col(word_corrs), stems)
-    staged = with_answer_reward(base, "_c", correct, impl).select(
+    # tag tests and the reasoning text once per row
+    tagged = base.select("*", TG.has_think(c).alias("_ht"), TG.has_answer(c).alias("_ha"),
+                         TG.proper_format(c).alias("_pf"), TG.outside_ratio(c).alias("_or"),
+                         TG.extract_reasoning(c).alias("_think"))
+    tagged = tagged.select("*", F.lower("_think").alias("_tlow"), F.length("_think").alias("_tlen"))
+    fmt = _format_from(F.col("_ht"), F.col("_ha"), F.col("_pf"), F.col("_or"))
+    thk = _thinking_from(F.col("_ht"), F.col("_tlow"), F.col("_tlen"), F.col(word_corrs), stems)
+    staged = with_answer_reward(tagged, "_c", correct, impl).select(
         *df.columns, "_c", "predicted_text", "cer", "word_acc", "answer_score", "exact", "length_penalty",
         *[v.alias(k) for k, v in {**fmt, **thk}.items()])
     total = F.col("format_score") + F.col("answer_score") + F.col("think_score")
