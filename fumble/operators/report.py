@@ -125,3 +125,33 @@ def example_rows(df: DataFrame, batch_col: str = "batch", order_col: str = "pos"
         .filter(F.col("_rn") <= per_batch)
         .drop("_rn")
     )
+
+
+# Row labels of the comparison table.
+COMPARISON_LABELS = (("exact_match", "Exact Match"), ("char_accuracy", "Char Accuracy"),
+                     ("word_accuracy", "Word Accuracy"), ("cer", "CER (lower=better)"))
+
+
+def percent_text(c: Column, digits: int = 2, signed: bool = False, suffix: str = "%") -> Column:
+    """a fraction as display text, e.g. ``12.34%`` or ``+1.50pp``.
+
+    Display only: every computation keeps the numbers. Java's formatter
+    rounds half up (0.125 -> 0.13) where Python rounds the binary value."""
+    pattern = ("%+." if signed else "%.") + f"{digits}f" + suffix.replace("%", "%%")
+    return F.format_string(pattern, c * 100)
+
+
+def comparison_display(cmp: DataFrame, run_col: str = "run_id", eval_col: str = "eval_idx") -> DataFrame:
+    """H2 display: one row per (run, evaluation, metric) with the formatted
+    baseline, current value, improvement in points and relative change."""
+    rows = F.array(*[
+        F.struct(F.lit(label).alias("metric"), F.col(f"baseline_{k}").alias("b"), F.col(f"current_{k}").alias("c"),
+                 F.col(f"improvement_{k}").alias("i"), F.col(f"pct_change_{k}").alias("p"))
+        for k, label in COMPARISON_LABELS])
+    x = cmp.select(run_col, eval_col, F.explode(rows).alias("r"))
+    return x.select(
+        run_col, eval_col, F.col("r.metric").alias("metric"),
+        percent_text(F.col("r.b")).alias("baseline"), percent_text(F.col("r.c")).alias("current"),
+        percent_text(F.col("r.i"), signed=True, suffix="pp").alias("improvement"),
+        F.format_string("%+.1f%%", F.col("r.p")).alias("pct_change"),
+    )

@@ -14,12 +14,12 @@ from .common import (EXTERNAL_PROB, EXTERNAL_SEED, K_PER_SOURCE, NOISE_IMPL, NOI
 
 
 def q_sample_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select("doc_id", "source")
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "source"))
     return sample.sample_per_source(docs, k=K_PER_SOURCE, seed=SEED).select("doc_id", "source", F.col("round").cast("int"))
 
 
 def q_sample_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "source", "lang"))
     return sample.sample_rounds(docs, rounds=TEST_ROUNDS, k=K_PER_SOURCE, seed=SEED).select(
         "doc_id", "source", "lang", F.col("round").cast("int"))
 
@@ -51,7 +51,7 @@ def q_noise_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_build_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C1–C10 for the test split: 10 rounds × 20 documents per source."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     sampled = rebalance(sample.sample_rounds(docs, rounds=TEST_ROUNDS, k=K_PER_SOURCE, seed=SEED))
     passages = corrupt.make_passages(sampled, seed=SEED, trim=True)
     ext = external_typos(passages.filter(~corrupt.route_is_noise(F.col("doc_id"), F.col("round"), SEED)))
@@ -65,7 +65,7 @@ TRAIN_ROUNDS = 100
 def q_labelled_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B7 + B9: train (100 rounds) and test (10 rounds) samples drawn
     independently, labelled with the task and counted per split."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "source")
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "source"))
     train = sample.sample_rounds(docs, rounds=TRAIN_ROUNDS, k=K_PER_SOURCE, seed=SEED).withColumn("split", F.lit("train"))
     test = sample.sample_rounds(docs, rounds=TEST_ROUNDS, k=K_PER_SOURCE, seed=SEED + 1).withColumn("split", F.lit("test"))
     labelled = sample.labelled_union((train, "typo"), (test, "typo"))

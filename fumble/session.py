@@ -44,7 +44,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = tempfile.mkdtemp(prefix="fumble-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    try:
+        spark.sparkContext.setCheckpointDir(current)
+    except Exception:  # Spark Connect: the server side owns the checkpoint folder
+        pass
     return current
 
 
@@ -54,8 +57,12 @@ def ship_package(spark: SparkSession) -> None:
     The equivalent of ``spark-submit --py-files fumble.zip``: the package is
     zipped on the driver and distributed by Spark to every executor.
     """
-    sc = spark.sparkContext
-    if getattr(sc, "_fumble_shipped", False):
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: ship through the artifact API instead
+        sc = None
+    holder = sc if sc is not None else spark
+    if getattr(holder, "_fumble_shipped", False):
         return
     import zipfile
 
@@ -67,8 +74,11 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    sc.addPyFile(out)
-    sc._fumble_shipped = True
+    if sc is not None:
+        sc.addPyFile(out)
+    else:
+        spark.addArtifacts(out, pyfile=True)
+    holder._fumble_shipped = True
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -78,8 +88,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     input already has at least as many partitions as cores and is left as is
     (no shuffle). Use after a scan, not after a shuffle (see ``rebalance``).
     """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # Spark Connect has no RDD view; leave the scan as planned
+        return df
+    if have < want:
         return df.repartition(want)
     return df
 
@@ -90,7 +104,12 @@ def rebalance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     After a shuffle AQE coalesces small outputs into one partition; an
     explicit partition count is kept as given.
     """
-    return df.repartition(min_partitions or df.sparkSession.sparkContext.defaultParallelism)
+    if min_partitions is None:
+        try:
+            min_partitions = df.sparkSession.sparkContext.defaultParallelism
+        except Exception:
+            min_partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+    return df.repartition(min_partitions)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -110,9 +110,19 @@ def log_from_events(ev: DataFrame) -> DataFrame:
                      metric.alias("metric"), value.alias("value"))
 
 
-def start(events: DataFrame, sink_path: str, checkpoint_location: str, trigger: dict | None = None):
+def start(events: DataFrame, sink_path: str | None = None, checkpoint_location: str | None = None,
+          trigger: dict | None = None, name: str = "monitor"):
     """Run the monitor into an append-only Parquet sink (exactly-once with the
-    checkpoint location). ``trigger`` defaults to ``availableNow``."""
+    checkpoint location). ``trigger`` defaults to ``availableNow``.
+
+    Without explicit paths both live under the shared folder named by
+    ``spark.checkpoint.dir`` (``<dir>/<name>/events`` and ``<dir>/<name>/state``),
+    so a restarted driver finds the committed offsets and state again."""
+    from ..session import checkpoint_path
+
+    spark = events.sparkSession
+    sink_path = sink_path or checkpoint_path(spark, f"{name}/events")
+    checkpoint_location = checkpoint_location or checkpoint_path(spark, f"{name}/state")
     q = (monitor_events(events).writeStream.format("parquet").option("path", sink_path)
          .option("checkpointLocation", checkpoint_location).outputMode("append"))
     q = q.trigger(**(trigger or {"availableNow": True}))

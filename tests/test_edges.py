@@ -121,3 +121,15 @@ def test_swapped_column_order(spark):
     ok, _ = files.read_pairs(spark, os.path.join(d, "s.csv"), columns=files.SWAPPED_ORDER)
     r = ok.first()
     assert r.typos == "typo text" and r.correct == "correct text"
+
+
+def test_comparison_display(spark):
+    cmp = spark.createDataFrame([("r", 1, 0.5, 0.625, 0.125, 25.0)],
+                                "run_id string, eval_idx int, baseline_cer double, current_cer double, "
+                                "improvement_cer double, pct_change_cer double")
+    for k in ("exact_match", "char_accuracy", "word_accuracy"):
+        for pre in ("baseline", "current", "improvement", "pct_change"):
+            cmp = cmp.withColumn(f"{pre}_{k}", F.lit(0.0))
+    rows = {r.metric: r for r in report.comparison_display(cmp).collect()}
+    r = rows["CER (lower=better)"]
+    assert (r.baseline, r.current, r.improvement, r.pct_change) == ("50.00%", "62.50%", "+12.50pp", "+25.0%")
