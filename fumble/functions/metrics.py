@@ -64,6 +64,35 @@ def _distance_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="Int64")
 
 
+@F.pandas_udf(T.StructType([T.StructField("d", T.LongType()), T.StructField("wd", T.LongType())]))
+def _two_distances_udf(p: pd.Series, e: pd.Series, pw: pd.Series, ew: pd.Series) -> pd.DataFrame:
+    d, wd = [], []
+    for a, b, x, y in zip(p.tolist(), e.tolist(), pw.tolist(), ew.tolist()):
+        if a is None or b is None:
+            d.append(None)
+            wd.append(None)
+            continue
+        raw = bitparallel_distance(a, b)
+        d.append(raw)
+        wd.append(raw if (x == a and y == b) else bitparallel_distance(x, y))
+    return pd.DataFrame({"d": pd.Series(d, dtype="Int64"), "wd": pd.Series(wd, dtype="Int64")})
+
+
+def with_two_distances(df: DataFrame, p: str, e: str, pw: str, ew: str, out_d: str = "_d",
+                       out_wd: str = "_wd", impl: str = "native") -> DataFrame:
+    """Distance of the raw texts and of their normalised forms, each once.
+
+    ``arrow``: one pandas UDF call per batch computes both, the second only
+    where normalisation changed a text. ``native``: two staged projections.
+    """
+    if impl == "arrow":
+        both = df.withColumn("_dd", _two_distances_udf(F.col(p), F.col(e), F.col(pw), F.col(ew)))
+        return both.select("*", F.col("_dd.d").alias(out_d), F.col("_dd.wd").alias(out_wd)).drop("_dd")
+    s1 = with_edit_distance(df, p, e, out_d, impl)
+    return s1.withColumn(out_wd, F.when((F.col(pw) == F.col(p)) & (F.col(ew) == F.col(e)), F.col(out_d))
+                         .otherwise(edit_distance(pw, ew, impl)))
+
+
 def edit_distance(a: Column | str, b: Column | str, impl: str = "native") -> Column:
     """Levenshtein distance in code points (bigint); null if either is null.
 
@@ -193,9 +222,7 @@ def score_frame(df: DataFrame, pred: str, expected: str, keep: list[str], impl:
     changes nothing), then the metric record from the stored distances."""
     p, e = F.col(pred), F.col(expected)
     s1 = df.select(*keep, p.alias("_p"), e.alias("_e"))
-    s1 = with_edit_distance(s1, "_p", "_e", "_d", impl)
     s2 = s1.select("*", words_joined("_p").alias("_pw"), words_joined("_e").alias("_ew"))
-    s3 = s2.withColumn("_wd", F.when((F.col("_pw") == F.col("_p")) & (F.col("_ew") == F.col("_e")), F.col("_d"))
-                       .otherwise(edit_distance("_pw", "_ew", impl)))
+    s3 = with_two_distances(s2, "_p", "_e", "_pw", "_ew", impl=impl)
     return s3.select(*keep, *_metric_record(F.col("_p"), F.col("_e"), F.col("_d"), F.col("_wd"),
                                             F.col("_pw"), F.col("_ew")))

@@ -141,10 +141,8 @@ def with_answer_reward(df: DataFrame, completion: str = "completion", correct: s
                        impl: str = "native") -> DataFrame:
     """G3 over a DataFrame, one distance per row and text pair (staged)."""
     s1 = df.withColumn("_pred", answer_text(F.col(completion)))
-    s1 = M.with_edit_distance(s1, "_pred", correct, "_d", impl)
     s2 = s1.select("*", words_joined("_pred").alias("_pw"), words_joined(correct).alias("_ew"))
-    s3 = s2.withColumn("_wd", F.when((F.col("_pw") == F.col("_pred")) & (F.col("_ew") == F.col(correct)), F.col("_d"))
-                       .otherwise(M.edit_distance("_pw", "_ew", impl)))
+    s3 = M.with_two_distances(s2, "_pred", correct, "_pw", "_ew", impl=impl)
     cols = _answer_from(F.col("_pred"), F.col(correct), F.col("_d"), F.col("_wd"), F.col("_pw"), F.col("_ew"))
     return s3.select(*df.columns, *[v.alias(k) for k, v in cols.items()])
 
