@@ -99,3 +99,26 @@ def test_stream_equals_batch(spark):
     assert pairs(got_err, got_err.columns) == pairs(running, running.columns)
     inv = monitor.invalid_values(log)
     assert got.filter("kind = 'invalid'").count() == inv.count()
+
+
+def test_stream_reports_rows_arriving_out_of_order(spark):
+    import pandas as pd
+
+    src = tempfile.mkdtemp(prefix="fumble-late-src-")
+    base = pd.Timestamp("2024-01-01 00:00:00")
+
+    def write(i, rows):
+        pdf = pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value", "props"])
+        path = os.path.join(src, f"part-{i}.parquet")
+        pdf.to_parquet(path, index=False, coerce_timestamps="us")
+        os.utime(path, (2000 + i, 2000 + i))
+
+    write(0, [(1, base, 7, "view", 1.0, "{}"), (2, base + pd.Timedelta(seconds=1), 7, "view", 3.0, "{}")])
+    write(1, [(3, base + pd.Timedelta(seconds=2), 7, "view", 1.0, "{}"),
+              (2, base + pd.Timedelta(seconds=1), 7, "view", 9.0, "{}")])   # step 2 again: late
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    stream = monitor_stream.events_log_stream(spark, src, schema, max_files=1)
+    out, ckpt = tempfile.mkdtemp(prefix="fumble-late-out-"), tempfile.mkdtemp(prefix="fumble-late-ckpt-")
+    monitor_stream.start(stream, out, ckpt).awaitTermination(300)
+    got = sorted((r.step, r.kind) for r in spark.read.parquet(out).collect())
+    assert got == [(2, "late"), (2, "loss_spike")]
