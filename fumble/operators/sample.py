@@ -36,6 +36,10 @@ def sample_per_source(
     return _top_k(docs, k, [by], key, id_col).withColumn("round", F.lit(0))
 
 
+# Bytes per sampled key row (doc_id, round) in a broadcast hash relation.
+KEY_ROW_BYTES = 48
+
+
 def sample_rounds(
     docs: DataFrame,
     rounds: int,
@@ -43,18 +47,26 @@ def sample_rounds(
     seed: int = 42,
     by: str = "source",
     id_col: str = "doc_id",
+    broadcast_bytes: int = 64 << 20,
 ) -> DataFrame:
     """``rounds`` independent samples of ``k`` per stratum.
 
     The same row may appear in several rounds (and in another split), as in the
     reference. Only the narrow key columns are multiplied by ``rounds``; the
     sampled keys (``k × strata × rounds`` rows) are joined back to the full
-    rows, so wide text never travels ``rounds`` times. AQE picks a broadcast
-    for that join only when the runtime size of the sampled side allows it.
+    rows, so wide text never travels ``rounds`` times.
+
+    The sampled side has at most ``k × strata × rounds`` rows. That bound is
+    checked first (one distinct count over the narrow stratum column): within
+    ``broadcast_bytes`` the sampled keys are broadcast and the documents are
+    never shuffled; beyond it the join is left to the planner (shuffle join).
     """
     keys = docs.select(id_col, by).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
     key = rand_u(seed, "sample", F.col("round"), F.col(id_col))
     picked = _top_k(keys, k, [by, "round"], key, id_col).select(id_col, "round")
+    n_strata = docs.select(by).distinct().count()
+    if k * n_strata * rounds * KEY_ROW_BYTES <= broadcast_bytes:
+        picked = F.broadcast(picked)
     return docs.join(picked, on=id_col, how="inner")
 
 
