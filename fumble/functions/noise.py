@@ -229,11 +229,12 @@ def noise_text(text: str, key: str, threshold: int, seed: int = 0, keyboard: str
     hit = is_key & ((d % np.uint64(100)) <= np.uint64(threshold))
     out = np.where(is_key, lower, cps).astype(np.uint32)
     if hit.any():
+        table, sizes = _neighbour_table(keyboard)
         idx = np.nonzero(hit)[0]
-        picks = _np_fin(_np_mix(d[idx]))
-        for j, p, lc in zip(idx.tolist(), picks.tolist(), lower[idx].tolist()):
-            options = neigh[chr(lc)]
-            out[j] = ord(options[p % len(options)])
+        lc = lower[idx]
+        slot = np.where(lc == 32, 0, lc.astype(np.int64) - 96)
+        picks = (_np_fin(_np_mix(d[idx])) % sizes[slot].astype(np.uint64)).astype(np.int64)
+        out[idx] = table[slot, picks]
     # restore case where the original differed from its lower form
     recase = is_key & (lower != cps)
     ascii_lower = (out >= 97) & (out <= 122)
@@ -244,6 +245,24 @@ def noise_text(text: str, key: str, threshold: int, seed: int = 0, keyboard: str
     return "".join(pieces)
 
 
+_TABLES: dict = {}
+
+
+def _neighbour_table(keyboard: str):
+    """Neighbour strings as a padded code-point matrix: row 0 = space, 1..26 = a..z."""
+    import numpy as np
+
+    if keyboard not in _TABLES:
+        neigh = KEYBOARDS[keyboard]
+        rows = [neigh[" "]] + [neigh[chr(c)] for c in range(ord("a"), ord("z") + 1)]
+        width = max(len(r) for r in rows)
+        table = np.zeros((len(rows), width), dtype=np.uint32)
+        for i, r in enumerate(rows):
+            table[i, : len(r)] = [ord(ch) for ch in r]
+        _TABLES[keyboard] = (table, np.array([len(r) for r in rows], dtype=np.uint64))
+    return _TABLES[keyboard]
+
+
 _UDF_CACHE: dict = {}
 
 
