@@ -35,3 +35,12 @@ def test_scans_prune_columns(spark):
     q = E.queries()["loss_spikes"](spark, SF01)
     p = q._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string,value:double>" in p
+
+
+def test_sample_rounds_broadcast_only_within_bound(spark):
+    docs = load(spark, SF01, "documents").select("doc_id", "source")
+    small = sample.sample_rounds(docs, rounds=3, k=5)
+    big = sample.sample_rounds(docs, rounds=3, k=5, broadcast_bytes=0)
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted((r.doc_id, r["round"]) for r in df.collect())
+    assert rows(small) == rows(big)
