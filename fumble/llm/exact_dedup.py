@@ -66,10 +66,8 @@ def frequent_digests(narrow: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """Candidates: every digest on at least 2 / (counters + 1) of the rows, and
     at most ``counters`` + 1 digests, since their counts sum to the row count."""
     part = narrow.select("digest").mapInPandas(misra_gries(counters), "digest binary, n long")
-    least = narrow.agg((F.count(F.lit(1)) / F.lit(counters + 1)).alias("least"))
     merged = part.groupBy("digest").agg(F.sum("n").alias("n"))
-    # one row by construction: an aggregate without keys
-    return merged.join(F.broadcast(least), F.col("n") >= F.col("least")).select("digest")
+    return merged.filter(F.col("n") * (counters + 1) >= narrow.count()).select("digest")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
@@ -93,4 +91,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay, with all their columns."""
     stay = exact_dedup(docs, **options).filter("kept").select("doc_id").distinct()
-    return docs.join(stay.withColumnRenamed("doc_id", "_stay"), F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    return docs.join(stay.withColumnRenamed("doc_id", "_stay"), F.col(options.get("id_col", "doc_id")).eqNullSafe(F.col("_stay")), "left_semi")

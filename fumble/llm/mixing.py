@@ -130,3 +130,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     chosen = sums.select("source", near["shift"].alias("shift"))
     df = df.join(chosen, "source").withColumn("copies", copies(F.col("shift")))
     return df.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The documents with all their columns, each row as often as the mix takes
+    it; with rows that repeat a doc_id, their copies are shared out evenly."""
+    per_id = mix(docs, id_col, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    joined = docs.join(per_id, F.col(id_col).eqNullSafe(F.col("_id")))
+    each = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
+    times = F.when(each > 0, F.sequence(F.lit(1), each)).otherwise(F.array().cast("array<int>"))
+    return joined.withColumn("_copy", F.explode(times)).select(*[docs[c] for c in docs.columns])

@@ -33,11 +33,11 @@ WINDOW = 8
 RISK, ALPHA = 0.02, 0.05
 # rule -> (metric in SQL over the base columns, cutoffs from mild to strict); metrics are per mille.
 RULES = {
-    "symbols": ("1000 * n_symbols / n_words", [2000, 1500, 1000, 750, 500, 300, 200, 100, 50]),
-    "marks": ("1000 * n_marks / n_words", [1000, 900, 800, 700, 600, 500, 400, 300, 200, 100]),
-    "repeats": ("1000 * n_repeat_words / n_words", [290, 250, 200, 150, 100, 50]),
-    "dup_lines": ("1000 * n_dup_lines / n_lines", [800, 700, 600, 500, 400, 300, 200]),
-    "long_words": ("1000 * word_chars / n_words", [20000, 18000, 16000, 14000, 12000]),
+    "symbols": ("1000 * n_symbols / nullif(n_words, 0)", [2000, 1500, 1000, 750, 500, 300, 200, 100, 50]),
+    "marks": ("1000 * n_marks / nullif(n_words, 0)", [1000, 900, 800, 700, 600, 500, 400, 300, 200, 100]),
+    "repeats": ("1000 * n_repeat_words / nullif(n_words, 0)", [290, 250, 200, 150, 100, 50]),
+    "dup_lines": ("1000 * n_dup_lines / nullif(n_lines, 0)", [800, 700, 600, 500, 400, 300, 200]),
+    "long_words": ("1000 * word_chars / nullif(n_words, 0)", [20000, 18000, 16000, 14000, 12000]),
 }
 
 
@@ -141,10 +141,10 @@ def thresholds(metrics: DataFrame, labels: DataFrame, rules=RULES, risk: float =
         F.count_if(F.col("good") & above).alias("n_false"),
         F.count_if(~F.col("good") & above).alias("n_bad"),
     )
-    tests = counts.select("stratum").distinct().agg((F.count(F.lit(1)) * len(rules)).alias("tests"))
-    share = F.lit(risk / len(rules))
-    tested = counts.crossJoin(F.broadcast(tests)).withColumn("p_value", binomial_tail(F.col("n_good"), F.col("n_false"), share))  # tests has one row
-    tested = tested.withColumn("ok", (F.col("n_good") > 0) & (F.col("p_value") <= F.lit(alpha) / F.col("tests")))
+    counts = keep(counts, "quality-counts")
+    tests = max(1, counts.select("stratum").distinct().count() * len(rules))
+    tested = counts.withColumn("p_value", binomial_tail(F.col("n_good"), F.col("n_false"), F.lit(risk / len(rules))))
+    tested = tested.withColumn("ok", (F.col("n_good") > 0) & (F.col("p_value") <= alpha / tests))
     # windows over the grid of one stratum and rule: as many rows as the rule has cutoffs
     order = Window.partitionBy("stratum", "rule").orderBy("step")
     certified = tested.withColumn("all_ok", F.min("ok").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("all_ok and n_bad > 0")
@@ -172,4 +172,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def kept_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that stay, with all their columns."""
     stay = quality_rules(docs, labels, **options).filter("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    return docs.join(stay, F.col(options.get("id_col", "doc_id")).eqNullSafe(F.col("_stay")), "left_semi")

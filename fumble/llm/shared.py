@@ -44,3 +44,13 @@ def words(text: Column) -> Column:
 
 def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
+
+
+def frame_of(rows: list[tuple], columns: str):
+    """A pandas frame of rows with columns "name:dtype ..."; whole numbers beside
+    nulls stay exact, which pandas would otherwise turn into floats."""
+    import pandas as pd
+
+    named = [c.split(":") for c in columns.split()]
+    values = list(zip(*rows, strict=True)) if rows else [()] * len(named)
+    return pd.DataFrame({n: pd.array(list(v), dtype=t) if t != "object" else pd.Series(list(v), dtype=object) for (n, t), v in zip(named, values, strict=True)})
