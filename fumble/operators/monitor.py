@@ -20,6 +20,9 @@ size of a run, and no step is dropped.
 
 NaN is handled explicitly: Spark orders NaN above every number, Python
 compares it as false, so NaN values never become "previous loss" or "best".
+
+Several numbers of one metric at one step are ordered by value, NaN last; an
+evaluation logged twice at a step counts with its largest valid reward.
 """
 
 from __future__ import annotations
@@ -39,7 +42,9 @@ def _valid(v: Column) -> Column:
 
 
 def _chunked(df: DataFrame, chunk_steps: int) -> DataFrame:
-    return df.withColumn("_chunk", F.floor(F.col("step") / chunk_steps).cast("bigint"))
+    """Rows dealt by (run, chunk) once; the per-step and per-chunk aggregates,
+    the join and the window of a chunk all use that one exchange."""
+    return df.withColumn("_chunk", F.floor(F.col("step") / chunk_steps).cast("bigint")).repartition("run_id", "_chunk")
 
 
 def loss_spikes(log: DataFrame, factor: float = SPIKE_FACTOR, chunk_steps: int = CHUNK_STEPS,
@@ -56,11 +61,11 @@ def loss_spikes(log: DataFrame, factor: float = SPIKE_FACTOR, chunk_steps: int =
     losses = _chunked(log.filter((F.col("metric") == metric) & F.col("value").isNotNull())
                       .select("run_id", "step", "value"), chunk_steps)
     # (2) last loss of every chunk, carried forward across chunks.
-    last_per_chunk = losses.groupBy("run_id", "_chunk").agg(F.max_by("value", "step").alias("_last"))
+    last_per_chunk = losses.groupBy("run_id", "_chunk").agg(F.max(F.struct("step", "value"))["value"].alias("_last"))
     wc = Window.partitionBy("run_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = last_per_chunk.select("run_id", "_chunk", F.last("_last").over(wc).alias("_carry"))
     # (3) previous loss inside the chunk, else the carried one.
-    w = Window.partitionBy("run_id", "_chunk").orderBy("step")
+    w = Window.partitionBy("run_id", "_chunk").orderBy("step", "value")
     prev_in_chunk = F.lag("value").over(w)
     j = losses.join(carried, on=["run_id", "_chunk"], how="left")
     prev = F.when(F.row_number().over(w) == 1, F.col("_carry")).otherwise(prev_in_chunk)
@@ -85,8 +90,8 @@ def error_counts(log: DataFrame, chunk_steps: int = CHUNK_STEPS) -> tuple[DataFr
     Returns ``(running(run_id, step, total_errors), final(run_id, final_error_count))``.
     """
     v = F.col("value")
-    hits = _chunked(log.select("run_id", "step", (F.isnan(v) | (F.abs(v) == float("inf"))).cast("bigint").alias("hit")),
-                    chunk_steps)
+    invalid = F.coalesce(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(False))  # a null number is not an error
+    hits = _chunked(log.select("run_id", "step", invalid.cast("bigint").alias("hit")), chunk_steps)
     per_step = hits.groupBy("run_id", "_chunk", "step").agg(F.sum("hit").alias("hits"))
     per_chunk = per_step.groupBy("run_id", "_chunk").agg(F.sum("hits").alias("_n"))
     wc = Window.partitionBy("run_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -97,7 +102,7 @@ def error_counts(log: DataFrame, chunk_steps: int = CHUNK_STEPS) -> tuple[DataFr
         .select("run_id", "step", (F.col("_carry") + F.sum("hits").over(w)).alias("total_errors"))
         .filter(F.col("total_errors") > 0)
     )
-    final = hits.groupBy("run_id").agg(F.sum("hit").alias("final_error_count"))
+    final = log.groupBy("run_id").agg(F.count_if(invalid).alias("final_error_count"))
     return running, final
 
 
@@ -109,7 +114,8 @@ def evaluation_rewards(evals: DataFrame) -> DataFrame:
     """
     names = list(REWARD_NAMES)
     picked = evals.filter(F.col("metric").isin(*names)).groupBy("run_id", "step").agg(
-        *[F.max(F.when(F.col("metric") == n, F.col("value"))).alias(f"_r{i}") for i, n in enumerate(names)])
+        *[F.coalesce(F.max(F.when((F.col("metric") == n) & _valid(F.col("value")), F.col("value"))),
+                     F.max(F.when(F.col("metric") == n, F.col("value")))).alias(f"_r{i}") for i, n in enumerate(names)])
     return picked.select("run_id", "step", F.coalesce(*[F.col(f"_r{i}") for i in range(len(names))]).alias("reward"))
 
 

@@ -9,19 +9,28 @@ deterministically (event id multiples of 97 and 89) in both engines.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import monitor
+from ..session import checkpoint_path
 from ..sources.tables import load
+from ..streaming import monitor_stream
 
 # Checkpoint rotation of the reference's trainer.
 SAVE_EVERY, KEEP_LAST = 20, 2
-OUTPUT_DIR = "grpo_checkpoints"
+OUTPUT_DIR = "checkpoints"
 
 
 def training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    return log_of(load(spark, sf_dir, "events")).drop("ts")
+
+
+def log_of(ev: DataFrame) -> DataFrame:
+    """Events as log rows (run_id, step, metric, value, ts)."""
     metric = (F.when(F.col("event_type").isin("view", "click"), F.lit(monitor.LOSS))
               .when(F.col("event_type") == "purchase", F.lit(monitor.REWARD_NAMES[0]))
               .otherwise(F.col("event_type")))
@@ -29,7 +38,7 @@ def training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(F.col("event_id") % 89 == 0, F.lit(float("inf")))
              .otherwise(F.col("value")))
     return ev.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("step"),
-                     metric.alias("metric"), value.alias("value"))
+                     metric.alias("metric"), value.alias("value"), F.col("ts").cast("timestamp").alias("ts"))
 
 
 LOG_SQL = (
@@ -79,7 +88,65 @@ def q_best_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.best_checkpoint(monitor.evaluation_rewards(log), ckpts, OUTPUT_DIR)
 
 
+# Streaming: the events arrive in this many files, in order of event time plus a draw below the delay.
+ARRIVALS, DELAY_SECONDS = 5, 6 * 3600
+
+
+def _arriving(spark: SparkSession, sf_dir: str) -> tuple[str, StructType]:
+    """Event files below the shared folder as they arrive: shuffled by less
+    than the delay, and last an end row of each run."""
+    ev = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    path = checkpoint_path(spark, f"arrivals-{uuid.uuid4().hex}")
+    at = F.unix_seconds("ts") + F.pmod(F.xxhash64("event_id"), F.lit(DELAY_SECONDS))
+    low, high = ev.agg(F.min(at), F.max(at)).first()
+    part = F.least(F.floor((at - low) * ARRIVALS / F.greatest(F.lit((high or 0) - (low or 0)), F.lit(1))), F.lit(ARRIVALS - 1))
+    for i in range(ARRIVALS):  # one write after the other, so that the files' times keep the order
+        ev.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    ends = ev.groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max("ts").alias("ts"))
+    ends.select("event_id", "user_id", F.lit(monitor_stream.END_OF_RUN).alias("event_type"), "ts", F.lit(None).cast("double").alias("value")).coalesce(1).write.mode("append").parquet(path)
+    return path, ev.schema
+
+
+def _streamed(spark: SparkSession, sf_dir: str, events) -> DataFrame:
+    """What ``events`` of the arriving log puts into its sink, one file a micro-batch."""
+    path, schema = _arriving(spark, sf_dir)
+    log = monitor_stream.events_log_stream(spark, path, schema, log_of, max_files=1)
+    name = f"monitor-{uuid.uuid4().hex}"
+    query = monitor_stream.start(events(log), name=name)
+    query.awaitTermination()
+    return spark.read.parquet(checkpoint_path(spark, f"{name}/events"))
+
+
+def _ordered(log: DataFrame) -> DataFrame:
+    return monitor_stream.monitor_events(log, DELAY_SECONDS)
+
+
+def q_stream_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _streamed(spark, sf_dir, _ordered).filter("kind = 'loss_spike'")
+    return e.select("run_id", "step", F.col("value_from").alias("loss_spike_from"), F.col("value").alias("loss_spike_to"))
+
+
+def q_stream_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, _ordered).filter("kind = 'new_best'").select("run_id", "step", F.col("value").alias("reward"))
+
+
+def q_stream_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _streamed(spark, sf_dir, _ordered).filter("kind = 'total_errors'")
+    return e.select("run_id", "step", F.col("value").cast("long").alias("total_errors"))
+
+
+def q_stream_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    iv = _streamed(spark, sf_dir, monitor_stream.invalid_events)
+    return iv.select("run_id", "step", "metric", _kind(F.col("value")).alias("value_kind"))
+
+
 def oracles() -> dict[str, str]:
+    batch = _batch_oracles()
+    same = {"monitor_stream_spikes": "loss_spikes", "monitor_stream_best": "running_best", "monitor_stream_errors": "error_counts", "monitor_stream_invalid": "invalid_values"}
+    return batch | {k: batch[v] for k, v in same.items()}
+
+
+def _batch_oracles() -> dict[str, str]:
     valid = "(value IS NOT NULL AND NOT isnan(value))"
     return {
         "loss_spikes": (
@@ -129,4 +196,8 @@ def queries() -> dict:
         "final_error_counts": q_final_error_counts,
         "running_best": q_running_best,
         "best_checkpoint": q_best_checkpoint,
+        "monitor_stream_spikes": q_stream_spikes,
+        "monitor_stream_best": q_stream_best,
+        "monitor_stream_errors": q_stream_errors,
+        "monitor_stream_invalid": q_stream_invalid,
     }

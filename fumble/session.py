@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,11 +38,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names this folder (a shared file system path); it is only set
-    here when the session has none, as in local tests.
+    A cluster names this folder (a shared file system path). Only a local
+    session, as in tests, may have none: it gets a temporary one here.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="fumble-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     try:
@@ -121,3 +124,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder, e.g. for stream state."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library wrote, through Spark's own file system layer."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -1,119 +1,162 @@
-"""Training-log monitor as a Structured Streaming job (J1–J4, streaming form).
-
-The reference reacts to callbacks that arrive in step order; here the log is
-a stream ``(run_id, step, ts, metric, value)`` and each run keeps a small
-keyed state: last recorded loss, best reward, invalid-value count and the
-last processed step. Within a micro-batch a run's rows are processed in step
-order; a row at or before the run's last processed step arrives too late to
-keep the order and is emitted as ``late`` instead of changing the state.
-
-State is per key (run), checkpointed by Spark in the checkpoint location, so
-a restarted query or a lost executor resumes from the last committed batch.
-A watermark on ``ts`` bounds how long Spark keeps state of finished runs
-(runs idle past the timeout are dropped from the state store).
-
-Output events ``(run_id, step, kind, value_from, value)`` with ``kind`` in
-``loss_spike``, ``invalid``, ``total_errors``, ``new_best``, ``late``.
+"""Training-log monitor as a Structured Streaming job (J1, J3, J4; J2 stateless).
+
+The reference reacts to callbacks that arrive in step order. Here the log is a
+stream ``(run_id, step, ts, metric, value)`` whose rows may arrive up to
+``delay`` late. Each run keeps in its state the rows that may still be
+overtaken, and releases them in ``(ts, step)`` order once the run's latest
+event time is ``delay`` past them; what follows - last loss, best reward,
+invalid-value count - sees the same order as the batch form. A row behind what
+its run has released can no longer take its place: it is emitted as ``late``
+with its metric and value and changes no state. No row is dropped by Spark,
+since the query sets no watermark and no timeout of its own.
+
+A run's state ends only with an explicit end row (metric ``END_OF_RUN``),
+which releases all that is held. Runs that never send one keep a few numbers,
+and the rows of their last ``delay``, in the state store.
+
+Invalid numbers (J2) need no order and come from a stateless query.
+
+One micro-batch of one run is held in memory; ``max_files`` of
+``events_log_stream`` bounds what a micro-batch reads.
+
+Events: ``(run_id, step, kind, metric, value_from, value)`` with ``kind`` in
+``loss_spike``, ``new_best``, ``total_errors``, ``late``. NaN and null are kept
+apart on the way through pandas by a column that names what a value is.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import monitor
 from ..operators.monitor import LOSS, REWARD_NAMES, SPIKE_FACTOR
 
-EVENT_SCHEMA = "run_id long, step long, kind string, value_from double, value double"
-STATE_SCHEMA = "last_loss double, has_loss boolean, best double, errors long, last_step long"
-
-
-def _valid(x) -> bool:
-    return x is not None and not (isinstance(x, float) and math.isnan(x))
-
-
-def _invalid_number(x) -> bool:
-    return x is not None and (math.isnan(x) or math.isinf(x))
-
-
-def _update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (run_id,) = key
-    if state.hasTimedOut:
-        state.remove()
-        return
-    if state.exists:
-        last_loss, has_loss, best, errors, last_step = state.get
-    else:
-        last_loss, has_loss, best, errors, last_step = None, False, None, 0, None
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values(["step"], kind="stable")
-    out: list[tuple] = []
-    for step, rows in pdf.groupby("step", sort=True):
-        step = int(step)
-        if last_step is not None and step <= last_step:
-            for v in rows["value"].tolist():
-                out.append((run_id, step, "late", None, None if v is None else float(v)))
-            continue
-        for metric, v in zip(rows["metric"].tolist(), rows["value"].tolist()):
-            v = None if v is None else float(v)
-            if metric == LOSS and v is not None:
-                if has_loss and _valid(v) and _valid(last_loss) and v > last_loss * SPIKE_FACTOR:
-                    out.append((run_id, step, "loss_spike", last_loss, v))
-                last_loss, has_loss = v, True
-            if _invalid_number(v):
-                errors += 1
-                out.append((run_id, step, "invalid", None, v))
-            if metric in REWARD_NAMES and _valid(v) and v > (best if best is not None else -math.inf):
-                best = v
-                out.append((run_id, step, "new_best", None, v))
-        if errors > 0:
-            out.append((run_id, step, "total_errors", None, float(errors)))
-        last_step = step
-    state.update((last_loss, has_loss, best, errors, last_step))
-    if "ts" in pdf.columns and len(pdf):
-        state.setTimeoutTimestamp(int(pd.Timestamp(pdf["ts"].max()).timestamp() * 1000) + 3_600_000)
-    yield pd.DataFrame(out, columns=["run_id", "step", "kind", "value_from", "value"])
-
-
-def monitor_events(log_stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Keyed stateful monitor over a (streaming or static) log DataFrame."""
-    src = log_stream
-    if log_stream.isStreaming and "ts" in log_stream.columns:
-        src = log_stream.withWatermark("ts", watermark)
-    return src.groupBy("run_id").applyInPandasWithState(
-        _update, EVENT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
-        if (log_stream.isStreaming and "ts" in log_stream.columns) else GroupStateTimeout.NoTimeout)
-
-
-def events_log_stream(spark, path: str, schema, glob: str = "*.parquet", max_files: int | None = None) -> DataFrame:
-    """Read a folder of event files as a stream and map it to the log form
-    (same mapping as ``plans.queries_monitor.training_log``)."""
-    r = spark.readStream.schema(schema).option("pathGlobFilter", glob)
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
-    ev = r.parquet(path)
-    return log_from_events(ev)
-
-
-def log_from_events(ev: DataFrame) -> DataFrame:
-    metric = (F.when(F.col("event_type").isin("view", "click"), F.lit(LOSS))
-              .when(F.col("event_type") == "purchase", F.lit(REWARD_NAMES[0]))
-              .otherwise(F.col("event_type")))
-    value = (F.when(F.col("event_id") % 97 == 0, F.lit(float("nan")))
-             .when(F.col("event_id") % 89 == 0, F.lit(float("inf")))
-             .otherwise(F.col("value")))
-    return ev.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("step"),
-                     F.col("ts").cast("timestamp").alias("ts"),
-                     metric.alias("metric"), value.alias("value"))
+END_OF_RUN = "__end_of_run__"
+EVENT_SCHEMA = "run_id long, step long, kind string, metric string, value_from double, value double, value_is string"
+STATE_SCHEMA = (
+    "last_loss double, has_loss boolean, best double, errors long, front_ts long, front_step long, last_ts long, "
+    "held array<struct<ts:long,step:long,metric:string,value:double,value_is:string>>"
+)
+MAX_FILES = 64
+
+
+class Run:
+    """A run's running quantities; ``step`` takes all numbers of one step, in order."""
+
+    def __init__(self, last_loss=None, has_loss=False, best=None, errors=0):
+        self.last_loss, self.has_loss, self.best, self.errors = last_loss, has_loss, best, errors
+
+    def step(self, numbers: list[tuple[str, float]]) -> Iterator[tuple]:
+        """(kind, metric, value_from, value) of the events of the step's non-null numbers."""
+        for metric, value in numbers:
+            if metric == LOSS:
+                if self.has_loss and value > self.last_loss * SPIKE_FACTOR:  # false with NaN on either side
+                    yield "loss_spike", metric, self.last_loss, value
+                self.last_loss, self.has_loss = value, True
+            self.errors += math.isnan(value) or math.isinf(value)
+        for name in REWARD_NAMES:  # the first name that the step has is its evaluation
+            rewards = [v for m, v in numbers if m == name]
+            if rewards:
+                valid = max((v for v in rewards if not math.isnan(v)), default=-math.inf)
+                if valid > (-math.inf if self.best is None else self.best):
+                    self.best = valid
+                    yield "new_best", name, None, valid
+                break
+        if self.errors:
+            yield "total_errors", None, None, float(self.errors)
+
+
+def _kind(value: float | None) -> str:
+    return "null" if value is None else "nan" if math.isnan(value) else "number"
+
+
+def _release(run_id: int, run: Run, rows: list[tuple]) -> Iterator[tuple]:
+    """Events of rows (ts, step, metric, value) in order, step by step."""
+    for step, group in groupby(rows, key=lambda r: r[1]):
+        for kind, metric, was, now in run.step([(m, v) for _, _, m, v in group if v is not None]):
+            yield run_id, step, kind, metric, was, now, _kind(now)
+
+
+def _order(row: tuple) -> tuple:
+    ts, step, metric, value = row
+    return ts, step, metric or "", value is None, value is not None and math.isnan(value), value or 0.0
+
+
+def update_with(delay_ms: int):
+    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (run_id,) = key
+        if state.exists:
+            last_loss, has_loss, best, errors, front_ts, front_step, last_ts, held = state.get
+            none = lambda x: None if x is None or (isinstance(x, float) and math.isnan(x)) else x
+            run = Run(math.nan if has_loss and last_loss is None else last_loss, has_loss, none(best), errors)
+            held = [(ts, step, metric, {"null": None, "nan": math.nan}.get(value_is, value)) for ts, step, metric, value, value_is in held]
+        else:
+            run, front_ts, front_step, last_ts, held = Run(), None, None, None, []
+        front = None if front_ts is None else (front_ts, front_step)
+        out, ended = [], False
+        for f in batches:
+            for ts, step, metric, value, value_is in zip(f["ts_ms"], f["step"], f["metric"], f["value"], f["value_is"], strict=True):
+                value = {"null": None, "nan": math.nan}.get(value_is, value)
+                last_ts = ts if last_ts is None else max(last_ts, ts)
+                if metric == END_OF_RUN:
+                    ended = True
+                elif front is not None and (ts, step) <= front:
+                    out.append((run_id, step, "late", metric, None, value, value_is))
+                else:
+                    held.append((int(ts), int(step), metric, None if value is None else float(value)))
+        held.sort(key=_order)
+        # whole steps are released: rows of one (ts, step) stay together
+        upto = len(held) if ended else sum(r[0] <= last_ts - delay_ms for r in held)
+        done, held = held[:upto], held[upto:]
+        out += _release(run_id, run, done)
+        if done:
+            front = done[-1][:2]
+        if ended:
+            state.remove()
+        else:
+            kept = [(t, s, m, v, _kind(v)) for t, s, m, v in held]
+            state.update((run.last_loss, run.has_loss, run.best, run.errors, *(front or (None, None)), int(last_ts), kept))
+        if out:
+            yield pd.DataFrame(out, columns=["run_id", "step", "kind", "metric", "value_from", "value", "value_is"])
+
+    return update
+
+
+def _marked(log: DataFrame) -> DataFrame:
+    value_is = F.when(F.col("value").isNull(), "null").when(F.isnan("value"), "nan").otherwise("number")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return log.select("run_id", "step", ms.alias("ts_ms"), "metric", "value", value_is.alias("value_is"))
+
+
+def monitor_events(log: DataFrame, delay_seconds: float = 3600) -> DataFrame:
+    """Ordered events J1, J3, J4 and late rows of a streaming log."""
+    events = _marked(log).groupBy("run_id").applyInPandasWithState(
+        update_with(int(delay_seconds * 1000)), EVENT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    value = F.when(F.col("value_is") == "nan", F.lit(float("nan"))).otherwise(F.col("value"))
+    return events.withColumn("value", value).drop("value_is")
+
+
+def invalid_events(log: DataFrame) -> DataFrame:
+    """J2 on a stream: no state, no order, no row lost."""
+    return monitor.invalid_values(log.filter(F.col("metric") != END_OF_RUN))
+
+
+def events_log_stream(spark: SparkSession, path: str, schema, to_log, max_files: int = MAX_FILES) -> DataFrame:
+    """A folder of event files as a stream of log rows; ``to_log`` maps events to the log."""
+    return to_log(spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path))
 
 
 def start(events: DataFrame, sink_path: str | None = None, checkpoint_location: str | None = None,
           trigger: dict | None = None, name: str = "monitor"):
-    """Run the monitor into an append-only Parquet sink (exactly-once with the
-    checkpoint location). ``trigger`` defaults to ``availableNow``.
+    """Append events to a Parquet sink (exactly once with the checkpoint
+    location). ``trigger`` defaults to ``availableNow``.
 
     Without explicit paths both live under the shared folder named by
     ``spark.checkpoint.dir`` (``<dir>/<name>/events`` and ``<dir>/<name>/state``),
@@ -123,7 +166,6 @@ def start(events: DataFrame, sink_path: str | None = None, checkpoint_location:
     spark = events.sparkSession
     sink_path = sink_path or checkpoint_path(spark, f"{name}/events")
     checkpoint_location = checkpoint_location or checkpoint_path(spark, f"{name}/state")
-    q = (monitor_events(events).writeStream.format("parquet").option("path", sink_path)
+    q = (events.writeStream.format("parquet").option("path", sink_path)
          .option("checkpointLocation", checkpoint_location).outputMode("append"))
-    q = q.trigger(**(trigger or {"availableNow": True}))
-    return q.start()
+    return q.trigger(**(trigger or {"availableNow": True})).start()

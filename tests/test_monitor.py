@@ -1,8 +1,5 @@
 """Monitor: fixture rows L1–L4, chunked scans = single-chunk scans, stream = batch."""
 
-import os
-import tempfile
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,56 +66,74 @@ def test_chunked_scans_equal_unchunked(spark, chunk):
     assert rows(monitor.running_best(rw, chunk_steps=chunk)) == rows(monitor.running_best(rw, chunk_steps=big))
 
 
-def test_stream_equals_batch(spark):
-    ev = spark.read.parquet(os.path.join(SF01, "events.parquet"))
-    src = tempfile.mkdtemp(prefix="fumble-stream-src-")
-    # four files in event order -> four micro-batches
-    edges = [0, 2500, 5000, 7500, 1 << 40]
-    for i in range(4):
-        part = ev.filter((F.col("event_id") >= edges[i]) & (F.col("event_id") < edges[i + 1])).toPandas()
-        part.to_parquet(os.path.join(src, f"part-{i}.parquet"), index=False, coerce_timestamps="us")
-        os.utime(os.path.join(src, f"part-{i}.parquet"), (1000 + i, 1000 + i))
-    stream = monitor_stream.events_log_stream(spark, src, ev.schema, max_files=1)
-    out, ckpt = tempfile.mkdtemp(prefix="fumble-stream-out-"), tempfile.mkdtemp(prefix="fumble-stream-ckpt-")
-    q = monitor_stream.start(stream, out, ckpt)
-    q.awaitTermination(300)
-    got = spark.read.parquet(out)
-    assert got.filter(F.col("kind") == "late").count() == 0
+def same(x):
+    return "nan" if x is not None and x != x else x
 
-    log = training_log(spark, SF01)
 
-    def pairs(df, kind_cols):
-        return sorted((r[0], r[1], r[2]) for r in df.select(*kind_cols).collect())
-
-    spikes = monitor.loss_spikes(log).select("run_id", "step", "loss_spike_to")
-    assert pairs(got.filter("kind = 'loss_spike'"), ["run_id", "step", "value"]) == pairs(spikes, spikes.columns)
-    best = monitor.running_best(monitor.evaluation_rewards(log))
-    assert pairs(got.filter("kind = 'new_best'"), ["run_id", "step", "value"]) == pairs(best, best.columns)
-    running, _ = monitor.error_counts(log)
-    got_err = got.filter("kind = 'total_errors'").select("run_id", "step", F.col("value").cast("long"))
-    assert pairs(got_err, got_err.columns) == pairs(running, running.columns)
-    inv = monitor.invalid_values(log)
-    assert got.filter("kind = 'invalid'").count() == inv.count()
-
-
-def test_stream_reports_rows_arriving_out_of_order(spark):
-    import pandas as pd
-
-    src = tempfile.mkdtemp(prefix="fumble-late-src-")
-    base = pd.Timestamp("2024-01-01 00:00:00")
-
-    def write(i, rows):
-        pdf = pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value", "props"])
-        path = os.path.join(src, f"part-{i}.parquet")
-        pdf.to_parquet(path, index=False, coerce_timestamps="us")
-        os.utime(path, (2000 + i, 2000 + i))
-
-    write(0, [(1, base, 7, "view", 1.0, "{}"), (2, base + pd.Timedelta(seconds=1), 7, "view", 3.0, "{}")])
-    write(1, [(3, base + pd.Timedelta(seconds=2), 7, "view", 1.0, "{}"),
-              (2, base + pd.Timedelta(seconds=1), 7, "view", 9.0, "{}")])   # step 2 again: late
-    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    stream = monitor_stream.events_log_stream(spark, src, schema, max_files=1)
-    out, ckpt = tempfile.mkdtemp(prefix="fumble-late-out-"), tempfile.mkdtemp(prefix="fumble-late-ckpt-")
-    monitor_stream.start(stream, out, ckpt).awaitTermination(300)
-    got = sorted((r.step, r.kind) for r in spark.read.parquet(out).collect())
-    assert got == [(2, "late"), (2, "loss_spike")]
+@pytest.mark.parametrize("chunk", [1, 2, 3, 1 << 40])
+def test_nulls_at_chunk_edges(spark, chunk):
+    log = _log(spark, [(1, 0, "loss", NAN), (1, 5, "loss", None), (1, 6, "loss", 1.0), (2, 0, "loss", None), (2, 3, "x", None)])
+    running, final = monitor.error_counts(log, chunk_steps=chunk)
+    assert sorted(tuple(r) for r in running.collect()) == [(1, 0, 1), (1, 5, 1), (1, 6, 1)]
+    assert sorted(tuple(r) for r in final.collect()) == [(1, 1), (2, 0)]
+
+
+def test_ties_at_one_step_have_an_order(spark):
+    log = _log(spark, [(1, 0, "loss", 1.0), (1, 0, "loss", 4.0), (1, 1, "loss", 5.0), (1, 0, "eval_reward/mean", NAN), (1, 0, "eval_reward/mean", 0.5)])
+    for chunk in (1, 1 << 40):
+        assert [tuple(r) for r in monitor.loss_spikes(log, chunk_steps=chunk).collect()] == [(1, 0, 1.0, 4.0)]
+    assert [tuple(r) for r in monitor.running_best(monitor.evaluation_rewards(log)).collect()] == [(1, 0, 0.5)]
+
+
+SCHEMA = "event_id long, user_id long, event_type string, ts timestamp, value double"
+
+
+def arriving(spark, tmp_path, batches, delay):
+    """Events of batches of rows (run, step, seconds, metric, value), a file a micro-batch."""
+    src = str(tmp_path / "in")
+    for rows in batches:
+        df = spark.createDataFrame([(step, run, m, 1_700_000_000 + t, v) for run, step, t, m, v in rows], "event_id long, user_id long, event_type string, t long, value double")
+        df.select("event_id", "user_id", "event_type", F.timestamp_seconds("t").alias("ts"), "value").coalesce(1).write.mode("append").parquet(src)
+    as_log = lambda ev: ev.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("step"), "ts", F.col("event_type").alias("metric"), "value")
+    log = monitor_stream.events_log_stream(spark, src, SCHEMA, as_log, max_files=1)
+    for name, events in (("ordered", monitor_stream.monitor_events(log, delay)), ("invalid", monitor_stream.invalid_events(log))):
+        monitor_stream.start(events, str(tmp_path / name), str(tmp_path / f"{name}-state")).awaitTermination(300)
+    out = spark.read.parquet(str(tmp_path / "ordered")).collect()
+    return sorted((r.run_id, r.step, r.kind, same(r.value_from), same(r.value)) for r in out), spark.read.parquet(str(tmp_path / "invalid"))
+
+
+END = monitor_stream.END_OF_RUN
+
+
+def test_stream_waits_for_rows_within_the_delay(spark, tmp_path):
+    """Step 3 comes a micro-batch after step 4: no false spike from 1 to 3."""
+    got, _ = arriving(spark, tmp_path, [[(7, 1, 0, "loss", 1.0), (7, 4, 3, "loss", 3.0)], [(7, 3, 2, "loss", 2.0), (7, 5, 100, "loss", 2.0)], [(7, 9, 101, END, None)]], 60)
+    assert got == []
+
+
+def test_stream_late_rows_are_kept_and_change_nothing(spark, tmp_path):
+    got, invalid = arriving(spark, tmp_path, [[(7, 1, 0, "loss", 1.0), (7, 9, 500, "loss", 1.5)], [(7, 10, 900, "loss", 1.0)], [(7, 2, 1, "loss", 9.0), (7, 3, 2, "loss", NAN), (8, 1, 0, "loss", 1.0), (8, 2, 1, "loss", 5.0)],
+                                              [(7, 99, 2000, END, None), (8, 99, 2000, END, None)]], 60)
+    assert got == [(7, 2, "late", None, 9.0), (7, 3, "late", None, "nan"), (8, 2, "loss_spike", 1.0, 5.0)]
+    assert [(r.run_id, r.step, same(r.value)) for r in invalid.collect()] == [(7, 3, "nan")]  # J2 loses nothing
+
+
+def test_stream_state_outlives_a_gap(spark, tmp_path):
+    reward = "eval_reward/mean"
+    got, _ = arriving(spark, tmp_path, [[(7, 1, 0, reward, 5.0), (7, 2, 1, "loss", NAN)], [(7, 3, 10**6, reward, 3.0)], [(7, 4, 2 * 10**6, reward, 6.0), (7, 5, 2 * 10**6 + 1, END, None)]], 60)
+    assert [g for g in got if g[2] == "new_best"] == [(7, 1, "new_best", None, 5.0), (7, 4, "new_best", None, 6.0)]
+    assert [g[:2] + g[4:] for g in got if g[2] == "total_errors"] == [(7, 2, 1.0), (7, 3, 1.0), (7, 4, 1.0)]
+
+
+def test_stream_tells_nan_from_null(spark, tmp_path):
+    got, invalid = arriving(spark, tmp_path, [[(7, 1, 0, "loss", None), (7, 2, 1, "loss", NAN), (7, 3, 2, "loss", float("inf"))], [(7, 4, 3, END, None)]], 60)
+    assert [g[1:3] + g[4:] for g in got] == [(2, "total_errors", 1.0), (3, "total_errors", 2.0)]
+    assert sorted((r.step, same(r.value)) for r in invalid.collect()) == [(2, "nan"), (3, float("inf"))]
+
+
+def test_stream_equals_batch_over_shuffled_files(spark):
+    from fumble.plans import queries_monitor as Q
+
+    for stream, batch in ((Q.q_stream_spikes, Q.q_loss_spikes), (Q.q_stream_best, Q.q_running_best), (Q.q_stream_errors, Q.q_error_counts), (Q.q_stream_invalid, Q.q_invalid_values)):
+        rows = [sorted(tuple(map(same, r)) for r in f(spark, SF01).collect()) for f in (stream, batch)]
+        assert rows[0] == rows[1] and rows[0]
