@@ -56,12 +56,6 @@ def norm_key(c: Column | str) -> Column:
     return F.lower(F.translate(F.coalesce(col_(c), F.lit("")), WS_CHARS, ""))
 
 
-def ascii_fold(c: Column | str) -> Column:
-    """Replace every non-ASCII code point by '?' (used only by oracle-checked
-    queries, because DuckDB's ``levenshtein`` counts bytes)."""
-    return F.regexp_replace(col_(c), r"[^\x00-\x7F]", "?")
-
-
 def key_string(seed: int, salt: str, *keys: Column | str) -> Column:
     """``seed:salt:k1:k2...`` — the input of every deterministic draw."""
     parts = [F.lit(str(seed)), F.lit(salt)] + [col_(k).cast("string") for k in keys]

@@ -80,14 +80,6 @@ def make_passages(sampled: DataFrame, seed: int = 42, trim: bool = True,
     )
 
 
-def keyboard_arm(passages: DataFrame, prob: float = 0.1, seed: int = 0,
-                 keyboard: str = "qwerty", passage_col: str = "passage", impl: str = "arrow") -> DataFrame:
-    """C3 applied to every passage (``typos`` column added)."""
-    return passages.withColumn(
-        "typos", keyboard_noise(F.col(passage_col), F.col("pair_id"), prob=prob, seed=seed, keyboard=keyboard, impl=impl)
-    )
-
-
 def noise_variants(passages: DataFrame, n: int, prob: float = 0.1, seed: int = 0,
                    passage_col: str = "passage", impl: str = "arrow") -> DataFrame:
     """C4: ``n`` independent noisy variants per passage (``variant`` 0..n-1)."""
@@ -107,38 +99,54 @@ def build_pairs(
     keep: tuple[str, ...] = (),
     impl: str = "arrow",
 ) -> tuple[DataFrame, DataFrame]:
-    """Passages, routed corruption, newline flattening.
+    """Passages, routed corruption, newline flattening."""
+    passages = make_passages(sampled, seed=seed, trim=trim, keep=keep)
+    return pairs_of_passages(passages, external, seed, noise_seed, prob, noise_share, keep, impl)
 
-    ``external`` is a table ``(pair_id, text_with_typos)`` produced outside
-    (the remote model call is not part of this engine). Rows routed to the
-    external arm without a response are returned in the second DataFrame
+
+def pairs_of_passages(
+    passages: DataFrame,
+    external: DataFrame | None = None,
+    seed: int = 42,
+    noise_seed: int = 0,
+    prob: float = 0.1,
+    noise_share: float = 0.5,
+    keep: tuple[str, ...] = (),
+    impl: str = "arrow",
+) -> tuple[DataFrame, DataFrame]:
+    """C3–C10 on passages: (pairs, quarantine).
+
+    ``external`` is a table ``(doc_id, round, text_with_typos)`` produced
+    outside (the remote model call is not part of this engine). Rows routed to
+    the external arm without a response are returned in the second DataFrame
     (quarantine) instead of being silently dropped. With ``external=None``
-    every row takes the keyboard arm.
+    every row takes the keyboard arm. The join key is the document and round:
+    60-bit pair ids meet by chance among very many pairs.
 
     ``impl`` picks the noise implementation: ``arrow`` (numpy kernel in a
     pandas UDF, ~10× faster) or ``native`` (one Catalyst expression); both
-    give identical text (tested on every driver document).
+    give identical text (tested on every driver document). The kernel runs on
+    rows of the keyboard arm only: for the others its input is null.
 
     The external table is joined with a plain equi-join; AQE broadcasts it
     when its runtime size is below the broadcast threshold and uses a
     shuffle join otherwise.
     """
-    passages = make_passages(sampled, seed=seed, trim=trim, keep=keep)
-    noisy = keyboard_noise(F.col("passage"), F.col("pair_id"), prob=prob, seed=noise_seed, impl=impl)
+    noise_of = lambda text: keyboard_noise(text, F.col("pair_id"), prob=prob, seed=noise_seed, impl=impl)
     # The keyboard arm is null exactly when the passage is null, so the
     # quarantine test never needs the (expensive) noisy text: a filter on it
     # would be pushed below the repartition and run the noise twice.
     if external is None:
-        routed = passages.withColumn("typos", noisy).withColumn("arm", F.lit("keyboard"))
+        routed = passages.withColumn("typos", noise_of(F.col("passage"))).withColumn("arm", F.lit("keyboard"))
         ok = F.col("passage").isNotNull()
     else:
-        ext = external.select(F.col("pair_id"), F.col("text_with_typos"))
+        ext = external.select("doc_id", "round", "text_with_typos")
         to_noise = route_is_noise(F.col("doc_id"), F.col("round"), seed, noise_share)
         routed = (
-            passages.join(ext, on="pair_id", how="left")
+            passages.join(ext, on=["doc_id", "round"], how="left")
             .withColumn("arm", F.when(to_noise, F.lit("keyboard")).otherwise(F.lit("external")))
             .withColumn("ok", F.col("passage").isNotNull() & (to_noise | F.col("text_with_typos").isNotNull()))
-            .withColumn("typos", F.when(to_noise, noisy).otherwise(F.col("text_with_typos")))
+            .withColumn("typos", F.coalesce(noise_of(F.when(to_noise, F.col("passage"))), F.when(~to_noise, F.col("text_with_typos"))))
             .drop("text_with_typos")
         )
         ok = F.col("ok")
@@ -153,5 +161,5 @@ def build_pairs(
 
 
 def apply_prepare(sampled: DataFrame, prepare_fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The pair builder with a pluggable ``DataFrame -> DataFrame`` step."""
+    """The pair builder with a pluggable ``DataFrame -> DataFrame`` step."""
     return sampled.transform(prepare_fn)

@@ -36,47 +36,60 @@ def sample_per_source(
     return _top_k(docs, k, [by], key, id_col).withColumn("round", F.lit(0))
 
 
-# Bytes per sampled key row (doc_id, round) in a broadcast hash relation.
-KEY_ROW_BYTES = 48
+# A stratum above 1 / HEAVY of all rows has its draws cut before they are
+# sorted; there are fewer than HEAVY such strata, whatever the input.
+HEAVY = 4096
 
 
-def sample_rounds(
-    docs: DataFrame,
-    rounds: int,
-    k: int = 20,
-    seed: int = 42,
-    by: str = "source",
-    id_col: str = "doc_id",
-    broadcast_bytes: int = 64 << 20,
-) -> DataFrame:
+def sampled_keys(docs: DataFrame, rounds: int, k: int = 20, seed: int = 42, by: str = "source", id_col: str = "doc_id",
+                 spare: float = 8.0) -> DataFrame:
+    """B3, keys only: ``(id, stratum, round)`` of ``rounds`` samples of ``k`` per stratum.
+
+    Of the ``n`` draws of a heavy stratum and round only those below about
+    ``(k + spare * sqrt(k) + spare) / n`` of the range are kept, far fewer than
+    are read but more than ``k`` except once in a very long while; only they
+    are sorted. Where fewer than ``k`` were kept, the stratum and round are
+    drawn again from all rows. The result is the same as without the cut.
+    Strata that are not heavy are small and need none.
+    """
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(by).alias("stratum"))
+    sizes = narrow.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    total = narrow.agg(F.count(F.lit(1)).alias("n"))
+    heavy = sizes.filter((F.col("n") * HEAVY > total.scalar()) & F.col("stratum").isNotNull())
+    # at most HEAVY entries, looked up where the rows are read
+    size_of = heavy.agg(F.map_from_entries(F.collect_list(F.struct("stratum", "n"))).alias("m")).scalar()
+    keys = narrow.withColumn("n", size_of[F.col("stratum")]).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    draw = rand_u(seed, "sample", F.col("round"), F.col("id"))
+    limit = F.lit(float(2**32)) * (k + spare * k**0.5 + spare) / F.col("n")
+    cut = keys.withColumn("u", draw).filter(F.col("n").isNull() | (F.col("u") < limit))
+    w = Window.partitionBy("stratum", "round").orderBy("u", "id")
+    top = cut.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
+    # strata and rounds that the cut left with too few: at most HEAVY x rounds narrow rows
+    got = top.groupBy("stratum", "round").agg(F.count(F.lit(1)).alias("got"))
+    wanted = heavy.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    short = wanted.join(got, ["stratum", "round"], "left").filter(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), F.col("n"))).select("stratum", "round")
+    first = top.join(short, ["stratum", "round"], "left_anti").select("id", "stratum", "round")
+    again = narrow.join(short, "stratum").withColumn("u", draw)
+    again = again.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).select("id", "stratum", "round")
+    picked = first.unionByName(again)
+    return picked.select(F.col("id").alias(id_col), F.col("stratum").alias(by), "round")
+
+
+def sample_rounds(docs: DataFrame, rounds: int, k: int = 20, seed: int = 42, by: str = "source", id_col: str = "doc_id") -> DataFrame:
     """``rounds`` independent samples of ``k`` per stratum.
 
     The same row may appear in several rounds (and in another split), as in the
-    reference. Only the narrow key columns are multiplied by ``rounds``; the
-    sampled keys (``k × strata × rounds`` rows) are joined back to the full
-    rows, so wide text never travels ``rounds`` times.
-
-    The sampled side has at most ``k × strata × rounds`` rows. That bound is
-    checked first (one distinct count over the narrow stratum column): within
-    ``broadcast_bytes`` the sampled keys are broadcast and the documents are
-    never shuffled; beyond it the join is left to the planner (shuffle join).
+    reference. Only narrow keys are multiplied by ``rounds``; the sampled keys
+    (``k x strata x rounds`` rows) are joined back to the full rows, and AQE
+    broadcasts them where their measured size allows.
     """
-    keys = docs.select(id_col, by).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    key = rand_u(seed, "sample", F.col("round"), F.col(id_col))
-    picked = _top_k(keys, k, [by, "round"], key, id_col).select(id_col, "round")
-    n_strata = docs.select(by).distinct().count()
-    if k * n_strata * rounds * KEY_ROW_BYTES <= broadcast_bytes:
-        picked = F.broadcast(picked)
+    picked = sampled_keys(docs, rounds, k, seed, by, id_col).select(id_col, "round")
     return docs.join(picked, on=id_col, how="inner")
 
 
-def shuffle_rows(df: DataFrame, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
-    """A deterministic random permutation (global sort on an md5 key)."""
-    return df.orderBy(rand_u(seed, "shuffle", F.col(id_col)), F.col(id_col))
-
-
 def head(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
-    """First ``n`` rows in a stated order (``TakeOrderedAndProject``)."""
+    """The first ``n`` rows in a stated order, or all if there are
+    fewer (``TakeOrderedAndProject``); ``n = 1`` picks one row."""
     return df.orderBy(*order_by).limit(n)
 
 
@@ -97,12 +110,3 @@ def labelled_union(*parts: tuple[DataFrame, str]) -> DataFrame:
         df = df.withColumn("task", F.lit(task))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
-
-
-def split_sizes(**splits: DataFrame) -> DataFrame:
-    """One row per split with its row count (``count`` runs distributed)."""
-    out = None
-    for name, df in splits.items():
-        part = df.groupBy().agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("split"), "n_rows")
-        out = part if out is None else out.unionByName(part)
-    return out

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from ..functions.text import norm_key, py_strip, truncate
+from ..functions.text import norm_key, truncate
 
 METRIC_COLUMNS = ["exact_match", "char_accuracy", "word_accuracy", "cer", "char_distance"]
 
@@ -37,22 +37,18 @@ def realign_completions(prompts: DataFrame, results: DataFrame) -> DataFrame:
     wins; prompts without a result get null. Both sides are reduced to one
     row per key before the join, so duplicated keys cannot multiply rows.
     """
-    # Keys are shuffled as 128-bit digests of the normalised prompt, not as
-    # whole texts; duplicated keys (copies) are reduced map-side first.
-    p = prompts.withColumn("_key", F.unhex(F.md5(norm_key("prompt"))))
-    owner = p.groupBy("_key").agg(F.max("idx").alias("idx"))
-    res = (
-        results.withColumn("_key", F.unhex(F.md5(norm_key("prompt"))))
-        .groupBy("_key")
-        .agg(F.max_by("completion", "ridx").alias("completion"))
-    )
-    placed = owner.join(res, on="_key", how="inner").select("idx", "completion")
-    return p.drop("_key").join(placed, on="idx", how="left")
-
-
-def strip_prompt_prefix(generated: str, prompt: str):
-    """``generated[len(prompt):].strip()`` — cut by length, not by match."""
-    return py_strip(F.substring(F.col(generated), F.length(F.col(prompt)) + 1, 1 << 30))
+    # Texts become 128-bit digests where they are read; prompts and results are
+    # then reduced per digest in one aggregation, and only (index, completion)
+    # goes back to the prompts.
+    digest = F.unhex(F.md5(norm_key("prompt")))
+    nothing = F.lit(None)
+    kind = dict(results.dtypes)["completion"]
+    both = prompts.select(digest.alias("key"), F.col("idx"), nothing.cast("long").alias("ridx"), nothing.cast(kind).alias("completion")).unionByName(
+        results.select(digest.alias("key"), nothing.cast("long").alias("idx"), F.col("ridx").cast("long"), "completion"))
+    last = F.max(F.when(F.col("ridx").isNotNull(), F.struct("ridx", "completion")))
+    per_key = both.groupBy("key").agg(F.max("idx").alias("idx"), last.alias("r"))
+    placed = per_key.filter(F.col("idx").isNotNull() & F.col("r").isNotNull()).select("idx", F.col("r.completion").alias("completion"))
+    return prompts.join(placed, on="idx", how="left")
 
 
 def evaluation_records(scored: DataFrame, typo_col: str = "typos", expected_col: str = "correct",

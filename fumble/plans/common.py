@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.noise import keyboard_noise, noise_sql_duckdb
-from ..functions.text import ascii_fold
 from ..operators import corrupt
 from ..session import spread
 from ..sources.tables import load
@@ -38,8 +37,17 @@ def id_sql(salt: str, *keys: str, seed: int = SEED) -> str:
     return f"(('0x' || substr(md5(concat_ws(':', {parts})), 1, 15))::UBIGINT)::BIGINT"
 
 
-def fold_sql(x: str) -> str:
-    return f"regexp_replace({x}, '[^\\x00-\\x7F]', '?', 'g')"
+# The non-ASCII characters of the documents and of the reward layouts, and as
+# many one-byte codes that no text uses: DuckDB's levenshtein counts bytes, so
+# its arguments - and nothing else - are mapped one to one before the call.
+NON_ASCII = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöüąęłś"
+ONE_BYTE = "".join(map(chr, [*range(1, 9), *range(14, 32), 127][: len(NON_ASCII)]))
+
+
+def distance_sql(a: str, b: str) -> str:
+    """Code-point edit distance of two DuckDB expressions."""
+    one = lambda x: f"translate({x}, '{NON_ASCII}', '{ONE_BYTE}')"
+    return f"levenshtein({one(a)}, {one(b)})"
 
 
 def r6(c):
@@ -51,26 +59,25 @@ def r6(c):
 
 def all_passages(spark: SparkSession, sf_dir: str, trim: bool = True) -> DataFrame:
     """One passage per document (round 0): the pair-building input used by the
-    scoring and reward queries, over every document."""
-    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
-    return corrupt.make_passages(docs.withColumn("round", F.lit(0)), seed=SEED, trim=trim, keep=("lang",))
+    scoring and reward queries, over every document.
+
+    Passages are cropped where the documents are read; only they are spread."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return spread(corrupt.make_passages(docs.withColumn("round", F.lit(0)), seed=SEED, trim=trim, keep=("lang",)))
 
 
-def all_pairs(spark: SparkSession, sf_dir: str, trim: bool = True, fold: bool = False) -> DataFrame:
+def all_pairs(spark: SparkSession, sf_dir: str, trim: bool = True) -> DataFrame:
     """Keyboard-noise pairs for every document: (pair_id, doc_id, source, lang, correct, typos)."""
     p = all_passages(spark, sf_dir, trim)
-    pairs = p.select(
+    return p.select(
         "pair_id", "doc_id", "source", "lang",
         corrupt.flatten_newlines("passage").alias("correct"),
         corrupt.flatten_newlines(keyboard_noise(F.col("passage"), F.col("pair_id"), prob=PROB, seed=NOISE_SEED, impl=NOISE_IMPL)).alias("typos"),
     )
-    if fold:
-        pairs = pairs.withColumn("correct", ascii_fold("correct")).withColumn("typos", ascii_fold("typos"))
-    return pairs
 
 
 def external_typos(passages: DataFrame) -> DataFrame:
-    """Stand-in for the external corruption arm's output ``(pair_id, text_with_typos)``.
+    """Stand-in for the external corruption arm's output ``(doc_id, round, text_with_typos)``.
 
     The reference asks a hosted model for the passages routed to it; that call
     is not part of this engine. The responses are derived by Spark from those
@@ -78,7 +85,7 @@ def external_typos(passages: DataFrame) -> DataFrame:
     routing and quarantine run on data that grows with the input.
     """
     return passages.select(
-        "pair_id",
+        "doc_id", "round",
         keyboard_noise(F.col("passage"), F.col("pair_id"), prob=EXTERNAL_PROB, seed=EXTERNAL_SEED, impl=NOISE_IMPL).alias("text_with_typos"),
     )
 
@@ -101,12 +108,10 @@ def passages_sql(trim: bool = True) -> str:
     )
 
 
-def pairs_sql(trim: bool = True, fold: bool = False) -> str:
+def pairs_sql(trim: bool = True) -> str:
     noisy = noise_sql_duckdb("passage", "CAST(pair_id AS VARCHAR)", prob=PROB, seed=NOISE_SEED)
     correct = "replace(passage, chr(10), ' ')"
     typos = f"replace({noisy}, chr(10), ' ')"
-    if fold:
-        correct, typos = fold_sql(correct), fold_sql(typos)
     return (
         f"(SELECT pair_id, doc_id, source, lang, {correct} AS correct, {typos} AS typos "
         f"FROM {passages_sql(trim)})"

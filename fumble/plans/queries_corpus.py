@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.noise import keyboard_noise, noise_sql_duckdb
 from ..operators import corrupt, sample
-from ..session import rebalance, spread
+from ..session import cut_lineage, rebalance, spread
 from ..sources.tables import load
 from .common import (EXTERNAL_PROB, EXTERNAL_SEED, K_PER_SOURCE, NOISE_IMPL, NOISE_SEED, PROB, SEED, TEST_ROUNDS,
                      all_passages, external_typos, id_sql, passages_sql, u_sql)
@@ -51,14 +51,61 @@ def q_noise_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_build_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C1–C10 for the test split: 10 rounds × 20 documents per source."""
-    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    sampled = rebalance(sample.sample_rounds(docs, rounds=TEST_ROUNDS, k=K_PER_SOURCE, seed=SEED))
-    passages = corrupt.make_passages(sampled, seed=SEED, trim=True)
-    ext = external_typos(passages.filter(~corrupt.route_is_noise(F.col("doc_id"), F.col("round"), SEED)))
-    ok, _quarantine = corrupt.build_pairs(sampled, external=ext, seed=SEED, noise_seed=NOISE_SEED, prob=PROB)
+    ok, _quarantine = _built_pairs(spark, sf_dir)
     return ok.select("pair_id", "doc_id", "source", F.col("round").cast("int"), "correct", "typos", "arm")
 
 
+def _built_pairs(spark: SparkSession, sf_dir: str, answered: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs, quarantine); the external arm answers the passages that ``answered`` holds for."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    sampled = sample.sample_rounds(docs, rounds=TEST_ROUNDS, k=K_PER_SOURCE, seed=SEED)
+    # passages are cropped where the sample is joined, and written once: both arms read them
+    passages = cut_lineage(rebalance(corrupt.make_passages(sampled, seed=SEED, trim=True)))
+    routed = passages.filter(~corrupt.route_is_noise(F.col("doc_id"), F.col("round"), SEED))
+    ext = external_typos(routed if answered is None else routed.filter(answered))
+    return corrupt.pairs_of_passages(passages, external=ext, seed=SEED, noise_seed=NOISE_SEED, prob=PROB)
+
+
+def q_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages routed to the external arm that it did not answer (here,
+    those of every 13th document), as rows."""
+    _ok, bad = _built_pairs(spark, sf_dir, F.col("doc_id") % 13 != 0)
+    return bad.select("pair_id", "doc_id", F.col("round").cast("int"), "arm", F.col("correct"))
+
+
+def q_quarantine_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs were built and how many rejected, per source and arm."""
+    ok, bad = _built_pairs(spark, sf_dir, F.col("doc_id") % 13 != 0)
+    both = ok.select("source", "arm", F.lit("built").alias("state")).unionByName(bad.select("source", "arm", F.lit("rejected").alias("state")))
+    return both.groupBy("source", "arm", "state").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def q_first_of_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B6 + B8: a head clamped to the table (here larger than any table that a
+    test holds would be cut) and the one row that a pick returns."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source")
+    one = sample.head(docs, 1, ["source", "doc_id"]).select(F.lit("pick").alias("kind"), "doc_id")
+    few = load(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"))
+    return one.unionByName(sample.head(few, 1000, ["doc_id"]).select(F.lit("head").alias("kind"), "doc_id"))
+
+
+def q_prepared_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pair builder with a caller's own step, upper-casing every passage."""
+    def shout(sampled: DataFrame) -> DataFrame:
+        return corrupt.make_passages(sampled, seed=SEED).select("doc_id", F.upper(F.translate("passage", "ß", "s")).alias("passage"))
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return corrupt.apply_prepare(docs, shout)
+
+
+def q_mixed_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of one task and conversations of another, with different
+    columns, in one table; what a part lacks is null."""
+    pairs = sample.sample_per_source(load(spark, sf_dir, "documents").select("doc_id", "source"), k=K_PER_SOURCE, seed=SEED).select("doc_id", "source")
+    chats = load(spark, sf_dir, "conversations").select("conv_id", "role").distinct()
+    return sample.labelled_union((pairs, "typo"), (chats, "chat"))
+
+
 TRAIN_ROUNDS = 100
 
 
@@ -66,8 +113,9 @@ def q_labelled_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B7 + B9: train (100 rounds) and test (10 rounds) samples drawn
     independently, labelled with the task and counted per split."""
     docs = spread(load(spark, sf_dir, "documents").select("doc_id", "source"))
-    train = sample.sample_rounds(docs, rounds=TRAIN_ROUNDS, k=K_PER_SOURCE, seed=SEED).withColumn("split", F.lit("train"))
-    test = sample.sample_rounds(docs, rounds=TEST_ROUNDS, k=K_PER_SOURCE, seed=SEED + 1).withColumn("split", F.lit("test"))
+    # counting needs the sampled keys only, no join back to the documents
+    train = sample.sampled_keys(docs, rounds=TRAIN_ROUNDS, k=K_PER_SOURCE, seed=SEED).withColumn("split", F.lit("train"))
+    test = sample.sampled_keys(docs, rounds=TEST_ROUNDS, k=K_PER_SOURCE, seed=SEED + 1).withColumn("split", F.lit("test"))
     labelled = sample.labelled_union((train, "typo"), (test, "typo"))
     return labelled.groupBy("split", "task").agg(F.count(F.lit(1)).alias("n_rows"))
 
@@ -116,7 +164,7 @@ def _round_passages_sql(src: str) -> str:
     )
 
 
-def _build_pairs_sql() -> str:
+def _build_pairs_sql(answered: str = "true", rejected: bool = False) -> str:
     sampled = _round_passages_sql(_sampled_rounds_sql())
     ext = noise_sql_duckdb("passage", "CAST(pair_id AS VARCHAR)", prob=EXTERNAL_PROB, seed=EXTERNAL_SEED)
     noisy = noise_sql_duckdb("passage", "CAST(pair_id AS VARCHAR)", prob=PROB, seed=NOISE_SEED)
@@ -127,8 +175,8 @@ def _build_pairs_sql() -> str:
         f"SELECT s.pair_id, s.doc_id, s.source, s.round, s.passage, "
         f"CASE WHEN {route} THEN {noisy} ELSE e.text_with_typos END AS typos, "
         f"CASE WHEN {route} THEN 'keyboard' ELSE 'external' END AS arm "
-        f"FROM {sampled} s LEFT JOIN (SELECT pair_id, {ext} AS text_with_typos FROM {sampled} WHERE NOT ({route})) e USING (pair_id)) "
-        "WHERE passage IS NOT NULL AND typos IS NOT NULL"
+        f"FROM {sampled} s LEFT JOIN (SELECT pair_id, {ext} AS text_with_typos FROM {sampled} WHERE NOT ({route}) AND {answered}) e USING (pair_id)) "
+        f"WHERE passage IS NOT NULL AND typos IS {'' if rejected else 'NOT '}NULL"
     )
 
 
@@ -162,6 +210,20 @@ def oracles() -> dict[str, str]:
             + f" AS typos FROM {passages_sql(trim=True)}, range(0, 3) t(variant)"
         ),
         "build_pairs": _build_pairs_sql(),
+        "quarantine": f"SELECT pair_id, doc_id, round, arm, correct FROM ({_build_pairs_sql('doc_id % 13 <> 0', True)})",
+        "quarantine_counts": (
+            f"SELECT source, arm, 'built' AS state, count(*) AS n_rows FROM ({_build_pairs_sql('doc_id % 13 <> 0')}) GROUP BY ALL UNION ALL "
+            f"SELECT source, arm, 'rejected' AS state, count(*) AS n_rows FROM ({_build_pairs_sql('doc_id % 13 <> 0', True)}) GROUP BY ALL"
+        ),
+        "first_of_shuffle": (
+            "SELECT 'pick' AS kind, doc_id FROM (SELECT doc_id FROM documents ORDER BY source, doc_id LIMIT 1) UNION ALL "
+            "SELECT 'head', CAST(n_nationkey AS BIGINT) FROM nation"
+        ),
+        "prepared_pairs": f"SELECT doc_id, upper(replace(passage, 'ß', 's')) AS passage FROM {passages_sql(trim=True)}",
+        "mixed_in": (
+            f"SELECT doc_id, source, 'typo' AS task, CAST(NULL AS BIGINT) AS conv_id, CAST(NULL AS VARCHAR) AS role FROM ({_sample_sql(None)}) "
+            "UNION ALL SELECT DISTINCT NULL, NULL, 'chat', conv_id, role FROM conversations"
+        ),
         "corruption_requests": (
             f"SELECT pair_id, '{before}' || passage || '{after}' AS request FROM {passages_sql(trim=True)} "
             f"WHERE NOT ({u_sql('route', 'doc_id', '0')} <= {int(0.5 * 2**32)})"
@@ -179,6 +241,11 @@ def queries() -> dict:
         "keyboard_noise": q_keyboard_noise,
         "noise_variants": q_noise_variants,
         "build_pairs": q_build_pairs,
+        "quarantine": q_quarantine,
+        "quarantine_counts": q_quarantine_counts,
+        "first_of_shuffle": q_first_of_shuffle,
+        "prepared_pairs": q_prepared_pairs,
+        "mixed_in": q_mixed_in,
         "corruption_requests": q_corruption_requests,
         "labelled_split_sizes": q_labelled_split_sizes,
     }

@@ -1,8 +1,8 @@
 """Registered queries of the ``score`` and ``report`` jobs.
 
-Oracle-checked metric queries fold non-ASCII characters to '?' in both
-engines because DuckDB's ``levenshtein`` counts bytes; non-ASCII behaviour is
-covered by golden tests on the unfolded operators.
+Metrics are computed on the given texts. DuckDB's ``levenshtein`` counts
+bytes, so the oracle maps the alphabet's non-ASCII characters to unused
+one-byte codes inside that call (``common.distance_sql``).
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.noise import keyboard_noise, noise_sql_duckdb
 from ..functions.text import WS_RE2
 from ..operators import corrupt, report, sample, score
-from ..session import rebalance, spread
+from ..session import rebalance
 from ..sources.tables import load
-from .common import DIST_IMPL, K_PER_SOURCE, NOISE_IMPL, NOISE_SEED, PROB, SEED, all_pairs, fold_sql, id_sql, pairs_sql, r6, u_sql
+from .common import DIST_IMPL, K_PER_SOURCE, NOISE_IMPL, NOISE_SEED, PROB, SEED, all_pairs, distance_sql, id_sql, pairs_sql, r6, u_sql
 
 NOISE_LEVELS = (0.0, 0.05, 0.1, 0.2)
 
@@ -27,14 +27,14 @@ def _metric_cols():
 
 def q_typo_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F3–F10 for every document's pair, prediction = the uncorrected typo text."""
-    pairs = all_pairs(spark, sf_dir, fold=True)
+    pairs = all_pairs(spark, sf_dir)
     return score.score(pairs, pred_col="typos", expected_col="correct", keep=["pair_id"], impl=DIST_IMPL).select(
         "pair_id", *_metric_cols())
 
 
 def q_evaluation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H9: one display row per pair (texts truncated to 200 characters)."""
-    pairs = all_pairs(spark, sf_dir, fold=True).withColumn("prediction", F.col("typos"))
+    pairs = all_pairs(spark, sf_dir).withColumn("prediction", F.col("typos"))
     scored = score.score(pairs, pred_col="prediction", expected_col="correct",
                          keep=["pair_id", "typos", "correct", "prediction"], impl=DIST_IMPL)
     rec = score.evaluation_records(scored)
@@ -50,18 +50,16 @@ def _means(scored: DataFrame, by: list[str]) -> DataFrame:
 
 def q_metrics_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H1 per language over every document's pair."""
-    pairs = all_pairs(spark, sf_dir, fold=True)
+    pairs = all_pairs(spark, sf_dir)
     return _means(score.score(pairs, pred_col="typos", expected_col="correct", keep=["lang"], impl=DIST_IMPL), ["lang"])
 
 
-def sampled_pairs(spark: SparkSession, sf_dir: str, fold: bool = True) -> DataFrame:
+def sampled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> B1 (20 per source) -> C1 -> C2 -> C3 (the minimum slice)."""
-    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
-    sampled = rebalance(sample.sample_per_source(docs, k=K_PER_SOURCE, seed=SEED))
-    pairs, _ = corrupt.build_pairs(sampled, external=None, seed=SEED, noise_seed=NOISE_SEED, prob=PROB, keep=("lang",))
-    if fold:
-        from ..functions.text import ascii_fold
-        pairs = pairs.withColumn("correct", ascii_fold("correct")).withColumn("typos", ascii_fold("typos"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    sampled = sample.sample_per_source(docs, k=K_PER_SOURCE, seed=SEED)
+    passages = rebalance(corrupt.make_passages(sampled, seed=SEED, keep=("lang",)))
+    pairs, _ = corrupt.pairs_of_passages(passages, external=None, noise_seed=NOISE_SEED, prob=PROB, keep=("lang",))
     return pairs
 
 
@@ -78,15 +76,13 @@ def q_baseline_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     The levels are generated per row (one scan, no join) and carried as a
     column into the noise expression.
     """
-    from ..functions.text import ascii_fold
     from .common import all_passages
     p = all_passages(spark, sf_dir)
     levels = F.array(*[F.struct(F.lit(i).alias("eval_idx"), F.lit(x).alias("prob")) for i, x in enumerate(NOISE_LEVELS)])
     e = p.select("lang", "pair_id", "passage", F.explode(levels).alias("lv"))
     noisy = keyboard_noise(F.col("passage"), F.col("pair_id"), prob=F.col("lv.prob"), seed=NOISE_SEED, impl=NOISE_IMPL)
     allp = e.select(F.col("lang").alias("run_id"), F.col("lv.eval_idx").alias("eval_idx"),
-                    ascii_fold(corrupt.flatten_newlines("passage")).alias("correct"),
-                    ascii_fold(corrupt.flatten_newlines(noisy)).alias("prediction"))
+                    corrupt.flatten_newlines("passage").alias("correct"), corrupt.flatten_newlines(noisy).alias("prediction"))
     scored = score.score(allp, keep=["run_id", "eval_idx"], impl=DIST_IMPL)
     means = report.evaluation_means(scored, by=["run_id", "eval_idx"])
     cmp = report.baseline_comparison(means)
@@ -104,11 +100,11 @@ def _words_sql(x: str) -> str:
 
 
 def metrics_sql(pred: str, exp: str) -> str:
-    """DuckDB select-list of the five metrics (inputs already ASCII-folded)."""
-    d = f"levenshtein({pred}, {exp})"
+    """DuckDB select-list of the five metrics on the given texts."""
+    d = distance_sql(pred, exp)
     n = f"length({exp})"
     pw, ew = _words_sql(pred), _words_sql(exp)
-    wd = f"levenshtein({pw}, {ew})"
+    wd = distance_sql(pw, ew)
     return (
         f"CASE WHEN {pred} IS NULL OR {exp} IS NULL THEN 0 ELSE CAST({_strip_sql(pred)} = {_strip_sql(exp)} AS INTEGER) END AS exact_match, "
         f"CASE WHEN {pred} IS NULL OR {exp} IS NULL THEN 0.0 WHEN {n} > 0 THEN ({n} - {d}) / CAST({n} AS DOUBLE) ELSE 0.0 END AS char_accuracy, "
@@ -148,8 +144,8 @@ def _sampled_pairs_sql() -> str:
     )
     noisy = noise_sql_duckdb("passage", "CAST(pair_id AS VARCHAR)", prob=PROB, seed=NOISE_SEED)
     return (
-        f"(SELECT pair_id, doc_id, lang, {fold_sql('replace(passage, chr(10), chr(32))')} AS correct, "
-        f"{fold_sql(f'replace({noisy}, chr(10), chr(32))')} AS typos FROM {passages})"
+        "(SELECT pair_id, doc_id, lang, replace(passage, chr(10), chr(32)) AS correct, "
+        f"replace({noisy}, chr(10), chr(32)) AS typos FROM {passages})"
     )
 
 
@@ -159,8 +155,8 @@ def _baseline_sql() -> str:
     for i, prob in enumerate(NOISE_LEVELS):
         noisy = noise_sql_duckdb("passage", "CAST(pair_id AS VARCHAR)", prob=prob, seed=NOISE_SEED)
         parts.append(
-            f"SELECT lang AS run_id, {i} AS eval_idx, {fold_sql('replace(passage, chr(10), chr(32))')} AS correct, "
-            f"{fold_sql(f'replace({noisy}, chr(10), chr(32))')} AS typos FROM {passages_sql(trim=True)}"
+            f"SELECT lang AS run_id, {i} AS eval_idx, replace(passage, chr(10), chr(32)) AS correct, "
+            f"replace({noisy}, chr(10), chr(32)) AS typos FROM {passages_sql(trim=True)}"
         )
     src = "(" + " UNION ALL ".join(parts) + ")"
     means = (
@@ -181,15 +177,15 @@ def _baseline_sql() -> str:
 
 def oracles() -> dict[str, str]:
     return {
-        "typo_metrics": _round_metrics(pairs_sql(fold=True), "pair_id"),
-        "metrics_by_lang": _means_sql(pairs_sql(fold=True), "lang"),
+        "typo_metrics": _round_metrics(pairs_sql(), "pair_id"),
+        "metrics_by_lang": _means_sql(pairs_sql(), "lang"),
         "noise_report": _means_sql(_sampled_pairs_sql(), "lang"),
         "baseline_comparison": _baseline_sql(),
         "evaluation_records": (
             "SELECT pair_id, substr(typos, 1, 200) AS typo_text, substr(correct, 1, 200) AS correct_text, "
             "substr(typos, 1, 200) AS prediction, exact_match, round(char_accuracy, 6) AS char_accuracy, "
             "round(word_accuracy, 6) AS word_accuracy, round(cer, 6) AS cer "
-            f"FROM (SELECT pair_id, typos, correct, {metrics_sql('typos', 'correct')} FROM {pairs_sql(fold=True)})"
+            f"FROM (SELECT pair_id, typos, correct, {metrics_sql('typos', 'correct')} FROM {pairs_sql()})"
         ),
     }
 

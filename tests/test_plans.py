@@ -1,7 +1,11 @@
 """Plan shape: the properties the scale design relies on stay in the plan."""
 
 from conftest import SF01
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 import __spark_entry__ as E
+from fumble.functions.text import rand_u
 from fumble.operators import sample
 from fumble.plans.common import all_pairs
 from fumble.operators import score
@@ -37,10 +41,50 @@ def test_scans_prune_columns(spark):
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string,value:double>" in p
 
 
-def test_sample_rounds_broadcast_only_within_bound(spark):
+def executed(df):
+    """The plan that ran, with AQE's choices."""
+    df.write.format("noop").mode("overwrite").save()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def nodes(df, name):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial")[0].count(name)
+
+
+def test_sample_rounds_cut_equals_full_pass(spark):
+    """The draws' cut never changes the sample, also where it keeps too few and the full pass steps in."""
     docs = load(spark, SF01, "documents").select("doc_id", "source")
-    small = sample.sample_rounds(docs, rounds=3, k=5)
-    big = sample.sample_rounds(docs, rounds=3, k=5, broadcast_bytes=0)
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
-    rows = lambda df: sorted((r.doc_id, r["round"]) for r in df.collect())
-    assert rows(small) == rows(big)
+    rows = lambda df: sorted((r.doc_id, r.source, r["round"]) for r in df.collect())
+    want = []
+    for r in range(4):
+        one = docs.withColumn("u", rand_u(42, "sample", F.lit(r), F.col("doc_id")))
+        w = Window.partitionBy("source").orderBy("u", "doc_id")
+        want += [(x.doc_id, x.source, r) for x in one.withColumn("rn", F.row_number().over(w)).filter("rn <= 7").collect()]
+    for spare in (8.0, 0.0, -7.0):  # enough; often too few; none at all
+        assert rows(sample.sampled_keys(docs, rounds=4, k=7, spare=spare)) == sorted(want), spare
+
+
+def test_sample_rounds_starts_no_job_at_plan_time(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "sample_rounds")
+    try:
+        sample.sample_rounds(load(spark, SF01, "documents").select("doc_id", "source"), rounds=3, k=5)
+        assert not tracker.getJobIdsForGroup("planning")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_realignment_moves_digests_once(spark):
+    q = E.queries()["realign_completions"](spark, SF01)
+    assert nodes(q, "Exchange hashpartitioning") <= 3 and "RoundRobin" not in q._jdf.queryExecution().executedPlan().toString()
+
+
+def test_passages_are_cropped_before_they_are_spread(spark):
+    p = all_pairs(spark, SF01)._jdf.queryExecution().executedPlan().toString()
+    above = p.split("RoundRobin")[0]
+    assert "substring" in p.split("RoundRobin")[1] and ".text" not in above
+
+
+def test_monitor_shares_one_exchange_by_run_and_chunk(spark):
+    q = E.queries()["loss_spikes"](spark, SF01)
+    assert nodes(q, "Exchange hashpartitioning") <= 4
