@@ -58,10 +58,11 @@ def baseline_comparison(means: DataFrame, run_col: str = "run_id", eval_col: str
 
 
 def reward_batch_stats(df: DataFrame, batch_col: str = "batch", reward_col: str = "reward") -> DataFrame:
-    """H3: mean/min/max/population std of reward, mean char accuracy, perfect ratio."""
+    """H3: mean/min/max/population std of reward, mean char accuracy, perfect
+    ratio; a failed row is not perfect."""
     return df.groupBy(batch_col).agg(
         F.avg("char_accuracy").alias("mean_char_accuracy"),
-        F.avg(F.col("perfect_match").cast("double")).alias("perfect_match_ratio"),
+        F.avg(F.coalesce(F.col("perfect_match"), F.lit(False)).cast("double")).alias("perfect_match_ratio"),
         F.avg(reward_col).alias("reward_mean"),
         F.min(reward_col).alias("reward_min"),
         F.max(reward_col).alias("reward_max"),
@@ -102,31 +103,59 @@ def component_batch_stats(df: DataFrame, batch_col: str = "batch") -> DataFrame:
     )
 
 
-def first_batch_profile(df: DataFrame, batch_col: str = "batch", text_col: str = "completion",
+def first_batch_profile(df: DataFrame, run_col: str = "run_id", batch_col: str = "batch", text_col: str = "completion",
                         reward_col: str = "reward") -> DataFrame:
-    """H7: completion-length and reward profile of each batch."""
+    """H7: completion-length and reward profile of the first batch of each run.
+
+    Every batch is profiled by a partial aggregate - one narrow row each - and
+    the profile of the least batch is kept, so texts are read once and no join
+    is needed."""
     n = F.length(F.col(text_col))
-    return df.groupBy(batch_col).agg(
+    per_batch = df.groupBy(run_col, batch_col).agg(
         F.avg(n).alias("mean_len"), F.min(n).cast("bigint").alias("min_len"), F.max(n).cast("bigint").alias("max_len"),
         F.avg(reward_col).alias("reward_mean"), F.min(reward_col).alias("reward_min"),
         F.max(reward_col).alias("reward_max"),
         F.count_if(F.col(reward_col) > 0).cast("bigint").alias("nonzero"),
         F.count(F.lit(1)).alias("n_rows"),
     )
+    names = [c for c in per_batch.columns if c != run_col]
+    first = per_batch.groupBy(run_col).agg(F.min_by(F.struct(*names), batch_col).alias("p"))
+    return first.select(run_col, *[F.col(f"p.{c}").alias(c) for c in names])
 
 
 def example_rows(df: DataFrame, batch_col: str = "batch", order_col: str = "pos", per_batch: int = 3,
                  every: int = 10) -> DataFrame:
-    """H8: first ``per_batch`` rows of every ``every``-th batch (a top-k per group)."""
+    """H8: first ``per_batch`` rows of every ``every``-th batch (a top-k per
+    group); batches count from 1, so the 10th, 20th ... are shown.
+
+    Works on any columns: pick narrow keys first and score what was picked."""
     w = Window.partitionBy(batch_col).orderBy(order_col)
     return (
-        df.filter(F.col(batch_col) % every == 0)
+        df.filter((F.col(batch_col) > 0) & (F.col(batch_col) % every == 0))
         .withColumn("_rn", F.row_number().over(w))
         .filter(F.col("_rn") <= per_batch)
         .drop("_rn")
     )
 
 
+def reasoning_examples(scored: DataFrame, width: int = 100) -> DataFrame:
+    """H8, reasoning form: the extracted answer (else the first ``width``
+    characters and ``...``), CER, format flags, outside share and the typos
+    and corrections that were mentioned, as ``k/n``."""
+    cut = F.concat(F.substring("completion", 1, width), F.lit("..."))
+    ratio = lambda a, b: F.concat(F.coalesce(F.col(a), F.lit(0)).cast("string"), F.lit("/"), F.coalesce(F.col(b), F.lit(0)).cast("string"))
+    keep = [c for c in ("batch", "pair_id", "doc_id", "gen_idx", "layout") if c in scored.columns]
+    return scored.select(
+        *keep,
+        F.when(F.col("has_answer"), F.col("predicted_text")).otherwise(cut).alias("shown"),
+        "cer", "has_think", "has_answer", "proper_format",
+        percent_text(F.coalesce(F.col("outside_ratio"), F.lit(0.0)), digits=0).alias("outside"),
+        ratio("typos_mentioned", "typos_total").alias("typos"),
+        ratio("corrections_mentioned", "corrections_total").alias("corrections"),
+        "reward",
+    )
+
+
 # Row labels of the comparison table.
 COMPARISON_LABELS = (("exact_match", "Exact Match"), ("char_accuracy", "Char Accuracy"),
                      ("word_accuracy", "Word Accuracy"), ("cer", "CER (lower=better)"))

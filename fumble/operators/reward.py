@@ -11,6 +11,8 @@ the pair's completions (several generations per prompt).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,18 +127,6 @@ def answer_text(c: Column) -> Column:
     return F.when(TG.has_answer(c), TG.extract_answer(c)).otherwise(py_strip(c))
 
 
-def answer_reward_cols(c: Column, correct: Column, impl: str = "native") -> dict[str, Column]:
-    """G3 with F7, F9, F16: ``max(0, 2.5(1-cer)) + max(0, 1.5·word_acc)``,
-    +0.5 on equality, ×0.8 when the answer is over 1.2× longer.
-
-    Column form; ``with_answer_reward`` computes each distance once."""
-    pred = answer_text(c)
-    d = M.edit_distance(pred, correct, impl)
-    pw, ew = words_joined(pred), words_joined(correct)
-    wd = F.when((pw == pred) & (ew == correct), d).otherwise(M.edit_distance(pw, ew, impl))
-    return _answer_from(pred, correct, d, wd)
-
-
 def with_answer_reward(df: DataFrame, completion: str = "completion", correct: str = "correct",
                        impl: str = "native") -> DataFrame:
     """G3 over a DataFrame, one distance per row and text pair (staged)."""
@@ -158,13 +148,6 @@ def length_band(n: Column) -> Column:
     )
 
 
-def thinking_reward_cols(c: Column, word_corrs: Column, stems: tuple[str, ...] = TG.ERROR_STEMS) -> dict[str, Column]:
-    """G4 with F17–F20. ``word_corrs`` is the D2 array of the pair. All
-    components are null when the completion has no closed think block."""
-    content = TG.extract_reasoning(c)
-    return _thinking_from(TG.has_think(c), F.lower(content), F.length(content), word_corrs, stems)
-
-
 def _thinking_from(think: Column, low: Column, n: Column, word_corrs: Column,
                    stems: tuple[str, ...] = TG.ERROR_STEMS) -> dict[str, Column]:
     mentions = TG.stem_mentions(low, stems)
@@ -221,14 +204,23 @@ def reasoning_reward(df: DataFrame, completion: str = "completion", correct: str
         .when(~F.col("proper_format"), F.least(total, F.lit(CAP_BAD_FORMAT)))
         .otherwise(total)
     )
-    failed = F.col(correct).isNull() | F.col(word_corrs).isNull()
-    return staged.drop("_c").select(
+    # the aligner is reached only with a closed think block
+    failed = F.col(correct).isNull() | (F.col("has_think") & F.col(word_corrs).isNull())
+    scored = staged.drop("_c").select(
         "*",
         F.when(~F.col("has_think") & (total > CAP_NO_THINK), total - CAP_NO_THINK).alias("think_penalty"),
         F.when(F.col("has_think") & ~F.col("proper_format") & (total > CAP_BAD_FORMAT),
                total - CAP_BAD_FORMAT).alias("format_penalty"),
-        F.when(failed, F.lit(0.0)).otherwise(capped).cast("double").alias("reward"),
-        F.when(failed, F.lit("missing pair text")).alias("error"),
+        capped.cast("double").alias("reward"),
+        failed.alias("_failed"),
+    )
+    # a failed row records its error and a reward of 0, and no component
+    parts = [x for x in scored.columns if x not in (*df.columns, "reward", "_failed")]
+    return scored.select(
+        *df.columns,
+        *[F.when(~F.col("_failed"), F.col(x)).alias(x) for x in parts],
+        F.when(F.col("_failed"), F.lit(0.0)).otherwise(F.col("reward")).alias("reward"),
+        F.when(F.col("_failed"), F.lit("missing pair text")).alias("error"),
     )
 
 
@@ -241,9 +233,10 @@ def legacy_reward(df: DataFrame, completion: str = "completion", correct: str =
     exp = F.col(correct)
     think, answer, proper = TG.has_think(c), TG.has_answer(c), TG.proper_format(c)
     fmt = (F.when(proper, F.lit(1.0)).when(think & answer, F.lit(0.5)).when(answer, F.lit(0.3)).otherwise(F.lit(0.0)))
-    tagged_cer = M.cer_reward(M.edit_distance(TG.extract_answer(c), exp, impl), F.length(exp))
-    whole_cer = M.cer_reward(M.edit_distance(c, exp, impl), F.length(exp))
-    ans = F.when(answer, F.greatest(F.lit(0.0), 3 * (1 - tagged_cer))).otherwise(F.greatest(F.lit(0.0), 2 * (1 - whole_cer)))
+    # one text and so one distance per row: the answer block, or the whole completion
+    text = F.when(answer, TG.extract_answer(c)).otherwise(c)
+    weight = F.when(answer, F.lit(3.0)).otherwise(F.lit(2.0))
+    ans = F.greatest(F.lit(0.0), weight * (1 - M.cer_reward(M.edit_distance(text, exp, impl), F.length(exp))))
     content = TG.extract_reasoning(c)
     n = F.length(content)
     stem_hit = TG.stem_mentions(F.lower(content), TG.LEGACY_STEMS) > 0
@@ -253,18 +246,27 @@ def legacy_reward(df: DataFrame, completion: str = "completion", correct: str =
                      (fmt + ans + thk).alias("reward"))
 
 
-def join_completions(completions: DataFrame, pairs: DataFrame, key: str = "pair_id") -> tuple[DataFrame, DataFrame]:
-    """Completions ⋈ pairs on the pair id (never by position).
+def completion_text(completions: DataFrame, strip: bool = False) -> DataFrame:
+    """``completion`` as text, from a string or from a message list in
+    ``messages`` where that is given."""
+    if "messages" not in completions.columns:
+        return completions.withColumn("completion", unwrap_completion(F.col("completion"), strip))
+    text = F.when(F.col("messages").isNotNull(), unwrap_messages(F.col("messages"), strip)).otherwise(unwrap_completion(F.col("completion"), strip))
+    return completions.withColumn("completion", text).drop("messages")
 
-    Returns (matched, unmatched completions) so mismatched batch sizes are
-    reported instead of silently truncated (Q11).
-    """
+
+def join_completions(completions: DataFrame, pairs: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Completions with their pairs on the pair's key, never by position.
+
+    Returns (matched, unmatched completions): what finds no pair is reported
+    instead of silently cut off (Q11). A pair has any number of completions;
+    AQE splits the join where one pair has very many."""
     matched = completions.join(pairs, on=key, how="inner")
-    unmatched = completions.join(pairs.select(key), on=key, how="left_anti")
+    unmatched = completions.join(pairs.select(*key), on=key, how="left_anti")
     return matched, unmatched
 
 
-def user_reward(df: DataFrame, fn, name: str = "user_reward") -> DataFrame:
-    """A user reward as a Column builder ``fn(df) -> Column`` or a
-    ``pandas_udf('double')`` applied to named columns."""
-    return df.withColumn(name, fn(df) if callable(fn) else col_(fn))
+def user_reward(df: DataFrame, fn: Callable[[DataFrame], Column], name: str = "user_reward") -> DataFrame:
+    """A user's reward, a function from the scored rows to a column (an
+    expression, or a ``pandas_udf('double')`` applied to named columns)."""
+    return df.withColumn(name, fn(df))

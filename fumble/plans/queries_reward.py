@@ -1,20 +1,23 @@
 """Registered queries of the ``reward`` and ``mine`` jobs (D*, F11–F20, G*, H3–H8, H10).
 
-Completions are derived from every document's pair with the reference's own
-self-test shapes: perfect / uncorrected / first half for the positional
-reward, and the four tag layouts for the reasoning reward (one row per pair
-and shape, generated with ``explode`` over a literal array — no join).
+Completions are derived from every document's pair: perfect / uncorrected /
+first half for the positional reward, and tag layouts for the reasoning
+reward (rows per pair generated with ``explode`` over an array — no join).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tags as TG
-from ..operators import align, report, reward
-from ..functions.text import ascii_fold
-from .common import DIST_IMPL, all_pairs, fold_sql, pairs_sql, r6
+from ..operators import align, corrupt, report, reward
+from ..session import checkpoint_path
+from ..sources import files
+from ..sources.tables import load
+from .common import DIST_IMPL, NOISE_IMPL, NOISE_SEED, PROB, SEED, all_pairs, distance_sql, pairs_sql, r6
 from .queries_score import _strip_sql, _words_sql
 
 # Completion layouts of the reference's reward self-tests.
@@ -34,26 +37,80 @@ def positional_completions(pairs: DataFrame) -> DataFrame:
         "pair_id", "source", "correct", "typos", "g.gen_idx", "g.completion")
 
 
+# Further layouts of the tag reward, one of them per pair: what the layouts
+# above leave out. A layout is a list of parts, from which both engines build
+# the completion: text; a column; (character, n times, per n characters of the
+# correct text) - n alone if the last is 0; "fixes" lists the first corrections.
+THINK = f"<think>{LAYOUT_THINK_TEXT}</think>"
+TAGGED = [THINK + "<answer>", "$correct", "</answer>"]
+STEM = "zamiast"
+EXTRA_LAYOUTS = [
+    [THINK + "<answer>", "$typos", "</answer>"],                       # 5: the uncorrected text as answer
+    [THINK + "<answer>", "$correct", " ", "$correct", "</answer>"],    # 6: an answer over 1.2 times as long
+    [*TAGGED, ("x", 1, 19)],                                           # 7: little text outside the tags
+    [*TAGGED, ("x", 3, 7)],                                            # 8: a third outside
+    [*TAGGED, ("x", 4, 1)],                                            # 9: most of it outside
+    ["<answer>", "$correct", "</answer>" + THINK],                     # 10: the answer first
+    ["<think>", "fixes", "</think><answer>", "$correct", "</answer>"],  # 11: the first corrections as reasoning
+    *[[f"<think>{STEM}", ("b", n - len(STEM), 0), "</think><answer>", "$correct", "</answer>"]
+      for n in (9, 49, 50, 300, 301, 500, 501)],                       # 12-18: the bounds of the length bands
+]
+FIXES = 3
+
+
+def _extra_layout(parts: list) -> Column:
+    def one(part) -> Column:
+        if part == "fixes":
+            first = F.slice("positional", 1, FIXES)
+            return F.array_join(F.transform(first, lambda p: F.concat(p["typo"], F.lit(" -> "), p["correct"])), " ")
+        if isinstance(part, tuple):
+            char, n, per = part
+            return F.repeat(F.lit(char), F.lit(n) if not per else F.floor(F.length("correct") * n / per).cast("int"))
+        return F.col(part[1:]) if part.startswith("$") else F.lit(part)
+
+    return F.concat(*[one(x) for x in parts])
+
+
+def _extra_layout_sql(parts: list) -> str:
+    def one(part) -> str:
+        if part == "fixes":
+            return f"array_to_string(list_transform(pos_words[1:{FIXES}], lambda p: coalesce(p[1], '') || ' -> ' || coalesce(p[2], '')), ' ')"
+        if isinstance(part, tuple):
+            char, n, per = part
+            return f"repeat('{char}', {n})" if not per else f"repeat('{char}', CAST(floor(length(correct) * {n} / {per}) AS BIGINT))"
+        return part[1:] if part.startswith("$") else f"'{part}'"
+
+    return " || ".join(one(x) for x in parts)
+
+
 def layout_completions(pairs: DataFrame) -> DataFrame:
-    """layout 1..4 of the reasoning self-test, over each pair's correct text."""
+    """Layouts 1..4 of the reasoning self-test over each pair's correct text, and
+    one of the further layouts 5..18, in turn over the pairs."""
     c = F.col("correct")
+    extra = F.coalesce(*[F.when(F.col("pair_id") % len(EXTRA_LAYOUTS) == i, _extra_layout(x)) for i, x in enumerate(EXTRA_LAYOUTS)])
     gens = F.array(
         F.struct(F.lit(1).alias("layout"), F.concat(F.lit(f"<think>{LAYOUT_THINK_TEXT}</think><answer>"), c, F.lit("</answer>")).alias("completion")),
         F.struct(F.lit(2).alias("layout"), F.concat(F.lit("<answer>"), c, F.lit("</answer>")).alias("completion")),
         F.struct(F.lit(3).alias("layout"), c.alias("completion")),
         F.struct(F.lit(4).alias("layout"), F.lit(f"<think>{LAYOUT_BAD_THINK}</think><answer>{LAYOUT_BAD_ANSWER}</answer>").alias("completion")),
+        F.struct((F.col("pair_id") % len(EXTRA_LAYOUTS) + 5).cast("int").alias("layout"), extra.alias("completion")),
     )
     cols = [x for x in pairs.columns]
+    pairs = pairs.withColumn("positional", align.corrections("correct", "typos", mode="positional"))
     return pairs.select(*cols, F.explode(gens).alias("g")).select(*cols, "g.layout", "g.completion")
 
 
 def _layout_sql(src: str) -> str:
+    """``src`` has pair_id, correct and typos."""
+    n = len(EXTRA_LAYOUTS)
+    extra = " ".join(f"WHEN {i + 5} THEN {_extra_layout_sql(x)}" for i, x in enumerate(EXTRA_LAYOUTS))
     return (
         f"(SELECT p.*, l.layout, CASE l.layout "
         f"WHEN 1 THEN '<think>{LAYOUT_THINK_TEXT}</think><answer>' || correct || '</answer>' "
         f"WHEN 2 THEN '<answer>' || correct || '</answer>' WHEN 3 THEN correct "
-        f"ELSE '<think>{LAYOUT_BAD_THINK}</think><answer>{LAYOUT_BAD_ANSWER}</answer>' END AS completion "
-        f"FROM {src} p, (SELECT range + 1 AS layout FROM range(4)) l)"
+        f"WHEN 4 THEN '<think>{LAYOUT_BAD_THINK}</think><answer>{LAYOUT_BAD_ANSWER}</answer>' {extra} END AS completion "
+        f"FROM (SELECT *, {_positional_list_sql()} AS pos_words FROM {src}) p, range(1, {n + 5}) l(layout) "
+        f"WHERE l.layout < 5 OR l.layout = p.pair_id % {n} + 5)"
     )
 
 
@@ -83,7 +140,7 @@ def q_positional_batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_format_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = all_pairs(spark, sf_dir).select("pair_id", "correct")
+    pairs = all_pairs(spark, sf_dir).select("pair_id", "correct", "typos")
     lc = layout_completions(pairs)
     return lc.select("pair_id", F.col("layout").cast("int").alias("layout"),
                      TG.has_think("completion").alias("has_think"), TG.has_answer("completion").alias("has_answer"),
@@ -92,7 +149,7 @@ def q_format_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_format_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = all_pairs(spark, sf_dir).select("pair_id", "correct")
+    pairs = all_pairs(spark, sf_dir).select("pair_id", "correct", "typos")
     lc = layout_completions(pairs)
     cols = reward.format_reward_cols(F.col("completion"))
     return lc.select("pair_id", F.col("layout").cast("int").alias("layout"),
@@ -100,8 +157,8 @@ def q_format_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_answer_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = all_pairs(spark, sf_dir, fold=True).select("pair_id", "correct")
-    lc = layout_completions(pairs).withColumn("completion", ascii_fold("completion"))
+    pairs = all_pairs(spark, sf_dir).select("pair_id", "correct", "typos")
+    lc = layout_completions(pairs)
     r = reward.with_answer_reward(lc, impl=DIST_IMPL)
     return r.select("pair_id", F.col("layout").cast("int").alias("layout"),
                     r6(F.col("answer_score")).alias("answer_score"), r6(F.col("cer")).alias("cer"),
@@ -111,9 +168,9 @@ def q_answer_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_legacy_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G8 over the four layouts (texts folded for the byte-based oracle)."""
-    pairs = all_pairs(spark, sf_dir, fold=True).select("pair_id", "correct")
-    lc = layout_completions(pairs).withColumn("completion", ascii_fold("completion"))
+    """G8 over the layouts."""
+    pairs = all_pairs(spark, sf_dir).select("pair_id", "correct", "typos")
+    lc = layout_completions(pairs)
     r = reward.legacy_reward(lc, impl=DIST_IMPL)
     return r.select("pair_id", F.col("layout").cast("int").alias("layout"),
                     *[r6(F.col(c)).alias(c) for c in ("format_score", "answer_score", "think_score", "reward")])
@@ -121,8 +178,15 @@ def q_legacy_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D1 exploded: one row per phrase correction of every document's pair."""
+    return align.corrections_long(all_pairs(spark, sf_dir), keep=["pair_id"], mode="phrase")
+
+
+def q_correction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1 as a mining job: how often each phrase correction occurs per language,
+    over every document's pair; the alignment is one step of it."""
     pairs = all_pairs(spark, sf_dir)
-    return align.corrections_long(pairs, keep=["pair_id"], mode="phrase")
+    long = align.corrections_long(pairs, keep=["lang"], mode="phrase")
+    return long.groupBy("lang", "typo", "correct").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_corrections_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,57 +202,189 @@ def q_thinking_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.thinking_pairs(pairs.select("pair_id", "correct", "typos"))
 
 
-def _reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = reward.with_word_corrections(all_pairs(spark, sf_dir).select("pair_id", "source", "correct", "typos"))
-    return reward.reasoning_reward(layout_completions(pairs), impl=DIST_IMPL)
+def q_thinking_target_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3 with positional corrections, which SQL can express."""
+    pairs = all_pairs(spark, sf_dir, trim=False).select("pair_id", "correct", "typos")
+    corrs = align.corrections("correct", "typos", mode="positional")
+    return pairs.select("pair_id", "typos", align.thinking_target("correct", corrs).alias("target"))
+
+
+def _pairs_with(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    pairs = all_pairs(spark, sf_dir).select("pair_id", "source", "correct", "typos")
+    return pairs.withColumn("word_corrections", align.corrections("correct", "typos", mode=mode))
+
+
+def _reasoning(spark: SparkSession, sf_dir: str, mode: str = "word") -> DataFrame:
+    return reward.reasoning_reward(layout_completions(_pairs_with(spark, sf_dir, mode)), impl=DIST_IMPL)
+
+
+# Pairs whose correct or typo text is taken away to make failed rows.
+LOST_CORRECT, LOST_TYPOS = 97, 89
+
+
+def _with_failures(df: DataFrame) -> DataFrame:
+    lost = F.col("pair_id") % LOST_TYPOS == 0
+    df = df.withColumn("correct", F.when(F.col("pair_id") % LOST_CORRECT != 0, F.col("correct")))
+    return df.withColumn("word_corrections", F.when(~lost, F.col("word_corrections"))) if "word_corrections" in df.columns else df
+
+
+def _failing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lc = layout_completions(_pairs_with(spark, sf_dir, "positional"))
+    return reward.reasoning_reward(_with_failures(lc), impl=DIST_IMPL)
+
+
+THINKING_COLUMNS = ("think_score", "think_len", "think_mentions", "typos_mentioned", "typos_total", "corrections_mentioned", "corrections_total")
+TOTAL_COLUMNS = ("format_score", "answer_score", "think_score", "reward", "think_penalty", "format_penalty")
+
+
+def _chosen(r: DataFrame, columns: tuple[str, ...], *more: str) -> DataFrame:
+    kinds = dict(r.dtypes)
+    return r.select("pair_id", F.col("layout").cast("int").alias("layout"), *[r6(F.col(c)).alias(c) if kinds[c] == "double" else F.col(c) for c in columns], *more)
+
+
+def _component_stats(r: DataFrame) -> DataFrame:
+    """H4–H6, H10 per source."""
+    s = report.component_batch_stats(r.withColumnRenamed("source", "batch"))
+    return s.select("batch", *[r6(F.col(c)).alias(c) if dict(s.dtypes)[c] == "double" else F.col(c) for c in s.columns if c != "batch"])
 
 
 def q_thinking_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _reasoning(spark, sf_dir)
-    return r.select("pair_id", F.col("layout").cast("int").alias("layout"), r6(F.col("think_score")).alias("think_score"),
-                    "think_len", "think_mentions", "typos_mentioned", "typos_total",
-                    "corrections_mentioned", "corrections_total")
+    return _chosen(_reasoning(spark, sf_dir), THINKING_COLUMNS)
 
 
 def q_total_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _reasoning(spark, sf_dir)
-    return r.select("pair_id", F.col("layout").cast("int").alias("layout"),
-                    *[r6(F.col(c)).alias(c) for c in ("format_score", "answer_score", "think_score", "reward",
-                                                       "think_penalty", "format_penalty")], "error")
+    return _chosen(_reasoning(spark, sf_dir), TOTAL_COLUMNS, "error")
 
 
 def q_reward_batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H4–H6, H10 per source."""
-    r = _reasoning(spark, sf_dir).withColumnRenamed("source", "batch")
-    s = report.component_batch_stats(r)
-    return s.select("batch", *[r6(F.col(c)).alias(c) if dict(s.dtypes)[c] == "double" else F.col(c)
-                               for c in s.columns if c != "batch"])
+    return _component_stats(_reasoning(spark, sf_dir))
+
+
+def q_thinking_reward_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chosen(_reasoning(spark, sf_dir, "positional"), THINKING_COLUMNS)
+
+
+def q_total_reward_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chosen(_reasoning(spark, sf_dir, "positional"), TOTAL_COLUMNS, "error")
+
+
+def q_failed_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with a lost text; only the error and a reward of 0 are recorded."""
+    r = _failing(spark, sf_dir)
+    return _chosen(r, (*TOTAL_COLUMNS, *THINKING_COLUMNS[1:]), "error")
+
+
+def q_failed_batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _component_stats(_failing(spark, sf_dir))
+
+
+def q_failed_positional_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H3 with failed rows: they count as not perfect."""
+    r = reward.positional_reward(_with_failures(positional_completions(all_pairs(spark, sf_dir))))
+    s = report.reward_batch_stats(r.withColumnRenamed("source", "batch"))
+    return s.select("batch", "n_rows", *[r6(F.col(c)).alias(c) for c in ("perfect_match_ratio", "reward_mean", "reward_max", "reward_std")])
+
+
+def _completions_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, gen_idx, completion, messages): what a generator hands over - text
+    for even documents, a message list for odd ones - with some of unknown documents."""
+    gens = positional_completions(all_pairs(spark, sf_dir).withColumn("source", F.col("doc_id")))
+    gens = gens.withColumn("doc_id", F.when(F.col("source") % 7 == 0, F.col("source") + 10**9).otherwise(F.col("source")))
+    odd = F.col("source") % 2 == 1
+    message = F.array(F.struct(F.lit("assistant").alias("role"), F.concat(F.lit(" "), "completion").alias("content")))
+    return gens.select("doc_id", "gen_idx", F.when(~odd, F.col("completion")).alias("completion"), F.when(odd, message).alias("messages"))
+
+
+def _joined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pairs = all_pairs(spark, sf_dir).select("doc_id", "correct")
+    return reward.join_completions(reward.completion_text(_completions_table(spark, sf_dir), strip=True), pairs, ["doc_id"])
+
+
+def q_score_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completions joined with their pairs by key, then G1."""
+    r = reward.positional_reward(_joined(spark, sf_dir)[0])
+    return r.select("doc_id", F.col("gen_idx").cast("int").alias("gen_idx"), "matches", "perfect_match", r6(F.col("reward")).alias("reward"))
+
+
+def q_unmatched_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q11: completions without a pair are reported."""
+    return _joined(spark, sf_dir)[1].select("doc_id", F.col("gen_idx").cast("int").alias("gen_idx"), F.length("completion").cast("long").alias("n_chars"))
+
+
+def q_user_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's own reward over the scored rows."""
+    r = reward.positional_reward(positional_completions(all_pairs(spark, sf_dir)))
+    own = reward.user_reward(r, lambda df: F.col("char_accuracy") * 2 - F.when(F.col("perfect_match"), 0.0).otherwise(0.5))
+    return own.select("pair_id", F.col("gen_idx").cast("int").alias("gen_idx"), r6(F.col("user_reward")).alias("user_reward"))
+
+
+def q_evaluation_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two evaluations appended to a metric table with the key (run_id,
+    eval_idx), read back in long form."""
+    path = checkpoint_path(spark, f"metrics-{uuid.uuid4().hex}")
+    scored = reward.positional_reward(positional_completions(all_pairs(spark, sf_dir)))
+    for eval_idx, gen in enumerate((1, 2)):
+        means = scored.filter(F.col("gen_idx") == gen).groupBy(F.col("source").alias("run_id")).agg(
+            F.avg("char_accuracy").alias("char_accuracy"), F.avg("reward").alias("reward"))
+        files.write_scalars(means.withColumn("eval_idx", F.lit(eval_idx)), path)
+    back = files.read_scalars(spark, path, "run_id string, eval_idx int")
+    return back.select("run_id", "eval_idx", "metric", r6(F.col("value")).alias("value"))
+
+
+def q_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: conversations written as JSON lines and scanned with a declared schema."""
+    path = checkpoint_path(spark, f"jsonl-{uuid.uuid4().hex}")
+    conv = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    files.write_jsonl(conv, path)
+    return files.read_jsonl(spark, path, conv.schema)
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """Reward calls: a run per last digit of the pair, a batch per source, counted from 1."""
+    return df.withColumn("run_id", F.col("pair_id") % 10).withColumn("batch", F.regexp_extract("source", r"(\d+)$", 1).cast("int") + 1)
 
 
 def q_first_batch_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H7 per source over the positional-reward completions."""
-    pairs = all_pairs(spark, sf_dir)
-    r = reward.positional_reward(positional_completions(pairs)).withColumnRenamed("source", "batch")
-    r = r.withColumn("completion", F.col("completion"))
-    s = report.first_batch_profile(r)
-    return s.select("batch", *[r6(F.col(c)).alias(c) if dict(s.dtypes)[c] == "double" else F.col(c)
-                               for c in s.columns if c != "batch"])
+    """H7: the first batch of each run, over the positional-reward completions."""
+    r = reward.positional_reward(positional_completions(all_pairs(spark, sf_dir)))
+    s = report.first_batch_profile(_numbered(r))
+    return s.select("run_id", "batch", *[r6(F.col(c)).alias(c) if dict(s.dtypes)[c] == "double" else F.col(c)
+                                         for c in s.columns if c not in ("run_id", "batch")])
 
 
-def q_example_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H8 + F21: first 3 rows (by pair id) of every 10th batch, texts truncated.
+def _picked(spark: SparkSession, sf_dir: str, generations: int) -> tuple[DataFrame, DataFrame]:
+    """H8 on keys: (first rows of every 10th batch, the pairs of their documents).
 
-    Batches are the positional-reward calls numbered by source id."""
-    pairs = all_pairs(spark, sf_dir)
-    r = reward.positional_reward(positional_completions(pairs))
-    r = r.withColumn("batch", F.regexp_extract("source", r"(\d+)$", 1).cast("int")).withColumn(
-        "pos", F.col("pair_id") * 3 + F.col("gen_idx"))
-    ex = report.example_rows(r, batch_col="batch", order_col="pos", per_batch=3, every=10)
+    A pair's id needs no text, so texts are read for the picked documents only."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    ids = docs.select("doc_id", "source", corrupt.passage_id(F.col("doc_id"), F.lit(0), SEED).alias("pair_id"))
+    keys = _numbered(ids).withColumn("gen_idx", F.explode(F.sequence(F.lit(0), F.lit(generations - 1))))
+    keys = keys.withColumn("pos", F.col("pair_id") * generations + F.col("gen_idx"))
+    picked = report.example_rows(keys, batch_col="batch", order_col="pos", per_batch=3, every=10).select("batch", "pair_id", "doc_id", "gen_idx")
+    few = docs.join(picked.select("doc_id").distinct(), "doc_id", "left_semi")
+    pairs, _ = corrupt.build_pairs(few, seed=SEED, noise_seed=NOISE_SEED, prob=PROB, keep=("lang",), impl=NOISE_IMPL)
+    return picked.drop("doc_id"), pairs
+
+
+def q_example_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H8 + F21: first 3 rows (by pair id) of every 10th batch, texts truncated."""
+    picked, pairs = _picked(spark, sf_dir, 3)
+    ex = reward.positional_reward(positional_completions(pairs)).join(picked, ["pair_id", "gen_idx"])
     return ex.select("batch", "pair_id", F.col("gen_idx").cast("int").alias("gen_idx"),
                      F.substring("typos", 1, 200).alias("typo_text"), F.substring("completion", 1, 300).alias("generated"),
                      F.substring("correct", 1, 200).alias("correct_text"), r6(F.col("reward")).alias("reward"))
 
 
+def q_reasoning_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H8 of the reasoning reward, over the layouts of the picked pairs."""
+    picked, pairs = _picked(spark, sf_dir, 1)
+    pairs = pairs.select("pair_id", "source", "correct", "typos").withColumn("word_corrections", align.corrections("correct", "typos", mode="positional"))
+    r = reward.reasoning_reward(layout_completions(pairs), impl=DIST_IMPL).join(picked, "pair_id")
+    ex = report.reasoning_examples(r)
+    return ex.select("batch", "pair_id", F.col("layout").cast("int").alias("layout"), "shown", r6(F.col("cer")).alias("cer"), "has_think", "has_answer", "proper_format",
+                     "outside", "typos", "corrections", r6(F.col("reward")).alias("reward"))
+
+
 # ------------------------------------------------------------------ oracles
 
 def _pos_matches_sql(a: str, b: str) -> str:
@@ -232,17 +428,16 @@ def _format_sql_cols(c: str = "completion") -> dict[str, str]:
 
 
 def _answer_sql() -> str:
-    src = _layout_sql(f"(SELECT pair_id, correct FROM {pairs_sql(fold=True)})")
-    src = f"(SELECT pair_id, layout, correct, {fold_sql('completion')} AS completion FROM {src})"
+    src = _layout_sql(pairs_sql())
     ha = _has_block_sql("completion", "<answer>", "</answer>")
     block = _strip_sql("regexp_extract(completion, '(?s)<answer>(.*?)</answer>', 1)")
     pred = f"(CASE WHEN {ha} THEN {block} ELSE {_strip_sql('completion')} END)"
     inner = f"SELECT pair_id, layout, correct, {pred} AS pred FROM {src}"
-    d = "levenshtein(pred, correct)"
+    d = distance_sql("pred", "correct")
     cer = f"({d} / CAST(greatest(length(correct), 1) AS DOUBLE))"
     pw, ew = _words_sql("pred"), _words_sql("correct")
     longest = f"greatest(length({pw}), length({ew}))"
-    wacc = f"(CASE WHEN {longest} > 0 THEN 1 - levenshtein({pw}, {ew}) / CAST({longest} AS DOUBLE) ELSE 0.0 END)"
+    wacc = f"(CASE WHEN {longest} > 0 THEN 1 - {distance_sql(pw, ew)} / CAST({longest} AS DOUBLE) ELSE 0.0 END)"
     base = f"(greatest(0.0, 2.5 * (1 - {cer})) + greatest(0.0, 1.5 * {wacc}) + CASE WHEN pred = correct THEN 0.5 ELSE 0.0 END)"
     longp = "(length(pred) / CAST(greatest(length(correct), 1) AS DOUBLE) > 1.2)"
     score = f"(CASE WHEN {longp} THEN {base} * 0.8 ELSE {base} END)"
@@ -253,14 +448,13 @@ def _answer_sql() -> str:
 
 
 def _legacy_sql() -> str:
-    src = _layout_sql(f"(SELECT pair_id, correct FROM {pairs_sql(fold=True)})")
-    src = f"(SELECT pair_id, layout, correct, {fold_sql('completion')} AS completion FROM {src})"
+    src = _layout_sql(pairs_sql())
     f = _format_sql_cols()
     ha, ht, proper = f["has_answer"], f["has_think"], f["proper_format"]
     fmt = f"(CASE WHEN {proper} THEN 1.0 WHEN {ht} AND {ha} THEN 0.5 WHEN {ha} THEN 0.3 ELSE 0.0 END)"
     block = _strip_sql("regexp_extract(completion, '(?s)<answer>(.*?)</answer>', 1)")
-    cer_t = f"(levenshtein({block}, correct) / CAST(greatest(length(correct), 1) AS DOUBLE))"
-    cer_w = "(levenshtein(completion, correct) / CAST(greatest(length(correct), 1) AS DOUBLE))"
+    cer_t = f"({distance_sql(block, 'correct')} / CAST(greatest(length(correct), 1) AS DOUBLE))"
+    cer_w = f"({distance_sql('completion', 'correct')} / CAST(greatest(length(correct), 1) AS DOUBLE))"
     ans = f"(CASE WHEN {ha} THEN greatest(0.0, 3 * (1 - {cer_t})) ELSE greatest(0.0, 2 * (1 - {cer_w})) END)"
     think = _strip_sql("regexp_extract(completion, '(?s)<think>(.*?)</think>', 1)")
     stems = " OR ".join(f"instr(lower({think}), '{s}') > 0" for s in TG.LEGACY_STEMS)
@@ -273,19 +467,124 @@ def _legacy_sql() -> str:
     )
 
 
-def _positional_corrections_sql() -> str:
+def _positional_list_sql() -> str:
+    """DuckDB: [(typo word, correct word)] where the i-th words differ."""
     def words(x):
         return f"list_filter(regexp_split_to_array(lower({_strip_sql(x)}), '{_ws()}+'), lambda w: w <> '')"
-    diffs = (
-        f"SELECT pair_id, list_filter(list_zip({words('typos')}, {words('correct')}), "
-        f"lambda p: NOT coalesce(p[1] = p[2], false)) AS d FROM {pairs_sql()}"
-    )
+    return f"list_filter(list_zip({words('typos')}, {words('correct')}), lambda p: NOT coalesce(p[1] = p[2], false))"
+
+
+def _positional_corrections_sql() -> str:
+    diffs = f"SELECT pair_id, {_positional_list_sql()} AS d FROM {pairs_sql()}"
     return (
         "SELECT pair_id, CAST(pos AS INTEGER) AS pos, coalesce(d[pos + 1][1], '') AS typo, "
         f"coalesce(d[pos + 1][2], '') AS correct FROM (SELECT pair_id, d, unnest(range(len(d))) AS pos FROM ({diffs}))"
     )
 
 
+def _thinking_target_sql() -> str:
+    sep = align.SEP
+    line = (f"CASE WHEN coalesce(p[1], '') <> '' AND coalesce(p[2], '') <> '' THEN p[1] || '{align.ARROW}' || p[2] "
+            f"WHEN coalesce(p[1], '') <> '' THEN '{align.DELETE_PREFIX}' || p[1] ELSE '{align.INSERT_PREFIX}' || p[2] END")
+    body = f"coalesce(array_to_string(list_transform({_positional_list_sql()}, lambda p: {line}), '{sep}'), '')"
+    return (f"SELECT pair_id, typos, '<think>{sep}' || {body} || '{sep}</think>{sep}<answer>' || correct || '</answer>' AS target "
+            f"FROM {pairs_sql(trim=False)}")
+
+
+def _reasoning_sql(failures: bool = False) -> str:
+    """All components of the reasoning reward with positional corrections."""
+    src = _layout_sql(pairs_sql())
+    correct, corrs = "correct", "pos_words"
+    if failures:
+        correct, corrs = f"CASE WHEN pair_id % {LOST_CORRECT} <> 0 THEN correct END", f"CASE WHEN pair_id % {LOST_TYPOS} <> 0 THEN pos_words END"
+    f = _format_sql_cols()
+    block = _strip_sql("regexp_extract(completion, '(?s)<answer>(.*?)</answer>', 1)")
+    think = _strip_sql("regexp_extract(completion, '(?s)<think>(.*?)</think>', 1)")
+    pred = f"(CASE WHEN {f['has_answer']} THEN {block} ELSE {_strip_sql('completion')} END)"
+    s1 = (f"SELECT pair_id, source, layout, completion, {correct} AS correct, {corrs} AS d, {', '.join(f'{v} AS {k}' for k, v in f.items())}, "
+          f"{pred} AS pred, lower({think}) AS low, length({think}) AS tlen FROM {src}")
+    pw, ew = _words_sql("pred"), _words_sql("correct")
+    longest = f"greatest(length({pw}), length({ew}))"
+    mentions = " + ".join(f"CASE WHEN instr(low, '{x}') > 0 THEN 1 ELSE 0 END" for x in TG.ERROR_STEMS)
+    total = lambda i: f"len(list_filter(d, lambda p: coalesce(p[{i}], '') <> ''))"
+    hit = lambda i: f"len(list_filter(d, lambda p: coalesce(p[{i}], '') <> '' AND instr(low, lower(p[{i}])) > 0))"
+    s2 = (f"SELECT *, {distance_sql('pred', 'correct')} / CAST(greatest(length(correct), 1) AS DOUBLE) AS cer, "
+          f"CASE WHEN {longest} > 0 THEN 1 - {distance_sql(pw, ew)} / CAST({longest} AS DOUBLE) ELSE 0.0 END AS word_acc, "
+          f"length(pred) / CAST(greatest(length(correct), 1) AS DOUBLE) > 1.2 AS too_long, "
+          f"{mentions} AS mentions, {hit(1)} AS th, {total(1)} AS tt, {hit(2)} AS ch, {total(2)} AS ct, "
+          f"correct IS NULL OR (has_think AND d IS NULL) AS failed FROM ({s1})")
+    band = ("CASE WHEN tlen < 10 THEN 0.0 WHEN tlen < 50 THEN 0.25 * (tlen / 50.0::DOUBLE) WHEN tlen <= 300 THEN 0.5 "
+            "WHEN tlen <= 500 THEN 0.5 * (1 - (tlen - 300) / 200.0::DOUBLE) ELSE 0.1 END")
+    base = "(greatest(0.0, 2.5 * (1 - cer)) + greatest(0.0, 1.5 * word_acc) + CASE WHEN pred = correct THEN 0.5 ELSE 0.0 END)"
+    cover = lambda a, b: f"0.75 * CASE WHEN {b} > 0 THEN {a} / CAST({b} AS DOUBLE) ELSE 0.0 END"
+    s3 = (f"SELECT *, CASE WHEN too_long THEN {base} * 0.8 ELSE {base} END AS answer_score, "
+          f"CASE WHEN has_think THEN {band} + least(0.5, mentions * 0.15) + {cover('th', 'tt')} + {cover('ch', 'ct')} ELSE 0.0 END AS think_score FROM ({s2})")
+    s4 = f"SELECT *, CAST(format_score + answer_score + think_score AS DOUBLE) AS total FROM ({s3})"
+    ok = lambda x: f"CASE WHEN NOT failed THEN {x} END"
+    only = lambda x: ok(f"CASE WHEN has_think THEN CAST({x} AS BIGINT) END")
+    return (
+        f"(SELECT pair_id, source, CAST(layout AS INTEGER) AS layout, {ok('CAST(format_score AS DOUBLE)')} AS format_score, {ok('CAST(answer_score AS DOUBLE)')} AS answer_score, "
+        f"{ok('CAST(think_score AS DOUBLE)')} AS think_score, {only('tlen')} AS think_len, {only('mentions')} AS think_mentions, {only('th')} AS typos_mentioned, "
+        f"{only('tt')} AS typos_total, {only('ch')} AS corrections_mentioned, {only('ct')} AS corrections_total, {ok('cer')} AS cer, {ok('word_acc')} AS word_acc, "
+        f"{ok('pred = correct')} AS exact, {ok('CASE WHEN NOT has_think AND total > 3.0 THEN total - 3.0 END')} AS think_penalty, "
+        f"{ok('CASE WHEN has_think AND NOT proper_format AND total > 4.0 THEN total - 4.0 END')} AS format_penalty, "
+        f"{ok('CAST(outside_penalty AS DOUBLE)')} AS outside_penalty, {ok('CASE WHEN outside_ratio > 0.1 THEN outside_ratio END')} AS outside_recorded, "
+        "CASE WHEN failed THEN 0.0 WHEN NOT has_think THEN least(total, 3.0) WHEN NOT proper_format THEN least(total, 4.0) ELSE total END AS reward, "
+        "CASE WHEN failed THEN 'missing pair text' END AS error, has_think, has_answer, proper_format, outside_ratio, pred, completion "
+        f"FROM ({s4}))"
+    )
+
+
+def _component_stats_sql(src: str) -> str:
+    z = lambda c: f"round(avg(CAST(coalesce({c}, 0) AS DOUBLE)), 6)"
+    return (
+        "SELECT source AS batch, round(avg(cer), 6) AS character_error_rate, round(avg(1 - word_acc), 6) AS word_error_rate, round(avg(word_acc), 6) AS word_accuracy, "
+        f"{z('format_score')} AS format_score, {z('think_score')} AS thinking_score, {z('answer_score')} AS answer_score, round(avg(reward), 6) AS reward_mean, "
+        "round(min(reward), 6) AS reward_min, round(max(reward), 6) AS reward_max, round(stddev_pop(reward), 6) AS reward_std, "
+        "round(avg(CAST(coalesce(think_score, 0) > 0 AS DOUBLE)), 6) AS has_think_ratio, round(avg(CAST(coalesce(exact, false) AS DOUBLE)), 6) AS exact_match_ratio, "
+        "count(think_penalty) AS think_penalty_count, count(format_penalty) AS format_penalty_count, count(outside_penalty) AS outside_penalty_count, "
+        f"{z('outside_recorded')} AS mean_outside_ratio, {z('typos_mentioned')} AS mean_typos_mentioned, {z('typos_total')} AS mean_typos_total, "
+        f"{z('corrections_mentioned')} AS mean_corrections_mentioned, {z('corrections_total')} AS mean_corrections_total, count(*) AS n_rows FROM {src} GROUP BY source"
+    )
+
+
+def _columns_sql(columns: tuple[str, ...]) -> str:
+    whole = {"think_len", "think_mentions", "typos_mentioned", "typos_total", "corrections_mentioned", "corrections_total"}
+    return "pair_id, layout, " + ", ".join(c if c in whole else f"round({c}, 6) AS {c}" for c in columns)
+
+
+BATCH_SQL = "CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) + 1"
+
+
+def _reasoning_examples_sql() -> str:
+    keys = f"(SELECT pair_id, {BATCH_SQL} AS batch FROM {pairs_sql()})"
+    picked = f"(SELECT pair_id, batch FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY pair_id) AS rn FROM {keys} WHERE batch % 10 = 0) WHERE rn <= 3)"
+    ratio = lambda a, b: f"coalesce({a}, 0) || '/' || coalesce({b}, 0)"
+    return (
+        "SELECT batch, r.pair_id, layout, CASE WHEN has_answer THEN pred ELSE substr(completion, 1, 100) || '...' END AS shown, round(cer, 6) AS cer, has_think, has_answer, "
+        "proper_format, printf('%.0f%%', outside_ratio * 100) AS outside, "
+        f"{ratio('typos_mentioned', 'typos_total')} AS typos, {ratio('corrections_mentioned', 'corrections_total')} AS corrections, round(reward, 6) AS reward "
+        f"FROM {_reasoning_sql()} r JOIN {picked} p USING (pair_id)"
+    )
+
+
+def _completions_sql() -> str:
+    """(doc_id, gen_idx, completion, correct) as handed over: unknown documents have no pair."""
+    src = pairs_sql()
+    gens = _positional_sql(f"(SELECT pair_id, doc_id AS source, correct, typos FROM {src})")
+    return (f"(SELECT CASE WHEN source % 7 = 0 THEN source + 1000000000 ELSE source END AS doc_id, CAST(gen_idx AS INTEGER) AS gen_idx, {_strip_sql('completion')} AS c, correct, "
+            f"source % 7 <> 0 AS known FROM {gens})")
+
+
+def _score_completions_sql() -> str:
+    m = _pos_matches_sql("c", "correct")
+    acc = f"(CASE WHEN length(correct) > 0 THEN {m} / CAST(length(correct) AS DOUBLE) ELSE 0.0 END)"
+    ratio = "(length(c) / CAST(greatest(length(correct), 1) AS DOUBLE))"
+    base = f"({acc} + CASE WHEN c = correct THEN 2.0 ELSE 0.0 END)"
+    return (f"SELECT doc_id, gen_idx, CAST({m} AS BIGINT) AS matches, c = correct AS perfect_match, "
+            f"round(CASE WHEN {ratio} < 0.5 OR {ratio} > 2.0 THEN {base} * 0.5 ELSE {base} END, 6) AS reward FROM {_completions_sql()} WHERE known")
+
+
 def _ws() -> str:
     from ..functions.text import WS_RE2
     return WS_RE2
@@ -294,7 +593,7 @@ def _ws() -> str:
 def oracles() -> dict[str, str]:
     pr = _positional_reward_sql()
     fmt = _format_sql_cols()
-    layouts = _layout_sql(f"(SELECT pair_id, correct FROM {pairs_sql()})")
+    layouts = _layout_sql(pairs_sql())
     return {
         "positional_reward": (
             f"SELECT pair_id, gen_idx, matches, round(char_accuracy, 6) AS char_accuracy, perfect_match, "
@@ -307,19 +606,40 @@ def oracles() -> dict[str, str]:
             f"count(*) AS n_rows FROM {pr} GROUP BY source"
         ),
         "first_batch_profile": (
-            "SELECT source AS batch, round(avg(length(completion)), 6) AS mean_len, CAST(min(length(completion)) AS BIGINT) AS min_len, "
+            "SELECT run_id, batch, round(avg(length(completion)), 6) AS mean_len, CAST(min(length(completion)) AS BIGINT) AS min_len, "
             "CAST(max(length(completion)) AS BIGINT) AS max_len, round(avg(reward), 6) AS reward_mean, round(min(reward), 6) AS reward_min, "
             "round(max(reward), 6) AS reward_max, CAST(count(*) FILTER (WHERE reward > 0) AS BIGINT) AS nonzero, count(*) AS n_rows "
-            f"FROM {pr} GROUP BY source"
+            f"FROM (SELECT *, min(batch) OVER (PARTITION BY run_id) AS first FROM (SELECT *, pair_id % 10 AS run_id, {BATCH_SQL} AS batch FROM {pr})) "
+            "WHERE batch = first GROUP BY run_id, batch"
         ),
         "example_rows": (
             "SELECT batch, pair_id, gen_idx, substr(typos, 1, 200) AS typo_text, substr(completion, 1, 300) AS generated, "
             "substr(correct, 1, 200) AS correct_text, round(reward, 6) AS reward FROM ("
             "SELECT *, row_number() OVER (PARTITION BY batch ORDER BY pair_id * 3 + gen_idx) AS rn FROM ("
-            f"SELECT q.*, p.typos, p.correct, CAST(regexp_extract(q.source, '(\\d+)$', 1) AS INTEGER) AS batch "
+            f"SELECT q.*, p.typos, p.correct, {BATCH_SQL.replace('source', 'q.source')} AS batch "
             f"FROM {pr} q JOIN (SELECT pair_id, typos, correct FROM {pairs_sql()}) p USING (pair_id)) WHERE batch % 10 = 0) "
             "WHERE rn <= 3"
         ),
+        "reasoning_examples": _reasoning_examples_sql(),
+        "thinking_target_positional": _thinking_target_sql(),
+        "thinking_reward_positional": f"SELECT {_columns_sql(THINKING_COLUMNS)} FROM {_reasoning_sql()}",
+        "total_reward_positional": f"SELECT {_columns_sql(TOTAL_COLUMNS)}, error FROM {_reasoning_sql()}",
+        "failed_rewards": f"SELECT {_columns_sql((*TOTAL_COLUMNS, *THINKING_COLUMNS[1:]))}, error FROM {_reasoning_sql(failures=True)}",
+        "failed_batch_stats": _component_stats_sql(_reasoning_sql(failures=True)),
+        "reward_batch_stats_positional": _component_stats_sql(_reasoning_sql()),
+        "failed_positional_stats": (
+            "SELECT source AS batch, count(*) AS n_rows, round(avg(CAST(NOT lost AND perfect_match AS DOUBLE)), 6) AS perfect_match_ratio, "
+            "round(avg(CASE WHEN lost THEN 0.0 ELSE reward END), 6) AS reward_mean, round(max(CASE WHEN lost THEN 0.0 ELSE reward END), 6) AS reward_max, "
+            f"round(stddev_pop(CASE WHEN lost THEN 0.0 ELSE reward END), 6) AS reward_std FROM (SELECT *, pair_id % {LOST_CORRECT} = 0 AS lost FROM {pr}) GROUP BY source"
+        ),
+        "score_completions": _score_completions_sql(),
+        "unmatched_completions": f"SELECT doc_id, gen_idx, CAST(length(c) AS BIGINT) AS n_chars FROM {_completions_sql()} WHERE NOT known",
+        "user_reward": f"SELECT pair_id, gen_idx, round(char_accuracy * 2 - CASE WHEN perfect_match THEN 0.0 ELSE 0.5 END, 6) AS user_reward FROM {pr}",
+        "evaluation_tables": (
+            "SELECT run_id, eval_idx, metric, round(value, 6) AS value FROM (UNPIVOT (SELECT source AS run_id, CAST(gen_idx - 1 AS INTEGER) AS eval_idx, "
+            f"avg(char_accuracy) AS char_accuracy, avg(reward) AS reward FROM {pr} WHERE gen_idx > 0 GROUP BY ALL) ON char_accuracy, reward INTO NAME metric VALUE value)"
+        ),
+        "json_lines": "SELECT conv_id, turn, role, text FROM conversations",
         "format_check": (
             f"SELECT pair_id, CAST(layout AS INTEGER) AS layout, {fmt['has_think']} AS has_think, {fmt['has_answer']} AS has_answer, "
             f"{fmt['proper_format']} AS proper_format, round({fmt['outside_ratio']}, 6) AS outside_ratio FROM {layouts}"
@@ -340,14 +660,28 @@ def queries() -> dict:
         "positional_batch_stats": q_positional_batch_stats,
         "first_batch_profile": q_first_batch_profile,
         "example_rows": q_example_rows,
+        "reasoning_examples": q_reasoning_examples,
         "format_check": q_format_check,
         "format_reward": q_format_reward,
         "answer_reward": q_answer_reward,
         "legacy_reward": q_legacy_reward,
         "corrections": q_corrections,
+        "correction_counts": q_correction_counts,
         "corrections_positional": q_corrections_positional,
         "thinking_target": q_thinking_target,
+        "thinking_target_positional": q_thinking_target_positional,
         "thinking_reward": q_thinking_reward,
+        "thinking_reward_positional": q_thinking_reward_positional,
         "total_reward": q_total_reward,
+        "total_reward_positional": q_total_reward_positional,
         "reward_batch_stats": q_reward_batch_stats,
+        "reward_batch_stats_positional": lambda spark, sf_dir: _component_stats(_reasoning(spark, sf_dir, "positional")),
+        "failed_rewards": q_failed_rewards,
+        "failed_batch_stats": q_failed_batch_stats,
+        "failed_positional_stats": q_failed_positional_stats,
+        "score_completions": q_score_completions,
+        "unmatched_completions": q_unmatched_completions,
+        "user_reward": q_user_reward,
+        "evaluation_tables": q_evaluation_tables,
+        "json_lines": q_json_lines,
     }
