@@ -64,13 +64,18 @@ def render_template(messages: Column, template: dict[str, str] = CHATML, generat
     return F.concat(body, F.lit(template["generation"])) if generation else body
 
 
-def render_conversations(conv: DataFrame, template: dict[str, str] = CHATML, generation: bool = True) -> DataFrame:
-    """E4 on the long form: one rendered string per conversation, turns in order."""
+def render_conversations(conv: DataFrame, template: dict[str, str] = CHATML, generation: bool = True,
+                         drop_last: bool = False) -> DataFrame:
+    """E4 on the long form: one rendered string per conversation, turns in order.
+
+    ``drop_last`` leaves out each conversation's last turn (E6); one with a
+    single turn renders as no messages, so it keeps its row."""
     open_before, open_after = template["open"].split("{role}")
     piece = F.concat(F.lit(open_before), F.col("role"), F.lit(open_after), F.coalesce(F.col("text"), F.lit("")),
                      F.lit(template["close"]))
     per_conv = conv.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", piece.alias("p")))).alias("ps"))
-    text = F.array_join(F.transform("ps", lambda x: x["p"]), "")
+    turns = F.slice("ps", 1, F.size("ps") - 1) if drop_last else F.col("ps")
+    text = F.array_join(F.transform(turns, lambda x: x["p"]), "")
     if generation:
         text = F.concat(text, F.lit(template["generation"]))
     return per_conv.select("conv_id", text.alias("rendered"))
@@ -92,11 +97,6 @@ def nth_of_role_long(conv: DataFrame, role: str, n: int) -> DataFrame:
             .filter(F.col("_k") == n + 1).drop("_k"))
 
 
-def drop_last(messages: Column) -> Column:
-    """E6 (wide): ``messages[:-1]``."""
-    return F.slice(messages, 1, F.greatest(F.size(messages) - 1, F.lit(0)))
-
-
 def drop_last_long(conv: DataFrame) -> DataFrame:
     """E6 (long): every turn but the last of each conversation."""
     w = Window.partitionBy("conv_id")

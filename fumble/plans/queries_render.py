@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WS_CHARS, WS_RE2
 from ..operators import render, score
-from ..session import ensure_checkpoint_dir, spread
+from ..session import cut_lineage, ensure_checkpoint_dir, remove_path
 from ..sources import files
 from ..sources.tables import load
 from .common import all_pairs, pairs_sql
@@ -47,7 +47,7 @@ def q_reasoning_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_template_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return render.render_conversations(render.drop_last_long(conv), generation=True)
+    return render.render_conversations(conv, generation=True, drop_last=True)
 
 
 def q_nth_role_message(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def q_realign_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I1 over all documents: prompts are the texts (exact copies share a key);
     results come back with whitespace changed and lower-cased, one per
     document, and must be placed at the right prompt index."""
-    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     prompts = docs.select(F.col("doc_id").alias("idx"), F.col("text").alias("prompt"))
     results = docs.select(
         F.col("doc_id").alias("ridx"),
@@ -99,7 +99,9 @@ def q_pair_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = roundtrip_dir(spark, "pairs-csv")
     files.write_pairs(all_pairs(spark, sf_dir), path, mode="overwrite")
     ok, _bad = files.read_pairs(spark, path)
-    return ok.select("correct", "typos")
+    back = cut_lineage(ok.select("correct", "typos"))
+    remove_path(spark, path)
+    return back
 
 
 # ------------------------------------------------------------------ oracles
@@ -122,8 +124,8 @@ def oracles() -> dict[str, str]:
         "short_prompt": f"SELECT pair_id, {short_prompt} AS prompt, correct AS correct_text, typos AS typo_text FROM {pairs}",
         "reasoning_prompt": f"SELECT pair_id, ({_chatml_sql(_sql_lit('user'), reasoning)} || {gen_marker}) AS prompt FROM {pairs}",
         "template_render": (
-            f"SELECT conv_id, string_agg({_chatml_sql('role', 'coalesce(text, ' + chr(39) + chr(39) + ')')}, '' ORDER BY turn) || {gen_marker} AS rendered "
-            "FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last_turn FROM conversations) WHERE turn < last_turn GROUP BY conv_id"
+            f"SELECT conv_id, coalesce(string_agg({_chatml_sql('role', 'coalesce(text, ' + chr(39) + chr(39) + ')')}, '' ORDER BY turn) FILTER (turn < last_turn), '') || {gen_marker} AS rendered "
+            "FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last_turn FROM conversations) GROUP BY conv_id"
         ),
         "nth_role_message": (
             "SELECT conv_id, role, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k "

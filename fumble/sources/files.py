@@ -6,9 +6,9 @@ return (``multiLine``); Spark reads an unquoted empty field as null and keeps
 ``NA`` as text, while pandas turns both into the text ``nan`` — parity with
 that is a flag (``null_as_nan``).
 
-Known difference: Spark's CSV parser normalises a carriage return inside a
-quoted field to a line feed; the driver tables contain none. Parquet is the
-default sink of every job.
+Records end with a line feed only, so a carriage return inside a quoted field
+stays. A file read with ``multiLine`` cannot be split into several tasks;
+Parquet is the default sink of every job.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def read_pairs(spark: SparkSession, path: str, columns: tuple[str, str] = PAIR_O
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     raw = (spark.read.schema(schema).option("header", False).option("escape", '"')
-           .option("multiLine", True).option("mode", "PERMISSIVE")
+           .option("multiLine", True).option("lineSep", "\n").option("mode", "PERMISSIVE")
            # unquoted empty -> null, quoted "" -> '' (the default maps both to null)
            .option("nullValue", NULL_MARK).csv(path))
     cols = []
@@ -64,9 +64,26 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).json(path)
 
 
+def write_jsonl(df: DataFrame, path: str, mode: str = "append") -> None:
+    """A6 as JSON lines; nulls are written, so a field is never guessed to be absent."""
+    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+
+
 def write_records(df: DataFrame, path: str, mode: str = "append", partition_by: list[str] | None = None) -> None:
-    """Record and scalar-metric tables as Parquet, appended per evaluation."""
+    """Record tables as Parquet, appended per evaluation."""
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+
+
+def write_scalars(metrics: DataFrame, path: str, key: tuple[str, str] = ("run_id", "eval_idx")) -> None:
+    """One row per run and evaluation, every other column a scalar, appended
+    in long form (run_id, eval_idx, metric, value)."""
+    names = [c for c in metrics.columns if c not in key]
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names])).alias("x")
+    write_records(metrics.select(*key, rows).select(*key, "x.metric", "x.value"), path)
+
+
+def read_scalars(spark: SparkSession, path: str, key: str = "run_id string, eval_idx int") -> DataFrame:
+    return spark.read.schema(f"{key}, metric string, value double").parquet(path)

@@ -109,7 +109,10 @@ def test_csv_dialect_round_trip(spark):
     with open(os.path.join(d, "raw.csv"), "w") as f:
         f.write('"c\rd",\nNA,x\n')
     ok2, bad2 = files.read_pairs(spark, os.path.join(d, "raw.csv"))
-    assert bad2.count() == 1 and ok2.count() == 1
+    assert bad2.count() == 1 and [r.correct for r in bad2.collect()] == ["c\rd"] and ok2.count() == 1
+    # a carriage return in a quoted field stays what it is
+    files.write_pairs(spark.createDataFrame([("c\rd", "x\ry z")], "correct string, typos string"), os.path.join(d, "cr"), mode="overwrite")
+    assert [tuple(r) for r in files.read_pairs(spark, os.path.join(d, "cr"))[0].collect()] == [("c\rd", "x\ry z")]
     nan_ok, _ = files.read_pairs(spark, os.path.join(d, "raw.csv"), null_as_nan=True)
     assert sorted((r.correct, r.typos) for r in nan_ok.collect())[-1] == ("nan", "x")
 
@@ -133,3 +136,59 @@ def test_comparison_display(spark):
     rows = {r.metric: r for r in report.comparison_display(cmp).collect()}
     r = rows["CER (lower=better)"]
     assert (r.baseline, r.current, r.improvement, r.pct_change) == ("50.00%", "62.50%", "+12.50pp", "+25.0%")
+
+
+def test_one_turn_conversation_keeps_its_row(spark):
+    conv = spark.createDataFrame([(1, 0, "user", "a"), (2, 0, "user", "b"), (2, 1, "assistant", None)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r.rendered for r in render.render_conversations(conv, drop_last=True).collect()}
+    marker = render.CHATML["generation"]
+    assert got[1] == marker and got[2].endswith(marker) and "b" in got[2]
+
+
+def test_distance_alphabet_covers_documents_and_layouts(spark):
+    """The oracle's one-byte codes: a code for every non-ASCII character, and none that a text uses."""
+    from conftest import SF01
+    from fumble.plans import common, queries_reward
+    from fumble.sources.tables import load
+
+    chars = set()
+    for r in load(spark, SF01, "documents").select("text").collect():  # a test table of 1,000 rows
+        chars |= set(r.text or "")
+    chars |= set(queries_reward.LAYOUT_THINK_TEXT + queries_reward.LAYOUT_BAD_THINK + queries_reward.LAYOUT_BAD_ANSWER)
+    assert {c for c in chars if ord(c) > 127} <= set(common.NON_ASCII)
+    assert len(common.ONE_BYTE) == len(common.NON_ASCII) == len(set(common.ONE_BYTE)) and not chars & set(common.ONE_BYTE)
+    assert all(ord(c) < 128 for c in common.ONE_BYTE)
+
+
+def test_message_list_completions(spark):
+    """The first message's content; an empty or missing list gives ''."""
+    from fumble.operators import reward
+
+    rows = [(1, "text ", None), (2, None, [("assistant", " said "), ("user", "no")]), (3, None, []), (4, None, None)]
+    df = spark.createDataFrame(rows, "id long, completion string, messages array<struct<role:string,content:string>>")
+    got = {r.id: r.completion for r in reward.completion_text(df, strip=True).collect()}
+    assert got == {1: "text", 2: "said", 3: "", 4: ""}
+
+
+def test_unmatched_completions_are_reported(spark):
+    from fumble.operators import reward
+
+    comps = spark.createDataFrame([(1, "a"), (1, "b"), (9, "c")], "doc_id long, completion string")
+    pairs = spark.createDataFrame([(1, "x"), (2, "y")], "doc_id long, correct string")
+    matched, unmatched = reward.join_completions(comps, pairs, ["doc_id"])
+    assert matched.count() == 2 and [r.completion for r in unmatched.collect()] == ["c"]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    import pytest
+    from fumble.session import ensure_checkpoint_dir
+
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Cluster:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Cluster())
