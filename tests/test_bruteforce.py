@@ -90,7 +90,7 @@ ROWS = [
     (f"<think>{'b' * 500}</think><answer>{T}</answer>", [], 1.0, 4.5, 0.0, 5.5),
     (f"<think>{'b' * 501}</think><answer>{T}</answer>", [], 1.0, 4.5, 0.1, 5.6),
     (f"<think>zamiast</think><answer>{T}</answer>", [], 1.0, 4.5, 0.15, 5.65),
-    (f"<think>zamiast powinno pomył zmieni</think><answer>{T}</answer>", [], 1.0, 4.5, 0.155 + 0.5, 6.155),
+    (f"<think>zamiast powinno pomył zmieni</think><answer>{T}</answer>", [], 1.0, 4.5, 0.14 + 0.5, 6.14),         # 28 characters, four stems of which 0.5 counts
     (f"<think>xx yy</think><answer>{T}</answer>", [("xx", "qq"), ("zz", "yy")], 1.0, 4.5, 0.75, 6.25),   # half of each
     (f"<think>xx</think><answer>{T}</answer>", [("xx", "")], 1.0, 4.5, 0.75, 6.25),                      # nothing to correct
     (f"<answer>{T}</answer>", [], 0.3, 4.5, 0.0, 3.0),                                                   # cap without reasoning

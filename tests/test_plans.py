@@ -65,10 +65,11 @@ def test_sample_rounds_cut_equals_full_pass(spark):
 
 
 def test_sample_rounds_starts_no_job_at_plan_time(spark):
+    docs = load(spark, SF01, "documents").select("doc_id", "source")  # reads the files' schema in a job
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("planning", "sample_rounds")
     try:
-        sample.sample_rounds(load(spark, SF01, "documents").select("doc_id", "source"), rounds=3, k=5)
+        sample.sample_rounds(docs, rounds=3, k=5)
         assert not tracker.getJobIdsForGroup("planning")
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
