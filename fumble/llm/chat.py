@@ -5,8 +5,8 @@ successive prefixes of a conversation are rendered; where each output starts
 with the one before, the new part is the turn's span. A prefix that does not
 keep the output before it shows a template that rewrites history; its turns
 are then located in the last output by exchanging one turn at a time. Inside
-a span, the text's place is found by rendering the turn with two marker texts:
-what both outputs share before and after is the turn's frame.
+a span, the text's place is found by rendering marks instead of texts: what
+stands around a mark is the turn's frame.
 
 Conversations are dealt by id and read as a sorted stream, so a task holds the
 turns of one conversation at a time. Rendering all prefixes is quadratic in
@@ -95,16 +95,26 @@ def frame(template: Template, before: list[Turn], role: str, after: list[Turn])
 
 
 def locate(turns: list[Turn], template: Template) -> tuple[str, list[tuple], bool]:
-    """(output, a span for each turn, whether the template rewrites history)."""
-    spans, last, rewrites = [], template([]), False
+    """(output, a span for each turn, whether the template rewrites history).
+
+    Prefixes with a short mark for every text are rendered alongside: what
+    stands around the mark in a turn's span is its frame. Where the turn's own
+    span does not have that frame, the turn is rendered with other texts."""
+    marks = [(role, f"zq{k}qz") for k, (role, _) in enumerate(turns)]
+    spans, last, marked, rewrites = [], template([]), template([]), False
     for k, (role, _) in enumerate(turns):
-        now = template(turns[: k + 1])
+        now, now_marked = template(turns[: k + 1]), template(marks[: k + 1])
         rewrites = rewrites or not now.startswith(last)
         if rewrites:
             break
-        head, tail = frame(template, turns[:k], role, [])
+        span = now[len(last) :]
+        before, mark, after = now_marked[len(marked) :].partition(marks[k][1])
+        if mark and now_marked.startswith(marked) and mark not in after and len(span) >= len(before) + len(after) and span.startswith(before) and span.endswith(after):
+            head, tail = len(last) + len(before), len(after)
+        else:
+            head, tail = frame(template, turns[:k], role, [])
         spans.append((role, len(last), len(now), head, len(now) - tail))
-        last = now
+        last, marked = now, now_marked
     if rewrites:
         last, spans = template(turns), []
         for k, (role, _) in enumerate(turns):
