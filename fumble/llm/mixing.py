@@ -32,6 +32,7 @@ CAP = 3
 ONE = 1 << 30
 SHIFTS = 16
 BUCKET = 65536
+SALTS = 64
 STEPS, TOLERANCE = 60, 1e-10
 
 
@@ -127,8 +128,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     shifts = [int(ONE * (2 * i + 1) / (2 * SHIFTS)) for i in range(SHIFTS)]
     sums = df.groupBy("source").agg(F.first("target").alias("target"), *[F.sum(copies(F.lit(s)) * F.col("size")).alias(f"w{i}") for i, s in enumerate(shifts)])
     near = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{i}") - F.col("target")).alias("gap"), F.lit(s).cast("long").alias("shift")) for i, s in enumerate(shifts)]))
-    chosen = sums.select("source", near["shift"].alias("shift"))
-    df = df.join(chosen, "source").withColumn("copies", copies(F.col("shift")))
+    # a source may hold a third of all rows: its rows are parted by a salt, its one shift goes to every part
+    chosen = sums.select("source", near["shift"].alias("shift"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    df = df.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int"))
+    df = df.join(chosen, ["source", "salt"]).withColumn("copies", copies(F.col("shift")))
     return df.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
