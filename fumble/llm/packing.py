@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fumble.llm.shared import keep, with_package
-from fumble.llm.tokens import batches_of, encoder
+from fumble.llm.tokens import encoder, slices
 
 END = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -56,11 +56,11 @@ def pieces(docs: DataFrame, file: str, tokens: int = 2048, id_col: str = "doc_id
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(file, True)
         for b in batches:
-            rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-            for part in batches_of(rows, [len(t or "") for _, t in rows]):
-                ids, sizes = enc.encode([t for _, t in part])
+            for first, rows in slices(b.column(1)):
+                part = b.slice(first, rows)
+                ids, sizes = enc.encode(part.column(1))
                 out, at = [], 0
-                for (doc, _), n in zip(part, sizes, strict=True):
+                for doc, n in zip(part.column(0).to_pylist(), sizes, strict=True):
                     own = np.append(ids[at : at + n], END).astype("<u4")
                     at += n
                     for k, s in enumerate(range(0, len(own), tokens)):

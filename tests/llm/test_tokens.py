@@ -1,12 +1,13 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from fumble.llm.tokens import DROPPED, SPACED, Encoder, batches_of
+from fumble.llm.tokens import DROPPED, SPACED, Encoder, slices
 
 FILES = [("word_bpe_49k.json", DROPPED), ("byte_bpe_50k.json", SPACED)]
 ODD = " \t\n\r\x0b\x0c\x1c\x1f\x85\xa0   　​﻿'sté́İΣςß1٣!.<|endoftext|>日本𝒳ab"
@@ -33,4 +34,18 @@ def test_nulls_long_texts_and_batches():
     long = "".join(rng.choice("ab c\n") for _ in range(200_000))
     ids, sizes = enc.encode([None, "", long, None])
     assert sizes.tolist() == [0, 0, len(enc.tokenizer.encode(long, add_special_tokens=False).ids), 0] and len(ids) == sizes.sum()
-    assert [list(b) for b in batches_of([1, 2, 3, 4], [5, 5, 1, 9], 10)] == [[1, 2], [3, 4]] and list(batches_of([], [])) == []
+    column = pa.array(["12345", "12345", None, "1", "123456789", "", "1" * 30])
+    assert list(slices(column, 10)) == [(0, 3), (3, 3), (6, 1)] and list(slices(column[:0])) == []
+
+
+@pytest.mark.parametrize("name,unit", FILES)
+def test_plain_texts(name, unit):
+    """Single spaces and line ends only: the way of nearly all texts."""
+    file, rng = public_tokenizers.path(name), random.Random(2)
+    whole, enc = Tokenizer.from_file(file), Encoder(file, unit, memo=2000)
+    words = ["<|endoftext|>", "a<|endoftext|>", "<|startoftext|>.", "<|endoftext|>!?", "endoftext|>", "It's.", "a'", "x-y-", "1.", "İ.", "ǰ!"]
+    words += [w for t in ("It's done, they'll go.", "Éa 日本 𝒳x İ 12a !! ~| <|endoftext|>x") for w in t.split()] + ["a" * 300]
+    texts = [rng.choice(["", " ", "\n"]) * (rng.random() < 0.1) + "".join(rng.choice(words) + rng.choice(" \n") for _ in range(rng.randrange(40))) + rng.choice(words) for _ in range(800)]
+    ids, sizes = enc.encode(texts)
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
