@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from fumble.llm.shared import frame_of, keep, shared_path, with_package
-from fumble.llm.tokens import batches_of, encoder
+from fumble.llm.tokens import encoder, slices
 
 END = 2
 HEAD, FLAGGED = struct.Struct("<QI"), struct.Struct("<qB")
@@ -95,11 +95,11 @@ def write_records(docs: DataFrame, file: str, out: str, end: int = END, id_col:
         at = position = 0
         with fs.open_output_stream(own, buffer_size=1 << 20) as f:
             for b in batches:
-                rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-                for part in batches_of(rows, [len(t or "") for _, t in rows]):
-                    ids, sizes = enc.encode([t for _, t in part])
+                for first, rows in slices(b.column(1)):
+                    part = b.slice(first, rows)
+                    ids, sizes = enc.encode(part.column(1))
                     index, done = [], 0
-                    for (doc, _), n in zip(part, sizes, strict=True):
+                    for doc, n in zip(part.column(0).to_pylist(), sizes, strict=True):
                         data = frame(doc, np.append(ids[done : done + n], end))
                         done += n
                         f.write(data)
@@ -137,7 +137,7 @@ def read_records(spark: SparkSession, out: str) -> DataFrame:
             yield frame_of(rows, READ)
 
     files = spark.read.schema(INDEX).parquet(f"{out}/index").select("shard", "path").distinct()
-    return files.mapInPandas(read, ROWS)
+    return files.repartition(max(1, files.count())).mapInPandas(read, ROWS)  # a task per file
 
 
 def read_one(out: str, path: str, offset: int) -> tuple[int | None, np.ndarray]:
