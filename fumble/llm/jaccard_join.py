@@ -2,12 +2,15 @@
 
 The Jaccard distance 1 - J is a metric; documents link within ``radius``.
 
-1. Coarse regions. Linked sets share one of their rarest
-   ``n - ceil(0.8 n) + 1`` shingles (any common order is exact; rare first
-   keeps passages that many documents share out of it). Each task joins the
-   documents of a shingle to the least one it sees, so a shingle held by very
-   many documents leaves a task as one row; the connected components of these
-   edges are regions that no link leaves.
+1. Coarse regions. Shingles are ordered by their hash. Linked sets x and y share
+   at least l of their first n - ceil(0.8 n) + l shingles, with l a tenth of the
+   smaller set. One pass over the texts counts, for every document, how many of
+   these first shingles occur in another text; who has too few is linked with
+   nothing, and so are most documents that only share a passage. Those left are
+   joined, over their first n - ceil(0.8 n) + 1 shingles, with the least
+   document that has the shingle; the connected components are regions that no
+   link leaves. Each task sums up what it holds before the shuffle, so a
+   shingle held by very many documents leaves a task as one row.
 2. Voronoi split. A region above ``leaf`` shingles takes pivots; every document
    goes to its nearest pivot's region, and also to that of each pivot q with
    d(x, q) - d(x, nearest) <= 2 radius: by the triangle inequality a partner
@@ -16,8 +19,9 @@ The Jaccard distance 1 - J is a metric; documents link within ``radius``.
    more. Regions that shrink are split again; small ones are joined whole.
 3. Rounds. A dense region does not shrink, since its documents are all alike;
    there documents outside the largest component found so far become pivots,
-   ``PIVOTS`` a round, against all its documents in chunks, until none is left:
-   every pair in different components has then been compared by one side.
+   ``BLOCK`` shingles a round - a broadcast of fixed size - against all documents
+   of such regions, until none is left: every pair in different components has
+   then been compared by one side.
 4. Inside a small region the same rule runs on an inverted index.
 
 Documents with equal sets count as one; links are never dropped, but pairs
@@ -32,50 +36,61 @@ a row each; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from fumble.llm.components import components
 from fumble.llm.shared import frame_of, keep, with_package
+from fumble.llm.tokens import ragged, slices
+from fumble.llm.url_filter import bloom_block, bloom_mask, bloom_table
+from fumble.llm.words import word_codes
 
 K = 5
 PERCENT = 80  # similarity in per cent, as a whole number: the test is exact
 LEAF = 1 << 20  # shingles of a region that one task joins
 PIVOTS = 64
+BLOCK, BLOCK_SETS = 1 << 21, 1 << 13  # shingles and sets of one round's pivots, 16 MB
 DEPTH = 4
-SKETCH = 1 << 20  # counters of shingle frequency, 4 MB; they order the shingles only
+SHARE = 10  # a tenth of a set's shingles must be met again
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+HELD = 1 << 21  # shingles that a task joins before it sends them
+PART = 1 << 22  # bytes of text at a time
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _STEPS = _MIX * np.arange(1, 6, dtype=np.uint64)
 
 
-@lru_cache(maxsize=1 << 18)
-def _word(w: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(w)
+def shingle_sets(texts: pa.Array, k: int = K) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles of ``k``
+    words; a text of fewer words has one, a text of none has none."""
+    for first, rows in slices(texts, PART):
+        yield from _part_sets(texts.slice(first, rows), k)
 
 
-def shingles(text: str | None, k: int = K) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles of ``k`` words."""
-    words = (text or "").encode().lower().split()  # A-Z and the six ASCII spaces only
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_word, words), np.uint64, len(words))
-    if len(h) < k:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    out = np.zeros(len(h) - k + 1, np.uint64)
+def _part_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    words, codes, counts = word_codes(texts)
+    of_word = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))
+    h = of_word[codes]
+    rolled = np.zeros(max(0, len(h) - k + 1), np.uint64)
     for i in range(k):
-        x = h[i : i + len(out)] + _STEPS[i % len(_STEPS)]
-        out = (out ^ (x ^ (x >> np.uint64(29)))) * _MIX[0]
-        out ^= out >> np.uint64(32)
-    return np.unique(out)
+        x = h[i : i + len(rolled)] + _STEPS[i % len(_STEPS)]
+        rolled = (rolled ^ (x ^ (x >> np.uint64(29)))) * _MIX[0]
+        rolled ^= rolled >> np.uint64(32)
+    start = 0
+    for n in counts.tolist():
+        if n >= k:
+            yield np.unique(rolled[start : start + n - k + 1])
+        else:
+            whole = h[start : start + n].tobytes()
+            yield np.array([xxhash.xxh3_64_intdigest(whole, seed=n)] if n else [], np.uint64)
+        start += n
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -91,109 +106,157 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def set_table(texts: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, node, sketch): one row per document, and for
-    each task one row with its shingle counts (n_shingles is null there)."""
+def prefix_length(n: int, percent: int = PERCENT, shared: int = 1) -> int:
+    """First shingles of which linked sets share ``shared``."""
+    return n - -(-n * percent // 100) + shared
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, np.uint32)
-        for b in batches:
-            rows = []
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingles(t, k)
-                np.add.at(counts, (s % np.uint64(SKETCH)).astype(np.int64), 1)
-                rows.append((doc, len(s), d := digest(s), node_of(d), None))
-            yield out(rows)
-        if counts.any():
-            yield out([(None, None, None, None, zlib.compress(counts.tobytes(), 1))])
 
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        cols = zip(*rows, strict=True) if rows else [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "n_shingles", "digest", "node", "sketch"])
+def must_share(n: int) -> int:
+    return max(1, n // SHARE)
 
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, digest binary, node long, sketch binary")
 
+def least_shared(n: Column, percent: int) -> Column:
+    """What a set of ``n`` shares at least with any partner, which may be as small as ceil(0.8 n)."""
+    smallest = F.ceil(n * percent / 100)
+    return F.greatest(F.lit(1), F.floor(smallest / SHARE))
 
-def merged_sketch(rows: DataFrame) -> np.ndarray:
-    """Sum of the tasks' counters, added pair by pair over the executors: a
-    number of rounds that is the logarithm of the number of tasks."""
 
-    def add(f: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(SKETCH, np.uint32)
-        for x in f["sketch"]:
-            total += np.frombuffer(zlib.decompress(x), np.uint32)
-        return pd.DataFrame({"sketch": [zlib.compress(total.tobytes(), 1)]})
+def _grouped(token: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (token, node) pairs in order, the first place of each token's run, and the size of each pair's run."""
+    order = np.lexsort((node, token))
+    token, node = token[order], node[order]
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+    token, node = token[new], node[new]
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    return token, node, first, np.diff(np.append(first, len(token)))
 
-    rows = rows.filter("sketch is not null").select("sketch")
-    while (n := rows.count()) > 8:
-        rows = keep(rows.withColumn("g", F.pmod(F.xxhash64("sketch"), F.lit(-(-n // 8)))).groupBy("g").applyInPandas(add, "sketch binary"), "sketch")
-    total = np.zeros(SKETCH, np.uint64)
-    for r in rows.collect():  # at most 8 rows of 4 MB
-        total += np.frombuffer(zlib.decompress(r["sketch"]), np.uint32)
-    return np.minimum(total, 2**32 - 1).astype(np.uint32)
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
-def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - -(-n * percent // 100) + 1
 
+def _tally(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(nodes, return_counts=True)
 
-def rare_first(s: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
-    """The prefix of a set: its first shingles by (frequency level, hash)."""
-    order = (level[(s % np.uint64(SKETCH)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
-    p = prefix_length(len(s), percent)
-    return s if p >= len(s) else s[order <= np.partition(order, p - 1)[p - 1]]
 
+# what a task sends: a document (doc_id, n, digest, node), a shingle (token, node, met), or a count (node, n)
+SENT = "kind string, key long, doc_id long, n long, digest binary, node long, met boolean"
+_SENT = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_())
 
-def _stars(token: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, least node of each, least node of each row's token) of parallel arrays."""
-    order = np.lexsort((node, token))
-    token, node = token[order], node[order]
-    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-    least = np.repeat(node[first], np.diff(np.append(first, len(token))))
-    return token[first], node[first], np.stack([node, least]) if len(token) else np.zeros((2, 0), np.int64)
 
+def _sent(kind: str, rows: int, **columns) -> pa.RecordBatch:
+    names = [x.split()[0] for x in SENT.split(", ")]
+    columns["kind"] = [kind] * rows
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(rows, t) for c, t in zip(names, _SENT, strict=True)], names)
 
-def _edges(pairs: np.ndarray) -> np.ndarray:
-    return np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
 
+def documents_and_counts(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """One pass over all texts: rows "doc" (doc_id, n, digest, node) and rows
+    "count" (node, n): how many of a set's first shingles another text has."""
 
-def coarse_edges(texts: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(a, b): edges that join all nodes with a shingle in common prefixes. A
-    node is the first half of a set's digest; equal halves only make a region larger."""
-    level = np.minimum(np.log2(np.maximum(sketch, 1)).astype(np.int64) * 2, 63)
-    sent = texts.sparkSession.sparkContext.broadcast(level.astype(np.uint8))  # of fixed size
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, nodes, held = [], [], 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                s = shingles(t, k)
+            rows = []
+            for doc, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), k), strict=True):
+                d = digest(s)
+                node = node_of(d)
+                rows.append((doc, len(s), d, node))
                 if len(s):
-                    p = rare_first(s, sent.value, percent)
-                    tokens.append(p.view(np.int64))
-                    nodes.append(np.full(len(p), node_of(digest(s))))
-                    held += len(p)
-                if held >= 1 << 22:
-                    yield out(tokens, nodes)
+                    first = s[: prefix_length(len(s), percent, must_share(len(s)))].view(np.int64)
+                    tokens.append(first)
+                    nodes.append(np.full(len(first), node))
+                    held += len(first)
+                if held >= HELD:
+                    yield from local(tokens, nodes)
                     tokens, nodes, held = [], [], 0
-        yield out(tokens, nodes)
+            if rows:
+                docs, n, digests, names = zip(*rows, strict=True)
+                yield _sent("doc", len(rows), key=range(len(rows)), doc_id=docs, n=n, digest=digests, node=names)
+        yield from local(tokens, nodes)
+
+    def local(tokens: list, nodes: list) -> Iterator[pa.RecordBatch]:
+        t, node, first, size = _grouped(_joined(tokens), _joined(nodes))
+        met = np.repeat(size > 1, size)
+        yield _sent("shingle", len(first), key=t[first], node=node[first], met=size > 1)
+        names, n = _tally(node[met])
+        yield _sent("count", len(names), key=names, node=names, n=n)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a task sends a shingle once for each HELD shingles it reads; a very common one stays a few rows
+        keys, nodes, met = [], [], []
+        for b in batches:
+            kind = np.asarray(pc.equal(b.column(0), "shingle").cast(pa.uint8())).astype(bool)
+            if kind.any():
+                some = b.filter(pa.array(kind))
+                keys.append(np.asarray(some.column(1)))
+                nodes.append(np.asarray(some.column(5)))
+                met.append(np.asarray(some.column(6).cast(pa.uint8())).astype(bool))
+            if not kind.all():
+                yield b.filter(pa.array(~kind))
+        key, node, met = _joined(keys), _joined(nodes), _joined(met).astype(bool)
+        order = np.argsort(key, kind="stable")
+        key, node, met = key[order], node[order], met[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(key)))
+        # another text: another sender's node, or one that its own sender met already
+        other = np.repeat(np.maximum.reduceat(node, first) != np.minimum.reduceat(node, first), size) if len(key) else np.zeros(0, bool)
+        names, n = _tally(node[other & ~met])
+        yield _sent("count", len(names), key=names, node=names, n=n)
+
+    return texts.mapInArrow(read, SENT).repartition("key").mapInArrow(meet, SENT)
+
+
+def coarse_edges(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): digests joined through shingles of their prefixes; ``members``: digest, shingles."""
+
+    def stars(token: np.ndarray, node: np.ndarray, names: list[bytes]) -> tuple[list, list, list, list]:
+        t, node, first, size = _grouped(token, node)
+        least = np.repeat(node[first], size)
+        pairs = np.unique(np.stack([node, least])[:, node != least], axis=1) if len(t) else np.zeros((2, 0), np.int64)
+        return t[first], [names[i] for i in node[first]], [names[i] for i in pairs[0]], [names[i] for i in pairs[1]]
+
+    def ranked(digests: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """Distinct digests in order, and the rank of each given one: the least digest has the least rank."""
+        names = sorted(set(digests))
+        rank = {d: i for i, d in enumerate(names)}
+        return names, np.array([rank[d] for d in digests], np.int64)
+
+    def batch(token, x, y) -> pa.RecordBatch:
+        tokens = pa.nulls(len(x), pa.int64()) if token is None else pa.array(token, pa.int64())
+        return pa.RecordBatch.from_arrays([tokens, pa.array(x, pa.binary()), pa.array(y, pa.binary()) if y is not None else pa.nulls(len(x), pa.binary())], ["token", "a", "b"])
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests, tokens, held = [], [], 0
 
-    def out(tokens: list, nodes: list) -> pa.RecordBatch:
-        empty = [np.zeros(0, np.int64)]
-        t, n, pairs = _stars(np.concatenate(tokens or empty), np.concatenate(nodes or empty))
-        e = _edges(pairs)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([t, e[0]])), pa.array(np.concatenate([n, e[1]])), pa.array(np.arange(len(t) + e.shape[1]) < len(t))], ["x", "y", "token"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            names, rank = ranked(digests)
+            t, least, a, b = stars(_joined(tokens), np.repeat(rank, [len(x) for x in tokens]), names)
+            yield batch(t, least, None)
+            yield batch(None, a, b)
+
+        for b in batches:
+            for d, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = np.frombuffer(raw, np.uint64)
+                digests.append(d)
+                tokens.append(s[: prefix_length(len(s), percent)].view(np.int64))
+                held += len(tokens[-1])
+            if held >= HELD:
+                yield from flush()
+                digests, tokens, held = [], [], 0
+        yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if got:
-            e = _edges(_stars(*(np.concatenate(c) for c in zip(*got, strict=True)))[2])
-            yield pa.RecordBatch.from_arrays([pa.array(e[0]), pa.array(e[1])], ["a", "b"])
+        got = [(np.asarray(b.column(0)), b.column(1).to_pylist()) for b in batches if b.num_rows]
+        names, rank = ranked([d for _, ds in got for d in ds])
+        _, _, a, b = stars(_joined([t for t, _ in got]), rank, names)
+        yield batch(None, a, b)
 
-    first = keep(texts.select("text").mapInArrow(local, "x long, y long, token boolean"), "jaccard-prefixes")
-    # a task sends a shingle once, so none has more rows than there are tasks
-    met = first.filter("token").select("x", "y").repartition("x").mapInArrow(meet, "a long, b long")
-    return first.filter("not token").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(met)
+    kinds = "token long, a binary, b binary"
+    first = keep(members.select("digest", "shingles").mapInArrow(local, kinds), "jaccard-prefixes")
+    met = first.filter("token is not null").repartition("token").mapInArrow(meet, kinds)
+    return first.filter("token is null").select("a", "b").unionByName(met.select("a", "b"))
 
 
 class Region:
@@ -294,9 +357,10 @@ def _with_distances(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
             yield key[0], docs["digest"].tolist(), [d for d, _ in heads], sizes, np.array([len(p) for _, p in heads]), both, docs["shingles"].tolist()
 
 
-def split(members: DataFrame, pivots: DataFrame, percent: int, chunk: int) -> DataFrame:
+def split(members: DataFrame, pivots: DataFrame, percent: int, chunk: int, sizes_only: bool = False) -> DataFrame:
     """Voronoi regions of large regions: rows (region, digest, n, shingles) of the
-    new ones, and links to pivots (a, b) with a null region."""
+    new ones, and links to pivots (a, b) with a null region. ``sizes_only``
+    leaves out all but the sizes n."""
     radius = 1 - percent / 100 + 1e-9
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -306,6 +370,9 @@ def split(members: DataFrame, pivots: DataFrame, percent: int, chunk: int) -> Da
             nearest = d.min(1)
             near = (d - nearest[:, None] <= 2 * radius) & (nearest < 1)[:, None]
             rows, outer = [], nearest >= 1 - radius
+            if sizes_only:
+                yield frame_of([(0, None, int((near.sum(1) + outer) @ sizes), None, None)], "region:Int64 digest:object n:Int64 shingles:object other:object")
+                continue
             for i, j in zip(*np.nonzero(near), strict=True):
                 rows.append((xxhash.xxh3_64_intdigest(heads[j], seed=int(region) & 0xFFFFFFFF) >> 1, digests[i], int(sizes[i]), raw[i], None))
             for i in np.flatnonzero(outer):
@@ -318,14 +385,35 @@ def split(members: DataFrame, pivots: DataFrame, percent: int, chunk: int) -> Da
     return _beside_pivots(members, pivots, chunk, run, "region long, digest binary, n long, shingles binary, other binary")
 
 
-def pivot_links(members: DataFrame, pivots: DataFrame, percent: int, chunk: int) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, digests, heads, sizes, head_sizes, both, _ in _with_distances(frames):
-            hit = np.nonzero(100 * both >= percent * (sizes[:, None] + head_sizes[None, :] - both))
-            pairs = [(digests[i], heads[j]) for i, j in zip(*hit, strict=True) if digests[i] != heads[j]]
-            yield pd.DataFrame(pairs, columns=["a", "b"], dtype=object)
+def block_links(members: DataFrame, block: list[tuple[bytes, np.ndarray]], percent: int) -> DataFrame:
+    """Links (a, b) between all members and the sets of a block, as a written
+    table; the broadcast block is given up after that."""
+    sent = members.sparkSession.sparkContext.broadcast(block)  # at most BLOCK shingles, or one set
 
-    return _beside_pivots(members, pivots, chunk, run, "a binary, b binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, sets = zip(*sent.value, strict=True)
+        sizes = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        owner = np.repeat(np.arange(len(sets)), sizes)[order]
+        tokens, first = np.unique(flat[order], return_index=True)
+        first = np.append(first, len(flat))
+        for b in batches:
+            left, right = [], []
+            for d, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = np.frombuffer(raw, np.uint64)
+                at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+                at = at[tokens[at] == s]
+                both = np.bincount(owner[ragged(first[at], first[at + 1] - first[at])], minlength=len(sets))
+                for j in np.flatnonzero(100 * both >= percent * (len(s) + sizes - both)):
+                    if names[j] != d:
+                        left.append(d)
+                        right.append(names[j])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+
+    found = keep(members.select("digest", "shingles").mapInArrow(run, "a binary, b binary"), "jaccard-links")
+    sent.destroy()
+    return found
 
 
 def first_of_region(rows: DataFrame, pivots: int) -> DataFrame:
@@ -334,29 +422,39 @@ def first_of_region(rows: DataFrame, pivots: int) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= pivots).drop("_r")
 
 
-def rounds(members: DataFrame, percent: int, chunk: int, pivots: int) -> DataFrame:
+def next_block(open_: DataFrame, members: DataFrame, block: int) -> list[tuple[bytes, np.ndarray]]:
+    """The next pivots: open sets in order of digest, as many as hold ``block`` shingles, one at least."""
+    order = Window.orderBy("digest")  # over at most BLOCK_SETS rows
+    some = open_.select("digest", "n").distinct().orderBy("digest").limit(BLOCK_SETS).withColumn("upto", F.sum("n").over(order)).withColumn("place", F.row_number().over(order))
+    chosen = some.filter((F.col("upto") <= block) | (F.col("place") == 1)).select("digest")
+    rows = members.join(chosen, "digest", "left_semi").select("digest", "shingles").dropDuplicates(["digest"]).collect()
+    return [(bytes(r["digest"]), np.frombuffer(bytes(r["shingles"]), np.uint64)) for r in rows]
+
+
+def rounds(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame | None:
     """Links (a, b) of regions too dense to split; see 3. in the module's text."""
-    state = keep(members.select("region", "digest", F.col("digest").alias("comp"), F.lit(False).alias("done")), "jaccard-state")
+    spark = members.sparkSession
+    state = keep(members.select("region", "digest", "n", F.col("digest").alias("comp"), F.lit(False).alias("done")), "jaccard-state")
     links = None
     while True:
         sizes = state.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("m"))
         largest = sizes.groupBy("region").agg(F.max_by("comp", F.struct("m", "comp")).alias("largest"))
-        open_ = state.join(largest, "region").filter((F.col("comp") != F.col("largest")) & ~F.col("done")).select("region", "digest")
-        chosen = keep(first_of_region(open_, pivots), "jaccard-pivots")
-        if chosen.isEmpty():
+        open_ = state.join(largest, "region").filter((F.col("comp") != F.col("largest")) & ~F.col("done"))
+        pivots = next_block(open_, members, block)
+        if not pivots:
             return links
-        heads = chosen.join(members, ["region", "digest"])
-        found = keep(pivot_links(members, heads, percent, chunk), "jaccard-links")
+        found = block_links(members, pivots, percent)
         links = found if links is None else links.unionByName(found)
-        # components of this round's links between components, per region
+        # components of this round's links, between the components known before
         name = state.select(F.col("digest").alias("d"), "region", "comp")
         ends = found.join(name.select(F.col("d").alias("a"), "region", F.col("comp").alias("ca")), "a").join(name.select(F.col("d").alias("b"), "region", F.col("comp").alias("cb")), ["b", "region"])
         merged = components(ends.filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-        state = state.join(merged.withColumnRenamed("node", "comp"), "comp", "left").join(chosen.withColumn("now", F.lit(True)), ["region", "digest"], "left")
-        state = keep(state.select("region", "digest", F.coalesce("root", "comp").alias("comp"), (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")), "jaccard-state")
+        chosen = spark.createDataFrame([(bytearray(d), True) for d, _ in pivots], "digest binary, now boolean")  # at most BLOCK_SETS rows
+        state = state.join(merged.withColumnRenamed("node", "comp"), "comp", "left").join(F.broadcast(chosen), "digest", "left")
+        state = keep(state.select("region", "digest", "n", F.coalesce("root", "comp").alias("comp"), (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")), "jaccard-state")
 
 
-def region_links(members: DataFrame, percent: int, leaf: int = LEAF, pivots: int = PIVOTS, depth: int = DEPTH) -> DataFrame:
+def region_links(members: DataFrame, percent: int, leaf: int = LEAF, pivots: int = PIVOTS, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
     """Links (a, b) whose components are those of all links inside the regions."""
     links = None
     add = lambda found: found if links is None else links.unionByName(found)
@@ -371,50 +469,66 @@ def region_links(members: DataFrame, percent: int, leaf: int = LEAF, pivots: int
         if level == depth:
             break
         heads = first_of_region(large.drop("total"), pivots)
-        cells = keep(split(large, heads, percent, leaf // 8), "jaccard-cells")
-        links = links.unionByName(cells.filter("region is null").select(F.col("digest").alias("a"), F.col("other").alias("b")))
-        cells = cells.filter("region is not null").select("region", "digest", "n", "shingles")
         # a split helps if its regions hold little more than the old ones; else the region is dense
-        before, after = large.agg(F.sum("n")).first()[0], cells.agg(F.sum("n")).first()[0]
+        before, after = large.agg(F.sum("n")).first()[0], split(large, heads, percent, leaf // 8, sizes_only=True).agg(F.sum("n")).first()[0]
         if after > 2 * before:
             break
-        members = cells
-    dense = rounds(large.drop("total"), percent, leaf // 8, pivots)
+        cells = keep(split(large, heads, percent, leaf // 8), "jaccard-cells")
+        links = links.unionByName(cells.filter("region is null").select(F.col("digest").alias("a"), F.col("other").alias("b")))
+        members = cells.filter("region is not null").select("region", "digest", "n", "shingles")
+    dense = rounds(large.drop("total"), percent, block)
     return links if dense is None else links.unionByName(dense)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, leaf: int = LEAF, pivots: int = PIVOTS) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, leaf: int = LEAF, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    with_package(docs.sparkSession)
-    texts = _texts(docs, id_col, text_col)
-    table = keep(set_table(texts, k), "jaccard-sets")
-    sets = table.filter("n_shingles is not null").select("doc_id", "n_shingles", "digest", "node")
-    region = components(coarse_edges(texts, merged_sketch(table), k, percent))
-    named = sets.filter("n_shingles > 0").groupBy("digest", "node").agg(F.min("doc_id").alias("first_id"))
-    wanted = keep(named.join(region, "node").select("digest", "first_id", F.col("root").alias("region")), "jaccard-wanted")
-    links = region_links(keep(region_members(texts, wanted, k), "jaccard-members"), percent, leaf, pivots)
+    spark = docs.sparkSession
+    with_package(spark)
+    # sets are large rows: smaller batches bound what a Python worker holds
+    rows_per_batch = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(min(int(rows_per_batch), 2000)))
+    try:
+        return _components(_texts(docs, id_col, text_col), k, percent, leaf, pivots, block)
+    finally:  # all steps with Python code have run by now
+        spark.conf.set(BATCH_ROWS, rows_per_batch)
+
+
+def _components(texts: DataFrame, k: int, percent: int, leaf: int, pivots: int, block: int) -> DataFrame:
+    first = keep(documents_and_counts(texts, k, percent), "jaccard-sets")
+    sets = first.filter("kind = 'doc'").select("doc_id", F.col("n").alias("n_shingles"), "digest", "node")
+    counts = first.filter("kind = 'count'").groupBy("node").agg(F.sum("n").alias("met"))
+    named = sets.filter("n_shingles > 0").groupBy("digest", "node", "n_shingles").agg(F.min("doc_id").alias("first_id"))
+    open_ = named.join(counts, "node").filter(F.col("met") >= least_shared(F.col("n_shingles"), percent)).select("digest", "first_id")
+    members = keep(open_members(texts, keep(open_, "jaccard-open"), k), "jaccard-members")
+    region = components(coarse_edges(members, percent)).select(F.col("node").alias("digest"), F.xxhash64("root").alias("region"))
+    links = region_links(members.join(region, "digest"), percent, leaf, pivots, block)
     comps = components(links)
-    by_set = named.drop("node").join(comps.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    by_set = named.select("digest", "first_id").join(comps.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = by_set.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_set = by_set.join(least, "root").select("digest", "component_id")
     return sets.join(of_set, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def region_members(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(region, digest, n, shingles) of one document for each wanted set."""
+def open_members(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(digest, n, shingles) of one document for each wanted set.
+
+    A blocked Bloom filter of the wanted ids, of fixed size, spares most other
+    texts the shuffle; the join decides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for region, d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                s = shingles(t, k)
+            for d, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), k), strict=True):
                 if digest(s) == d:  # not another row with the same id
-                    rows.append((region, d, len(s), s.tobytes()))
-            cols = zip(*rows, strict=True) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["region", "digest", "n", "shingles"])
-
-    rows = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("region", "digest", "text")
-    return rows.mapInArrow(run, "region long, digest binary, n long, shingles binary").dropDuplicates(["region", "digest"])
+                    rows.append((d, len(s), s.tobytes()))
+            cols = zip(*rows, strict=True) if rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.binary()), strict=True)], ["digest", "n", "shingles"])
+
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    bits = bloom_table(wanted.select(F.coalesce(F.col("first_id").cast("string"), F.lit("null")).alias("canonical")))
+    probed = texts.withColumn("block", bloom_block(name)).join(F.broadcast(bits), "block").filter(F.col("bits").bitwiseAND(bloom_mask(name)) == bloom_mask(name))
+    rows = probed.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("digest", "text")
+    return rows.mapInArrow(run, "digest binary, n long, shingles binary").dropDuplicates(["digest"])
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:

@@ -57,7 +57,7 @@ def rule_columns(h: Column, p: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _mask(key: Column) -> Column:
+def bloom_mask(key: Column) -> Column:
     """``BITS`` bits of one 64-bit block, chosen by six-bit pieces of a hash."""
     mixed, mask = F.xxhash64(key, F.lit("bits")), F.lit(0).cast("long")
     for i in range(BITS):
@@ -66,9 +66,13 @@ def _mask(key: Column) -> Column:
     return mask
 
 
+def bloom_block(key: Column, blocks: int = BLOCKS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks))
+
+
 def bloom_table(listed: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """The blocked filter of ``listed(canonical)``: at most ``blocks`` rows (block, bits)."""
-    return listed.groupBy(F.pmod(F.xxhash64("canonical"), F.lit(blocks)).alias("block")).agg(F.bit_or(_mask(F.col("canonical"))).alias("bits"))
+    return listed.groupBy(bloom_block(F.col("canonical"), blocks).alias("block")).agg(F.bit_or(bloom_mask(F.col("canonical"))).alias("bits"))
 
 
 def url_filter(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", blocks: int = BLOCKS) -> DataFrame:
@@ -79,7 +83,7 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     p = p.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), canonical(F.col("url")).alias("canonical"))
-    p = p.select("*", rule.alias("rule"), verdict.alias("rule_verdict"), F.pmod(F.xxhash64("canonical"), F.lit(blocks)).alias("block"), _mask(F.col("canonical")).alias("mask"))
+    p = p.select("*", rule.alias("rule"), verdict.alias("rule_verdict"), bloom_block(F.col("canonical"), blocks).alias("block"), bloom_mask(F.col("canonical")).alias("mask"))
     probed = p.join(F.broadcast(bloom_table(names, blocks)), "block", "left")
     possible = F.coalesce(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False))
     hits = probed.filter(possible).join(names.withColumn("on_list", F.lit(True)), "canonical", "left")

@@ -68,7 +68,7 @@ def passages(first=8000):
     return [(first + i, prose(rng, rng.choice([3, 12, 30, 80])) + " " + shared, "en", "b", 0) for i in range(150)]
 
 
-@pytest.mark.parametrize("options", [{}, {"leaf": 2000, "pivots": 4}, {"leaf": 400, "pivots": 2}])
+@pytest.mark.parametrize("options", [{}, {"leaf": 2000, "pivots": 4, "block": 3000}, {"leaf": 400, "pivots": 2, "block": 20000}])
 def test_components_equal_brute_force(spark, options):
     """Small leaves force Voronoi splits, replicas, recursion and rounds over dense regions."""
     rows = corpus() + near_copies(1, 4, 40, 90, 3) + chains() + passages()
@@ -89,7 +89,7 @@ def test_threshold_is_exact(spark):
 
 def test_split_and_rounds_alone(spark):
     rows = near_copies(3, 1, 300, 60, 6)
-    assert got(frame(spark, rows), leaf=3000, pivots=3) == brute(rows)
+    assert got(frame(spark, rows), leaf=3000, pivots=3, block=5000) == brute(rows)
 
 
 def test_edges(spark):
@@ -102,7 +102,7 @@ def test_edges(spark):
 
 def test_prefix_and_region_join():
     for n in range(1, 200):
-        assert n - J.prefix_length(n) + 1 == -(-80 * n // 100)
+        assert n - J.prefix_length(n) + 1 == -(-80 * n // 100) and J.prefix_length(n, 80, J.must_share(n)) <= n
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 30, 20).astype(np.uint64)) for _ in range(60)]
     root = J.Region(sets, 60).join()
