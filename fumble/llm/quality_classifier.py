@@ -5,63 +5,110 @@ nothing (0). Expectation-maximisation over the counts of vote patterns - at
 most 3^labellers rows, however many documents - estimates the share of good
 documents and each labeller's chance of each vote given the truth, without
 any given label. The posterior of a pattern is the soft label of its
-documents; a logistic regression on the presence of hashed words, word shapes and
-shares of odd or repeated words learns from
-the soft labels of ``SAMPLE`` documents (those with the least hash of the id)
-and scores every document. Two tasks are learnt this way, well-formed text and
+documents; a logistic regression on the presence of hashed words, word shapes
+and shares of odd or repeated words learns from the soft labels of about
+``SAMPLE`` documents (those with the least hash) and scores every document. Two tasks are learnt this way, well-formed text and
 clean language; a document is kept if both scores are at least 0.5.
 
 Defined results: a null or empty text gets the labellers' votes for no words;
 ties in score are kept; rows that repeat a doc_id are scored each on its own;
-an empty table gives no rows; if all soft labels of a task agree, its score is
-the posterior. Other columns are not read.
+an empty table gives no rows; if nothing falls into the sample, a score is the
+posterior. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fumble.llm.shared import SPACE, keep, words
+from fumble.llm.shared import keep, with_package
+from fumble.llm.tokens import slices
+from fumble.llm.words import word_codes
 
-SAMPLE = 20_000
+SAMPLE = 6_000
 BUCKETS = 1 << 18
+PART = 1 << 22  # bytes of text at a time
 # The lexicon of the language labellers.
 LEXICON = ["clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
+PLAIN = re.compile(r"[a0-9'’\-]+[.,;:]?")  # the shape of an ordinary word
+CAPITALS, LETTERS = re.compile(r"[A-ZÀ-ÖØ-Þ]{2,}"), re.compile(r"[^\W\d_]+")
+NUMBERS = ("n", "n_odd", "kinds_odd", "n_again", "n_distinct", "n_toxic", "kinds_toxic")
 
 
 def _vote(bad: Column, good: Column) -> Column:
     return F.when(bad, -1).when(good, 1).otherwise(0)
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """(doc_id, features, and what the labellers look at) of every whole text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select(
-        "doc_id",
-        F.transform(words(F.lower(text)), lambda w: F.rtrim(w, F.lit(".,;:"))).alias("w"),
-        F.array_remove(F.split(F.regexp_replace(F.regexp_replace(text, r"\p{Lu}{2,}", "X"), r"[\p{Ll}\p{Lu}\p{Lt}]+", "a"), SPACE + "+"), "").alias("shapes"),
-    )
-    again = F.filter(F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.when(a == b, F.lit("=again"))), lambda x: x.isNotNull())
-    df = df.withColumn("again", again)
-    odd = F.filter("shapes", lambda s: ~s.rlike(r"^[a0-9'’\-]+[.,;:]?$"))
-    toxic = F.filter("w", lambda x: x.isin(LEXICON))
-    df = df.withColumn("odd", odd).withColumn("toxic", toxic)
-    return df.select(
-        "doc_id",
-        F.size("w").alias("n"),
-        F.size("odd").alias("n_odd"),
-        F.size(F.array_distinct("odd")).alias("kinds_odd"),
-        F.size("again").alias("n_again"),
-        F.size(F.array_distinct("w")).alias("n_distinct"),
-        F.size("toxic").alias("n_toxic"),
-        F.size(F.array_distinct("toxic")).alias("kinds_toxic"),
-        F.concat("w", F.transform("odd", lambda s: F.concat(F.lit("="), s)), F.array(*[F.concat(F.lit(f"={c}"), F.floor(10 * F.size(c) / F.greatest(F.size("w"), F.lit(1))).cast("string")) for c in ("odd", "again")])).alias("tokens"),
-    )
+def _bucket(token: str) -> int:
+    return xxhash.xxh3_64_intdigest(token) % BUCKETS
+
+
+def shape(word: str) -> str:
+    """A word with its letters as ``a``, and capitals in a row as ``X``."""
+    return LETTERS.sub("a", CAPITALS.sub("\x00", word)).replace("\x00", "X")
+
+
+def measured(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """What the labellers look at, and the features of each text: numbers by
+    name, and (text, bucket) pairs of the hashed features that it has, each once.
+
+    Everything about a word is worked out once for each distinct word."""
+    words, codes, counts = word_codes(texts, lower=False)
+    cores, shapes, at = {}, {}, len(texts)
+    core_of, shape_of = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64)
+    for i, w in enumerate(words.to_pylist()):
+        core_of[i] = cores.setdefault(w.lower().rstrip(".,;:"), len(cores))
+        if not PLAIN.fullmatch(form := shape(w)):
+            shape_of[i] = shapes.setdefault(form, len(shapes))
+    text = np.repeat(np.arange(at), counts)
+    core, odd = core_of[codes], shape_of[codes]
+    toxic_core = np.array([c in LEXICON for c in cores], bool)
+    again = np.zeros(len(core), bool)
+    again[1:] = (core[1:] == core[:-1]) & (text[1:] == text[:-1])
+    wide, tall = max(1, len(cores)), max(1, len(shapes))
+    has = np.unique(text * wide + core)
+    has_odd = np.unique((text * tall + odd)[odd >= 0])
+    count = lambda rows: np.bincount(rows, minlength=at)
+    toxic = toxic_core[core] if len(core) else np.zeros(0, bool)
+    toxic_kinds = toxic_core[has % wide] if len(has) else np.zeros(0, bool)
+    numbers = dict(zip(NUMBERS, (counts, count(text[odd >= 0]), count(has_odd // tall), count(text[again]), count(has // wide), count(text[toxic]), count((has // wide)[toxic_kinds])), strict=True))
+    bucket_core = np.fromiter(map(_bucket, cores), np.int64, len(cores))
+    bucket_odd = np.fromiter((_bucket("=" + s) for s in shapes), np.int64, len(shapes))
+    n = np.maximum(counts, 1)
+    shares = [np.array([_bucket(f"={name}{k}") for k in range(11)])[np.minimum(10, 10 * numbers[c] // n)] for name, c in (("odd", "n_odd"), ("again", "n_again"))]
+    owners = np.concatenate([has // wide, has_odd // tall, np.arange(at), np.arange(at)])
+    buckets = np.concatenate([bucket_core[has % wide], bucket_odd[has_odd % tall], *shares]) if len(has) else np.concatenate(shares)
+    owners = owners if len(has) else np.concatenate([np.arange(at), np.arange(at)])
+    pairs = np.unique(owners * BUCKETS + buckets)
+    return numbers, pairs // BUCKETS, pairs % BUCKETS
+
+
+def read_texts(docs: DataFrame, scorers: dict[str, np.ndarray] | None = None, with_features: bool = False) -> DataFrame:
+    """(doc_id, the numbers, a score for each scorer, and the features if asked for) of every whole text."""
+    scorers = scorers or {}
+    sent = docs.sparkSession.sparkContext.broadcast(scorers)  # weights of fixed size
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in NUMBERS) + "".join(f", {t}_score double" for t in scorers) + (", features array<int>" if with_features else "")
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, rows in slices(b.column(1), PART):
+                part = b.slice(first, rows)
+                numbers, owner, bucket = measured(part.column(1))
+                columns = [part.column(0), *(pa.array(numbers[c], pa.int64()) for c in NUMBERS)]
+                for w in sent.value.values():
+                    columns.append(pa.array(1 / (1 + np.exp(-np.clip(np.bincount(owner, w[bucket], rows) + w[BUCKETS], -500, 500)))))
+                if with_features:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(rows + 1)), pa.int32()), pa.array(bucket, pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.select("doc_id", "text").mapInArrow(read, schema)
 
 
 def labellers() -> dict[str, dict[str, Column]]:
@@ -120,29 +167,45 @@ def posteriors(measured: DataFrame, votes: dict[str, Column]) -> tuple[DataFrame
     return spark.createDataFrame([(r["pattern"], float(p)) for r, p in zip(rows, post, strict=True)], "pattern string, posterior double"), pattern
 
 
+def fit(bucket: np.ndarray, sizes: np.ndarray, soft: np.ndarray, steps: int = 80, rate: float = 0.1, penalty: float = 1e-4) -> np.ndarray:
+    """Weights (BUCKETS, then the bias) of a logistic regression on soft labels, by
+    Adam over all rows; ``sizes`` features each, one row after the other."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    used, place = np.unique(bucket, return_inverse=True)
+    w, b = np.zeros(len(used)), 0.0
+    m, r = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    for step in range(1, steps + 1):
+        z = np.bincount(owner, w[place], len(sizes)) + b
+        gap = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - soft) / len(sizes)
+        g = np.append(np.bincount(place, gap[owner], len(used)) + penalty * w / len(sizes), gap.sum())
+        m, r = 0.9 * m + 0.1 * g, 0.99 * r + 0.01 * g * g
+        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(r / (1 - 0.99**step)) + 1e-12)
+        w, b = w - move[:-1], b - move[-1]
+    out = np.zeros(BUCKETS + 1)
+    out[used], out[BUCKETS] = w, b
+    return out
+
+
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id, a posterior and a score for each task, kept."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    seen = measures(narrow)
-    numbers = keep(seen.drop("tokens"), "classifier-measures")
+    with_package(docs.sparkSession)
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    numbers = keep(read_texts(narrow), "classifier-measures")
     total = numbers.count()
-    learnt = narrow.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample / max(total, 1)))))
-    # presence, not counts: one telling word weighs the same in a long text
-    hashed = HashingTF(inputCol="tokens", outputCol="features", numFeatures=BUCKETS, binary=True)
-    train = keep(hashed.transform(measures(learnt)).drop("tokens"), "classifier-sample")
-    out = hashed.transform(seen).drop("tokens")
+    part = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(total, 1)))
+    learnt = keep(read_texts(narrow.filter(part), with_features=True).limit(2 * sample), "classifier-sample")
+    posts, scorers = {}, {}
     for task, votes in labellers().items():
         post, pattern = posteriors(numbers, votes)
-        post = F.broadcast(post)  # at most 3^labellers rows
-        soft = train.withColumn("pattern", pattern).join(post, "pattern")
-        both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("posterior").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("weight")))).alias("x")
-        weighted = soft.select("features", both).select("features", "x.label", "x.weight").filter("weight > 0.001")
+        posts[task] = F.broadcast(post), pattern  # at most 3^labellers rows
+        rows = learnt.withColumn("pattern", pattern).join(posts[task][0], "pattern").select("features", "posterior").toArrow()  # at most 2 x sample rows
+        if rows.num_rows:
+            features = rows.column("features").combine_chunks()
+            scorers[task] = fit(np.asarray(features.flatten()).astype(np.int64), np.diff(np.asarray(features.offsets)), rows.column("posterior").to_numpy())
+    out = read_texts(narrow, scorers)
+    for task, (post, pattern) in posts.items():
         out = out.withColumn("pattern", pattern).join(post, "pattern", "left").drop("pattern").withColumnRenamed("posterior", f"{task}_posterior")
-        if weighted.select("label").distinct().count() < 2:
+        if task not in scorers:  # nothing was sampled
             out = out.withColumn(f"{task}_score", F.col(f"{task}_posterior"))
-            continue
-        model = LogisticRegression(labelCol="label", weightCol="weight", regParam=1e-4, maxIter=60, standardization=False, probabilityCol="p", rawPredictionCol="raw", predictionCol="y").fit(weighted)
-        out = model.transform(out).withColumn(f"{task}_score", vector_to_array("p")[1]).drop("p", "raw", "y")
-    scores = [f"{t}_{x}" for t in labellers() for x in ("posterior", "score")]
-    kept = F.least(*[F.col(f"{t}_score") for t in labellers()]) >= 0.5
-    return out.select("doc_id", *scores, F.least(*[F.col(f"{t}_score") for t in labellers()]).alias("score"), kept.alias("kept"))
+    least = F.least(*[F.col(f"{t}_score") for t in labellers()])
+    return out.select("doc_id", *[f"{t}_{x}" for t in labellers() for x in ("posterior", "score")], least.alias("score"), (least >= 0.5).alias("kept"))
