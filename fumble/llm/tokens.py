@@ -31,7 +31,7 @@ ODD = f"(?s)[{_RE2}][{_RE2}]|^[{_RE2}]|[{_RE2}]$|[{_RE2.replace(chr(92) + 'x{20}
 SPACES = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c))
 PUNCTUATION = "!#$%&*+,-./:;=?@^_~"  # none that a special token ends with
 JOINED = 512  # units in one call
-MEMO = 3 << 18  # units held in each Python worker, about 150 MB
+MEMO = 1 << 19  # units held in each Python worker, about 100 MB
 
 
 class Encoder:
@@ -190,7 +190,7 @@ def encoder(file: str, drops_space: bool, memo: int = MEMO) -> Encoder:
     return Encoder(file, DROPPED if drops_space else SPACED, memo)
 
 
-def slices(texts: pa.Array, most: int = 1 << 24) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
     """(first row, rows) of parts of a column of about ``most`` bytes each."""
     total = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)))
     first = 0
