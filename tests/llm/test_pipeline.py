@@ -12,7 +12,7 @@ COLUMNS = [f.name for f in SCHEMA]
 
 
 def test_stages_equal_brute_force(spark, tmp_path):
-    rows, labels = planted(1500, 150)
+    rows, labels = planted(3000, 300)  # enough good documents to certify a cutoff
     rows = [(i + 1000, t, lang, "s", 0) for i, t, lang, _, _ in rows] + [r for r in corpus() if r[0] is not None]
     rows = list(dict.fromkeys(rows))
     spark.createDataFrame([(i + 1000, q, t) for i, q, t in labels], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
@@ -22,7 +22,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
     ids = lambda df: sorted(r.doc_id for r in df.collect())
 
     docs = step(0)
-    marked = {i for i in range(2500, 2650)}
+    marked = set(range(4000, 4300))
     left = [r for r in rows if not test_quality_rules.brute(r)[-1] and r[0] not in marked]
     assert ids(docs) == sorted(r[0] for r in left) and docs.columns == COLUMNS
 
