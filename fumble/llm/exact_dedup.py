@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fumble.llm.shared import keep, with_package
+from fumble.llm.url_filter import LOWER, UPPER
 
 COUNTERS = 1024
 
@@ -88,7 +89,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    stay = exact_dedup(docs, **options).filter("kept").select("doc_id").distinct()
-    return docs.join(stay.withColumnRenamed("doc_id", "_stay"), F.col(options.get("id_col", "doc_id")).eqNullSafe(F.col("_stay")), "left_semi")
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents that stay, with all their columns. A row is met again by its
+    doc_id and digest, all that its verdict rests on."""
+    stay = exact_dedup(docs, id_col, text_col, **options).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha256")).distinct()
+    folded = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER)
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.sha2(folded.cast("binary"), 256) == F.col("_sha256"))
+    return docs.join(stay, same, "left_semi")

@@ -36,14 +36,15 @@ SALTS = 64
 STEPS, TOLERANCE = 60, 1e-10
 
 
+def _read(id_col: str, text_col: str, source_col: str) -> tuple[Column, Column, Column]:
+    source = F.col(source_col).cast("string")
+    key = F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
+    return F.col(id_col).alias("doc_id"), key.alias("source"), n_words(F.col(text_col).cast("string")).alias("size")
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source key, size); the key sorts by code point, null last."""
-    source = F.col(source_col).cast("string")
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)).alias("source"),
-        n_words(F.col(text_col).cast("string")).alias("size"),
-    )
+    return docs.select(*_read(id_col, text_col, source_col))
 
 
 def targets(by_source: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -102,6 +103,10 @@ def solve(cells: DataFrame, goals: DataFrame, cap: int = CAP, steps: int = STEPS
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: int = CAP, bucket: int = BUCKET) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, copies, taken."""
+    return _mixed(docs, id_col, text_col, source_col, weights, cap, bucket).drop("source")
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights=WEIGHTS, cap: int = CAP, bucket: int = BUCKET) -> DataFrame:
     narrow = keep(sized(docs, id_col, text_col, source_col), "mix-sizes")
     cells = keep(narrow.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-cells")
     by_source = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -132,14 +137,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     chosen = sums.select("source", near["shift"].alias("shift"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     df = df.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int"))
     df = df.join(chosen, ["source", "salt"]).withColumn("copies", copies(F.col("shift")))
-    return df.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return df.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents with all their columns, each row as often as the mix takes
-    it; with rows that repeat a doc_id, their copies are shared out evenly."""
-    per_id = mix(docs, id_col, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    joined = docs.join(per_id, F.col(id_col).eqNullSafe(F.col("_id")))
-    each = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
-    times = F.when(each > 0, F.sequence(F.lit(1), each)).otherwise(F.array().cast("array<int>"))
+    it. Rows alike in doc_id, source and size, for which the mix has no order,
+    share their copies: each the whole part, and the first rows one more."""
+    mixed = _mixed(docs, id_col, text_col, source_col, **options)
+    shares = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    doc, source, size = _read(id_col, text_col, source_col)
+    joined = docs.join(shares, doc.eqNullSafe(F.col("_id")) & (source == F.col("_source")) & (size == F.col("_size")))
+    row = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("_copies"))
+    each = (F.floor(F.col("_copies") / F.col("_rows")) + F.when(row <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)).cast("int")
+    joined = joined.withColumn("_each", each)
+    times = F.when(F.col("_each") > 0, F.sequence(F.lit(1), F.col("_each"))).otherwise(F.array().cast("array<int>"))
     return joined.withColumn("_copy", F.explode(times)).select(*[docs[c] for c in docs.columns])

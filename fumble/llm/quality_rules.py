@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from fumble.llm.shared import SPACE, keep, words
+from fumble.llm.shared import SPACE, keep, text_digest, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 WINDOW = 8
@@ -154,22 +154,38 @@ def thresholds(metrics: DataFrame, labels: DataFrame, rules=RULES, risk: float =
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", rules=RULES, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
     """One row per document: doc_id, the base columns, base_failed, kept, and the rules that reject it."""
-    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(stratum_col).cast("string")), F.lit("null")).alias("stratum"), F.col(text_col).cast("string").alias("text"))
+    out = _judged(docs.select(*_read(id_col, text_col, stratum_col)), labels, rules, risk, alpha)
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", _kept(),
+        F.array_join("rejected_by", ",").alias("rejected_by"),
+    )
+
+
+def _read(id_col: str, text_col: str, stratum_col: str) -> tuple[Column, Column, Column]:
+    stratum = F.coalesce(F.concat(F.lit("="), F.col(stratum_col).cast("string")), F.lit("null"))
+    return F.col(id_col).alias("doc_id"), stratum.alias("stratum"), F.col(text_col).cast("string").alias("text")
+
+
+def _kept() -> Column:
+    return (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept")
+
+
+def _judged(df: DataFrame, labels: DataFrame, rules, risk: float, alpha: float) -> DataFrame:
+    """Adds the base columns, base_failed and rejected_by to rows of doc_id, stratum and text; other columns stay."""
     metrics = keep(with_base_metrics(df), "quality-metrics")
     cuts = thresholds(metrics, labels, rules, risk, alpha)
     by_stratum = cuts.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts"))
     judged = metrics.join(by_stratum, "stratum", "left")
     rejects = [F.when(F.floor(F.expr(sql)).cast("long") > F.col("cuts")[name], F.lit(name)) for name, (sql, _) in rules.items()]
     failed = F.array_compact(F.array(*rejects))
-    out = judged.withColumn("base_failed", base_failed()).withColumn("rejected_by", failed)
-    return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"),
-        F.array_join("rejected_by", ",").alias("rejected_by"),
-    )
+    return judged.withColumn("base_failed", base_failed()).withColumn("rejected_by", failed)
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    stay = quality_rules(docs, labels, **options).filter("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col(options.get("id_col", "doc_id")).eqNullSafe(F.col("_stay")), "left_semi")
+def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", rules=RULES, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
+    """The documents that stay, with all their columns. A row is met again by its
+    doc_id, stratum and text, all that its verdict rests on."""
+    doc, stratum, text = _read(id_col, text_col, stratum_col)
+    judged = _judged(docs.select(doc, stratum, text, text_digest(text_col).alias("digest")), labels, rules, risk, alpha)
+    stay = judged.select("doc_id", "stratum", "digest", _kept()).filter("kept").drop("kept").distinct().toDF("_id", "_stratum", "_digest")
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (stratum == F.col("_stratum")) & (text_digest(text_col) == F.col("_digest"))
+    return docs.join(stay, same, "left_semi")

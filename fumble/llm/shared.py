@@ -42,6 +42,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
+def text_digest(text_col: str) -> Column:
+    """SHA-256 of a text; a null text has the digest of an empty one, as it is judged alike."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
+
+
 def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 

@@ -52,3 +52,10 @@ def test_kept_documents_have_distinct_texts(spark):
     rows = [r for r in corpus() if r[0] is not None]
     got = X.kept_documents(frame(spark, rows)).distinct().collect()
     assert len({lowered(r.text) for r in got}) == len(got) == len({lowered(r[1]) for r in rows})
+
+
+def test_rows_of_one_id_stay_each_on_its_own(spark):
+    """A row that stays does not bring back duplicate rows of its id, or of no id."""
+    rows = [(1, "A b", "en", "a", 0), (1, "own", "en", "a", 0), (2, "a B", "en", "a", 0), (None, "OWN", "en", "a", 0), (None, "lone", "en", "a", 0), (3, None, "en", "a", 0), (2, "", "en", "a", 0)]
+    got = X.kept_documents(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(2, "a B"), (1, "own"), (None, "lone"), (3, None)], key=repr)

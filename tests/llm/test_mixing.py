@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -72,3 +73,15 @@ def test_edges(spark):
     rows = [(1, "a b c", "x", "s", 0)] * 5
     assert sum(r.taken for r in M.mix(frame(spark, rows)).collect()) == 15
     assert M.mixed_documents(frame(spark, rows)).count() == 5
+
+
+def test_rows_that_repeat_an_id_are_taken_as_often_as_the_mix_says(spark):
+    rows = [(i, "w " * (3 + i % 5), "en", "ab"[i % 2], 0) for i in range(40)]
+    rows += [(d, "x " * (2 + i % 3), "en", "ab"[i % 2], 0) for d in (100, None) for i in range(31)]
+    docs = frame(spark, rows)
+    want, got = Counter(), Counter()
+    for r in M.mix(docs).collect():
+        want[r.doc_id, r.size] += r.copies
+    for r in M.mixed_documents(docs).collect():
+        got[r.doc_id, len(r.text.split())] += 1
+    assert got == +want

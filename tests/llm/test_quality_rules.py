@@ -101,3 +101,11 @@ def test_native(spark):
     df = Q.with_base_metrics(frame(spark, corpus()).select("doc_id", "text"))
     plan = df._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rows_of_one_id_stay_each_on_its_own(spark):
+    """A row that stays does not bring back rejected rows of its id, or of no id."""
+    good = " ".join(f"w{i}" for i in range(30))
+    rows = [(d, t, "en", "a", 0) for d in (1, None) for t in (good, "short", None)]
+    got = Q.kept_documents(frame(spark, rows), spark.createDataFrame([], LABELS))
+    assert data(got, "doc_id", "text") == sorted([(1, good), (None, good)], key=repr)
