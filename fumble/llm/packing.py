@@ -36,7 +36,11 @@ PLACES = ", sequence_id long, offset long"
 
 @dataclass(frozen=True)
 class Capacity:
-    """What one sequence holds, and the weight of each dimension when choosing."""
+    """What one sequence holds, and the weight of each dimension when choosing.
+
+    Attention below tokens^2 limits sequences of several pieces; a piece that
+    costs more stands alone. The defaults leave only tokens binding, as squared
+    lengths sum to no more than the square of their sum."""
 
     tokens: int = 2048
     documents: int = 2048
@@ -45,8 +49,8 @@ class Capacity:
     rule: str = "norm"
 
     def __post_init__(self):
-        if self.documents < 1 or self.attention < self.tokens**2 or self.rule not in ("norm", "dot"):
-            raise ValueError("a full piece must fit an empty sequence, and the rule is norm or dot")
+        if min(self.tokens, self.documents, self.attention) < 1 or self.rule not in ("norm", "dot"):
+            raise ValueError("every capacity is at least 1, and the rule is norm or dot")
 
 
 def pieces(docs: DataFrame, file: str, tokens: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -111,23 +115,25 @@ def pack(cut: DataFrame, capacity: Capacity = Capacity(), shard: int = 8192) ->
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, done, held, rows = TaskContext.get().partitionId(), 0, [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            """Packs full shards, at the last also the rest, which else waits for more."""
             nonlocal done, held, rows
             table = pa.Table.from_batches(held) if rows else None
-            for first in range(0, rows, shard):
-                part = table.slice(first, shard)
+            end = rows if last else rows - rows % shard
+            for first in range(0, end, shard):
+                part = table.slice(first, min(shard, end - first))
                 b, o = best_fit(part["length"].to_numpy(), capacity)
                 part = part.append_column("sequence_id", pa.array((task << 40) + done + b)).append_column("offset", pa.array(o))
                 yield from part.combine_chunks().to_batches()
                 done += int(b.max()) + 1
-            held, rows = [], 0
+            held, rows = (table.slice(end).to_batches() if rows > end else []), rows - end
 
         for f in batches:
             held.append(f)
             rows += f.num_rows
             if rows >= shard:
-                yield from flush()
-        yield from flush()
+                yield from flush(False)
+        yield from flush(True)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in cut.dtypes) + PLACES
     return cut.repartition(tasks).mapInArrow(place, schema).select(*names, "sequence_id", "offset")

@@ -1,5 +1,5 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -75,3 +75,31 @@ def test_edges(spark):
     assert P.pack_documents(frame(spark, []), FILE).count() == 0
     with pytest.raises(ValueError):
         P.Capacity(64, 0, 4096)
+
+
+def test_attention_and_document_limits_bind():
+    """Limits that tokens alone would not meet; a piece above the attention limit stands alone."""
+    lengths = np.array([100, 60, 40, 40, 30, 20, 10, 10, 5, 5, 5, 5])
+    for rule in ("norm", "dot"):
+        cap = P.Capacity(tokens=100, documents=3, attention=3600, rule=rule)
+        b, _ = P.best_fit(lengths, cap)
+        for i in set(b.tolist()):
+            own = lengths[b == i]
+            assert own.sum() <= 100 and len(own) <= 3 and (len(own) == 1 or (own**2).sum() <= 3600)
+        assert (b == b[0]).sum() == 1 and (b == b[1]).sum() == 1  # 100 and 60 use the attention up
+        assert max(np.bincount(b)) == 3
+        wide, _ = P.best_fit(lengths, P.Capacity(tokens=100, rule=rule))
+        assert (wide == wide[1]).sum() > 1 and max(np.bincount(wide)) > 3
+
+
+def test_rest_of_a_batch_waits_for_the_next_shard(spark):
+    """A task of several batches packs full shards and one rest, whatever the batches' size."""
+    rows = spark.createDataFrame([(i, 1 + i % 7) for i in range(1000)], "doc_id long, length long")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "100")
+    try:
+        got = P.pack(rows.coalesce(1), P.Capacity(tokens=10**6, documents=10**6, attention=10**12), shard=64).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(Counter(r.sequence_id for r in got).values()) == [1000 % 64] + [64] * (1000 // 64)
