@@ -6,9 +6,13 @@ most 3^labellers rows, however many documents - estimates the share of good
 documents and each labeller's chance of each vote given the truth, without
 any given label. The posterior of a pattern is the soft label of its
 documents; a logistic regression on the presence of hashed words, word shapes
-and shares of odd or repeated words learns from the soft labels of about
-``SAMPLE`` documents (those with the least hash) and scores every document. Two tasks are learnt this way, well-formed text and
-clean language; a document is kept if both scores are at least 0.5.
+and shares of odd or repeated words learns from the soft labels of a sample and
+scores every document. The sample has the documents with the least hash of each
+vote pattern: its share of ``SAMPLE``, and at least an even share of another
+``SAMPLE`` or up to ``LEAST`` of them, so that no pattern is missed at any size;
+in the fit a document stands for as many as its pattern has for each one drawn.
+Two tasks are learnt this way, well-formed text and clean language; a document
+is kept if both scores are at least 0.5.
 
 Defined results: a null or empty text gets the labellers' votes for no words;
 ties in score are kept; rows that repeat a doc_id are scored each on its own;
@@ -32,6 +36,7 @@ from fumble.llm.tokens import slices
 from fumble.llm.words import word_codes
 
 SAMPLE = 6_000
+LEAST = 64  # documents of a pattern that are drawn where it has them
 BUCKETS = 1 << 18
 PART = 1 << 22  # bytes of text at a time
 # The lexicon of the language labellers.
@@ -90,10 +95,10 @@ def measured(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np.nda
 
 
 def read_texts(docs: DataFrame, scorers: dict[str, np.ndarray] | None = None, with_features: bool = False) -> DataFrame:
-    """(doc_id, the numbers, a score for each scorer, and the features if asked for) of every whole text."""
+    """(doc_id, draw, the numbers, a score for each scorer, and the features if asked for) of every whole text."""
     scorers = scorers or {}
     sent = docs.sparkSession.sparkContext.broadcast(scorers)  # weights of fixed size
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in NUMBERS) + "".join(f", {t}_score double" for t in scorers) + (", features array<int>" if with_features else "")
+    schema = "doc_id long, draw long, " + ", ".join(f"{c} long" for c in NUMBERS) + "".join(f", {t}_score double" for t in scorers) + (", features array<int>" if with_features else "")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,14 +106,14 @@ def read_texts(docs: DataFrame, scorers: dict[str, np.ndarray] | None = None, wi
             for first, rows in slices(b.column(1), PART):
                 part = b.slice(first, rows)
                 numbers, owner, bucket = measured(part.column(1))
-                columns = [part.column(0), *(pa.array(numbers[c], pa.int64()) for c in NUMBERS)]
+                columns = [part.column(0), part.column(2), *(pa.array(numbers[c], pa.int64()) for c in NUMBERS)]
                 for w in sent.value.values():
                     columns.append(pa.array(1 / (1 + np.exp(-np.clip(np.bincount(owner, w[bucket], rows) + w[BUCKETS], -500, 500)))))
                 if with_features:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(rows + 1)), pa.int32()), pa.array(bucket, pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("doc_id", "text").mapInArrow(read, schema)
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text", F.lit("sample")).alias("draw")).mapInArrow(read, schema)
 
 
 def labellers() -> dict[str, dict[str, Column]]:
@@ -167,16 +172,18 @@ def posteriors(measured: DataFrame, votes: dict[str, Column]) -> tuple[DataFrame
     return spark.createDataFrame([(r["pattern"], float(p)) for r, p in zip(rows, post, strict=True)], "pattern string, posterior double"), pattern
 
 
-def fit(bucket: np.ndarray, sizes: np.ndarray, soft: np.ndarray, steps: int = 80, rate: float = 0.1, penalty: float = 1e-4) -> np.ndarray:
+def fit(bucket: np.ndarray, sizes: np.ndarray, soft: np.ndarray, weight: np.ndarray, steps: int = 80, rate: float = 0.1, penalty: float = 1e-4) -> np.ndarray:
     """Weights (BUCKETS, then the bias) of a logistic regression on soft labels, by
-    Adam over all rows; ``sizes`` features each, one row after the other."""
+    Adam over all rows; ``sizes`` features each, one row after the other, which
+    count by ``weight``."""
+    share = weight / weight.sum()
     owner = np.repeat(np.arange(len(sizes)), sizes)
     used, place = np.unique(bucket, return_inverse=True)
     w, b = np.zeros(len(used)), 0.0
     m, r = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, steps + 1):
         z = np.bincount(owner, w[place], len(sizes)) + b
-        gap = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - soft) / len(sizes)
+        gap = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - soft) * share
         g = np.append(np.bincount(place, gap[owner], len(used)) + penalty * w / len(sizes), gap.sum())
         m, r = 0.9 * m + 0.1 * g, 0.99 * r + 0.01 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(r / (1 - 0.99**step)) + 1e-12)
@@ -186,22 +193,37 @@ def fit(bucket: np.ndarray, sizes: np.ndarray, soft: np.ndarray, steps: int = 80
     return out
 
 
+def drawn(numbers: DataFrame, sample: int) -> DataFrame:
+    """(draw, weight): for every vote pattern of all tasks, the draws to sample.
+
+    At most 3^labellers patterns, and about twice ``sample`` draws in all."""
+    pattern = F.concat_ws(";", *[v.cast("string") for votes in labellers().values() for v in votes.values()])
+    named = numbers.select("draw", pattern.alias("strata"))
+    counts = named.groupBy("strata").agg(F.count(F.lit(1)).alias("n"))
+    total, patterns = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    least = min(LEAST, sample // max(patterns, 1))
+    rate = F.least(F.lit(1.0), F.greatest(F.lit(sample / max(total, 1)), F.lit(float(least)) / F.col("n")))
+    rates = counts.select("strata", rate.alias("rate"))
+    part = F.pmod("draw", F.lit(1 << 30)) < F.col("rate") * (1 << 30)
+    return named.join(F.broadcast(rates), "strata").filter(part).select("draw", (1 / F.col("rate")).alias("weight")).dropDuplicates(["draw"])
+
+
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id, a posterior and a score for each task, kept."""
     with_package(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     numbers = keep(read_texts(narrow), "classifier-measures")
-    total = numbers.count()
-    part = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(total, 1)))
-    learnt = keep(read_texts(narrow.filter(part), with_features=True).limit(2 * sample), "classifier-sample")
+    wanted = keep(drawn(numbers, sample), "classifier-draws")
+    part = narrow.join(F.broadcast(wanted), F.xxhash64("doc_id", "text", F.lit("sample")) == F.col("draw"), "left_semi")  # about 2 x sample draws
+    learnt = keep(read_texts(part, with_features=True).limit(4 * sample), "classifier-sample").join(F.broadcast(wanted), "draw")
     posts, scorers = {}, {}
     for task, votes in labellers().items():
         post, pattern = posteriors(numbers, votes)
         posts[task] = F.broadcast(post), pattern  # at most 3^labellers rows
-        rows = learnt.withColumn("pattern", pattern).join(posts[task][0], "pattern").select("features", "posterior").toArrow()  # at most 2 x sample rows
+        rows = learnt.withColumn("pattern", pattern).join(posts[task][0], "pattern").select("features", "posterior", "weight").toArrow()  # at most 4 x sample rows
         if rows.num_rows:
             features = rows.column("features").combine_chunks()
-            scorers[task] = fit(np.asarray(features.flatten()).astype(np.int64), np.diff(np.asarray(features.offsets)), rows.column("posterior").to_numpy())
+            scorers[task] = fit(np.asarray(features.flatten()).astype(np.int64), np.diff(np.asarray(features.offsets)), rows.column("posterior").to_numpy(), rows.column("weight").to_numpy())
     out = read_texts(narrow, scorers)
     for task, (post, pattern) in posts.items():
         out = out.withColumn("pattern", pattern).join(post, "pattern", "left").drop("pattern").withColumnRenamed("posterior", f"{task}_posterior")

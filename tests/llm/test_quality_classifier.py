@@ -37,3 +37,14 @@ def test_edges(spark):
     assert all(0 <= r.score <= 1 and r.kept == (r.score >= 0.5) for r in got)
     assert C.classify(frame(spark, [])).count() == 0
     assert C.classify(frame(spark, [(1, None, "x", "y", 0)])).count() == 1
+
+
+def test_a_rare_pattern_is_learnt(spark):
+    """Bad language in one of thousands of documents, of which a uniform draw would hold none."""
+    rng = np.random.default_rng(3)
+    text = lambda *more: " ".join([*(f"w{rng.integers(3000)}" for _ in range(40)), *more])
+    rows = [(i, text(), "en", "a", 0) for i in range(6000)]
+    rare = [(10_000 + i, text("idiot", "scum", "moron"), "en", "a", 0) for i in range(6)]
+    got = C.classify(frame(spark, rows + rare), sample=300).collect()
+    assert not any(r.kept for r in got if r.doc_id >= 10_000)
+    assert np.mean([r.kept for r in got if r.doc_id < 10_000]) > 0.97
