@@ -88,29 +88,33 @@ def q_best_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.best_checkpoint(monitor.evaluation_rewards(log), ckpts, OUTPUT_DIR)
 
 
-# Streaming: the events arrive in this many files, in order of event time plus a draw below the delay.
+# Streaming: the events arrive so many times, in order of event time plus a draw below the delay,
+# each time in files of about FILE_ROWS rows.
 ARRIVALS, DELAY_SECONDS = 5, 6 * 3600
+FILE_ROWS = 1 << 20
 
 
-def _arriving(spark: SparkSession, sf_dir: str) -> tuple[str, StructType]:
-    """Event files below the shared folder as they arrive: shuffled by less
-    than the delay, and last an end row of each run."""
+def _arriving(spark: SparkSession, sf_dir: str) -> tuple[str, StructType, int]:
+    """Event files below the shared folder as they arrive, and how many make an
+    arrival: shuffled by less than the delay, and last an end row of each run.
+    A run has one file an arrival, so its rows keep the order of the arrivals."""
     ev = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
     path = checkpoint_path(spark, f"arrivals-{uuid.uuid4().hex}")
     at = F.unix_seconds("ts") + F.pmod(F.xxhash64("event_id"), F.lit(DELAY_SECONDS))
-    low, high = ev.agg(F.min(at), F.max(at)).first()
+    low, high, n = ev.agg(F.min(at), F.max(at), F.count(F.lit(1))).first()
+    files = max(1, -(-n // (ARRIVALS * FILE_ROWS)))
     part = F.least(F.floor((at - low) * ARRIVALS / F.greatest(F.lit((high or 0) - (low or 0)), F.lit(1))), F.lit(ARRIVALS - 1))
     for i in range(ARRIVALS):  # one write after the other, so that the files' times keep the order
-        ev.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+        ev.filter(part == i).repartition(files, "user_id").write.mode("append").parquet(path)
     ends = ev.groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max("ts").alias("ts"))
-    ends.select("event_id", "user_id", F.lit(monitor_stream.END_OF_RUN).alias("event_type"), "ts", F.lit(None).cast("double").alias("value")).coalesce(1).write.mode("append").parquet(path)
-    return path, ev.schema
+    ends.select("event_id", "user_id", F.lit(monitor_stream.END_OF_RUN).alias("event_type"), "ts", F.lit(None).cast("double").alias("value")).repartition(files, "user_id").write.mode("append").parquet(path)
+    return path, ev.schema, files
 
 
 def _streamed(spark: SparkSession, sf_dir: str, events) -> DataFrame:
-    """What ``events`` of the arriving log puts into its sink, one file a micro-batch."""
-    path, schema = _arriving(spark, sf_dir)
-    log = monitor_stream.events_log_stream(spark, path, schema, log_of, max_files=1)
+    """What ``events`` of the arriving log puts into its sink, as many files as an arrival has a micro-batch."""
+    path, schema, files = _arriving(spark, sf_dir)
+    log = monitor_stream.events_log_stream(spark, path, schema, log_of, max_files=files)
     name = f"monitor-{uuid.uuid4().hex}"
     query = monitor_stream.start(events(log), name=name)
     query.awaitTermination()

@@ -131,6 +131,19 @@ def test_stream_tells_nan_from_null(spark, tmp_path):
     assert sorted((r.step, same(r.value)) for r in invalid.collect()) == [(2, "nan"), (3, float("inf"))]
 
 
+def test_arrivals_have_as_many_files_as_their_rows_need(spark, monkeypatch):
+    """No arrival goes through one file whole, and the events are the batch's."""
+    from fumble.plans import queries_monitor as Q
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(Q, "FILE_ROWS", max(1, spark.read.parquet(f"{sf}/events.parquet").count() // 40), raising=False)
+    path = Q._arriving(spark, sf)[0]
+    files = spark.read.parquet(path).groupBy(F.input_file_name().alias("f")).count().collect()
+    assert len(files) > 3 * Q.ARRIVALS
+    got, want = Q.q_stream_errors(spark, sf), Q.q_error_counts(spark, sf)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
 def test_stream_equals_batch_over_shuffled_files(spark):
     from fumble.plans import queries_monitor as Q
 
