@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fumble.llm import chat, exact_dedup, jaccard_join, lm_scoring, mixing, packing, quality_classifier, quality_rules, records, sql, url_filter
+from fumble.llm import chat, exact_dedup, jaccard_join, lm_scoring, mixing, packing, quality_classifier, quality_rules, records, sql, url_filter, warc
 from fumble.llm.shared import keep, table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -55,10 +55,14 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_score(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+def op11_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_quality_classifier, op2_url_filter, op3_exact_dedup, op4_mixing, op5_quality_rules, op6_chat_formatting,
-        op7_jaccard_join, op8_best_fit_packing, op9_token_records, op10_lm_scoring,
+        op7_jaccard_join, op8_best_fit_packing, op9_token_records, op10_lm_scoring, op11_warc_archives,
     )
     return {f.__name__: f for f in every}
 
@@ -70,4 +74,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": sql.quality_rules(),
         "op6_chat_formatting": sql.chat_formatting(),
         "op7_jaccard_join": sql.jaccard_join(),
+        "op11_warc_archives": sql.warc_archives(),
     }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from fumble.llm import quality_rules as Q
 from fumble.llm.url_filter import LOWER, RULES, UPPER
+from fumble.llm.warc import LEAST
 
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = f"list_filter(regexp_split_to_array(%s, '{SPACES}'), lambda x: x <> '')"
@@ -90,3 +91,11 @@ links AS (SELECT a, b FROM shared s JOIN sizes x ON x.doc_id = a JOIN sizes y ON
 both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other)
 SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id"""
+
+
+def warc_archives() -> str:
+    return f"""
+WITH payloads AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+grouped AS (SELECT *, CASE WHEN payload_bytes >= {LEAST} THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM payloads)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN first_id <> page_id THEN first_id END AS refers_to FROM grouped"""
