@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fumble.llm.shared import with_package, words
@@ -251,12 +251,17 @@ def with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stretch of its words from one place on to its end."""
     doc, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     h = F.crc32(doc.cast("string").cast("binary"))
-    w = words(text)
-    n, g = F.size(w), F.floor(h / PLANTED)
-    a = F.pmod(g, n)
-    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
-    repeated = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i >= a, a + F.pmod(i - a, p)).otherwise(i).cast("int")))
-    return docs.select(doc.alias("doc_id"), F.when((F.pmod(h, F.lit(PLANTED)) == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(text).alias("text"))
+
+    def repeated(w: Column) -> Column:
+        n, g = F.size(w), F.floor(h / PLANTED)
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.get(w, F.when(i >= a, a + F.pmod(i - a, p)).otherwise(i).cast("int")))
+
+    # the words are bound once a text by a transform of one element; inside a lambda they would be parted for every place
+    made = F.array_join(F.element_at(F.transform(F.array(words(text)), repeated), 1), " ")
+    return docs.select(doc.alias("doc_id"), F.when(F.pmod(h, F.lit(PLANTED)) == 0, made).otherwise(text).alias("text"))
 
 
 def digests(found: DataFrame) -> DataFrame:

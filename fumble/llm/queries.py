@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fumble.llm import chat, exact_dedup, jaccard_join, lm_scoring, mixing, packing, periodic_runs, quality_classifier, quality_rules, records, sql, url_filter, warc
+from fumble.llm import chat, exact_dedup, jaccard_join, lm_scoring, mixing, packing, periodic_runs, quality_classifier, quality_rules, records, spelling, sql, url_filter, warc
 from fumble.llm.shared import keep, table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -59,6 +59,10 @@ def op11_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.with_repeats(table(spark, sf_dir, "documents"))))
 
@@ -66,7 +70,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_quality_classifier, op2_url_filter, op3_exact_dedup, op4_mixing, op5_quality_rules, op6_chat_formatting,
-        op7_jaccard_join, op8_best_fit_packing, op9_token_records, op10_lm_scoring, op11_warc_archives, op13_periodic_runs,
+        op7_jaccard_join, op8_best_fit_packing, op9_token_records, op10_lm_scoring, op11_warc_archives, op12_spelling_variants, op13_periodic_runs,
     )
     return {f.__name__: f for f in every}
 
