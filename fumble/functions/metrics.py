@@ -25,11 +25,11 @@ def bitparallel_distance(a: str, b: str) -> int:
     """Levenshtein distance of two strings by bit-parallel column updates."""
     if a == b:
         return 0
-    if len(a) < len(b):
+    if len(a) > len(b):  # a step for each character of the shorter text, a bit for each of the longer
         a, b = b, a
     m = len(b)
-    if m == 0:
-        return len(a)
+    if not a:
+        return m
     masks: dict[str, int] = {}
     bit = 1
     for ch in b:

@@ -12,9 +12,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.noise import keyboard_noise
 from ..functions.text import col_, rand_id, rand_u
+from ..sources import files
+from . import calls
 
 # Passage length and the request text of the external arm.
 PASSAGE_CHARS = 1000
@@ -163,3 +166,28 @@ def pairs_of_passages(
 def apply_prepare(sampled: DataFrame, prepare_fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The pair builder with a pluggable ``DataFrame -> DataFrame`` step."""
     return sampled.transform(prepare_fn)
+
+
+PREPARED = T.StructType([T.StructField("correct", T.StringType()), T.StructField("typos", T.StringType())])
+
+
+def _pair(x: object) -> dict:
+    passage, transformed = x
+    if not isinstance(passage, str) or not isinstance(transformed, str):
+        raise TypeError("a prepared pair is two texts")
+    return {"correct": passage, "typos": transformed}
+
+
+def prepare_rows(docs: DataFrame, step: Callable[..., list], path: str, inputs: tuple[str, ...] = ("text",), keep: tuple[str, ...] = ("doc_id", "source"),
+                 call_rows: int = calls.CALL_ROWS) -> tuple[DataFrame, DataFrame]:
+    """C8, C9, C10, U2 per row: ``step(**inputs) -> [(passage, transformed), ...]``.
+
+    Documents pass the step once. What it returned and what it raised is written
+    below ``path``, parted by outcome; both outputs are read from there:
+    (pairs ``(*keep, correct, typos)``, rejected ``(*keep, error)``)."""
+    used = list(dict.fromkeys((*keep, *inputs)))
+    tagged = calls.with_step(docs.select(*used), step, list(inputs), "prepared", PREPARED, _pair, call_rows)
+    rows = tagged.select(*keep, flatten_newlines("prepared.correct").alias("correct"), flatten_newlines("prepared.typos").alias("typos"), "error", F.col("error").isNull().alias("built"))
+    files.write_records(rows, path, mode="overwrite", partition_by=["built"])
+    back = docs.sparkSession.read.schema(rows.schema).parquet(path)
+    return back.filter("built").select(*keep, "correct", "typos"), back.filter("NOT built").select(*keep, "error")

@@ -7,6 +7,8 @@ the shuffle; no group is ever collected into one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,13 +163,57 @@ COMPARISON_LABELS = (("exact_match", "Exact Match"), ("char_accuracy", "Char Acc
                      ("word_accuracy", "Word Accuracy"), ("cer", "CER (lower=better)"))
 
 
-def percent_text(c: Column, digits: int = 2, signed: bool = False, suffix: str = "%") -> Column:
-    """a fraction as display text, e.g. ``12.34%`` or ``+1.50pp``.
+SPLIT = 134217729.0  # 2^27 + 1, parts a double into two halves of its digits
+
+
+def fixed_text(v: Column, digits: int, signed: bool = False) -> Column:
+    """a double with ``digits`` decimals, rounded as its exact binary value
+    is, ties to even; ``signed`` writes a plus too.
+
+    The product with 10^digits is rounded to a double; only where that stands
+    half way between two whole numbers does its rounding error decide, which the
+    products of the factors' halves give exactly. From 2^53 / 10^digits on, Java's
+    formatter writes the number."""
+    scale = float(10**digits)
+    by_high = scale * SPLIT - (scale * SPLIT - scale)
+    by_low = scale - by_high
+
+    def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+        """``use`` of a value that is worked out once a row."""
+        return F.element_at(F.transform(F.array(c), use), 1)
+
+    def rounded(size: Column) -> Column:
+        def of_high(high: Column) -> Column:
+            low, product = size - high, size * scale
+            error = ((high * by_high - product) + high * by_low + low * by_high) + low * by_low
 
-    Display only: every computation keeps the numbers. Java's formatter
-    rounds half up (0.125 -> 0.13) where Python rounds the binary value."""
-    pattern = ("%+." if signed else "%.") + f"{digits}f" + suffix.replace("%", "%%")
-    return F.format_string(pattern, c * 100)
+            def of_whole(whole: Column) -> Column:
+                rest = product - whole
+                odd = F.pmod(whole, F.lit(2)) == 1
+                up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & odd)))
+                return whole + F.when(up, 1).otherwise(0)
+
+            return bound(F.floor(product), of_whole)
+
+        return bound(size * SPLIT - (size * SPLIT - size), of_high)
+
+    def digits_of(n: Column) -> Column:
+        if not digits:
+            return n.cast("string")
+        return F.concat(F.floor(n / F.lit(10**digits)).cast("string"), F.lit("."), F.lpad(F.pmod(n, F.lit(10**digits)).cast("string"), digits, "0"))
+
+    size = F.abs(v)
+    most = float(2**53) / scale  # beyond, the product of a whole number of units is shown by the formatter
+    shown = bound(F.when(size < most, rounded(size)), digits_of)
+    plain = F.when(F.isnan(v), "nan").when(size == float("inf"), "inf").when(size < most, shown).otherwise(F.format_string(f"%.{digits}f", size))
+    negative = (v < 0) | ((v == 0) & F.startswith(v.cast("string"), F.lit("-")))
+    sign = F.when(~F.isnan(v) & negative, "-").otherwise("+" if signed else "")
+    return F.when(v.isNotNull(), F.concat(sign, plain))
+
+
+def percent_text(c: Column, digits: int = 2, signed: bool = False, suffix: str = "%") -> Column:
+    """a fraction as display text, e.g. ``12.34%`` or ``+1.50pp``; see ``fixed_text``."""
+    return F.concat(fixed_text(c * 100, digits, signed), F.lit(suffix))
 
 
 def comparison_display(cmp: DataFrame, run_col: str = "run_id", eval_col: str = "eval_idx") -> DataFrame:
@@ -182,5 +228,5 @@ def comparison_display(cmp: DataFrame, run_col: str = "run_id", eval_col: str =
         run_col, eval_col, F.col("r.metric").alias("metric"),
         percent_text(F.col("r.b")).alias("baseline"), percent_text(F.col("r.c")).alias("current"),
         percent_text(F.col("r.i"), signed=True, suffix="pp").alias("improvement"),
-        F.format_string("%+.1f%%", F.col("r.p")).alias("pct_change"),
+        F.concat(fixed_text(F.col("r.p"), 1, signed=True), F.lit("%")).alias("pct_change"),
     )

@@ -15,11 +15,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import metrics as M
 from ..functions import tags as TG
 from ..functions.text import col_, py_strip, words_joined
-from . import align
+from . import align, calls
 
 # Reward weights and limits of the reasoning reward.
 FORMAT_PROPER, FORMAT_BOTH, FORMAT_ANSWER_ONLY = 1.0, 0.5, 0.3
@@ -270,3 +271,25 @@ def user_reward(df: DataFrame, fn: Callable[[DataFrame], Column], name: str = "u
     """A user's reward, a function from the scored rows to a column (an
     expression, or a ``pandas_udf('double')`` applied to named columns)."""
     return df.withColumn(name, fn(df))
+
+
+def _number(x: object) -> float:
+    if isinstance(x, str):
+        raise TypeError("a reward is a number, not a text")
+    return float(x)
+
+
+def batch_reward(df: DataFrame, fn: Callable[..., list], name: str = "reward", prompt: str = "prompt", completion: str = "completion", correct: str = "correct_text",
+                 typos: str = "typo_text", columns: tuple[str, ...] = (), call_rows: int = calls.CALL_ROWS) -> DataFrame:
+    """U1 with G7: a user's reward as a plain function of batches of rows,
+    ``fn(prompts, completions, correct_text, typo_text, **columns) -> numbers``.
+
+    A completion is a text or a list of messages, as the column holds it;
+    ``columns`` names further columns that are handed over by their names. A row
+    for which the function raises, or returns what is no number, has a reward of
+    0.0 and its error; the other rows of the batch keep their rewards."""
+    def step(**lists: list) -> list:
+        return fn(lists[prompt], lists[completion], lists[correct], lists[typos], **{c: lists[c] for c in columns})
+
+    rated = calls.with_step(df, step, [prompt, completion, correct, typos, *columns], name, T.DoubleType(), _number, call_rows)
+    return rated.withColumn(name, F.when(F.col("error").isNotNull(), F.lit(0.0)).otherwise(F.col(name)))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.noise import keyboard_noise, noise_sql_duckdb
+from ..functions.noise_compat import keyboard_noise_compat
 from ..operators import corrupt, sample
-from ..session import cut_lineage, rebalance, spread
+from ..session import checkpoint_path, cut_lineage, rebalance, spread
 from ..sources.tables import load
 from .common import (EXTERNAL_PROB, EXTERNAL_SEED, K_PER_SOURCE, NOISE_IMPL, NOISE_SEED, PROB, SEED, TEST_ROUNDS,
                      all_passages, external_typos, id_sql, passages_sql, u_sql)
@@ -19,7 +22,7 @@ def q_sample_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_sample_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "source", "lang"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     return sample.sample_rounds(docs, rounds=TEST_ROUNDS, k=K_PER_SOURCE, seed=SEED).select(
         "doc_id", "source", "lang", F.col("round").cast("int"))
 
@@ -80,13 +83,77 @@ def q_quarantine_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("source", "arm", "state").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+HEAD_ROWS = 50
+
+
 def q_first_of_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B6 + B8: a head clamped to the table (here larger than any table that a
-    test holds would be cut) and the one row that a pick returns."""
+    """B6 + B8 after B4: the first document of the shuffled table, and the head
+    of the shuffle of each source, clamped where a source has fewer documents."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "source")
-    one = sample.head(docs, 1, ["source", "doc_id"]).select(F.lit("pick").alias("kind"), "doc_id")
-    few = load(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"))
-    return one.unionByName(sample.head(few, 1000, ["doc_id"]).select(F.lit("head").alias("kind"), "doc_id"))
+    one = sample.shuffled_head(docs, 1, seed=SEED).select(F.lit("pick").alias("kind"), "source", "doc_id")
+    heads = sample.clamped_heads(docs, HEAD_ROWS, seed=SEED).select(F.lit("head").alias("kind"), "source", "doc_id")
+    return one.unionByName(heads)
+
+
+def q_shuffled_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B4 over B7: every document's pair and the pre-sampled turns of another
+    task in one table, with each row's place in a permutation of all."""
+    pairs = load(spark, sf_dir, "documents").select(F.concat(F.lit("doc:"), "doc_id").alias("key"))
+    turns = load(spark, sf_dir, "conversations").select(F.concat_ws(":", F.lit("turn"), "conv_id", "turn").alias("key"))
+    chosen = sample.shuffled_head(turns, PRESAMPLE, seed=SEED, id_col="key")
+    return sample.shuffled(sample.labelled_union((pairs, "typo"), (chosen, "capability")), ["key"], seed=SEED).select("position", "task", "key")
+
+
+def q_disjoint_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q10: every document's side; equal texts are on one side."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return sample.disjoint_split(docs, TEST_SHARE, seed=SEED).select("doc_id", "side")
+
+
+def q_split_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q10 counted: test texts that training has too, where both are sampled
+    from all documents in rounds of their own, and where the sides are apart."""
+    docs = sample.disjoint_split(load(spark, sf_dir, "documents"), TEST_SHARE, seed=SEED)
+    docs = cut_lineage(docs.select("doc_id", "source", "side", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text")))
+    out = None
+    for kind, train, test in (("independent", docs, docs), ("apart", docs.filter("side = 'train'"), docs.filter("side = 'test'"))):
+        parts = [sample.sample_rounds(d, rounds, k=K_PER_SOURCE, seed=seed) for d, rounds, seed in ((train, TRAIN_ROUNDS, SEED), (test, TEST_ROUNDS, SEED + 1))]
+        one = sample.leaks(*parts).select(F.lit(kind).alias("kind"), "test_texts", "shared_texts")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def q_compat_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C3 ``compat``: every whole document with the draws of one shared generator."""
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", keyboard_noise_compat("text", prob=PROB, seed=NOISE_SEED)[0].alias("typos"))
+
+
+# Documents on which the caller's step raises.
+FAILING = 17
+
+
+def without_e(doc_id: list, text: list) -> list:
+    """A caller's step: a document's text, and that without its letters e."""
+    for i in doc_id:
+        if i % FAILING == 0:
+            raise ValueError(f"document {i} cannot be prepared")
+    return [(t, t.replace("e", "")) for t in text]
+
+
+def _prepared_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return corrupt.prepare_rows(docs, without_e, checkpoint_path(spark, f"prepared-{uuid.uuid4().hex}"), inputs=("doc_id", "text"))
+
+
+def q_prepared_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents through a caller's step that raises on some of them."""
+    return _prepared_rows(spark, sf_dir)[0]
+
+
+def q_prepared_row_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the step raised, for each document that it raised on."""
+    return _prepared_rows(spark, sf_dir)[1]
 
 
 def q_prepared_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,12 +174,14 @@ def q_mixed_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRAIN_ROUNDS = 100
+TEST_SHARE = 0.1
+PRESAMPLE = 200_000  # rows of the other task that are mixed in
 
 
 def q_labelled_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B7 + B9: train (100 rounds) and test (10 rounds) samples drawn
     independently, labelled with the task and counted per split."""
-    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "source"))
+    docs = sample.narrow_keys(load(spark, sf_dir, "documents"))
     # counting needs the sampled keys only, no join back to the documents
     train = sample.sampled_keys(docs, rounds=TRAIN_ROUNDS, k=K_PER_SOURCE, seed=SEED).withColumn("split", F.lit("train"))
     test = sample.sampled_keys(docs, rounds=TEST_ROUNDS, k=K_PER_SOURCE, seed=SEED + 1).withColumn("split", F.lit("test"))
@@ -189,6 +258,22 @@ def _split_sql(name: str, rounds: int, seed: int) -> str:
     )
 
 
+DIGEST_SQL = "sha256(coalesce(text, ''))"
+
+
+def _in_test_sql(digest: str) -> str:
+    return f"({u_sql('split', digest)} < {int(TEST_SHARE * 2**32)})"
+
+
+def _leaks_sql(kind: str, train: str, test: str) -> str:
+    def part(rounds: int, seed: int, side: str) -> str:
+        return (f"(SELECT DISTINCT digest FROM (SELECT digest, row_number() OVER (PARTITION BY source, r ORDER BY {u_sql('sample', 'r', 'doc_id', seed=seed)}, doc_id) AS rn "
+                f"FROM (SELECT *, {DIGEST_SQL} AS digest FROM documents), range(0, {rounds}) t(r) WHERE {side}) WHERE rn <= {K_PER_SOURCE})")
+
+    return (f"SELECT '{kind}' AS kind, count(*) AS test_texts, count(*) FILTER (digest IN (SELECT digest FROM {part(TRAIN_ROUNDS, SEED, train)})) AS shared_texts "
+            f"FROM {part(TEST_ROUNDS, SEED + 1, test)}")
+
+
 def oracles() -> dict[str, str]:
     before, after = corrupt.EXTERNAL_REQUEST.split("{text}")
     return {
@@ -216,9 +301,17 @@ def oracles() -> dict[str, str]:
             f"SELECT source, arm, 'rejected' AS state, count(*) AS n_rows FROM ({_build_pairs_sql('doc_id % 13 <> 0', True)}) GROUP BY ALL"
         ),
         "first_of_shuffle": (
-            "SELECT 'pick' AS kind, doc_id FROM (SELECT doc_id FROM documents ORDER BY source, doc_id LIMIT 1) UNION ALL "
-            "SELECT 'head', CAST(n_nationkey AS BIGINT) FROM nation"
+            f"SELECT 'pick' AS kind, source, doc_id FROM (SELECT source, doc_id FROM documents ORDER BY {u_sql('shuffle', 'doc_id')}, doc_id LIMIT 1) UNION ALL "
+            f"SELECT 'head', source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY {u_sql('shuffle', 'doc_id')}, doc_id) AS rn FROM documents) WHERE rn <= {HEAD_ROWS}"
+        ),
+        "shuffled_training_set": (
+            f"SELECT row_number() OVER (ORDER BY {u_sql('shuffle', 'key')}, key) - 1 AS position, task, key FROM (SELECT 'typo' AS task, 'doc:' || doc_id AS key FROM documents "
+            f"UNION ALL SELECT 'capability', key FROM (SELECT concat_ws(':', 'turn', conv_id, turn) AS key FROM conversations ORDER BY {u_sql('shuffle', 'key')}, key LIMIT {PRESAMPLE}))"
         ),
+        "disjoint_split": f"SELECT doc_id, CASE WHEN {_in_test_sql('digest')} THEN 'test' ELSE 'train' END AS side FROM (SELECT doc_id, {DIGEST_SQL} AS digest FROM documents)",
+        "split_leaks": f"{_leaks_sql('independent', 'true', 'true')} UNION ALL {_leaks_sql('apart', 'NOT ' + _in_test_sql('digest'), _in_test_sql('digest'))}",
+        "prepared_rows": f"SELECT doc_id, source, replace(text, chr(10), ' ') AS correct, replace(replace(text, 'e', ''), chr(10), ' ') AS typos FROM documents WHERE doc_id % {FAILING} <> 0",
+        "prepared_row_errors": f"SELECT doc_id, source, 'ValueError: document ' || doc_id || ' cannot be prepared' AS error FROM documents WHERE doc_id % {FAILING} = 0",
         "prepared_pairs": f"SELECT doc_id, upper(replace(passage, 'ß', 's')) AS passage FROM {passages_sql(trim=True)}",
         "mixed_in": (
             f"SELECT doc_id, source, 'typo' AS task, CAST(NULL AS BIGINT) AS conv_id, CAST(NULL AS VARCHAR) AS role FROM ({_sample_sql(None)}) "
@@ -244,6 +337,12 @@ def queries() -> dict:
         "quarantine": q_quarantine,
         "quarantine_counts": q_quarantine_counts,
         "first_of_shuffle": q_first_of_shuffle,
+        "shuffled_training_set": q_shuffled_training_set,
+        "disjoint_split": q_disjoint_split,
+        "split_leaks": q_split_leaks,
+        "compat_noise": q_compat_noise,
+        "prepared_rows": q_prepared_rows,
+        "prepared_row_errors": q_prepared_row_errors,
         "prepared_pairs": q_prepared_pairs,
         "mixed_in": q_mixed_in,
         "corruption_requests": q_corruption_requests,

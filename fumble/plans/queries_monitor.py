@@ -114,7 +114,7 @@ def _arriving(spark: SparkSession, sf_dir: str) -> tuple[str, StructType, int]:
 def _streamed(spark: SparkSession, sf_dir: str, events) -> DataFrame:
     """What ``events`` of the arriving log puts into its sink, as many files as an arrival has a micro-batch."""
     path, schema, files = _arriving(spark, sf_dir)
-    log = monitor_stream.events_log_stream(spark, path, schema, log_of, max_files=files)
+    log = monitor_stream.events_log_stream(monitor_stream.stream_session(spark), path, schema, log_of, max_files=files)
     name = f"monitor-{uuid.uuid4().hex}"
     query = monitor_stream.start(events(log), name=name)
     query.awaitTermination()

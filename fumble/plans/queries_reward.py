@@ -13,11 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tags as TG
-from ..operators import align, corrupt, report, reward
+from ..functions.noise import noise_sql_duckdb
+from ..operators import align, corrupt, render, report, reward
 from ..session import checkpoint_path
 from ..sources import files
 from ..sources.tables import load
-from .common import DIST_IMPL, NOISE_IMPL, NOISE_SEED, PROB, SEED, all_pairs, distance_sql, pairs_sql, r6
+from ..streaming import call_stats
+from .common import (DIST_IMPL, EXTERNAL_PROB, EXTERNAL_SEED, NOISE_IMPL, NOISE_SEED, PROB, SEED, all_pairs, all_passages, distance_sql,
+                     external_typos, pairs_sql, passages_sql, r6, u_sql)
 from .queries_score import _strip_sql, _words_sql
 
 # Completion layouts of the reference's reward self-tests.
@@ -96,7 +99,8 @@ def layout_completions(pairs: DataFrame) -> DataFrame:
         F.struct((F.col("pair_id") % len(EXTRA_LAYOUTS) + 5).cast("int").alias("layout"), extra.alias("completion")),
     )
     cols = [x for x in pairs.columns]
-    pairs = pairs.withColumn("positional", align.corrections("correct", "typos", mode="positional"))
+    lists = [i for i, x in enumerate(EXTRA_LAYOUTS) if "fixes" in x]  # only these layouts list corrections
+    pairs = pairs.withColumn("positional", F.when((F.col("pair_id") % len(EXTRA_LAYOUTS)).isin(lists), align.corrections("correct", "typos", mode="positional")))
     return pairs.select(*cols, F.explode(gens).alias("g")).select(*cols, "g.layout", "g.completion")
 
 
@@ -209,6 +213,14 @@ def q_thinking_target_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("pair_id", "typos", align.thinking_target("correct", corrs).alias("target"))
 
 
+def q_thinking_pairs_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D4 with C5: untrimmed passages are routed to one of the two arms, and the
+    target lists the corrections of what that arm returned (positional ones,
+    which SQL can express)."""
+    pairs, _ = align.routed_pairs(all_passages(spark, sf_dir, trim=False), external_typos, seed=SEED, noise_seed=NOISE_SEED, prob=PROB)
+    return align.thinking_pairs(pairs.select("pair_id", "arm", "correct", "typos"), mode="positional")
+
+
 def _pairs_with(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     pairs = all_pairs(spark, sf_dir).select("pair_id", "source", "correct", "typos")
     return pairs.withColumn("word_corrections", align.corrections("correct", "typos", mode=mode))
@@ -318,15 +330,58 @@ def q_user_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("pair_id", F.col("gen_idx").cast("int").alias("gen_idx"), r6(F.col("user_reward")).alias("user_reward"))
 
 
+# Pairs for which the caller's reward raises, and for which it returns no number.
+RAISING, NOTHING = 97, 89
+
+
+def length_reward(prompts, completions, correct_text, typo_text, pair_id):
+    """A caller's reward: how near a completion's length is to the correct text's.
+    Completions are texts or lists of messages."""
+    texts = [c if isinstance(c, str) else c[0]["content"] for c in completions]
+    if any(i % RAISING == 0 for i in pair_id):
+        raise ValueError(f"no reward for pair {next(i for i in pair_id if i % RAISING == 0)}")
+    assert all(t in p for p, t in zip(prompts, typo_text, strict=True))
+    return ["none" if i % NOTHING == 0 else min(len(t), len(c)) / max(len(t), len(c), 1) for t, c, i in zip(texts, correct_text, pair_id, strict=True)]
+
+
+def q_batch_user_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's function over batches of rows; it raises on some rows."""
+    rows = positional_completions(all_pairs(spark, sf_dir))
+    rows = rows.select("pair_id", "gen_idx", "completion", render.short_prompt("typos").alias("prompt"), F.col("correct").alias("correct_text"), F.col("typos").alias("typo_text"))
+    r = reward.batch_reward(rows, length_reward, columns=("pair_id",))
+    return r.select("pair_id", F.col("gen_idx").cast("int").alias("gen_idx"), r6(F.col("reward")).alias("reward"), "error")
+
+
+CALL_ARRIVALS = 3
+
+
+def q_streamed_call_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H3, H4 as calls arrive, a call's rows in two of the arrivals."""
+    scored = _numbered(reward.positional_reward(positional_completions(all_pairs(spark, sf_dir))))
+    part = F.least(F.floor((F.col("batch") - 1) * CALL_ARRIVALS / 20), F.lit(CALL_ARRIVALS - 1)) + (F.col("gen_idx") == 2).cast("int")
+    rows = scored.select(F.col("run_id").cast("string").alias("run_id"), F.col("batch").cast("string").alias("call"), F.col("batch").alias("seq"),
+                         "reward", "char_accuracy", "perfect_match", part.cast("int").alias("part"))
+    path = checkpoint_path(spark, f"calls-{uuid.uuid4().hex}")
+    files.write_records(rows, f"{path}/scored", partition_by=["part"])
+    for i in range(CALL_ARRIVALS + 1):  # one write after the other, so that the files' times keep the order
+        some = spark.read.schema(rows.schema).parquet(f"{path}/scored").filter(F.col("part") == i).drop("part")
+        files.write_records(some, f"{path}/in")
+    log = spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 64).parquet(f"{path}/in")
+    call_stats.start(log, f"{path}/stats").awaitTermination()
+    s = call_stats.call_stats(spark, f"{path}/stats")
+    return s.select("run_id", "call", "call_count", "n_rows", *[r6(F.col(c)).alias(c) for c in ("mean_char_accuracy", "perfect_match_ratio", "reward_mean", "reward_min", "reward_max", "reward_std")])
+
+
 def q_evaluation_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two evaluations appended to a metric table with the key (run_id,
-    eval_idx), read back in long form."""
+    """Two evaluations, each written twice, to a metric table with the key
+    (run_id, eval_idx), read back in long form."""
     path = checkpoint_path(spark, f"metrics-{uuid.uuid4().hex}")
     scored = reward.positional_reward(positional_completions(all_pairs(spark, sf_dir)))
     for eval_idx, gen in enumerate((1, 2)):
         means = scored.filter(F.col("gen_idx") == gen).groupBy(F.col("source").alias("run_id")).agg(
             F.avg("char_accuracy").alias("char_accuracy"), F.avg("reward").alias("reward"))
-        files.write_scalars(means.withColumn("eval_idx", F.lit(eval_idx)), path)
+        for _ in range(2):  # a repeated evaluation replaces itself
+            files.write_scalars(means.withColumn("eval_idx", F.lit(eval_idx)), path)
     back = files.read_scalars(spark, path, "run_id string, eval_idx int")
     return back.select("run_id", "eval_idx", "metric", r6(F.col("value")).alias("value"))
 
@@ -482,13 +537,23 @@ def _positional_corrections_sql() -> str:
     )
 
 
-def _thinking_target_sql() -> str:
+def _routed_sql() -> str:
+    """(pair_id, arm, correct, typos) of untrimmed passages, each from the arm that it is routed to."""
+    arm = lambda prob, seed: noise_sql_duckdb("passage", "CAST(pair_id AS VARCHAR)", prob=prob, seed=seed)
+    route = f"{u_sql('route', 'doc_id', '0')} <= {int(0.5 * 2**32)}"
+    flat = lambda x: f"replace({x}, chr(10), ' ')"
+    noisy = f"CASE WHEN {route} THEN {arm(PROB, NOISE_SEED)} ELSE {arm(EXTERNAL_PROB, EXTERNAL_SEED)} END"
+    return (f"(SELECT pair_id, CASE WHEN {route} THEN 'keyboard' ELSE 'external' END AS arm, {flat('passage')} AS correct, "
+            f"{flat(noisy)} AS typos FROM {passages_sql(trim=False)} WHERE passage IS NOT NULL)")
+
+
+def _thinking_target_sql(src: str, more: str = "") -> str:
     sep = align.SEP
     line = (f"CASE WHEN coalesce(p[1], '') <> '' AND coalesce(p[2], '') <> '' THEN p[1] || '{align.ARROW}' || p[2] "
             f"WHEN coalesce(p[1], '') <> '' THEN '{align.DELETE_PREFIX}' || p[1] ELSE '{align.INSERT_PREFIX}' || p[2] END")
     body = f"coalesce(array_to_string(list_transform({_positional_list_sql()}, lambda p: {line}), '{sep}'), '')"
-    return (f"SELECT pair_id, typos, '<think>{sep}' || {body} || '{sep}</think>{sep}<answer>' || correct || '</answer>' AS target "
-            f"FROM {pairs_sql(trim=False)}")
+    return (f"SELECT pair_id, {more}typos, '<think>{sep}' || {body} || '{sep}</think>{sep}<answer>' || correct || '</answer>' AS target "
+            f"FROM {src}")
 
 
 def _reasoning_sql(failures: bool = False) -> str:
@@ -621,7 +686,8 @@ def oracles() -> dict[str, str]:
             "WHERE rn <= 3"
         ),
         "reasoning_examples": _reasoning_examples_sql(),
-        "thinking_target_positional": _thinking_target_sql(),
+        "thinking_target_positional": _thinking_target_sql(pairs_sql(trim=False)),
+        "thinking_pairs_routed": _thinking_target_sql(_routed_sql(), "arm, "),
         "thinking_reward_positional": f"SELECT {_columns_sql(THINKING_COLUMNS)} FROM {_reasoning_sql()}",
         "total_reward_positional": f"SELECT {_columns_sql(TOTAL_COLUMNS)}, error FROM {_reasoning_sql()}",
         "failed_rewards": f"SELECT {_columns_sql((*TOTAL_COLUMNS, *THINKING_COLUMNS[1:]))}, error FROM {_reasoning_sql(failures=True)}",
@@ -635,6 +701,17 @@ def oracles() -> dict[str, str]:
         "score_completions": _score_completions_sql(),
         "unmatched_completions": f"SELECT doc_id, gen_idx, CAST(length(c) AS BIGINT) AS n_chars FROM {_completions_sql()} WHERE NOT known",
         "user_reward": f"SELECT pair_id, gen_idx, round(char_accuracy * 2 - CASE WHEN perfect_match THEN 0.0 ELSE 0.5 END, 6) AS user_reward FROM {pr}",
+        "batch_user_reward": (
+            f"SELECT pair_id, gen_idx, CASE WHEN error IS NULL THEN round(least(c, n) / CAST(greatest(c, n, 1) AS DOUBLE), 6) ELSE 0.0 END AS reward, error FROM ("
+            f"SELECT pair_id, CAST(gen_idx AS INTEGER) AS gen_idx, length(completion) AS c, length(correct) AS n, CASE WHEN pair_id % {RAISING} = 0 THEN 'ValueError: no reward for pair ' || pair_id "
+            f"WHEN pair_id % {NOTHING} = 0 THEN 'TypeError: a reward is a number, not a text' END AS error FROM {_positional_sql(pairs_sql())})"
+        ),
+        "streamed_call_stats": (
+            "SELECT run_id::VARCHAR AS run_id, batch::VARCHAR AS call, dense_rank() OVER (PARTITION BY run_id ORDER BY batch) AS call_count, count(*) AS n_rows, "
+            "round(avg(char_accuracy), 6) AS mean_char_accuracy, round(avg(CAST(perfect_match AS DOUBLE)), 6) AS perfect_match_ratio, round(avg(reward), 6) AS reward_mean, "
+            "round(min(reward), 6) AS reward_min, round(max(reward), 6) AS reward_max, round(stddev_pop(reward), 6) AS reward_std "
+            f"FROM (SELECT *, pair_id % 10 AS run_id, {BATCH_SQL} AS batch FROM {pr}) GROUP BY run_id, batch"
+        ),
         "evaluation_tables": (
             "SELECT run_id, eval_idx, metric, round(value, 6) AS value FROM (UNPIVOT (SELECT source AS run_id, CAST(gen_idx - 1 AS INTEGER) AS eval_idx, "
             f"avg(char_accuracy) AS char_accuracy, avg(reward) AS reward FROM {pr} WHERE gen_idx > 0 GROUP BY ALL) ON char_accuracy, reward INTO NAME metric VALUE value)"
@@ -670,6 +747,7 @@ def queries() -> dict:
         "corrections_positional": q_corrections_positional,
         "thinking_target": q_thinking_target,
         "thinking_target_positional": q_thinking_target_positional,
+        "thinking_pairs_routed": q_thinking_pairs_routed,
         "thinking_reward": q_thinking_reward,
         "thinking_reward_positional": q_thinking_reward_positional,
         "total_reward": q_total_reward,
@@ -682,6 +760,8 @@ def queries() -> dict:
         "score_completions": q_score_completions,
         "unmatched_completions": q_unmatched_completions,
         "user_reward": q_user_reward,
+        "batch_user_reward": q_batch_user_reward,
+        "streamed_call_stats": q_streamed_call_stats,
         "evaluation_tables": q_evaluation_tables,
         "json_lines": q_json_lines,
     }

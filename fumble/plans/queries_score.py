@@ -89,6 +89,11 @@ def q_baseline_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cmp.select("run_id", "eval_idx", *[r6(F.col(c)).alias(c) for c in cmp.columns if c not in ("run_id", "eval_idx")])
 
 
+def q_comparison_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H2 display, F22: the comparison as printed."""
+    return report.comparison_display(q_baseline_comparison(spark, sf_dir))
+
+
 # ------------------------------------------------------------------ oracles
 
 def _strip_sql(x: str) -> str:
@@ -175,8 +180,15 @@ def _baseline_sql() -> str:
     return f"SELECT run_id, CAST(eval_idx AS INTEGER) AS eval_idx, {', '.join(cols)} FROM {means}"
 
 
+def _display_sql() -> str:
+    rows = [f"SELECT run_id, eval_idx, '{label}' AS metric, printf('%.2f%%', baseline_{k} * 100) AS baseline, printf('%.2f%%', current_{k} * 100) AS current, "
+            f"printf('%+.2fpp', improvement_{k} * 100) AS improvement, printf('%+.1f%%', pct_change_{k}) AS pct_change FROM cmp" for k, label in report.COMPARISON_LABELS]
+    return f"WITH cmp AS ({_baseline_sql()}) {' UNION ALL '.join(rows)}"
+
+
 def oracles() -> dict[str, str]:
     return {
+        "comparison_display": _display_sql(),
         "typo_metrics": _round_metrics(pairs_sql(), "pair_id"),
         "metrics_by_lang": _means_sql(pairs_sql(), "lang"),
         "noise_report": _means_sql(_sampled_pairs_sql(), "lang"),
@@ -196,5 +208,6 @@ def queries() -> dict:
         "metrics_by_lang": q_metrics_by_lang,
         "noise_report": q_noise_report,
         "baseline_comparison": q_baseline_comparison,
+        "comparison_display": q_comparison_display,
         "evaluation_records": q_evaluation_records,
     }

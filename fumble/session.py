@@ -41,16 +41,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     A cluster names this folder (a shared file system path). Only a local
     session, as in tests, may have none: it gets a temporary one here.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server side owns the checkpoint folder
+        sc = None
+    # a session of the same application, such as that of a stream, has the folder of the first
+    current = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_fumble_checkpoint_dir", None)
     if not current:
         if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="fumble-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    try:
-        spark.sparkContext.setCheckpointDir(current)
-    except Exception:  # Spark Connect: the server side owns the checkpoint folder
-        pass
+    if sc is not None:
+        sc._fumble_checkpoint_dir = current
+        sc.setCheckpointDir(current)
     return current
 
 

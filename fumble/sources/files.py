@@ -77,12 +77,19 @@ def write_records(df: DataFrame, path: str, mode: str = "append", partition_by:
     w.parquet(path)
 
 
-def write_scalars(metrics: DataFrame, path: str, key: tuple[str, str] = ("run_id", "eval_idx")) -> None:
-    """One row per run and evaluation, every other column a scalar, appended
-    in long form (run_id, eval_idx, metric, value)."""
+def write_keyed(df: DataFrame, path: str, key: tuple[str, ...]) -> None:
+    """A6, A7 repeatably: the rows of each key replace those that the table holds
+    for it; other keys stay. A key is a folder, so the same evaluation written
+    twice, by a retry or by hand, reads back once. Keys are no empty texts."""
+    (df.repartition(*key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*key).parquet(path))
+
+
+def write_scalars(metrics: DataFrame, path: str, key: tuple[str, ...] = ("run_id", "eval_idx")) -> None:
+    """One row per run and evaluation, every other column a scalar, written
+    in long form (run_id, eval_idx, metric, value); see ``write_keyed``."""
     names = [c for c in metrics.columns if c not in key]
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names])).alias("x")
-    write_records(metrics.select(*key, rows).select(*key, "x.metric", "x.value"), path)
+    write_keyed(metrics.select(*key, rows).select(*key, "x.metric", "x.value"), path, key)
 
 
 def read_scalars(spark: SparkSession, path: str, key: str = "run_id string, eval_idx int") -> DataFrame:

@@ -2,17 +2,25 @@
 
 The reference reacts to callbacks that arrive in step order. Here the log is a
 stream ``(run_id, step, ts, metric, value)`` whose rows may arrive up to
-``delay`` late. Each run keeps in its state the rows that may still be
-overtaken, and releases them in ``(ts, step)`` order once the run's latest
-event time is ``delay`` past them; what follows - last loss, best reward,
-invalid-value count - sees the same order as the batch form. A row behind what
-its run has released can no longer take its place: it is emitted as ``late``
-with its metric and value and changes no state. No row is dropped by Spark,
-since the query sets no watermark and no timeout of its own.
-
-A run's state ends only with an explicit end row (metric ``END_OF_RUN``),
-which releases all that is held. Runs that never send one keep a few numbers,
-and the rows of their last ``delay``, in the state store.
+``delay`` late. ``transformWithStateInPandas`` keeps per run
+
+* ``held``: the rows that may still be overtaken, a map from a stretch of event
+  time (an eighth of the delay) to its rows, so that a batch rewrites only the
+  stretches that its rows fall into;
+* ``run``: last loss, best reward, invalid-value count, the place up to which
+  rows have been released, and whether the run has ended.
+
+A stretch is released, in ``(ts, step)`` order, once the run's own latest event
+time is ``delay`` past it, or the watermark is: every stretch has an event-time
+timer, so an idle run is released as soon as other runs move the watermark on.
+What follows sees the same order as the batch form. A row behind what its run
+has released can no longer take its place: it is emitted as ``late`` with its
+metric and value and changes no state. Spark itself drops no row: the watermark
+is set on a copy of the event time that the stateful step does not read.
+
+An end row (metric ``END_OF_RUN``) releases all that is held; a small mark stays,
+so that rows after it are ``late`` too. With ``forget_seconds`` the mark goes
+once the watermark is that much past the end; a later row starts the run anew.
 
 Invalid numbers (J2) need no order and come from a stateless query.
 
@@ -27,23 +35,26 @@ apart on the way through pandas by a column that names what a value is.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import monitor
 from ..operators.monitor import LOSS, REWARD_NAMES, SPIKE_FACTOR
+from ..session import ensure_checkpoint_dir, ship_package
 
 END_OF_RUN = "__end_of_run__"
 EVENT_SCHEMA = "run_id long, step long, kind string, metric string, value_from double, value double, value_is string"
-STATE_SCHEMA = (
-    "last_loss double, has_loss boolean, best double, errors long, front_ts long, front_step long, last_ts long, "
-    "held array<struct<ts:long,step:long,metric:string,value:double,value_is:string>>"
-)
+EVENT_COLUMNS = [x.split()[0] for x in EVENT_SCHEMA.split(", ")]
+RUN_SCHEMA = "last_loss double, loss_is string, best double, errors long, front_ts long, front_step long, last_ts long, ended boolean"
+HELD_SCHEMA = "rows array<struct<ts:long,step:long,metric:string,value:double,value_is:string>>"
+STRETCHES = 8  # of the delay
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MAX_FILES = 64
 
 
@@ -89,60 +100,110 @@ def _order(row: tuple) -> tuple:
     return ts, step, metric or "", value is None, value is not None and math.isnan(value), value or 0.0
 
 
-def update_with(delay_ms: int):
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _value(value: float | None, value_is: str) -> float | None:
+    return {"null": None, "nan": math.nan}.get(value_is, value)
+
+
+class MonitorProcessor(StatefulProcessor):
+    """Holds a run's rows by stretches of event time and releases them in order; see the module's text."""
+
+    def __init__(self, delay_ms: int, forget_ms: int | None):
+        self.delay, self.stretch, self.forget = delay_ms, max(1, delay_ms // STRETCHES), forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", RUN_SCHEMA)
+        self.held = handle.getMapState("held", "stretch long", HELD_SCHEMA)
+
+    def close(self) -> None:
+        pass
+
+    def _read(self) -> tuple[Run, tuple | None, int | None, bool]:
+        """(running quantities, place released up to, latest event time, whether it has ended)"""
+        if not self.run.exists():
+            return Run(), None, None, False
+        last_loss, loss_is, best, errors, front_ts, front_step, last_ts, ended = self.run.get()
+        run = Run(_value(last_loss, loss_is), loss_is != "null", best, errors)
+        return run, None if front_ts is None else (front_ts, front_step), last_ts, ended
+
+    def _write(self, run: Run, front: tuple | None, last_ts: int | None, ended: bool) -> None:
+        loss_is = _kind(run.last_loss) if run.has_loss else "null"
+        loss = run.last_loss if loss_is == "number" else None
+        self.run.update((loss, loss_is, run.best, run.errors, *(front or (None, None)), last_ts, ended))
+
+    def _released(self, run_id: int, run: Run, front: tuple | None, upto: float) -> tuple[list, tuple | None]:
+        """Events of the stretches that end by ``upto``, which are no longer held."""
+        rows = []
+        for stretch in sorted(k for (k,) in list(self.held.keys()) if (k + 1) * self.stretch <= upto):
+            rows += [(ts, step, metric, _value(value, value_is)) for ts, step, metric, value, value_is in self.held.getValue((stretch,))[0]]
+            self.held.removeKey((stretch,))
+        rows.sort(key=_order)  # rows of one (ts, step) lie in one stretch, so steps are released whole
+        return list(_release(run_id, run, rows)), rows[-1][:2] if rows else front
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         (run_id,) = key
-        if state.exists:
-            last_loss, has_loss, best, errors, front_ts, front_step, last_ts, held = state.get
-            none = lambda x: None if x is None or (isinstance(x, float) and math.isnan(x)) else x
-            run = Run(math.nan if has_loss and last_loss is None else last_loss, has_loss, none(best), errors)
-            held = [(ts, step, metric, {"null": None, "nan": math.nan}.get(value_is, value)) for ts, step, metric, value, value_is in held]
-        else:
-            run, front_ts, front_step, last_ts, held = Run(), None, None, None, []
-        front = None if front_ts is None else (front_ts, front_step)
-        out, ended = [], False
-        for f in batches:
-            for ts, step, metric, value, value_is in zip(f["ts_ms"], f["step"], f["metric"], f["value"], f["value_is"], strict=True):
-                value = {"null": None, "nan": math.nan}.get(value_is, value)
+        run, front, last_ts, ended = self._read()
+        out, new, ends = [], defaultdict(list), False
+        for f in rows:
+            for ts, step, metric, value, value_is in zip(f["ts_ms"].tolist(), f["step"].tolist(), f["metric"], f["value"].tolist(), f["value_is"], strict=True):
                 last_ts = ts if last_ts is None else max(last_ts, ts)
                 if metric == END_OF_RUN:
-                    ended = True
-                elif front is not None and (ts, step) <= front:
-                    out.append((run_id, step, "late", metric, None, value, value_is))
+                    ends = True
+                elif ended or (front is not None and (ts, step) <= front):
+                    out.append((run_id, step, "late", metric, None, _value(value, value_is), value_is))
                 else:
-                    held.append((int(ts), int(step), metric, None if value is None else float(value)))
-        held.sort(key=_order)
-        # whole steps are released: rows of one (ts, step) stay together
-        upto = len(held) if ended else sum(r[0] <= last_ts - delay_ms for r in held)
-        done, held = held[:upto], held[upto:]
-        out += _release(run_id, run, done)
-        if done:
-            front = done[-1][:2]
+                    new[ts // self.stretch].append((ts, step, metric, None if value_is != "number" else float(value), value_is))
+        for stretch, some in new.items():
+            known = self.held.getValue((stretch,))[0] if self.held.containsKey((stretch,)) else []
+            self.held.updateValue((stretch,), ([tuple(r) for r in known] + some,))
+            if not known:
+                self.handle.registerTimer((stretch + 1) * self.stretch)
+        ended = ended or ends
+        events, front = self._released(run_id, run, front, math.inf if ended else last_ts - self.delay)
+        self._write(run, front, last_ts, ended)
+        if ended and self.forget is not None:
+            self.handle.registerTimer(last_ts + self.forget)
+        if out or events:
+            yield pd.DataFrame(out + events, columns=EVENT_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        (run_id,) = key
+        run, front, last_ts, ended = self._read()
         if ended:
-            state.remove()
-        else:
-            kept = [(t, s, m, v, _kind(v)) for t, s, m, v in held]
-            state.update((run.last_loss, run.has_loss, run.best, run.errors, *(front or (None, None)), int(last_ts), kept))
-        if out:
-            yield pd.DataFrame(out, columns=["run_id", "step", "kind", "metric", "value_from", "value", "value_is"])
-
-    return update
-
-
-def _marked(log: DataFrame) -> DataFrame:
+            if self.forget is not None and timerValues.getCurrentWatermarkInMs() >= last_ts + self.forget:
+                self.run.clear()
+            return
+        events, front = self._released(run_id, run, front, timerValues.getCurrentWatermarkInMs())
+        if self.run.exists():
+            self._write(run, front, last_ts, ended)
+        if events:
+            yield pd.DataFrame(events, columns=EVENT_COLUMNS)
+
+
+def monitor_events(log: DataFrame, delay_seconds: float = 3600, forget_seconds: float | None = None) -> DataFrame:
+    """Ordered events J1, J3, J4 and late rows of a streaming log. The session
+    of the stream must name the state store ``STATE_STORE`` (``stream_session``)."""
     value_is = F.when(F.col("value").isNull(), "null").when(F.isnan("value"), "nan").otherwise("number")
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    return log.select("run_id", "step", ms.alias("ts_ms"), "metric", "value", value_is.alias("value_is"))
-
-
-def monitor_events(log: DataFrame, delay_seconds: float = 3600) -> DataFrame:
-    """Ordered events J1, J3, J4 and late rows of a streaming log."""
-    events = _marked(log).groupBy("run_id").applyInPandasWithState(
-        update_with(int(delay_seconds * 1000)), EVENT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    seen = log.withColumn("seen", F.col("ts").cast("timestamp")).withWatermark("seen", f"{int(delay_seconds * 1000)} milliseconds")
+    marked = seen.select("run_id", "step", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "metric", "value", value_is.alias("value_is"))
+    processor = MonitorProcessor(int(delay_seconds * 1000), None if forget_seconds is None else int(forget_seconds * 1000))
+    events = marked.groupBy("run_id").transformWithStateInPandas(processor, EVENT_SCHEMA, "append", "eventTime")
     value = F.when(F.col("value_is") == "nan", F.lit(float("nan"))).otherwise(F.col("value"))
     return events.withColumn("value", value).drop("value_is")
 
 
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application whose streams keep state in RocksDB;
+    the settings of ``spark`` stay as they are."""
+    ship_package(spark)
+    ensure_checkpoint_dir(spark)
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    return own
+
+
 def invalid_events(log: DataFrame) -> DataFrame:
     """J2 on a stream: no state, no order, no row lost."""
     return monitor.invalid_values(log.filter(F.col("metric") != END_OF_RUN))

@@ -88,15 +88,15 @@ def test_ties_at_one_step_have_an_order(spark):
 SCHEMA = "event_id long, user_id long, event_type string, ts timestamp, value double"
 
 
-def arriving(spark, tmp_path, batches, delay):
+def arriving(spark, tmp_path, batches, delay, forget=None):
     """Events of batches of rows (run, step, seconds, metric, value), a file a micro-batch."""
     src = str(tmp_path / "in")
     for rows in batches:
         df = spark.createDataFrame([(step, run, m, 1_700_000_000 + t, v) for run, step, t, m, v in rows], "event_id long, user_id long, event_type string, t long, value double")
         df.select("event_id", "user_id", "event_type", F.timestamp_seconds("t").alias("ts"), "value").coalesce(1).write.mode("append").parquet(src)
     as_log = lambda ev: ev.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("step"), "ts", F.col("event_type").alias("metric"), "value")
-    log = monitor_stream.events_log_stream(spark, src, SCHEMA, as_log, max_files=1)
-    for name, events in (("ordered", monitor_stream.monitor_events(log, delay)), ("invalid", monitor_stream.invalid_events(log))):
+    log = monitor_stream.events_log_stream(monitor_stream.stream_session(spark), src, SCHEMA, as_log, max_files=1)
+    for name, events in (("ordered", monitor_stream.monitor_events(log, delay, forget)), ("invalid", monitor_stream.invalid_events(log))):
         monitor_stream.start(events, str(tmp_path / name), str(tmp_path / f"{name}-state")).awaitTermination(300)
     out = spark.read.parquet(str(tmp_path / "ordered")).collect()
     return sorted((r.run_id, r.step, r.kind, same(r.value_from), same(r.value)) for r in out), spark.read.parquet(str(tmp_path / "invalid"))
@@ -131,6 +131,47 @@ def test_stream_tells_nan_from_null(spark, tmp_path):
     assert sorted((r.step, same(r.value)) for r in invalid.collect()) == [(2, "nan"), (3, float("inf"))]
 
 
+def test_an_idle_run_releases_once_other_runs_pass_it(spark, tmp_path):
+    """Run 7 logs nothing after its spike and never ends; run 8 moves the watermark on."""
+    batches = [[(7, 1, 0, "loss", 1.0), (7, 2, 1, "loss", 5.0), (8, 1, 0, "loss", 1.0)], [(8, 2, 500, "loss", 1.0)], [(8, 3, 1000, "loss", 1.0)], [(8, 4, 1500, "loss", 1.0)]]
+    got, _ = arriving(spark, tmp_path, batches, 60)
+    assert got == [(7, 2, "loss_spike", 1.0, 5.0)]
+
+
+def test_rows_behind_a_timer_are_late(spark, tmp_path):
+    """What a timer has released is passed, also for the run's own later rows."""
+    batches = [[(7, 5, 5, "loss", 1.0), (8, 1, 0, "loss", 1.0)], [(8, 2, 500, "loss", 1.0)], [(8, 3, 1000, "loss", 1.0)], [(7, 1, 1, "loss", 9.0), (7, 6, 400, "loss", 3.0), (7, 9, 1001, END, None)]]
+    got, _ = arriving(spark, tmp_path, batches, 60)
+    assert got == [(7, 1, "late", None, 9.0), (7, 6, "loss_spike", 1.0, 3.0)]
+
+
+def test_rows_after_the_end_are_late_and_change_nothing(spark, tmp_path):
+    reward = "eval_reward/mean"
+    batches = [[(7, 1, 0, reward, 5.0), (7, 2, 1, "loss", NAN), (7, 3, 2, END, None)], [(7, 4, 3, reward, 1.0), (7, 5, 4, "loss", NAN), (8, 1, 1, "loss", 1.0)], [(7, 6, 5, reward, 9.0)], [(7, 7, 6, END, None), (8, 2, 9, END, None)]]
+    got, _ = arriving(spark, tmp_path, batches, 60)
+    assert got == [(7, 1, "new_best", None, 5.0), (7, 2, "total_errors", None, 1.0), (7, 4, "late", None, 1.0), (7, 5, "late", None, "nan"), (7, 6, "late", None, 9.0)]
+
+
+def test_an_ended_run_is_forgotten_when_asked_to(spark, tmp_path):
+    far = [(8, i, 1000 * i, "loss", 1.0) for i in range(1, 5)]
+    batches = [[(7, 1, 0, "loss", 1.0), (7, 2, 2, END, None)], far[:1], far[1:2], [(7, 1, 1000, "loss", 1.0), (7, 2, 1001, "loss", 9.0), far[2]], [(7, 3, 1002, END, None), far[3]]]
+    got, _ = arriving(spark, tmp_path, batches, 60, forget=300)
+    assert got == [(7, 2, "loss_spike", 1.0, 9.0)]
+
+
+def test_a_stream_that_stops_and_goes_on_loses_and_repeats_nothing(spark, tmp_path):
+    """Each arrival in a query of its own, all with one checkpoint."""
+    src, as_log = str(tmp_path / "in"), lambda ev: ev.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("step"), "ts", F.col("event_type").alias("metric"), "value")
+    batches = [[(7, 1, 0, "loss", 1.0), (7, 4, 50, "loss", 2.0)], [(7, 2, 20, "loss", 3.0), (7, 5, 900, "loss", 5.0)], [(7, 6, 1000, END, None)]]
+    for rows in batches:
+        df = spark.createDataFrame([(step, run, m, 1_700_000_000 + t, v) for run, step, t, m, v in rows], "event_id long, user_id long, event_type string, t long, value double")
+        df.select("event_id", "user_id", "event_type", F.timestamp_seconds("t").alias("ts"), "value").coalesce(1).write.mode("append").parquet(src)
+        log = monitor_stream.events_log_stream(monitor_stream.stream_session(spark), src, SCHEMA, as_log, max_files=1)
+        monitor_stream.start(monitor_stream.monitor_events(log, 60), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(300)
+    got = sorted((r.step, r.kind, r.value_from, r.value) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(2, "loss_spike", 1.0, 3.0), (5, "loss_spike", 2.0, 5.0)]
+
+
 def test_arrivals_have_as_many_files_as_their_rows_need(spark, monkeypatch):
     """No arrival goes through one file whole, and the events are the batch's."""
     from fumble.plans import queries_monitor as Q

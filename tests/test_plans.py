@@ -61,18 +61,7 @@ def test_sample_rounds_cut_equals_full_pass(spark):
         w = Window.partitionBy("source").orderBy("u", "doc_id")
         want += [(x.doc_id, x.source, r) for x in one.withColumn("rn", F.row_number().over(w)).filter("rn <= 7").collect()]
     for spare in (8.0, 0.0, -7.0):  # enough; often too few; none at all
-        assert rows(sample.sampled_keys(docs, rounds=4, k=7, spare=spare)) == sorted(want), spare
-
-
-def test_sample_rounds_starts_no_job_at_plan_time(spark):
-    docs = load(spark, SF01, "documents").select("doc_id", "source")  # reads the files' schema in a job
-    tracker = spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup("planning", "sample_rounds")
-    try:
-        sample.sample_rounds(docs, rounds=3, k=5)
-        assert not tracker.getJobIdsForGroup("planning")
-    finally:
-        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert rows(sample.sampled_keys(sample.narrow_keys(docs), rounds=4, k=7, spare=spare)) == sorted(want), spare
 
 
 def test_realignment_moves_digests_once(spark):
