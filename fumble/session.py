@@ -52,9 +52,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="fumble-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    if sc is not None:
+    if sc is not None and getattr(sc, "_fumble_checkpoint_dir", None) != current:
         sc._fumble_checkpoint_dir = current
-        sc.setCheckpointDir(current)
+        sc.setCheckpointDir(current)  # makes a folder of its own there each time
     return current
 
 
