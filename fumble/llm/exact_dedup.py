@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fumble.llm.shared import keep, with_package
+from fumble.llm.shared import id_key, keep, scratch, taken, with_package
 from fumble.llm.url_filter import LOWER, UPPER
 
 COUNTERS = 1024
@@ -91,8 +91,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that stay, with all their columns. A row is met again by its
-    doc_id and digest, all that its verdict rests on."""
-    stay = exact_dedup(docs, id_col, text_col, **options).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha256")).distinct()
+    doc_id and digest; of rows that have both alike one stays."""
+    with scratch(docs.sparkSession):
+        judged = exact_dedup(docs, id_col, text_col, **options)
+        rows = judged.groupBy(id_key(F.col("doc_id")).alias("id"), "text_sha256").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("kept").cast("long")).alias("copies"))
+        decided = keep(rows, "dedup-decided", outlives=True)
     folded = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER)
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.sha2(folded.cast("binary"), 256) == F.col("_sha256"))
-    return docs.join(stay, same, "left_semi")
+    return taken(docs, [id_key(F.col(id_col).cast("long")), F.sha2(folded.cast("binary"), 256)], decided)

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from fumble.llm.components import components
-from fumble.llm.shared import frame_of, keep, with_package
+from fumble.llm.shared import frame_of, id_key, keep, release, scratch, taken, text_digest, with_package
 from fumble.llm.tokens import ragged, slices
 from fumble.llm.url_filter import bloom_block, bloom_mask, bloom_table
 from fumble.llm.words import word_codes
@@ -60,8 +60,8 @@ PIVOTS = 64
 BLOCK, BLOCK_SETS = 1 << 21, 1 << 13  # shingles and sets of one round's pivots, 16 MB
 DEPTH = 4
 SHARE = 10  # a tenth of a set's shingles must be met again
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-HELD = 1 << 21  # shingles that a task joins before it sends them
+ROWS = 2000  # rows of an Arrow batch at a time: sets are large rows
+HELD = 1 << 19  # shingles that a task joins before it sends them, or reads before it counts them
 PART = 1 << 22  # bytes of text at a time
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _STEPS = _MIX * np.arange(1, 6, dtype=np.uint64)
@@ -97,13 +97,19 @@ def digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for first in range(0, b.num_rows, ROWS):
+            yield b.slice(first, ROWS)
+
+
 def node_of(d: bytes) -> int:
     """The half of a digest that stands for a set among the coarse edges."""
     return int.from_bytes(d[:8], "little", signed=True)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_digest(text_col).alias("own"))
 
 
 def prefix_length(n: int, percent: int = PERCENT, shared: int = 1) -> int:
@@ -140,9 +146,9 @@ def _tally(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(nodes, return_counts=True)
 
 
-# what a task sends: a document (doc_id, n, digest, node), a shingle (token, node, met), or a count (node, n)
-SENT = "kind string, key long, doc_id long, n long, digest binary, node long, met boolean"
-_SENT = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_())
+# what a task sends: a document (doc_id, n, digest, node, digest of its text), a shingle (token, node, met), or a count (node, n)
+SENT = "kind string, key long, doc_id long, n long, digest binary, node long, met boolean, own binary"
+_SENT = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.binary())
 
 
 def _sent(kind: str, rows: int, **columns) -> pa.RecordBatch:
@@ -152,17 +158,19 @@ def _sent(kind: str, rows: int, **columns) -> pa.RecordBatch:
 
 
 def documents_and_counts(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """One pass over all texts: rows "doc" (doc_id, n, digest, node) and rows
-    "count" (node, n): how many of a set's first shingles another text has."""
+    """One pass over all texts: rows "doc" (doc_id, n, digest, node, own) and rows
+    "count" (node, n): how many of a set's first shingles another text has.
+
+    The shuffle sorts by shingle, so a task holds the rows of a few shingles at a time."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, nodes, held = [], [], 0
-        for b in batches:
+        for b in _cut(batches):
             rows = []
-            for doc, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), k), strict=True):
+            for doc, own, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), shingle_sets(b.column(1), k), strict=True):
                 d = digest(s)
                 node = node_of(d)
-                rows.append((doc, len(s), d, node))
+                rows.append((doc, len(s), d, node, own))
                 if len(s):
                     first = s[: prefix_length(len(s), percent, must_share(len(s)))].view(np.int64)
                     tokens.append(first)
@@ -172,8 +180,8 @@ def documents_and_counts(texts: DataFrame, k: int, percent: int) -> DataFrame:
                     yield from local(tokens, nodes)
                     tokens, nodes, held = [], [], 0
             if rows:
-                docs, n, digests, names = zip(*rows, strict=True)
-                yield _sent("doc", len(rows), key=range(len(rows)), doc_id=docs, n=n, digest=digests, node=names)
+                docs, n, digests, names, owns = zip(*rows, strict=True)
+                yield _sent("doc", len(rows), key=range(len(rows)), doc_id=docs, n=n, digest=digests, node=names, own=owns)
         yield from local(tokens, nodes)
 
     def local(tokens: list, nodes: list) -> Iterator[pa.RecordBatch]:
@@ -183,29 +191,37 @@ def documents_and_counts(texts: DataFrame, k: int, percent: int) -> DataFrame:
         names, n = _tally(node[met])
         yield _sent("count", len(names), key=names, node=names, n=n)
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a task sends a shingle once for each HELD shingles it reads; a very common one stays a few rows
-        keys, nodes, met = [], [], []
-        for b in batches:
-            kind = np.asarray(pc.equal(b.column(0), "shingle").cast(pa.uint8())).astype(bool)
-            if kind.any():
-                some = b.filter(pa.array(kind))
-                keys.append(np.asarray(some.column(1)))
-                nodes.append(np.asarray(some.column(5)))
-                met.append(np.asarray(some.column(6).cast(pa.uint8())).astype(bool))
-            if not kind.all():
-                yield b.filter(pa.array(~kind))
-        key, node, met = _joined(keys), _joined(nodes), _joined(met).astype(bool)
-        order = np.argsort(key, kind="stable")
-        key, node, met = key[order], node[order], met[order]
+    def met_again(key: np.ndarray, node: np.ndarray, met: np.ndarray) -> pa.RecordBatch:
+        """Counts of whole shingles; a task sends a shingle once for each HELD
+        shingles that it reads, so a very common one stays a few rows."""
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(key)))
         # another text: another sender's node, or one that its own sender met already
         other = np.repeat(np.maximum.reduceat(node, first) != np.minimum.reduceat(node, first), size) if len(key) else np.zeros(0, bool)
         names, n = _tally(node[other & ~met])
-        yield _sent("count", len(names), key=names, node=names, n=n)
+        return _sent("count", len(names), key=names, node=names, n=n)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        rows = 0
+        for b in batches:
+            kind = np.asarray(pc.equal(b.column(0), "shingle").cast(pa.uint8())).astype(bool)
+            if not kind.all():
+                yield b.filter(pa.array(~kind))
+            if not kind.any():
+                continue
+            some = b.filter(pa.array(kind))
+            held.append((np.asarray(some.column(1)), np.asarray(some.column(5)), np.asarray(some.column(6).cast(pa.uint8())).astype(bool)))
+            rows += some.num_rows
+            if rows >= HELD:  # all but the last shingle, whose rows may go on
+                key, node, met = (np.concatenate(c) for c in zip(*held, strict=True))
+                last = int(np.searchsorted(key, key[-1]))
+                yield met_again(key[:last], node[:last], met[:last])
+                held, rows = [(key[last:], node[last:], met[last:])], len(key) - last
+        if held:
+            yield met_again(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    return texts.mapInArrow(read, SENT).repartition("key").mapInArrow(meet, SENT)
+    return texts.mapInArrow(read, SENT).repartition("key").sortWithinPartitions("key").mapInArrow(meet, SENT)
 
 
 def coarse_edges(members: DataFrame, percent: int) -> DataFrame:
@@ -236,7 +252,7 @@ def coarse_edges(members: DataFrame, percent: int) -> DataFrame:
             yield batch(t, least, None)
             yield batch(None, a, b)
 
-        for b in batches:
+        for b in _cut(batches):
             for d, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = np.frombuffer(raw, np.uint64)
                 digests.append(d)
@@ -247,15 +263,28 @@ def coarse_edges(members: DataFrame, percent: int) -> DataFrame:
                 digests, tokens, held = [], [], 0
         yield from flush()
 
+    def met_again(tokens: list, digests: list) -> pa.RecordBatch:
+        names, rank = ranked(digests)
+        _, _, a, b = stars(_joined(tokens), rank, names)
+        return batch(None, a, b)
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(np.asarray(b.column(0)), b.column(1).to_pylist()) for b in batches if b.num_rows]
-        names, rank = ranked([d for _, ds in got for d in ds])
-        _, _, a, b = stars(_joined([t for t, _ in got]), rank, names)
-        yield batch(None, a, b)
+        tokens, digests = [], []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            tokens.append(np.asarray(b.column(0)))
+            digests += b.column(1).to_pylist()
+            if len(digests) >= HELD:  # all but the last shingle, whose rows may go on
+                token = np.concatenate(tokens)
+                last = int(np.searchsorted(token, token[-1]))
+                yield met_again([token[:last]], digests[:last])
+                tokens, digests = [token[last:]], digests[last:]
+        yield met_again(tokens, digests)
 
     kinds = "token long, a binary, b binary"
     first = keep(members.select("digest", "shingles").mapInArrow(local, kinds), "jaccard-prefixes")
-    met = first.filter("token is not null").repartition("token").mapInArrow(meet, kinds)
+    met = first.filter("token is not null").repartition("token").sortWithinPartitions("token").mapInArrow(meet, kinds)
     return first.filter("token is null").select("a", "b").unionByName(met.select("a", "b"))
 
 
@@ -335,7 +364,7 @@ def _beside_pivots(members: DataFrame, pivots: DataFrame, chunk: int, run, schem
 def _with_distances(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
     """(region, digests, pivot digests, sizes, pivot sizes, intersections, raw sets) of runs of documents."""
     key, heads = None, []
-    for f in frames:
+    for f in (f.iloc[i : i + ROWS] for f in frames for i in range(0, len(f), ROWS)):
         f = f.reset_index(drop=True)
         edges = np.flatnonzero(((f["region"] != f["region"].shift()) | (f["chunk"] != f["chunk"].shift())).to_numpy())
         for first, last in zip(edges, [*edges[1:], len(f)], strict=True):
@@ -398,7 +427,7 @@ def block_links(members: DataFrame, block: list[tuple[bytes, np.ndarray]], perce
         owner = np.repeat(np.arange(len(sets)), sizes)[order]
         tokens, first = np.unique(flat[order], return_index=True)
         first = np.append(first, len(flat))
-        for b in batches:
+        for b in _cut(batches):
             left, right = [], []
             for d, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = np.frombuffer(raw, np.uint64)
@@ -442,6 +471,7 @@ def rounds(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame |
         open_ = state.join(largest, "region").filter((F.col("comp") != F.col("largest")) & ~F.col("done"))
         pivots = next_block(open_, members, block)
         if not pivots:
+            release(state)
             return links
         found = block_links(members, pivots, percent)
         links = found if links is None else links.unionByName(found)
@@ -450,8 +480,10 @@ def rounds(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame |
         ends = found.join(name.select(F.col("d").alias("a"), "region", F.col("comp").alias("ca")), "a").join(name.select(F.col("d").alias("b"), "region", F.col("comp").alias("cb")), ["b", "region"])
         merged = components(ends.filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
         chosen = spark.createDataFrame([(bytearray(d), True) for d, _ in pivots], "digest binary, now boolean")  # at most BLOCK_SETS rows
+        before = state
         state = state.join(merged.withColumnRenamed("node", "comp"), "comp", "left").join(F.broadcast(chosen), "digest", "left")
         state = keep(state.select("region", "digest", "n", F.coalesce("root", "comp").alias("comp"), (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")), "jaccard-state")
+        release(before)
 
 
 def region_links(members: DataFrame, percent: int, leaf: int = LEAF, pivots: int = PIVOTS, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
@@ -482,31 +514,29 @@ def region_links(members: DataFrame, percent: int, leaf: int = LEAF, pivots: int
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, leaf: int = LEAF, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
-    with_package(spark)
-    # sets are large rows: smaller batches bound what a Python worker holds
-    rows_per_batch = spark.conf.get(BATCH_ROWS)
-    spark.conf.set(BATCH_ROWS, str(min(int(rows_per_batch), 2000)))
-    try:
-        return _components(_texts(docs, id_col, text_col), k, percent, leaf, pivots, block)
-    finally:  # all steps with Python code have run by now
-        spark.conf.set(BATCH_ROWS, rows_per_batch)
-
-
-def _components(texts: DataFrame, k: int, percent: int, leaf: int, pivots: int, block: int) -> DataFrame:
+    with_package(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        sets, of_set = _components(_texts(docs, id_col, text_col), k, percent, leaf, pivots, block)
+        own = F.when(F.col("n_shingles") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id"))
+        return keep(sets.join(of_set, "digest", "left").select("doc_id", "n_shingles", own.alias("component_id")), "jaccard-components", outlives=True)
+
+
+def _components(texts: DataFrame, k: int, percent: int, leaf: int, pivots: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """The sets of all documents (doc_id, n_shingles, digest, own), and for each
+    set digest the least document of its component: least (no_id, doc_id, own)."""
     first = keep(documents_and_counts(texts, k, percent), "jaccard-sets")
-    sets = first.filter("kind = 'doc'").select("doc_id", F.col("n").alias("n_shingles"), "digest", "node")
+    sets = first.filter("kind = 'doc'").select("doc_id", F.col("n").alias("n_shingles"), "digest", "node", "own")
     counts = first.filter("kind = 'count'").groupBy("node").agg(F.sum("n").alias("met"))
-    named = sets.filter("n_shingles > 0").groupBy("digest", "node", "n_shingles").agg(F.min("doc_id").alias("first_id"))
+    named = sets.filter("n_shingles > 0").groupBy("digest", "node", "n_shingles").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "own")).alias("first"))
+    named = named.withColumn("first_id", F.col("first.doc_id"))
     open_ = named.join(counts, "node").filter(F.col("met") >= least_shared(F.col("n_shingles"), percent)).select("digest", "first_id")
     members = keep(open_members(texts, keep(open_, "jaccard-open"), k), "jaccard-members")
     region = components(coarse_edges(members, percent)).select(F.col("node").alias("digest"), F.xxhash64("root").alias("region"))
     links = region_links(members.join(region, "digest"), percent, leaf, pivots, block)
     comps = components(links)
-    by_set = named.select("digest", "first_id").join(comps.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    least = by_set.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_set = by_set.join(least, "root").select("digest", "component_id")
-    return sets.join(of_set, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    by_set = named.select("digest", "first").join(comps.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    least = by_set.groupBy("root").agg(F.min("first").alias("least"))
+    return sets, by_set.join(least, "root").select("digest", "least")
 
 
 def open_members(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -531,8 +561,15 @@ def open_members(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "digest binary, n long, shingles binary").dropDuplicates(["digest"])
 
 
-def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, the one with its least id, and all without a shingle."""
-    comps = jaccard_components(docs, **options)
-    stay = comps.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col(options.get("id_col", "doc_id")).eqNullSafe(F.col("_stay")), "left_semi")
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, leaf: int = LEAF, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+    """One document of each component, the one with its least id, and all without
+    a shingle. A row is met again by its doc_id and text; of linked rows with one
+    id that with the least text digest stays, and one of equal rows."""
+    with_package(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        sets, of_set = _components(_texts(docs, id_col, text_col), k, percent, leaf, pivots, block)
+        first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "own") == F.col("least")
+        rows = sets.join(of_set, "digest", "left").groupBy(id_key(F.col("doc_id")).alias("id"), "own").agg(
+            F.count(F.lit(1)).alias("rows"), F.count_if(F.col("n_shingles") == 0).alias("empty"), F.max(F.coalesce(first, F.lit(False)).cast("long")).alias("first"))
+        decided = keep(rows.select("id", "own", "rows", F.when(F.col("empty") > 0, F.col("rows")).otherwise(F.col("first")).alias("copies")), "jaccard-decided", outlives=True)
+    return taken(docs, [id_key(F.col(id_col).cast("long")), text_digest(text_col)], decided)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from fumble.llm.shared import keep, n_words
+from fumble.llm.shared import id_key, keep, n_words, scratch, taken
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -144,12 +144,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The documents with all their columns, each row as often as the mix takes
     it. Rows alike in doc_id, source and size, for which the mix has no order,
     share their copies: each the whole part, and the first rows one more."""
-    mixed = _mixed(docs, id_col, text_col, source_col, **options)
-    shares = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    with scratch(docs.sparkSession):
+        mixed = _mixed(docs, id_col, text_col, source_col, **options)
+        shares = mixed.groupBy(id_key(F.col("doc_id")).alias("id"), "source", "size").agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("copies"))
+        decided = keep(shares, "mix-decided", outlives=True)
     doc, source, size = _read(id_col, text_col, source_col)
-    joined = docs.join(shares, doc.eqNullSafe(F.col("_id")) & (source == F.col("_source")) & (size == F.col("_size")))
-    row = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("_copies"))
-    each = (F.floor(F.col("_copies") / F.col("_rows")) + F.when(row <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)).cast("int")
-    joined = joined.withColumn("_each", each)
-    times = F.when(F.col("_each") > 0, F.sequence(F.lit(1), F.col("_each"))).otherwise(F.array().cast("array<int>"))
-    return joined.withColumn("_copy", F.explode(times)).select(*[docs[c] for c in docs.columns])
+    return taken(docs, [id_key(doc), source, size], decided)

@@ -1,17 +1,28 @@
 """Quality rules with risk-controlled thresholds, in DataFrame operations only.
 
 Base rules are fixed. The method's rules reject a document whose metric is
-above a cutoff; cutoffs come from labelled good documents. For every stratum
-(language), rule and cutoff of a fixed grid the exact binomial test asks
-whether a false rejection rate of ``risk`` / rules is ruled out: with k of n
-good documents above the cutoff, P(Bin(n, risk') <= k) must not exceed
-``alpha`` / (strata x rules). Cutoffs are tested from the mildest to the
-strictest and stop at the first that fails (fixed-sequence testing inside a
-rule, Bonferroni over rules and strata), so with probability 1 - ``alpha`` no
-stratum loses more than ``risk`` of its good documents. Of the certified
-cutoffs the one that rejects most labelled bad documents is used, the mildest
-of equals; a rule with no certified cutoff, or one that rejects no bad
-document, rejects nothing.
+above a cutoff; cutoffs come from labelled good documents. All rules share one
+fixed sequence of steps, each of which tightens the cutoff of one rule by a
+notch: first every rule's mildest cutoff, then the next ones. A step rejects
+what any rule rejects by then, so its rejections contain those of the steps
+before, and a document's metrics give the first step that rejects it.
+
+For every stratum (language) and step the exact binomial test asks whether a
+false rejection rate above ``risk``, of all rules together, is ruled out: with k
+of n good documents rejected, P(Bin(n, risk) <= k) must not exceed ``alpha`` /
+strata. As k only grows along the sequence, the steps before the first that
+fails are those that pass (fixed-sequence testing; Bonferroni over strata only).
+So with probability 1 - ``alpha`` no stratum with a sequence of its own loses
+more than ``risk`` of its good documents. Of the certified steps the one that
+rejects most labelled bad documents is used, the mildest of equals; without a
+bad document rejected, none.
+
+A stratum with too few good documents to certify any step, ln(alpha / strata) /
+ln(1 - risk), takes the step certified on the good documents of all strata
+together. Its guarantee is weaker: of all good documents together no more than
+``risk`` are lost by that step, in one such stratum it may be more. These tests
+are no more than the strata, so ``alpha`` holds for all of them. Whether a
+stratum is tested on its own rests on its count of labels alone.
 
 Defined results: a null or empty text has no words and fails the base rule;
 a null stratum is a stratum of its own; labels without a document, or null
@@ -26,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from fumble.llm.shared import SPACE, keep, text_digest, words
+from fumble.llm.shared import SPACE, id_key, keep, scratch, taken, text_digest, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 WINDOW = 8
@@ -122,34 +133,52 @@ def binomial_tail(n: Column, k: Column, p: Column) -> Column:
     return F.when(k > n * p, F.lit(1.0)).otherwise(F.exp(top) * total)
 
 
-def rule_metrics(rules=RULES) -> Column:
-    """Array of (rule, metric per mille rounded down); a metric over nothing is null and never rejects."""
-    return F.array(*[F.struct(F.lit(name).alias("rule"), F.floor(F.expr(sql)).cast("long").alias("metric")) for name, (sql, _) in rules.items()])
+def sequence(rules=RULES) -> list[tuple[str, int]]:
+    """The steps: (rule, notch), all mildest cutoffs first."""
+    return [(name, i) for i in range(max(len(cuts) for _, cuts in rules.values())) for name, (_, cuts) in rules.items() if i < len(cuts)]
 
 
-def thresholds(metrics: DataFrame, labels: DataFrame, rules=RULES, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
-    """(stratum, rule, cutoff, n_good, n_false, p_value): at most strata x rules rows.
+def rule_steps(rules=RULES) -> dict[str, Column]:
+    """For each rule the step from which on it rejects a document, null if none
+    does. Metrics are per mille, rounded down; a metric over nothing is null."""
+    place = {step: i for i, step in enumerate(sequence(rules))}
+    out = {}
+    for name, (sql, cuts) in rules.items():
+        metric = F.floor(F.expr(sql)).cast("long")
+        passed = F.size(F.filter(F.array(*[F.lit(int(c)).cast("long") for c in cuts]), lambda c: c >= metric))  # noqa: B023
+        at = F.get(F.array(*[F.lit(place[name, i]) for i in range(len(cuts))]), passed)
+        out[name] = F.when(metric.isNotNull(), at)
+    return out
+
+
+def first_step(rules=RULES) -> Column:
+    return F.least(*rule_steps(rules).values(), F.lit(None).cast("int"))
+
+
+def limits(counts: DataFrame, by: list[str], tests: int, risk: float, alpha: float) -> DataFrame:
+    """(*by, n_good, last_step): the certified step of each group of ``counts``
+    (*by, step, good, bad), null where none is; a group has a row for each step at most."""
+    order = Window.partitionBy(*by).orderBy(F.col("step").asc_nulls_last())
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = Window.partitionBy(*by)
+    rows = counts.select(*by, "step", F.sum("good").over(every).alias("n"), F.sum("good").over(upto).alias("n_false"), F.sum("bad").over(upto).alias("n_bad"))
+    ok = F.col("step").isNotNull() & (F.col("n") > 0) & (F.col("n_bad") > 0) & (binomial_tail(F.col("n"), F.col("n_false"), F.lit(risk)) <= alpha / max(1, tests))
+    best = F.min(F.when(ok, F.struct((-F.col("n_bad")).alias("less"), "step")))
+    return rows.groupBy(*by).agg(F.max("n").alias("n_good"), best["step"].alias("last_step"))
+
+
+def thresholds(metrics: DataFrame, labels: DataFrame, rules=RULES, risk: float = RISK, alpha: float = ALPHA) -> tuple[DataFrame, DataFrame]:
+    """((stratum, n_good, last_step) of the strata that are tested on their own,
+    one row (n_good, last_step) for all other strata).
 
     ``metrics``: doc_id, stratum and the base columns; ``labels``: doc_id, quality."""
     marks = labels.filter("quality is not null").groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
-    held = metrics.filter(~base_failed()).join(marks, "doc_id").select("stratum", "good", F.explode(rule_metrics(rules)).alias("m"))
-    grid = F.create_map(*[x for name, (_, cuts) in rules.items() for x in (F.lit(name), F.array(*[F.lit(int(c)).cast("long") for c in cuts]))])
-    cells = held.select("stratum", "good", F.col("m.rule").alias("rule"), F.col("m.metric").alias("metric"), F.posexplode(grid[F.col("m.rule")]).alias("step", "cutoff"))
-    above = F.col("metric") > F.col("cutoff")
-    counts = cells.groupBy("stratum", "rule", "step", "cutoff").agg(
-        F.count_if("good").alias("n_good"),
-        F.count_if(F.col("good") & above).alias("n_false"),
-        F.count_if(~F.col("good") & above).alias("n_bad"),
-    )
-    counts = keep(counts, "quality-counts")
-    tests = max(1, counts.select("stratum").distinct().count() * len(rules))
-    tested = counts.withColumn("p_value", binomial_tail(F.col("n_good"), F.col("n_false"), F.lit(risk / len(rules))))
-    tested = tested.withColumn("ok", (F.col("n_good") > 0) & (F.col("p_value") <= alpha / tests))
-    # windows over the grid of one stratum and rule: as many rows as the rule has cutoffs
-    order = Window.partitionBy("stratum", "rule").orderBy("step")
-    certified = tested.withColumn("all_ok", F.min("ok").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("all_ok and n_bad > 0")
-    best = Window.partitionBy("stratum", "rule").orderBy(F.col("n_bad").desc(), "step")
-    return certified.withColumn("_best", F.row_number().over(best)).filter("_best = 1").select("stratum", "rule", "cutoff", "n_good", "n_false", "p_value")
+    held = metrics.filter(~base_failed()).join(marks, "doc_id").select("stratum", "good", first_step(rules).alias("step"))
+    counts = keep(held.groupBy("stratum", "step").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")), "quality-counts")
+    tests = counts.select("stratum").distinct().count()
+    own = limits(counts, ["stratum"], tests, risk, alpha).filter(F.col("n_good") * F.log(F.lit(1 - risk)) <= F.log(F.lit(alpha / max(1, tests))))
+    pooled = counts.groupBy("step").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    return own, limits(pooled, [], tests, risk, alpha)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", rules=RULES, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
@@ -173,19 +202,20 @@ def _kept() -> Column:
 def _judged(df: DataFrame, labels: DataFrame, rules, risk: float, alpha: float) -> DataFrame:
     """Adds the base columns, base_failed and rejected_by to rows of doc_id, stratum and text; other columns stay."""
     metrics = keep(with_base_metrics(df), "quality-metrics")
-    cuts = thresholds(metrics, labels, rules, risk, alpha)
-    by_stratum = cuts.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts"))
-    judged = metrics.join(by_stratum, "stratum", "left")
-    rejects = [F.when(F.floor(F.expr(sql)).cast("long") > F.col("cuts")[name], F.lit(name)) for name, (sql, _) in rules.items()]
-    failed = F.array_compact(F.array(*rejects))
-    return judged.withColumn("base_failed", base_failed()).withColumn("rejected_by", failed)
+    own, pooled = thresholds(metrics, labels, rules, risk, alpha)
+    own, pooled = keep(own, "quality-limits"), pooled.agg(F.max("last_step").alias("s")).scalar()
+    judged = metrics.join(own.select("stratum", "last_step", F.lit(True).alias("alone")), "stratum", "left")
+    last = F.when(F.col("alone"), F.col("last_step")).otherwise(pooled)
+    rejects = [F.when(step <= last, F.lit(name)) for name, step in rule_steps(rules).items()]
+    return judged.withColumn("base_failed", base_failed()).withColumn("rejected_by", F.array_compact(F.array(*rejects)))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", rules=RULES, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
     """The documents that stay, with all their columns. A row is met again by its
     doc_id, stratum and text, all that its verdict rests on."""
     doc, stratum, text = _read(id_col, text_col, stratum_col)
-    judged = _judged(docs.select(doc, stratum, text, text_digest(text_col).alias("digest")), labels, rules, risk, alpha)
-    stay = judged.select("doc_id", "stratum", "digest", _kept()).filter("kept").drop("kept").distinct().toDF("_id", "_stratum", "_digest")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (stratum == F.col("_stratum")) & (text_digest(text_col) == F.col("_digest"))
-    return docs.join(stay, same, "left_semi")
+    with scratch(docs.sparkSession):
+        judged = _judged(docs.select(doc, stratum, text, text_digest(text_col).alias("digest")), labels, rules, risk, alpha)
+        rows = judged.groupBy(id_key(F.col("doc_id")).alias("id"), "stratum", "digest").agg(F.count(F.lit(1)).alias("rows"), F.count_if(_kept()).alias("copies"))
+        decided = keep(rows, "quality-decided", outlives=True)
+    return taken(docs, [id_key(doc), stratum, text_digest(text_col)], decided)

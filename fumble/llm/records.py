@@ -9,9 +9,10 @@ A shard file is a row of records, in ascending doc_id order over the shards:
 
 All numbers are little-endian; a masked checksum is crc32 rotated right by 15
 bits plus 0xA282EAD8. The index is a Parquet table (shard, path, position,
-doc_id, offset, bytes, n_tokens) for reads in any order. Tasks write a file
-under a name of their own and then rename it, so a retried or doubled task
-leaves one whole file; files lie in the folder that all executors share.
+doc_id, offset, bytes, n_tokens) for reads in any order. Every attempt of a task
+writes a file under a name of its own and the index names the files of the
+attempts that Spark took, so what a lost or doubled task left is never read;
+files lie in the folder that all executors share.
 
 Defined results: a null or empty text is a record with the end id alone; null
 ids come first; rows that repeat a doc_id are records of their own, side by
@@ -91,9 +92,9 @@ def write_records(docs: DataFrame, file: str, out: str, end: int = END, id_col:
         shard, enc = TaskContext.get().partitionId(), encoder(file, False)
         fs, folder = place(out)
         fs.create_dir(f"{folder}/records", recursive=True)
-        final, own = f"records/{shard:06d}.rec", f"{folder}/records/.{shard:06d}-{uuid.uuid4().hex}"
+        own = f"records/{shard:06d}-{uuid.uuid4().hex}.rec"
         at = position = 0
-        with fs.open_output_stream(own, buffer_size=1 << 20) as f:
+        with fs.open_output_stream(f"{folder}/{own}", buffer_size=1 << 20) as f:
             for b in batches:
                 for first, rows in slices(b.column(1)):
                     part = b.slice(first, rows)
@@ -103,16 +104,13 @@ def write_records(docs: DataFrame, file: str, out: str, end: int = END, id_col:
                         data = frame(doc, np.append(ids[done : done + n], end))
                         done += n
                         f.write(data)
-                        index.append((shard, final, position, doc, at, len(data), int(n) + 1))
+                        index.append((shard, own, position, doc, at, len(data), int(n) + 1))
                         at, position = at + len(data), position + 1
                     cols = zip(zip(*index, strict=True), INDEX_TYPES, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], [x.split()[0] for x in INDEX.split(", ")])
-        fs.move(own, f"{folder}/{final}")
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # the hash parts rows that repeat one id
-    order = [F.col("doc_id"), F.xxhash64("text")]
-    narrow = narrow.repartitionByRange(*order).sortWithinPartitions(*order)
+    narrow = narrow.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     narrow.mapInArrow(write, INDEX).write.parquet(f"{out}/index")
     return spark.read.schema(INDEX).parquet(f"{out}/index")
 

@@ -38,11 +38,12 @@ FROM norm WINDOW g AS (PARTITION BY text_sha256)"""
 
 
 def quality_rules() -> str:
-    metrics = ", ".join(f"floor({sql})::BIGINT AS {name}" for name, (sql, _) in Q.RULES.items())
-    grid = ", ".join(f"('{name}', {step}, {cut})" for name, (_, cuts) in Q.RULES.items() for step, cut in enumerate(cuts))
-    share = Q.RISK / len(Q.RULES)
-    per_rule = " UNION ALL ".join(f"SELECT stratum, good, '{name}' AS rule, {name} AS metric FROM held" for name in Q.RULES)
-    rejects = ", ".join(f"CASE WHEN {name} > (SELECT cutoff FROM cutoffs c WHERE c.stratum = j.stratum AND c.rule = '{name}') THEN '{name}' END" for name in Q.RULES)
+    place = {step: i for i, step in enumerate(Q.sequence())}
+    steps = {name: f"CASE {' '.join(f'WHEN floor({sql}) > {cut} THEN {place[name, i]}' for i, cut in enumerate(cuts))} END" for name, (sql, cuts) in Q.RULES.items()}
+    tail = lambda n, k: f"""CASE WHEN {k} > {n} * {Q.RISK} THEN 1.0 ELSE list_sum(list_transform(range(({k} + 1)::BIGINT),
+    lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({Q.RISK}) + ({n} - i) * ln(1 - {Q.RISK})))) END"""
+    share = f"{Q.ALPHA} / (SELECT count(DISTINCT stratum) FROM held)"
+    rejects = ", ".join(f"CASE WHEN {name}_step <= last_step THEN '{name}' END" for name in Q.RULES)
     return f"""
 WITH docs AS (SELECT doc_id, coalesce(concat('=', lang), 'null') AS stratum, coalesce(text, '') AS t, {WORDS % "coalesce(text, '')"} AS ws,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
@@ -54,17 +55,17 @@ base AS (SELECT d.doc_id, stratum, len(ws)::BIGINT AS n_words, length(regexp_rep
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols, (length(t) - length(regexp_replace(t, '[!|]+', '', 'g')))::BIGINT AS n_marks,
     len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
     FROM docs d LEFT JOIN covered c USING (doc_id)),
-judged AS (SELECT *, n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {Q.MAX_REPEAT_PERCENT} * n_words AS base_failed, {metrics} FROM base),
-held AS (SELECT j.*, l.good FROM judged j JOIN (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) l USING (doc_id) WHERE NOT base_failed),
-grid(rule, step, cutoff) AS (VALUES {grid}),
-counts AS (SELECT stratum, rule, step, cutoff, count_if(good) AS n, count_if(good AND metric > cutoff) AS k, count_if(NOT good AND metric > cutoff) AS bad
-    FROM ({per_rule}) JOIN grid USING (rule) GROUP BY ALL),
-tested AS (SELECT *, n > 0 AND CASE WHEN k > n * {share} THEN 1.0 ELSE list_sum(list_transform(range((k + 1)::BIGINT),
-    lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}) + (n - i) * ln(1 - {share})))) END
-    <= {Q.ALPHA} / ((SELECT count(DISTINCT stratum) FROM counts) * {len(Q.RULES)}) AS ok FROM counts),
-certified AS (SELECT * FROM (SELECT *, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY step) AS all_ok FROM tested) WHERE all_ok AND bad > 0),
-cutoffs AS (SELECT stratum, rule, cutoff FROM certified QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY bad DESC, step) = 1),
-named AS (SELECT j.*, list_filter([{rejects}], lambda x: x IS NOT NULL) AS failed FROM judged j)
+judged AS (SELECT *, n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {Q.MAX_REPEAT_PERCENT} * n_words AS base_failed, {', '.join(f'{c} AS {name}_step' for name, c in steps.items())} FROM base),
+held AS (SELECT j.stratum, l.good, least({', '.join(f'{name}_step' for name in Q.RULES)}) AS step FROM judged j
+    JOIN (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) l USING (doc_id) WHERE NOT base_failed),
+grouped AS (SELECT stratum AS g, good, step FROM held UNION ALL SELECT NULL, good, step FROM held),
+counts AS (SELECT g, step, sum(count_if(good)) OVER (PARTITION BY g) AS n, sum(count_if(good)) OVER w AS k, sum(count_if(NOT good)) OVER w AS bad FROM grouped GROUP BY g, step
+    WINDOW w AS (PARTITION BY g ORDER BY step NULLS LAST)),
+certified AS (SELECT g, n, CASE WHEN step IS NOT NULL AND n > 0 AND bad > 0 AND {tail('n', 'k')} <= {share} THEN bad END AS gain, step FROM counts),
+limits AS (SELECT g, any_value(n) AS n, arg_max(step, (gain, -step)) FILTER (gain IS NOT NULL) AS last_step FROM certified GROUP BY g),
+own AS (SELECT * FROM limits WHERE g IS NOT NULL AND n * ln(1 - {Q.RISK}) <= ln({share})),
+named AS (SELECT j.*, list_filter([{rejects}], lambda x: x IS NOT NULL) AS failed FROM (SELECT j.*, CASE WHEN o.g IS NOT NULL THEN o.last_step ELSE (SELECT last_step FROM limits WHERE g IS NULL) END AS last_step
+    FROM judged j LEFT JOIN own o ON o.g = j.stratum) j)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(failed) = 0 AS kept,
     coalesce(array_to_string(failed, ','), '') AS rejected_by FROM named"""
 

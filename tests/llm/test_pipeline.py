@@ -57,4 +57,4 @@ def test_empty_tables(spark, tmp_path):
 def test_every_operator_is_registered_once():
     entry = importlib.import_module("__spark_entry__")
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 14)) and "pipeline" in entry.queries()
