@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from fumble.llm.components import components
-from fumble.llm.shared import frame_of, id_key, keep, release, scratch, taken, text_digest, with_package
+from fumble.llm.shared import frame_of, id_key, keep, release, scratch, taken, text_digest, trimmed, with_package
 from fumble.llm.tokens import ragged, slices
 from fumble.llm.url_filter import bloom_block, bloom_mask, bloom_table
 from fumble.llm.words import word_codes
@@ -57,7 +57,7 @@ K = 5
 PERCENT = 80  # similarity in per cent, as a whole number: the test is exact
 LEAF = 1 << 20  # shingles of a region that one task joins
 PIVOTS = 64
-BLOCK, BLOCK_SETS = 1 << 21, 1 << 13  # shingles and sets of one round's pivots, 16 MB
+BLOCK, BLOCK_SETS = 1 << 20, 1 << 13  # shingles and sets of one round's pivots, 8 MB
 DEPTH = 4
 SHARE = 10  # a tenth of a set's shingles must be met again
 ROWS = 2000  # rows of an Arrow batch at a time: sets are large rows
@@ -191,19 +191,30 @@ def documents_and_counts(texts: DataFrame, k: int, percent: int) -> DataFrame:
         names, n = _tally(node[met])
         yield _sent("count", len(names), key=names, node=names, n=n)
 
-    def met_again(key: np.ndarray, node: np.ndarray, met: np.ndarray) -> pa.RecordBatch:
+    def met_again(key: np.ndarray, node: np.ndarray, met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of whole shingles; a task sends a shingle once for each HELD
         shingles that it reads, so a very common one stays a few rows."""
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(key)))
         # another text: another sender's node, or one that its own sender met already
         other = np.repeat(np.maximum.reduceat(node, first) != np.minimum.reduceat(node, first), size) if len(key) else np.zeros(0, bool)
-        names, n = _tally(node[other & ~met])
-        return _sent("count", len(names), key=names, node=names, n=n)
+        return _tally(node[other & ~met])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        tallies: list[tuple] = []
         rows = 0
+
+        def tally(least: int) -> Iterator[pa.RecordBatch]:
+            """One row a node for all counts so far, if they are ``least`` at least."""
+            if tallies and sum(len(x) for x, _ in tallies) >= least:
+                names, at = np.unique(np.concatenate([x for x, _ in tallies]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([x for _, x in tallies]), len(names)).astype(np.int64)
+                tallies[:] = [(names, n)]
+                if len(names) >= least // 2:
+                    yield _sent("count", len(names), key=names, node=names, n=n)
+                    tallies.clear()
+
         for b in batches:
             kind = np.asarray(pc.equal(b.column(0), "shingle").cast(pa.uint8())).astype(bool)
             if not kind.all():
@@ -216,76 +227,68 @@ def documents_and_counts(texts: DataFrame, k: int, percent: int) -> DataFrame:
             if rows >= HELD:  # all but the last shingle, whose rows may go on
                 key, node, met = (np.concatenate(c) for c in zip(*held, strict=True))
                 last = int(np.searchsorted(key, key[-1]))
-                yield met_again(key[:last], node[:last], met[:last])
+                tallies.append(met_again(key[:last], node[:last], met[:last]))
                 held, rows = [(key[last:], node[last:], met[last:])], len(key) - last
+                yield from tally(HELD)
         if held:
-            yield met_again(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            tallies.append(met_again(*(np.concatenate(c) for c in zip(*held, strict=True))))
+        yield from tally(0)
 
-    return texts.mapInArrow(read, SENT).repartition("key").sortWithinPartitions("key").mapInArrow(meet, SENT)
+    return texts.mapInArrow(trimmed(read), SENT).repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(meet), SENT)
 
 
 def coarse_edges(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): digests joined through shingles of their prefixes; ``members``: digest, shingles."""
+    """(a, b): numbers of sets joined through shingles of their prefixes; ``members``: number, shingles."""
 
-    def stars(token: np.ndarray, node: np.ndarray, names: list[bytes]) -> tuple[list, list, list, list]:
-        t, node, first, size = _grouped(token, node)
+    def stars(token: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens, the least node of each, and the pairs of other nodes with these."""
+        token, node, first, size = _grouped(token, node)
         least = np.repeat(node[first], size)
-        pairs = np.unique(np.stack([node, least])[:, node != least], axis=1) if len(t) else np.zeros((2, 0), np.int64)
-        return t[first], [names[i] for i in node[first]], [names[i] for i in pairs[0]], [names[i] for i in pairs[1]]
-
-    def ranked(digests: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-        """Distinct digests in order, and the rank of each given one: the least digest has the least rank."""
-        names = sorted(set(digests))
-        rank = {d: i for i, d in enumerate(names)}
-        return names, np.array([rank[d] for d in digests], np.int64)
+        pairs = np.unique(np.stack([node, least])[:, node != least], axis=1) if len(token) else np.zeros((2, 0), np.int64)
+        return token[first], node[first], pairs
 
-    def batch(token, x, y) -> pa.RecordBatch:
-        tokens = pa.nulls(len(x), pa.int64()) if token is None else pa.array(token, pa.int64())
-        return pa.RecordBatch.from_arrays([tokens, pa.array(x, pa.binary()), pa.array(y, pa.binary()) if y is not None else pa.nulls(len(x), pa.binary())], ["token", "a", "b"])
+    def batch(token: np.ndarray | None, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+        column = lambda x: pa.nulls(len(a), pa.int64()) if x is None else pa.array(x, pa.int64())
+        return pa.RecordBatch.from_arrays([column(token), column(a), column(b)], ["token", "a", "b"])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests, tokens, held = [], [], 0
+        numbers, tokens, held = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            names, rank = ranked(digests)
-            t, least, a, b = stars(_joined(tokens), np.repeat(rank, [len(x) for x in tokens]), names)
-            yield batch(t, least, None)
-            yield batch(None, a, b)
+            token, least, pairs = stars(_joined(tokens), np.repeat(np.array(numbers, np.int64), [len(x) for x in tokens]))
+            yield batch(token, least, None)
+            yield batch(None, pairs[0], pairs[1])
 
         for b in _cut(batches):
-            for d, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for number, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = np.frombuffer(raw, np.uint64)
-                digests.append(d)
+                numbers.append(number)
                 tokens.append(s[: prefix_length(len(s), percent)].view(np.int64))
                 held += len(tokens[-1])
             if held >= HELD:
                 yield from flush()
-                digests, tokens, held = [], [], 0
+                numbers, tokens, held = [], [], 0
         yield from flush()
 
-    def met_again(tokens: list, digests: list) -> pa.RecordBatch:
-        names, rank = ranked(digests)
-        _, _, a, b = stars(_joined(tokens), rank, names)
-        return batch(None, a, b)
-
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, digests = [], []
+        held, rows = [], 0
         for b in batches:
-            if not b.num_rows:
-                continue
-            tokens.append(np.asarray(b.column(0)))
-            digests += b.column(1).to_pylist()
-            if len(digests) >= HELD:  # all but the last shingle, whose rows may go on
-                token = np.concatenate(tokens)
+            held.append((np.asarray(b.column(0)), np.asarray(b.column(1))))
+            rows += b.num_rows
+            if rows >= HELD:  # all but the last shingle, whose rows may go on
+                token, node = (np.concatenate(c) for c in zip(*held, strict=True))
                 last = int(np.searchsorted(token, token[-1]))
-                yield met_again([token[:last]], digests[:last])
-                tokens, digests = [token[last:]], digests[last:]
-        yield met_again(tokens, digests)
+                yield batch(None, *stars(token[:last], node[:last])[2])
+                held, rows = [(token[last:], node[last:])], len(token) - last
+        if held:
+            yield batch(None, *stars(*(np.concatenate(c) for c in zip(*held, strict=True)))[2])
 
-    kinds = "token long, a binary, b binary"
-    first = keep(members.select("digest", "shingles").mapInArrow(local, kinds), "jaccard-prefixes")
-    met = first.filter("token is not null").repartition("token").sortWithinPartitions("token").mapInArrow(meet, kinds)
-    return first.filter("token is null").select("a", "b").unionByName(met.select("a", "b"))
+    kinds = "token long, a long, b long"
+    first = keep(members.select("number", "shingles").mapInArrow(trimmed(local), kinds), "jaccard-prefixes")
+    met = first.filter("token is not null").select("token", "a").repartition("token").sortWithinPartitions("token").mapInArrow(trimmed(meet), kinds)
+    edges = first.filter("token is null").select("a", "b").unionByName(met.select("a", "b"))
+    edges.kept_at = first.kept_at
+    return edges
 
 
 class Region:
@@ -327,27 +330,28 @@ class Region:
 
 
 def leaf_links(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) digests: a star over each component of each region; ``members``: region, digest, n, shingles."""
+    """(a, b) numbers: a star over each component of each region; ``members``: region, number, n, shingles."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, digests, sets = None, [], []
+        key, numbers, sets = None, [], []
 
         def done() -> pd.DataFrame:
             if len(sets) < 2:
-                return pd.DataFrame({"a": [], "b": []}, dtype=object)
-            root = Region(sets, percent).join()
-            return pd.DataFrame({"a": [digests[i] for i in range(len(root)) if root[i] != i], "b": [digests[root[i]] for i in range(len(root)) if root[i] != i]}, dtype=object)
+                return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+            root, names = Region(sets, percent).join(), np.array(numbers)
+            other = np.flatnonzero(root != np.arange(len(root)))
+            return pd.DataFrame({"a": names[other], "b": names[root[other]]})
 
         for f in frames:
-            for region, d, s in zip(f["region"], f["digest"], f["shingles"], strict=True):
+            for region, d, s in zip(f["region"], f["number"], f["shingles"], strict=True):
                 if region != key:
                     yield done()
-                    key, digests, sets = region, [], []
-                digests.append(d)
+                    key, numbers, sets = region, [], []
+                numbers.append(d)
                 sets.append(np.frombuffer(s, np.uint64))
         yield done()
 
-    return members.select("region", "digest", "shingles").repartition("region").sortWithinPartitions("region", "digest").mapInPandas(run, "a binary, b binary")
+    return members.select("region", "number", "shingles").repartition("region").sortWithinPartitions("region", "number").mapInPandas(trimmed(run), "a long, b long")
 
 
 def _beside_pivots(members: DataFrame, pivots: DataFrame, chunk: int, run, schema: str) -> DataFrame:
@@ -355,14 +359,14 @@ def _beside_pivots(members: DataFrame, pivots: DataFrame, chunk: int, run, schem
     (at most ``PIVOTS`` sets); the chunks part a large region evenly."""
     total = members.groupBy("region").agg(F.sum("n").alias("total"))
     chunks = total.select("region", F.ceil(F.col("total") / F.lit(chunk)).cast("long").alias("chunks"))
-    docs = members.join(chunks, "region").withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("chunks"))).drop("chunks").withColumn("pivot", F.lit(False))
+    docs = members.join(chunks, "region").withColumn("chunk", F.pmod(F.xxhash64("number"), F.col("chunks"))).drop("chunks").withColumn("pivot", F.lit(False))
     heads = pivots.join(chunks, "region").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks").withColumn("pivot", F.lit(True))
-    both = docs.select("region", "chunk", "pivot", "digest", "n", "shingles").unionByName(heads.select("region", "chunk", "pivot", "digest", "n", "shingles"))
-    return both.repartition("region", "chunk").sortWithinPartitions("region", "chunk", F.col("pivot").desc(), "digest").mapInPandas(run, schema)
+    both = docs.select("region", "chunk", "pivot", "number", "n", "shingles").unionByName(heads.select("region", "chunk", "pivot", "number", "n", "shingles"))
+    return both.repartition("region", "chunk").sortWithinPartitions("region", "chunk", F.col("pivot").desc(), "number").mapInPandas(trimmed(run), schema)
 
 
 def _with_distances(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    """(region, digests, pivot digests, sizes, pivot sizes, intersections, raw sets) of runs of documents."""
+    """(region, numbers, pivot numbers, sizes, pivot sizes, intersections, raw sets) of runs of documents."""
     key, heads = None, []
     for f in (f.iloc[i : i + ROWS] for f in frames for i in range(0, len(f), ROWS)):
         f = f.reset_index(drop=True)
@@ -372,7 +376,7 @@ def _with_distances(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
             if (here := (part["region"].iloc[0], part["chunk"].iloc[0])) != key:
                 key, heads = here, []
             is_pivot = part["pivot"].to_numpy()
-            heads += [(d, np.frombuffer(s, np.uint64)) for d, s in zip(part["digest"][is_pivot], part["shingles"][is_pivot], strict=True)]
+            heads += [(d, np.frombuffer(s, np.uint64)) for d, s in zip(part["number"][is_pivot], part["shingles"][is_pivot], strict=True)]
             docs = part[~is_pivot]
             if not len(docs) or not heads:
                 continue
@@ -383,44 +387,45 @@ def _with_distances(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
             for j, (_, p) in enumerate(heads):
                 at = np.minimum(np.searchsorted(p, flat), len(p) - 1)
                 both[:, j] = np.add.reduceat((p[at] == flat).astype(np.int64), starts)
-            yield key[0], docs["digest"].tolist(), [d for d, _ in heads], sizes, np.array([len(p) for _, p in heads]), both, docs["shingles"].tolist()
+            yield key[0], docs["number"].tolist(), [d for d, _ in heads], sizes, np.array([len(p) for _, p in heads]), both, docs["shingles"].tolist()
 
 
 def split(members: DataFrame, pivots: DataFrame, percent: int, chunk: int, sizes_only: bool = False) -> DataFrame:
-    """Voronoi regions of large regions: rows (region, digest, n, shingles) of the
+    """Voronoi regions of large regions: rows (region, number, n, shingles) of the
     new ones, and links to pivots (a, b) with a null region. ``sizes_only``
     leaves out all but the sizes n."""
     radius = 1 - percent / 100 + 1e-9
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for region, digests, heads, sizes, head_sizes, both, raw in _with_distances(frames):
+        for region, numbers, heads, sizes, head_sizes, both, raw in _with_distances(frames):
             union = sizes[:, None] + head_sizes[None, :] - both
             d = 1 - both / union
             nearest = d.min(1)
             near = (d - nearest[:, None] <= 2 * radius) & (nearest < 1)[:, None]
             rows, outer = [], nearest >= 1 - radius
             if sizes_only:
-                yield frame_of([(0, None, int((near.sum(1) + outer) @ sizes), None, None)], "region:Int64 digest:object n:Int64 shingles:object other:object")
+                yield frame_of([(0, None, int((near.sum(1) + outer) @ sizes), None, None)], "region:Int64 number:Int64 n:Int64 shingles:object other:Int64")
                 continue
             for i, j in zip(*np.nonzero(near), strict=True):
-                rows.append((xxhash.xxh3_64_intdigest(heads[j], seed=int(region) & 0xFFFFFFFF) >> 1, digests[i], int(sizes[i]), raw[i], None))
+                rows.append((xxhash.xxh3_64_intdigest(int(heads[j]).to_bytes(8, "little"), seed=int(region) & 0xFFFFFFFF) >> 1, numbers[i], int(sizes[i]), raw[i], None))
             for i in np.flatnonzero(outer):
-                rows.append((xxhash.xxh3_64_intdigest(b"outer", seed=int(region) & 0xFFFFFFFF) >> 1, digests[i], int(sizes[i]), raw[i], None))
+                rows.append((xxhash.xxh3_64_intdigest(b"outer", seed=int(region) & 0xFFFFFFFF) >> 1, numbers[i], int(sizes[i]), raw[i], None))
             for i, j in zip(*np.nonzero(100 * both >= percent * union), strict=True):
-                if digests[i] != heads[j]:
-                    rows.append((None, digests[i], None, None, heads[j]))
-            yield frame_of(rows, "region:Int64 digest:object n:Int64 shingles:object other:object")
+                if numbers[i] != heads[j]:
+                    rows.append((None, numbers[i], None, None, heads[j]))
+            yield frame_of(rows, "region:Int64 number:Int64 n:Int64 shingles:object other:Int64")
 
-    return _beside_pivots(members, pivots, chunk, run, "region long, digest binary, n long, shingles binary, other binary")
+    return _beside_pivots(members, pivots, chunk, run, "region long, number long, n long, shingles binary, other long")
 
 
-def block_links(members: DataFrame, block: list[tuple[bytes, np.ndarray]], percent: int) -> DataFrame:
+def block_links(members: DataFrame, block: list[tuple[int, np.ndarray]], percent: int) -> DataFrame:
     """Links (a, b) between all members and the sets of a block, as a written
     table; the broadcast block is given up after that."""
     sent = members.sparkSession.sparkContext.broadcast(block)  # at most BLOCK shingles, or one set
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, sets = zip(*sent.value, strict=True)
+        names = np.array(names, np.int64)
         sizes = np.array([len(s) for s in sets])
         flat = np.concatenate(sets)
         order = np.argsort(flat, kind="stable")
@@ -434,36 +439,36 @@ def block_links(members: DataFrame, block: list[tuple[bytes, np.ndarray]], perce
                 at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                 at = at[tokens[at] == s]
                 both = np.bincount(owner[ragged(first[at], first[at + 1] - first[at])], minlength=len(sets))
-                for j in np.flatnonzero(100 * both >= percent * (len(s) + sizes - both)):
-                    if names[j] != d:
-                        left.append(d)
-                        right.append(names[j])
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+                near = names[100 * both >= percent * (len(s) + sizes - both)]
+                near = near[near != d]
+                left.append(np.full(len(near), d))
+                right.append(near)
+            yield pa.RecordBatch.from_arrays([pa.array(_joined(x), pa.int64()) for x in (left, right)], ["a", "b"])
 
-    found = keep(members.select("digest", "shingles").mapInArrow(run, "a binary, b binary"), "jaccard-links")
+    found = keep(members.select("number", "shingles").mapInArrow(trimmed(run), "a long, b long"), "jaccard-links")
     sent.destroy()
     return found
 
 
 def first_of_region(rows: DataFrame, pivots: int) -> DataFrame:
-    """At most ``pivots`` sets of each region, by digest; planned as a limit per task first."""
-    w = Window.partitionBy("region").orderBy("digest")
+    """At most ``pivots`` sets of each region, by number; planned as a limit per task first."""
+    w = Window.partitionBy("region").orderBy("number")
     return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= pivots).drop("_r")
 
 
-def next_block(open_: DataFrame, members: DataFrame, block: int) -> list[tuple[bytes, np.ndarray]]:
-    """The next pivots: open sets in order of digest, as many as hold ``block`` shingles, one at least."""
-    order = Window.orderBy("digest")  # over at most BLOCK_SETS rows
-    some = open_.select("digest", "n").distinct().orderBy("digest").limit(BLOCK_SETS).withColumn("upto", F.sum("n").over(order)).withColumn("place", F.row_number().over(order))
-    chosen = some.filter((F.col("upto") <= block) | (F.col("place") == 1)).select("digest")
-    rows = members.join(chosen, "digest", "left_semi").select("digest", "shingles").dropDuplicates(["digest"]).collect()
-    return [(bytes(r["digest"]), np.frombuffer(bytes(r["shingles"]), np.uint64)) for r in rows]
+def next_block(open_: DataFrame, members: DataFrame, block: int) -> list[tuple[int, np.ndarray]]:
+    """The next pivots: open sets in order of number, as many as hold ``block`` shingles, one at least."""
+    order = Window.orderBy("number")  # over at most BLOCK_SETS rows
+    some = open_.select("number", "n").distinct().orderBy("number").limit(BLOCK_SETS).withColumn("upto", F.sum("n").over(order)).withColumn("place", F.row_number().over(order))
+    chosen = some.filter((F.col("upto") <= block) | (F.col("place") == 1)).select("number")
+    rows = members.join(chosen, "number", "left_semi").select("number", "shingles").dropDuplicates(["number"]).collect()
+    return [(r["number"], np.frombuffer(bytes(r["shingles"]), np.uint64)) for r in rows]
 
 
 def rounds(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame | None:
     """Links (a, b) of regions too dense to split; see 3. in the module's text."""
     spark = members.sparkSession
-    state = keep(members.select("region", "digest", "n", F.col("digest").alias("comp"), F.lit(False).alias("done")), "jaccard-state")
+    state = keep(members.select("region", "number", "n", F.col("number").alias("comp"), F.lit(False).alias("done")), "jaccard-state")
     links = None
     while True:
         sizes = state.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("m"))
@@ -476,19 +481,19 @@ def rounds(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame |
         found = block_links(members, pivots, percent)
         links = found if links is None else links.unionByName(found)
         # components of this round's links, between the components known before
-        name = state.select(F.col("digest").alias("d"), "region", "comp")
+        name = state.select(F.col("number").alias("d"), "region", "comp")
         ends = found.join(name.select(F.col("d").alias("a"), "region", F.col("comp").alias("ca")), "a").join(name.select(F.col("d").alias("b"), "region", F.col("comp").alias("cb")), ["b", "region"])
         merged = components(ends.filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-        chosen = spark.createDataFrame([(bytearray(d), True) for d, _ in pivots], "digest binary, now boolean")  # at most BLOCK_SETS rows
+        chosen = spark.createDataFrame([(d, True) for d, _ in pivots], "number long, now boolean")  # at most BLOCK_SETS rows
         before = state
-        state = state.join(merged.withColumnRenamed("node", "comp"), "comp", "left").join(F.broadcast(chosen), "digest", "left")
-        state = keep(state.select("region", "digest", "n", F.coalesce("root", "comp").alias("comp"), (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")), "jaccard-state")
+        state = state.join(merged.withColumnRenamed("node", "comp"), "comp", "left").join(F.broadcast(chosen), "number", "left")
+        state = keep(state.select("region", "number", "n", F.coalesce("root", "comp").alias("comp"), (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")), "jaccard-state")
         release(before)
 
 
 def region_links(members: DataFrame, percent: int, leaf: int = LEAF, pivots: int = PIVOTS, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
     """Links (a, b) whose components are those of all links inside the regions."""
-    links = None
+    links = held = None
     add = lambda found: found if links is None else links.unionByName(found)
     for level in range(depth + 1):
         total = members.groupBy("region").agg(F.sum("n").alias("total"))
@@ -498,6 +503,9 @@ def region_links(members: DataFrame, percent: int, leaf: int = LEAF, pivots: int
         if large.isEmpty():
             return links
         large = keep(large, "jaccard-large")
+        if held is not None:  # the cells that these members came from
+            release(held)
+        held = large
         if level == depth:
             break
         heads = first_of_region(large.drop("total"), pivots)
@@ -505,10 +513,12 @@ def region_links(members: DataFrame, percent: int, leaf: int = LEAF, pivots: int
         before, after = large.agg(F.sum("n")).first()[0], split(large, heads, percent, leaf // 8, sizes_only=True).agg(F.sum("n")).first()[0]
         if after > 2 * before:
             break
-        cells = keep(split(large, heads, percent, leaf // 8), "jaccard-cells")
-        links = links.unionByName(cells.filter("region is null").select(F.col("digest").alias("a"), F.col("other").alias("b")))
-        members = cells.filter("region is not null").select("region", "digest", "n", "shingles")
+        held = keep(split(large, heads, percent, leaf // 8), "jaccard-cells")
+        release(large)
+        links = links.unionByName(keep(held.filter("region is null").select(F.col("number").alias("a"), F.col("other").alias("b")), "jaccard-links"))
+        members = held.filter("region is not null").select("region", "number", "n", "shingles")
     dense = rounds(large.drop("total"), percent, block)
+    release(held)
     return links if dense is None else links.unionByName(dense)
 
 
@@ -529,36 +539,42 @@ def _components(texts: DataFrame, k: int, percent: int, leaf: int, pivots: int,
     counts = first.filter("kind = 'count'").groupBy("node").agg(F.sum("n").alias("met"))
     named = sets.filter("n_shingles > 0").groupBy("digest", "node", "n_shingles").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "own")).alias("first"))
     named = named.withColumn("first_id", F.col("first.doc_id"))
-    open_ = named.join(counts, "node").filter(F.col("met") >= least_shared(F.col("n_shingles"), percent)).select("digest", "first_id")
-    members = keep(open_members(texts, keep(open_, "jaccard-open"), k), "jaccard-members")
-    region = components(coarse_edges(members, percent)).select(F.col("node").alias("digest"), F.xxhash64("root").alias("region"))
-    links = region_links(members.join(region, "digest"), percent, leaf, pivots, block)
-    comps = components(links)
-    by_set = named.select("digest", "first").join(comps.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    least = by_set.groupBy("root").agg(F.min("first").alias("least"))
-    return sets, by_set.join(least, "root").select("digest", "least")
+    wanted = named.join(counts, "node").filter(F.col("met") >= least_shared(F.col("n_shingles"), percent))
+    # a number for each open set: whole numbers are narrow in edges and aggregate by hash
+    open_ = keep(wanted.select("digest", "first_id", F.monotonically_increasing_id().alias("number")), "jaccard-open")
+    members = keep(open_members(texts, open_, k), "jaccard-members")
+    edges = coarse_edges(members, percent)
+    region = components(edges).select(F.col("node").alias("number"), F.xxhash64("root").alias("region"))
+    release(edges)
+    links = region_links(members.join(region, "number"), percent, leaf, pivots, block)
+    release(members)
+    linked = open_.join(components(links).withColumnRenamed("node", "number"), "number").select("digest", "root")
+    linked = linked.join(named.select("digest", "first"), "digest")
+    least = linked.groupBy("root").agg(F.min("first").alias("least"))
+    of_linked = linked.join(least, "root").select("digest", "least")
+    return sets, named.join(of_linked, "digest", "left").select("digest", F.coalesce("least", "first").alias("least"))
 
 
 def open_members(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(digest, n, shingles) of one document for each wanted set.
+    """(number, n, shingles) of one document for each wanted set.
 
     A blocked Bloom filter of the wanted ids, of fixed size, spares most other
     texts the shuffle; the join decides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _cut(batches):
             rows = []
-            for d, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), k), strict=True):
+            for d, number, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), shingle_sets(b.column(1), k), strict=True):
                 if digest(s) == d:  # not another row with the same id
-                    rows.append((d, len(s), s.tobytes()))
+                    rows.append((number, len(s), s.tobytes()))
             cols = zip(*rows, strict=True) if rows else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.binary()), strict=True)], ["digest", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["number", "n", "shingles"])
 
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     bits = bloom_table(wanted.select(F.coalesce(F.col("first_id").cast("string"), F.lit("null")).alias("canonical")))
     probed = texts.withColumn("block", bloom_block(name)).join(F.broadcast(bits), "block").filter(F.col("bits").bitwiseAND(bloom_mask(name)) == bloom_mask(name))
-    rows = probed.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("digest", "text")
-    return rows.mapInArrow(run, "digest binary, n long, shingles binary").dropDuplicates(["digest"])
+    rows = probed.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("digest", "text", "number")
+    return rows.mapInArrow(trimmed(run), "number long, n long, shingles binary").dropDuplicates(["number"])
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, leaf: int = LEAF, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:

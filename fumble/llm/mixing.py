@@ -7,7 +7,9 @@ dual is convex; safeguarded Newton steps on it run as Spark jobs over the
 counts by (source, size), which hold all that the equations need. Rates are
 rounded into whole copies along a running sum of the rates in order of size,
 so that rounding errors cancel within a source; of ``SHIFTS`` fixed offsets of
-that sum each source takes the one that ends nearest its target.
+that sum each source takes the one that ends nearest its target. What then
+still lacks or is over, some part of a long document, is met by single copies of
+the size that fits best, at most ``ROUNDS`` for each source.
 
 Running sums are three-level (size, bucket, document): no window holds more
 than the sizes of a source, the buckets of one size, or about ``BUCKET`` rows.
@@ -34,6 +36,8 @@ SHIFTS = 16
 BUCKET = 65536
 SALTS = 64
 STEPS, TOLERANCE = 60, 1e-10
+ROUNDS = 4  # single copies moved for each source
+MOVED = "array<struct<at: long, size: long, step: long>>"
 
 
 def _read(id_col: str, text_col: str, source_col: str) -> tuple[Column, Column, Column]:
@@ -132,12 +136,27 @@ def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     copies = lambda shift: (F.floor((F.col("at") + F.col("rate") + shift) / F.lit(ONE)) - F.floor((F.col("at") + shift) / F.lit(ONE))).cast("long")
     shifts = [int(ONE * (2 * i + 1) / (2 * SHIFTS)) for i in range(SHIFTS)]
     sums = df.groupBy("source").agg(F.first("target").alias("target"), *[F.sum(copies(F.lit(s)) * F.col("size")).alias(f"w{i}") for i, s in enumerate(shifts)])
-    near = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{i}") - F.col("target")).alias("gap"), F.lit(s).cast("long").alias("shift")) for i, s in enumerate(shifts)]))
-    # a source may hold a third of all rows: its rows are parted by a salt, its one shift goes to every part
-    chosen = sums.select("source", near["shift"].alias("shift"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    near = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{i}") - F.col("target")).alias("gap"), F.lit(s).cast("long").alias("shift"), F.col(f"w{i}").alias("words")) for i, s in enumerate(shifts)]))
+    none = F.array().cast(MOVED)
+    state = keep(sums.select("source", near["shift"].alias("shift"), (F.col("target") - near["words"]).alias("gap"), none.alias("moved")), "mix-shifts")
     df = df.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int"))
-    df = df.join(chosen, ["source", "salt"]).withColumn("copies", copies(F.col("shift")))
-    return df.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+    def with_copies(state: DataFrame) -> DataFrame:
+        """A source may hold a third of all rows: its rows are parted by a salt, its one row goes to every part."""
+        salted = state.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        mine = F.filter("moved", lambda m: (m["at"] == F.col("at")) & (m["size"] == F.col("size")) & (F.col("rate") > 0))
+        step = F.aggregate(mine, F.lit(0).cast("long"), lambda t, m: t + m["step"])
+        return df.join(salted, ["source", "salt"]).withColumn("copies", copies(F.col("shift")) + step)
+
+    # what rounding leaves of a source's target: single copies of fitting size, one a round, are taken or left out
+    for _ in range(ROUNDS):
+        step, lack = F.signum("gap").cast("long"), F.abs("gap")
+        fits = (F.col("rate") > 0) & (F.col("size") > 0) & (F.col("size") < 2 * lack) & (F.col("copies") + step).between(0, cap)
+        best = with_copies(state).filter(fits).groupBy("source").agg(F.min(F.struct(F.abs(lack - F.col("size")).alias("rest"), "at", "size")).alias("best"))
+        moved = F.when(F.col("best").isNotNull(), F.concat("moved", F.array(F.struct(F.col("best.at").alias("at"), F.col("best.size").alias("size"), step.alias("step"))))).otherwise(F.col("moved"))
+        gap = F.col("gap") - F.coalesce(step * F.col("best.size"), F.lit(0))
+        state = keep(state.join(best, "source", "left").select("source", "shift", gap.alias("gap"), moved.alias("moved")), "mix-shifts")
+    return with_copies(state).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fumble.llm.shared import keep, with_package
+from fumble.llm.shared import keep, trimmed, with_package
 from fumble.llm.tokens import encoder, slices
 
 END = 0
@@ -77,7 +77,7 @@ def pieces(docs: DataFrame, file: str, tokens: int = 2048, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays(arrays[:keep_n], names[:keep_n])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(cut, PIECES + (", ids binary" if with_ids else ""))
+    return narrow.mapInArrow(trimmed(cut), PIECES + (", ids binary" if with_ids else ""))
 
 
 def best_fit(lengths: np.ndarray, cap: Capacity) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +136,7 @@ def pack(cut: DataFrame, capacity: Capacity = Capacity(), shard: int = 8192) ->
         yield from flush(True)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in cut.dtypes) + PLACES
-    return cut.repartition(tasks).mapInArrow(place, schema).select(*names, "sequence_id", "offset")
+    return cut.repartition(tasks).mapInArrow(trimmed(place), schema).select(*names, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, file: str, capacity: Capacity = Capacity(), with_ids: bool = False, **options) -> DataFrame:

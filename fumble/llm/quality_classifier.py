@@ -5,14 +5,25 @@ nothing (0). Expectation-maximisation over the counts of vote patterns - at
 most 3^labellers rows, however many documents - estimates the share of good
 documents and each labeller's chance of each vote given the truth, without
 any given label. The posterior of a pattern is the soft label of its
-documents; a logistic regression on the presence of hashed words, word shapes
-and shares of odd or repeated words learns from the soft labels of a sample and
-scores every document. The sample has the documents with the least hash of each
-vote pattern: its share of ``SAMPLE``, and at least an even share of another
-``SAMPLE`` or up to ``LEAST`` of them, so that no pattern is missed at any size;
-in the fit a document stands for as many as its pattern has for each one drawn.
-Two tasks are learnt this way, well-formed text and clean language; a document
-is kept if both scores are at least 0.5.
+documents; a logistic regression on the presence of hashed words, word shapes,
+stems that a text repeats and shares of odd or repeated words learns from the
+soft labels of a sample and scores every document. The sample has the documents
+with the least hash of each vote pattern: its share of ``SAMPLE``, and at least
+an even share of another ``SAMPLE`` or up to ``LEAST`` of them, so that no
+pattern is missed at any size; in the fit a document stands for as many as its
+pattern has for each one drawn. Two tasks are learnt this way, well-formed text
+and clean language; a document is kept if both scores are at least 0.5.
+
+The labellers of language rest on two kinds of evidence. Some look for listed
+words, which know one language only and attest nothing where they are missing.
+The others look for crowded stems, in any language: a stem (the first ``STEM``
+letters of a longer word) of which few documents have many different words
+each. Under even use a stem on a share t of all distinct words of documents
+would meet itself t^2 * sum(n * n) times within documents of n distinct words;
+a stem is crowded if it does ``CROWD`` times as often, in ``CROWD_DOCS``
+documents at least and with ``CROWD_WORDS`` different words near each other, so
+that copies of one text crowd nothing. At most ``CROWDED`` stems are sent to the
+tasks, those that meet themselves most.
 
 Defined results: a null or empty text gets the labellers' votes for no words;
 ties in score are kept; rows that repeat a doc_id are scored each on its own;
@@ -24,6 +35,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +50,13 @@ from fumble.llm.words import word_codes
 SAMPLE = 6_000
 LEAST = 64  # documents of a pattern that are drawn where it has them
 BUCKETS = 1 << 18
+FEATURE_ROWS = 16  # sampled documents that a feature needs for a weight
 PART = 1 << 22  # bytes of text at a time
 # The lexicon of the language labellers.
 LEXICON = ["clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
 PLAIN = re.compile(r"[a0-9'’\-]+[.,;:]?")  # the shape of an ordinary word
+STEM, CROWD, CROWD_DOCS, CROWD_WORDS, CROWDED = 5, 24, 5, 8, 1 << 14
+WORDS_HELD = 1 << 18  # words that a worker remembers what it worked out for
 CAPITALS, LETTERS = re.compile(r"[A-ZÀ-ÖØ-Þ]{2,}"), re.compile(r"[^\W\d_]+")
 NUMBERS = ("n", "n_odd", "kinds_odd", "n_again", "n_distinct", "n_toxic", "kinds_toxic")
 
@@ -50,70 +65,180 @@ def _vote(bad: Column, good: Column) -> Column:
     return F.when(bad, -1).when(good, 1).otherwise(0)
 
 
+def shape(word: str) -> str:
+    """A word with its letters as ``a``, and capitals in a row as ``X``."""
+    return LETTERS.sub("a", CAPITALS.sub("\x00", word)).replace("\x00", "X")
+
+
+@lru_cache(maxsize=WORDS_HELD)
+def looked_at(word: str) -> tuple[str, str, str]:
+    """(core, odd shape or nothing, stem or nothing) of a word."""
+    core = word.lower().rstrip(".,;:")
+    form = shape(word)
+    return core, "" if PLAIN.fullmatch(form) else form, core[:STEM] if len(core) > STEM and core.isalpha() else ""
+
+
+@lru_cache(maxsize=WORDS_HELD)
 def _bucket(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token) % BUCKETS
 
 
-def shape(word: str) -> str:
-    """A word with its letters as ``a``, and capitals in a row as ``X``."""
-    return LETTERS.sub("a", CAPITALS.sub("\x00", word)).replace("\x00", "X")
+def stem_key(stem: str) -> int:
+    return xxhash.xxh3_64_intdigest(stem) >> 1
 
 
-def measured(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """What the labellers look at, and the features of each text: numbers by
-    name, and (text, bucket) pairs of the hashed features that it has, each once.
+class Measures:
+    """What the labellers look at in a part of the texts, and the texts' features.
 
     Everything about a word is worked out once for each distinct word."""
-    words, codes, counts = word_codes(texts, lower=False)
-    cores, shapes, at = {}, {}, len(texts)
-    core_of, shape_of = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64)
-    for i, w in enumerate(words.to_pylist()):
-        core_of[i] = cores.setdefault(w.lower().rstrip(".,;:"), len(cores))
-        if not PLAIN.fullmatch(form := shape(w)):
-            shape_of[i] = shapes.setdefault(form, len(shapes))
-    text = np.repeat(np.arange(at), counts)
-    core, odd = core_of[codes], shape_of[codes]
-    toxic_core = np.array([c in LEXICON for c in cores], bool)
-    again = np.zeros(len(core), bool)
-    again[1:] = (core[1:] == core[:-1]) & (text[1:] == text[:-1])
-    wide, tall = max(1, len(cores)), max(1, len(shapes))
-    has = np.unique(text * wide + core)
-    has_odd = np.unique((text * tall + odd)[odd >= 0])
-    count = lambda rows: np.bincount(rows, minlength=at)
-    toxic = toxic_core[core] if len(core) else np.zeros(0, bool)
-    toxic_kinds = toxic_core[has % wide] if len(has) else np.zeros(0, bool)
-    numbers = dict(zip(NUMBERS, (counts, count(text[odd >= 0]), count(has_odd // tall), count(text[again]), count(has // wide), count(text[toxic]), count((has // wide)[toxic_kinds])), strict=True))
-    bucket_core = np.fromiter(map(_bucket, cores), np.int64, len(cores))
-    bucket_odd = np.fromiter((_bucket("=" + s) for s in shapes), np.int64, len(shapes))
-    n = np.maximum(counts, 1)
-    shares = [np.array([_bucket(f"={name}{k}") for k in range(11)])[np.minimum(10, 10 * numbers[c] // n)] for name, c in (("odd", "n_odd"), ("again", "n_again"))]
-    owners = np.concatenate([has // wide, has_odd // tall, np.arange(at), np.arange(at)])
-    buckets = np.concatenate([bucket_core[has % wide], bucket_odd[has_odd % tall], *shares]) if len(has) else np.concatenate(shares)
-    owners = owners if len(has) else np.concatenate([np.arange(at), np.arange(at)])
-    pairs = np.unique(owners * BUCKETS + buckets)
-    return numbers, pairs // BUCKETS, pairs % BUCKETS
-
-
-def read_texts(docs: DataFrame, scorers: dict[str, np.ndarray] | None = None, with_features: bool = False) -> DataFrame:
-    """(doc_id, draw, the numbers, a score for each scorer, and the features if asked for) of every whole text."""
-    scorers = scorers or {}
-    sent = docs.sparkSession.sparkContext.broadcast(scorers)  # weights of fixed size
-    schema = "doc_id long, draw long, " + ", ".join(f"{c} long" for c in NUMBERS) + "".join(f", {t}_score double" for t in scorers) + (", features array<int>" if with_features else "")
+
+    def __init__(self, texts: pa.Array):
+        words, codes, counts = word_codes(texts, lower=False)
+        cores, shapes, stems, at = {}, {}, {}, len(texts)
+        core_of, shape_of = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        stem_of = []  # of each core
+        shapes[""], stems[""] = 0, 0
+        for i, w in enumerate(words.to_pylist()):
+            core, form, stem = looked_at(w)
+            if (known := cores.get(core)) is None:
+                known = cores[core] = len(cores)
+                stem_of.append(stems.setdefault(stem, len(stems)))
+            core_of[i] = known
+            if form:
+                shape_of[i] = shapes.setdefault(form, len(shapes))
+        stem_of = np.array(stem_of, np.int64)
+        text = np.repeat(np.arange(at), counts)
+        core, odd = core_of[codes], shape_of[codes]
+        toxic_core = np.array([c in LEXICON for c in cores], bool)
+        again = np.zeros(len(core), bool)
+        again[1:] = (core[1:] == core[:-1]) & (text[1:] == text[:-1])
+        wide, tall, deep = max(1, len(cores)), len(shapes), len(stems)
+        has = np.unique(text * wide + core)
+        has_odd = np.unique((text * tall + odd)[odd > 0])
+        owner, has_core = has // wide, has % wide
+        count = lambda rows: np.bincount(rows, minlength=at)
+        toxic, toxic_kinds = (toxic_core[core], toxic_core[has_core]) if len(core) else (np.zeros(0, bool),) * 2
+        values = counts, count(text[odd > 0]), count(has_odd // tall), count(text[again]), count(owner), count(text[toxic]), count(owner[toxic_kinds])
+        self.numbers = dict(zip(NUMBERS, values, strict=True))
+        # stems: how many distinct words of each a text has
+        stem = stem_of[has_core] if len(has) else np.zeros(0, np.int64)
+        pair, self.stem_words = np.unique((owner * deep + stem)[stem > 0], return_counts=True)
+        self.stem_text, self.stem = pair // deep, pair % deep
+        self.stem_keys = np.fromiter(map(stem_key, stems), np.int64, deep)
+        self.stem_kinds = np.bincount(stem_of, minlength=deep)
+        bucket_core = np.fromiter(map(_bucket, cores), np.int64, len(cores))
+        bucket_odd = np.fromiter((_bucket("=" + x) for x in shapes), np.int64, tall)
+        bucket_stem = np.fromiter((_bucket("<" + x) for x in stems), np.int64, deep)
+        n = np.maximum(counts, 1)
+        shares = [np.array([_bucket(f"={name}{k}") for k in range(11)])[np.minimum(10, 10 * self.numbers[c] // n)] for name, c in (("odd", "n_odd"), ("again", "n_again"))]
+        many = self.stem_words > 1
+        owners = np.concatenate([owner, has_odd // tall, self.stem_text[many], np.arange(at), np.arange(at)])
+        buckets = np.concatenate([bucket_core[has_core], bucket_odd[has_odd % tall], bucket_stem[self.stem[many]], *shares])
+        pairs = np.unique(owners * BUCKETS + buckets)
+        self.owner, self.bucket = pairs // BUCKETS, pairs % BUCKETS
+
+    def of_stems(self) -> list[np.ndarray]:
+        """Of every stem here: key, documents, distinct words of documents, how
+        often they meet another of the document, and different words."""
+        some = np.unique(self.stem)
+        sums = [np.bincount(self.stem, x, len(self.stem_keys)).astype(np.int64)[some] for x in (None, self.stem_words, self.stem_words * (self.stem_words - 1))]
+        return [self.stem_keys[some], *sums, self.stem_kinds[some]]
+
+
+# what a text holds of stems, and, with a part's first text, what the part holds
+OF_TEXT = "stems array<long>, stem_words array<int>, "
+OF_PART = ("part_stem", "part_docs", "part_words", "part_meets", "part_kinds")
+
+
+def _lists(rows: int, offsets: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
+    return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(v, t)) for v, t in zip(values, (pa.int64(), pa.int32()), strict=False)]
+
+
+def read_numbers(docs: DataFrame) -> DataFrame:
+    """(doc_id, draw, the numbers, the stems of which a text has several words)
+    of every whole text, and the sums over stems of each part of the texts."""
+    schema = "doc_id long, draw long, " + ", ".join(f"{c} long" for c in NUMBERS) + ", " + OF_TEXT + ", ".join(f"{c} array<long>" for c in OF_PART)
     names = [x.split()[0] for x in schema.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, rows in slices(b.column(1), PART):
                 part = b.slice(first, rows)
-                numbers, owner, bucket = measured(part.column(1))
-                columns = [part.column(0), part.column(2), *(pa.array(numbers[c], pa.int64()) for c in NUMBERS)]
-                for w in sent.value.values():
-                    columns.append(pa.array(1 / (1 + np.exp(-np.clip(np.bincount(owner, w[bucket], rows) + w[BUCKETS], -500, 500)))))
-                if with_features:
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(rows + 1)), pa.int32()), pa.array(bucket, pa.int32())))
+                m = Measures(part.column(1))
+                many = m.stem_words > 1
+                offsets = np.searchsorted(m.stem_text[many], np.arange(rows + 1))
+                once = np.append(0, np.full(rows, len(np.unique(m.stem))))  # with the first text
+                sums = [pa.ListArray.from_arrays(pa.array(once, pa.int32()), pa.array(x, pa.int64())) for x in m.of_stems()]
+                columns = [part.column(0), part.column(2), *(pa.array(m.numbers[c], pa.int64()) for c in NUMBERS), *_lists(rows, offsets, m.stem_keys[m.stem[many]], m.stem_words[many]), *sums]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.select("doc_id", "text", draw_of()).mapInArrow(read, schema)
+
+
+def draw_of() -> Column:
+    return F.xxhash64("doc_id", "text", F.lit("sample")).alias("draw")
+
+
+def crowded_stems(numbers: DataFrame) -> DataFrame:
+    """(stem) of the crowded stems, at most ``CROWDED``."""
+    rows = numbers.filter(F.size("part_stem") > 0).select(F.explode(F.arrays_zip(*OF_PART)).alias("x")).select("x.*")
+    stems = rows.groupBy(F.col("part_stem").alias("stem")).agg(F.sum("part_docs").alias("docs"), F.sum("part_words").alias("words"), F.sum("part_meets").alias("meets"), F.max("part_kinds").alias("kinds"))
+    n = F.col("n_distinct").cast("double")
+    total, square = numbers.agg(F.coalesce(F.sum(n), F.lit(0.0)), F.coalesce(F.sum(n * n), F.lit(0.0))).first()
+    even = F.pow(F.col("words") / F.lit(max(total, 1.0)), F.lit(2.0)) * square
+    crowd = (F.col("meets") >= CROWD * even) & (F.col("docs") >= CROWD_DOCS) & (F.col("kinds") >= CROWD_WORDS) & (F.col("meets") >= 2 * F.col("docs"))
+    return stems.filter(crowd).orderBy(F.col("meets").desc(), "stem").limit(CROWDED).select("stem")
+
+
+def with_crowds(numbers: DataFrame, stems: np.ndarray) -> DataFrame:
+    """The numbers with n_crowd, a text's distinct words of crowded stems, of stems of which it has several."""
+    sent = numbers.sparkSession.sparkContext.broadcast(np.sort(stems))  # at most CROWDED
+    kept = ["doc_id", "draw", *NUMBERS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("stems")
+            sizes = np.diff(np.asarray(lists.offsets))
+            hit = np.isin(np.asarray(lists.flatten()), sent.value)
+            n = np.bincount(np.repeat(np.arange(b.num_rows), sizes)[hit], np.asarray(b.column("stem_words").flatten())[hit], b.num_rows).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(n)], [*kept, "n_crowd"])
+
+    schema = "doc_id long, draw long, " + ", ".join(f"{c} long" for c in NUMBERS) + ", n_crowd long"
+    return numbers.select(*kept, "stems", "stem_words").mapInArrow(run, schema)
+
+
+def read_features(docs: DataFrame) -> DataFrame:
+    """(draw, features) of whole texts."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, rows in slices(b.column(0), PART):
+                m = Measures(b.column(0).slice(first, rows))
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(m.owner, np.arange(rows + 1)), pa.int32()), pa.array(m.bucket, pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(first, rows), lists], ["draw", "features"])
+
+    return docs.select("text", draw_of()).mapInArrow(read, "draw long, features array<int>")
+
+
+def read_scores(docs: DataFrame, scorers: dict[str, np.ndarray], crowded: np.ndarray) -> DataFrame:
+    """(doc_id, the numbers, n_crowd and a score for each scorer) of every whole text."""
+    sent = docs.sparkSession.sparkContext.broadcast((scorers, np.sort(crowded)))  # weights of fixed size, and at most CROWDED stems
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in (*NUMBERS, "n_crowd")) + "".join(f", {t}_score double" for t in scorers)
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, stems = sent.value
+        for b in batches:
+            for first, rows in slices(b.column(1), PART):
+                m = Measures(b.column(1).slice(first, rows))
+                hit = (m.stem_words > 1) & np.isin(m.stem_keys[m.stem], stems)
+                crowd = np.bincount(m.stem_text[hit], m.stem_words[hit], rows).astype(np.int64)
+                columns = [b.column(0).slice(first, rows), *(pa.array(m.numbers[c], pa.int64()) for c in NUMBERS), pa.array(crowd)]
+                for w in weights.values():
+                    columns.append(pa.array(1 / (1 + np.exp(-np.clip(np.bincount(m.owner, w[m.bucket], rows) + w[BUCKETS], -500, 500)))))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text", F.lit("sample")).alias("draw")).mapInArrow(read, schema)
+    return docs.select("doc_id", "text").mapInArrow(read, schema)
 
 
 def labellers() -> dict[str, dict[str, Column]]:
@@ -129,10 +254,11 @@ def labellers() -> dict[str, dict[str, Column]]:
             "length": _vote(F.col("n") < 15, F.col("n") >= 30),
         },
         "language": {
-            "any": _vote(F.col("n_toxic") > 0, F.col("n_toxic") == 0),
-            "several": _vote(F.col("n_toxic") > 1, F.col("n_toxic") == 0),
-            "kinds": _vote(F.col("kinds_toxic") > 1, F.col("kinds_toxic") == 0),
-            "share": _vote(share("n_toxic") > 0.004, share("n_toxic") < 0.0005),
+            "listed": _vote(F.col("n_toxic") > 0, F.lit(False)),
+            "kinds": _vote(F.col("kinds_toxic") > 1, (F.col("kinds_toxic") == 0) & (F.col("n") >= 20)),
+            "listed_share": _vote(share("n_toxic") > 0.004, F.col("n_toxic") == 0),
+            "crowd": _vote(F.col("n_crowd") > 1, F.col("n_crowd") == 0),
+            "crowd_share": _vote(100 * F.col("n_crowd") >= F.greatest(F.col("n_distinct"), F.lit(150)), F.col("n_crowd") == 0),
         },
     }
 
@@ -172,19 +298,22 @@ def posteriors(measured: DataFrame, votes: dict[str, Column]) -> tuple[DataFrame
     return spark.createDataFrame([(r["pattern"], float(p)) for r, p in zip(rows, post, strict=True)], "pattern string, posterior double"), pattern
 
 
-def fit(bucket: np.ndarray, sizes: np.ndarray, soft: np.ndarray, weight: np.ndarray, steps: int = 80, rate: float = 0.1, penalty: float = 1e-4) -> np.ndarray:
+def fit(bucket: np.ndarray, sizes: np.ndarray, soft: np.ndarray, weight: np.ndarray, steps: int = 400, rate: float = 0.1, penalty: float = 0.3) -> np.ndarray:
     """Weights (BUCKETS, then the bias) of a logistic regression on soft labels, by
     Adam over all rows; ``sizes`` features each, one row after the other, which
-    count by ``weight``."""
+    count by ``weight``. Features of few rows tell rows apart, not classes: one
+    below ``FEATURE_ROWS`` rows, or two of small samples, has no weight."""
     share = weight / weight.sum()
     owner = np.repeat(np.arange(len(sizes)), sizes)
+    often = np.bincount(bucket, minlength=BUCKETS)[bucket] >= max(2, min(FEATURE_ROWS, len(sizes) // 400))
+    owner, bucket = owner[often], bucket[often]
     used, place = np.unique(bucket, return_inverse=True)
     w, b = np.zeros(len(used)), 0.0
     m, r = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, steps + 1):
         z = np.bincount(owner, w[place], len(sizes)) + b
         gap = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - soft) * share
-        g = np.append(np.bincount(place, gap[owner], len(used)) + penalty * w / len(sizes), gap.sum())
+        g = np.append(np.bincount(place, gap[owner], len(used)) + penalty * w / weight.sum(), gap.sum())
         m, r = 0.9 * m + 0.1 * g, 0.99 * r + 0.01 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(r / (1 - 0.99**step)) + 1e-12)
         w, b = w - move[:-1], b - move[-1]
@@ -212,19 +341,24 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     """One row per document: doc_id, a posterior and a score for each task, kept."""
     with_package(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    numbers = keep(read_texts(narrow), "classifier-measures")
+    measured = keep(read_numbers(narrow), "classifier-measures")
+    crowded = crowded_stems(measured).toPandas()["stem"].to_numpy(np.int64)  # at most CROWDED
+    numbers = keep(with_crowds(measured, crowded), "classifier-numbers")
     wanted = keep(drawn(numbers, sample), "classifier-draws")
-    part = narrow.join(F.broadcast(wanted), F.xxhash64("doc_id", "text", F.lit("sample")) == F.col("draw"), "left_semi")  # about 2 x sample draws
-    learnt = keep(read_texts(part, with_features=True).limit(4 * sample), "classifier-sample").join(F.broadcast(wanted), "draw")
+    part = narrow.withColumn("draw", draw_of()).join(F.broadcast(wanted.select("draw")), "draw", "left_semi")  # about 2 x sample draws
+    # texts alike in id and text share a draw and are one text to the fit
+    learnt = keep(read_features(part.select("doc_id", "text")).dropDuplicates(["draw"]), "classifier-sample").join(F.broadcast(wanted), "draw")
+    votes_of = numbers.join(F.broadcast(wanted.select("draw")), "draw", "left_semi").dropDuplicates(["draw"]).drop("doc_id")
+    learnt = keep(learnt.join(votes_of, "draw"), "classifier-learnt")
     posts, scorers = {}, {}
     for task, votes in labellers().items():
         post, pattern = posteriors(numbers, votes)
         posts[task] = F.broadcast(post), pattern  # at most 3^labellers rows
-        rows = learnt.withColumn("pattern", pattern).join(posts[task][0], "pattern").select("features", "posterior", "weight").toArrow()  # at most 4 x sample rows
+        rows = learnt.withColumn("pattern", pattern).join(posts[task][0], "pattern").orderBy("draw").select("features", "posterior", "weight").toArrow()  # at most 2 x sample rows
         if rows.num_rows:
             features = rows.column("features").combine_chunks()
             scorers[task] = fit(np.asarray(features.flatten()).astype(np.int64), np.diff(np.asarray(features.offsets)), rows.column("posterior").to_numpy(), rows.column("weight").to_numpy())
-    out = read_texts(narrow, scorers)
+    out = read_scores(narrow, scorers, crowded)
     for task, (post, pattern) in posts.items():
         out = out.withColumn("pattern", pattern).join(post, "pattern", "left").drop("pattern").withColumnRenamed("posterior", f"{task}_posterior")
         if task not in scorers:  # nothing was sampled

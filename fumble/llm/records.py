@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from fumble.llm.shared import frame_of, keep, shared_path, with_package
+from fumble.llm.shared import frame_of, keep, shared_path, trimmed, with_package
 from fumble.llm.tokens import encoder, slices
 
 END = 2
@@ -111,7 +111,7 @@ def write_records(docs: DataFrame, file: str, out: str, end: int = END, id_col:
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     narrow = narrow.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    narrow.mapInArrow(write, INDEX).write.parquet(f"{out}/index")
+    narrow.mapInArrow(trimmed(write), INDEX).write.parquet(f"{out}/index")
     return spark.read.schema(INDEX).parquet(f"{out}/index")
 
 

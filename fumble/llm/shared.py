@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -119,6 +122,21 @@ def with_package(spark: SparkSession) -> None:
     ship_package(spark)
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that gives what its allocators still hold back to the
+    system at the end, as Spark keeps the worker, idle, for tasks of later stages."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def words(text: Column) -> Column:
     """Words of a text as an array; null gives an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
