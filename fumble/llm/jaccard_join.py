@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from fumble.llm.components import components
-from fumble.llm.shared import frame_of, id_key, keep, release, scratch, taken, text_digest, trimmed, with_package
+from fumble.llm.shared import frame_of, id_key, keep, release, scratch, session_with, taken, text_digest, through, trimmed, with_package
 from fumble.llm.tokens import ragged, slices
 from fumble.llm.url_filter import bloom_block, bloom_mask, bloom_table
 from fumble.llm.words import word_codes
@@ -60,7 +60,7 @@ PIVOTS = 64
 BLOCK, BLOCK_SETS = 1 << 20, 1 << 13  # shingles and sets of one round's pivots, 8 MB
 DEPTH = 4
 SHARE = 10  # a tenth of a set's shingles must be met again
-ROWS = 2000  # rows of an Arrow batch at a time: sets are large rows
+ROWS = 1000  # rows of an Arrow batch at a time: sets are large rows
 HELD = 1 << 19  # shingles that a task joins before it sends them, or reads before it counts them
 PART = 1 << 22  # bytes of text at a time
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -543,12 +543,15 @@ def _components(texts: DataFrame, k: int, percent: int, leaf: int, pivots: int,
     # a number for each open set: whole numbers are narrow in edges and aggregate by hash
     open_ = keep(wanted.select("digest", "first_id", F.monotonically_increasing_id().alias("number")), "jaccard-open")
     members = keep(open_members(texts, open_, k), "jaccard-members")
+    # sets are large rows: batches of few rows bound what stands between Spark and a Python worker
+    members = through(members, session_with(texts.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(ROWS)))
     edges = coarse_edges(members, percent)
     region = components(edges).select(F.col("node").alias("number"), F.xxhash64("root").alias("region"))
     release(edges)
     links = region_links(members.join(region, "number"), percent, leaf, pivots, block)
     release(members)
-    linked = open_.join(components(links).withColumnRenamed("node", "number"), "number").select("digest", "root")
+    found = through(keep(components(links), "jaccard-found"), texts.sparkSession)
+    linked = open_.join(found.withColumnRenamed("node", "number"), "number").select("digest", "root")
     linked = linked.join(named.select("digest", "first"), "digest")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     of_linked = linked.join(least, "root").select("digest", "least")
