@@ -60,16 +60,16 @@ def loss_spikes(log: DataFrame, factor: float = SPIKE_FACTOR, chunk_steps: int =
     # so only non-null losses (NaN included) are "recorded".
     losses = _chunked(log.filter((F.col("metric") == metric) & F.col("value").isNotNull())
                       .select("run_id", "step", "value"), chunk_steps)
-    # (2) last loss of every chunk, carried forward across chunks.
-    last_per_chunk = losses.groupBy("run_id", "_chunk").agg(F.max(F.struct("step", "value"))["value"].alias("_last"))
-    wc = Window.partitionBy("run_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last_per_chunk.select("run_id", "_chunk", F.last("_last").over(wc).alias("_carry"))
-    # (3) previous loss inside the chunk, else the carried one.
+    # previous loss inside the chunk; both uses below read one exchange
     w = Window.partitionBy("run_id", "_chunk").orderBy("step", "value")
-    prev_in_chunk = F.lag("value").over(w)
-    j = losses.join(carried, on=["run_id", "_chunk"], how="left")
-    prev = F.when(F.row_number().over(w) == 1, F.col("_carry")).otherwise(prev_in_chunk)
-    with_prev = j.select("run_id", "step", "value", prev.alias("prev"))
+    placed = losses.select("run_id", "_chunk", "step", "value", F.lag("value").over(w).alias("prev"), F.row_number().over(w).alias("_rn"),
+                           F.count(F.lit(1)).over(Window.partitionBy("run_id", "_chunk")).alias("_n"))
+    inside = placed.filter("_rn > 1").select("run_id", "step", "value", "prev")
+    # a chunk's first loss follows the last one of the chunk before: at most two rows of each chunk
+    ends = placed.filter("_rn = 1 OR _rn = _n")
+    before = F.lag("value").over(Window.partitionBy("run_id").orderBy("_chunk", "_rn"))
+    first = ends.withColumn("prev", before).filter("_rn = 1").select("run_id", "step", "value", "prev")
+    with_prev = inside.unionByName(first)
     spike = (
         _valid(F.col("value")) & _valid(F.col("prev")) & (F.col("value") > F.col("prev") * factor)
     )
@@ -126,16 +126,15 @@ def running_best(rewards: DataFrame, chunk_steps: int = CHUNK_STEPS) -> DataFram
     Output ``(run_id, step, reward)`` — one row per "new best" event.
     """
     r = _chunked(rewards.filter(_valid(F.col("reward"))).select("run_id", "step", "reward"), chunk_steps)
-    per_chunk = r.groupBy("run_id", "_chunk").agg(F.max("reward").alias("_m"))
+    # the best before inside the chunk and the chunk's best; both uses below read one exchange
+    w = Window.partitionBy("run_id", "_chunk").orderBy("step")
+    placed = r.select("run_id", "_chunk", "step", "reward", F.max("reward").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_in"),
+                      F.max("reward").over(Window.partitionBy("run_id", "_chunk")).alias("_m"), F.row_number().over(w).alias("_rn"))
     wc = Window.partitionBy("run_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_chunk.select("run_id", "_chunk", F.max("_m").over(wc).alias("_carry"))
-    w = Window.partitionBy("run_id", "_chunk").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    prev_in = F.max("reward").over(w)
-    j = r.join(carried, on=["run_id", "_chunk"], how="left")
-    best_before = F.greatest(prev_in, F.col("_carry"))  # greatest skips nulls
-    floor = F.coalesce(F.col("_before"), F.lit(float("-inf")))
-    return j.select("run_id", "step", "reward", best_before.alias("_before")).filter(
-        F.col("reward") > floor).select("run_id", "step", "reward")
+    carried = placed.filter("_rn = 1").select("run_id", "_chunk", F.max("_m").over(wc).alias("_carry"))
+    j = placed.join(carried, on=["run_id", "_chunk"])
+    floor = F.coalesce(F.greatest("_in", "_carry"), F.lit(float("-inf")))  # greatest skips nulls
+    return j.filter(F.col("reward") > floor).select("run_id", "step", "reward")
 
 
 def checkpoint_path(output_dir: Column | str, step: Column) -> Column:

@@ -78,3 +78,17 @@ def test_passages_are_cropped_before_they_are_spread(spark):
 def test_monitor_shares_one_exchange_by_run_and_chunk(spark):
     q = E.queries()["loss_spikes"](spark, SF01)
     assert nodes(q, "Exchange hashpartitioning") <= 4
+
+
+def test_monitor_reads_its_log_once(spark):
+    """Both uses of a chunk's rows share one exchange; a read is counted where rows leave the table."""
+    from fumble.operators import monitor
+    from fumble.plans.queries_monitor import training_log
+    from test_shuffle import counted
+
+    log = training_log(spark, SF01)
+    n = log.count()
+    for job in (monitor.loss_spikes, lambda t: monitor.running_best(monitor.evaluation_rewards(t))):
+        table, read = counted(spark, log)
+        job(table).collect()
+        assert read.value == n
