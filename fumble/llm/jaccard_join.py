@@ -419,8 +419,10 @@ def split(members: DataFrame, pivots: DataFrame, percent: int, chunk: int, sizes
 
 
 def block_links(members: DataFrame, block: list[tuple[int, np.ndarray]], percent: int) -> DataFrame:
-    """Links (a, b) between all members and the sets of a block, as a written
-    table; the broadcast block is given up after that."""
+    """Links (a, b) whose components are those of all links between the members
+    and the sets of a block, as a written table; the broadcast block is given up
+    after that. A member is linked with one set of the block, and a task joins
+    the sets that a member links, so no task sends all pairs of a dense region."""
     sent = members.sparkSession.sparkContext.broadcast(block)  # at most BLOCK shingles, or one set
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,6 +434,11 @@ def block_links(members: DataFrame, block: list[tuple[int, np.ndarray]], percent
         owner = np.repeat(np.arange(len(sets)), sizes)[order]
         tokens, first = np.unique(flat[order], return_index=True)
         first = np.append(first, len(flat))
+        root = np.arange(len(sets))
+
+        def links(a, b) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
         for b in _cut(batches):
             left, right = [], []
             for d, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -439,11 +446,18 @@ def block_links(members: DataFrame, block: list[tuple[int, np.ndarray]], percent
                 at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                 at = at[tokens[at] == s]
                 both = np.bincount(owner[ragged(first[at], first[at + 1] - first[at])], minlength=len(sets))
-                near = names[100 * both >= percent * (len(s) + sizes - both)]
-                near = near[near != d]
-                left.append(np.full(len(near), d))
-                right.append(near)
-            yield pa.RecordBatch.from_arrays([pa.array(_joined(x), pa.int64()) for x in (left, right)], ["a", "b"])
+                near = np.flatnonzero(100 * both >= percent * (len(s) + sizes - both))
+                if not len(near):
+                    continue
+                roots = np.unique(root[near])
+                if len(roots) > 1:
+                    root[np.isin(root, roots)] = roots[0]
+                if names[near[0]] != d:
+                    left.append(d)
+                    right.append(names[near[0]])
+            yield links(left, right)
+        joined = np.flatnonzero(root != np.arange(len(root)))
+        yield links(names[joined], names[root[joined]])
 
     found = keep(members.select("number", "shingles").mapInArrow(trimmed(run), "a long, b long"), "jaccard-links")
     sent.destroy()
