@@ -35,10 +35,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,12 +51,13 @@ SAMPLE = 6_000
 LEAST = 64  # documents of a pattern that are drawn where it has them
 BUCKETS = 1 << 18
 FEATURE_ROWS = 16  # sampled documents that a feature needs for a weight
-PART = 1 << 22  # bytes of text at a time
+PART = 1 << 23  # bytes of text at a time
 # The lexicon of the language labellers.
 LEXICON = ["clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
 PLAIN = re.compile(r"[a0-9'’\-]+[.,;:]?")  # the shape of an ordinary word
+# the same, and the run of capitals, in the words themselves
+PLAIN_WORD, CAPITAL_RUN = r"^[\p{L}\p{Nl}\p{No}0-9'’\-]+[.,;:]?$", r"[A-ZÀ-ÖØ-Þ][A-ZÀ-ÖØ-Þ]"
 STEM, CROWD, CROWD_DOCS, CROWD_WORDS, CROWDED = 5, 24, 5, 8, 1 << 14
-WORDS_HELD = 1 << 18  # words that a worker remembers what it worked out for
 CAPITALS, LETTERS = re.compile(r"[A-ZÀ-ÖØ-Þ]{2,}"), re.compile(r"[^\W\d_]+")
 NUMBERS = ("n", "n_odd", "kinds_odd", "n_again", "n_distinct", "n_toxic", "kinds_toxic")
 
@@ -70,17 +71,14 @@ def shape(word: str) -> str:
     return LETTERS.sub("a", CAPITALS.sub("\x00", word)).replace("\x00", "X")
 
 
-@lru_cache(maxsize=WORDS_HELD)
-def looked_at(word: str) -> tuple[str, str, str]:
-    """(core, odd shape or nothing, stem or nothing) of a word."""
-    core = word.lower().rstrip(".,;:")
-    form = shape(word)
-    return core, "" if PLAIN.fullmatch(form) else form, core[:STEM] if len(core) > STEM and core.isalpha() else ""
+def _coded(strings: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(distinct strings, the code of each)."""
+    coded = strings.dictionary_encode()
+    return coded.dictionary, np.asarray(coded.indices).astype(np.int64)
 
 
-@lru_cache(maxsize=WORDS_HELD)
-def _bucket(token: str) -> int:
-    return xxhash.xxh3_64_intdigest(token) % BUCKETS
+def _buckets(tokens: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens)).astype(np.int64) & (BUCKETS - 1)
 
 
 def stem_key(stem: str) -> int:
@@ -94,25 +92,22 @@ class Measures:
 
     def __init__(self, texts: pa.Array):
         words, codes, counts = word_codes(texts, lower=False)
-        cores, shapes, stems, at = {}, {}, {}, len(texts)
-        core_of, shape_of = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        stem_of = []  # of each core
-        shapes[""], stems[""] = 0, 0
-        for i, w in enumerate(words.to_pylist()):
-            core, form, stem = looked_at(w)
-            if (known := cores.get(core)) is None:
-                known = cores[core] = len(cores)
-                stem_of.append(stems.setdefault(stem, len(stems)))
-            core_of[i] = known
-            if form:
-                shape_of[i] = shapes.setdefault(form, len(shapes))
-        stem_of = np.array(stem_of, np.int64)
+        words, at = words.cast(pa.string()), len(texts)
+        cores, core_of = _coded(pc.utf8_rtrim(pc.utf8_lower(words), ".,;:"))
+        # shapes are written out for odd words only
+        odd_words = np.asarray(pc.or_(pc.invert(pc.match_substring_regex(words, PLAIN_WORD)), pc.match_substring_regex(words, CAPITAL_RUN)).cast(pa.uint8())).astype(bool)
+        shapes, shape_of = {"": 0}, np.zeros(len(words), np.int64)
+        for i, w in zip(np.flatnonzero(odd_words).tolist(), words.filter(pa.array(odd_words)).to_pylist(), strict=True):
+            shape_of[i] = shapes.setdefault(shape(w), len(shapes))
+        long = pc.and_(pc.greater(pc.utf8_length(cores), STEM), pc.utf8_is_alpha(cores))
+        stems, stem_of = _coded(pc.if_else(long, pc.utf8_slice_codeunits(cores, 0, STEM), ""))
+        empty = stems.to_pylist().index("") if not np.asarray(long.cast(pa.uint8())).all() else -1
         text = np.repeat(np.arange(at), counts)
         core, odd = core_of[codes], shape_of[codes]
-        toxic_core = np.array([c in LEXICON for c in cores], bool)
+        toxic_core = np.asarray(pc.is_in(cores, pa.array(LEXICON)).cast(pa.uint8())).astype(bool)
         again = np.zeros(len(core), bool)
         again[1:] = (core[1:] == core[:-1]) & (text[1:] == text[:-1])
-        wide, tall, deep = max(1, len(cores)), len(shapes), len(stems)
+        wide, tall, deep = max(1, len(cores)), len(shapes), max(1, len(stems))
         has = np.unique(text * wide + core)
         has_odd = np.unique((text * tall + odd)[odd > 0])
         owner, has_core = has // wide, has % wide
@@ -122,15 +117,15 @@ class Measures:
         self.numbers = dict(zip(NUMBERS, values, strict=True))
         # stems: how many distinct words of each a text has
         stem = stem_of[has_core] if len(has) else np.zeros(0, np.int64)
-        pair, self.stem_words = np.unique((owner * deep + stem)[stem > 0], return_counts=True)
+        pair, self.stem_words = np.unique((owner * deep + stem)[stem != empty], return_counts=True)
         self.stem_text, self.stem = pair // deep, pair % deep
-        self.stem_keys = np.fromiter(map(stem_key, stems), np.int64, deep)
-        self.stem_kinds = np.bincount(stem_of, minlength=deep)
-        bucket_core = np.fromiter(map(_bucket, cores), np.int64, len(cores))
-        bucket_odd = np.fromiter((_bucket("=" + x) for x in shapes), np.int64, tall)
-        bucket_stem = np.fromiter((_bucket("<" + x) for x in stems), np.int64, deep)
+        self.stem_keys = np.fromiter(map(stem_key, stems.to_pylist()), np.int64, len(stems))
+        self.stem_kinds = np.bincount(stem_of, minlength=len(stems))
+        bucket_core = _buckets(cores.to_pylist())
+        bucket_odd = _buckets(["=" + x for x in shapes])
+        bucket_stem = _buckets(["<" + x for x in stems.to_pylist()])
         n = np.maximum(counts, 1)
-        shares = [np.array([_bucket(f"={name}{k}") for k in range(11)])[np.minimum(10, 10 * self.numbers[c] // n)] for name, c in (("odd", "n_odd"), ("again", "n_again"))]
+        shares = [_buckets([f"={name}{k}" for k in range(11)])[np.minimum(10, 10 * self.numbers[c] // n)] for name, c in (("odd", "n_odd"), ("again", "n_again"))]
         many = self.stem_words > 1
         owners = np.concatenate([owner, has_odd // tall, self.stem_text[many], np.arange(at), np.arange(at)])
         buckets = np.concatenate([bucket_core[has_core], bucket_odd[has_odd % tall], bucket_stem[self.stem[many]], *shares])
