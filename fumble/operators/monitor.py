@@ -126,13 +126,13 @@ def running_best(rewards: DataFrame, chunk_steps: int = CHUNK_STEPS) -> DataFram
     Output ``(run_id, step, reward)`` — one row per "new best" event.
     """
     r = _chunked(rewards.filter(_valid(F.col("reward"))).select("run_id", "step", "reward"), chunk_steps)
-    # the best before inside the chunk and the chunk's best; both uses below read one exchange
+    # the best before inside the chunk, and the chunk's best
     w = Window.partitionBy("run_id", "_chunk").orderBy("step")
     placed = r.select("run_id", "_chunk", "step", "reward", F.max("reward").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_in"),
                       F.max("reward").over(Window.partitionBy("run_id", "_chunk")).alias("_m"), F.row_number().over(w).alias("_rn"))
     wc = Window.partitionBy("run_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = placed.filter("_rn = 1").select("run_id", "_chunk", F.max("_m").over(wc).alias("_carry"))
-    j = placed.join(carried, on=["run_id", "_chunk"])
+    j = placed.join(carried, on=["run_id", "_chunk"], how="left")
     floor = F.coalesce(F.greatest("_in", "_carry"), F.lit(float("-inf")))  # greatest skips nulls
     return j.filter(F.col("reward") > floor).select("run_id", "step", "reward")
 
