@@ -49,7 +49,7 @@ from pyspark.sql import Window
 
 from fumble.llm.components import components
 from fumble.llm.shared import frame_of, id_key, keep, release, scratch, session_with, taken, text_digest, through, trimmed, with_package
-from fumble.llm.tokens import ragged, slices
+from fumble.llm.tokens import encoder, ragged, slices
 from fumble.llm.url_filter import bloom_block, bloom_mask, bloom_table
 from fumble.llm.words import word_codes
 
@@ -164,6 +164,7 @@ def documents_and_counts(texts: DataFrame, k: int, percent: int) -> DataFrame:
     The shuffle sorts by shingle, so a task holds the rows of a few shingles at a time."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # Spark reuses workers: what a tokenizing stage remembered in this one makes room
         tokens, nodes, held = [], [], 0
         for b in _cut(batches):
             rows = []
