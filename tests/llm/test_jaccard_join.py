@@ -3,9 +3,11 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fumble.llm import components as CC
 from fumble.llm import jaccard_join as J
+from fumble.llm.shared import session_with
 from tests.llm.helpers import corpus, frame, prose, with_clashes
 
 
@@ -92,6 +94,19 @@ def test_split_and_rounds_alone(spark):
     assert got(frame(spark, rows), leaf=3000, pivots=3, block=5000) == brute(rows)
 
 
+def test_region_is_joined_whole_after_a_join(spark):
+    """A region whose rows lie in all partitions, with sizes that AQE finds small
+    enough to be sent once the rows are dealt, which it then reads as they were."""
+    own = session_with(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="10MB")
+    sets = [np.arange(100 * (i % 4), 100 * (i % 4) + 50, dtype=np.uint64).tobytes() for i in range(48)]
+    members = own.createDataFrame([(7, i, 50, bytearray(s)) for i, s in enumerate(sets)], "region long, number long, n long, shingles binary").repartition(8)
+    sized = members.join(members.groupBy("region").agg(F.sum("n").alias("total")), "region")
+    found = J.leaf_links(sized.filter("total > 0"), 80)
+    assert "REPARTITION_BY_COL" in found._jdf.queryExecution().executedPlan().toString()  # an exchange that AQE keeps whole
+    links = sorted(tuple(r) for r in found.collect())
+    assert links == [(i, i % 4) for i in range(4, 48)]
+
+
 def test_edges(spark):
     assert got(frame(spark, [])) == []
     rows = [(3, None, "x", "y", 0), (2, "", "x", "y", 0), (5, "A b", "x", "y", 0), (4, "a  B", "x", "y", 0), (4, "a b", "x", "y", 0)]
