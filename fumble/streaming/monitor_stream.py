@@ -6,9 +6,10 @@ stream ``(run_id, step, ts, metric, value)`` whose rows may arrive up to
 
 * ``held``: the rows that may still be overtaken, a map from a stretch of event
   time (an eighth of the delay) to its rows, so that a batch rewrites only the
-  stretches that its rows fall into;
+  stretches that its rows fall into; rows that are released by the batch that
+  brings them never enter it;
 * ``run``: last loss, best reward, invalid-value count, the place up to which
-  rows have been released, and whether the run has ended.
+  rows have been released, whether the run has ended, and its held stretches.
 
 A stretch is released, in ``(ts, step)`` order, once the run's own latest event
 time is ``delay`` past it, or the watermark is: every stretch has an event-time
@@ -51,7 +52,7 @@ from ..session import ensure_checkpoint_dir, ship_package
 END_OF_RUN = "__end_of_run__"
 EVENT_SCHEMA = "run_id long, step long, kind string, metric string, value_from double, value double, value_is string"
 EVENT_COLUMNS = [x.split()[0] for x in EVENT_SCHEMA.split(", ")]
-RUN_SCHEMA = "last_loss double, loss_is string, best double, errors long, front_ts long, front_step long, last_ts long, ended boolean"
+RUN_SCHEMA = "last_loss double, loss_is string, best double, errors long, front_ts long, front_step long, last_ts long, ended boolean, stretches array<long>"
 HELD_SCHEMA = "rows array<struct<ts:long,step:long,metric:string,value:double,value_is:string>>"
 STRETCHES = 8  # of the delay
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -118,31 +119,36 @@ class MonitorProcessor(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _read(self) -> tuple[Run, tuple | None, int | None, bool]:
-        """(running quantities, place released up to, latest event time, whether it has ended)"""
-        if not self.run.exists():
-            return Run(), None, None, False
-        last_loss, loss_is, best, errors, front_ts, front_step, last_ts, ended = self.run.get()
+    def _read(self) -> tuple[Run, tuple | None, int | None, bool, list[int]]:
+        """(running quantities, place released up to, latest event time, whether it has ended, held stretches)"""
+        state = self.run.get()
+        if state is None:
+            return Run(), None, None, False, []
+        last_loss, loss_is, best, errors, front_ts, front_step, last_ts, ended, stretches = state
         run = Run(_value(last_loss, loss_is), loss_is != "null", best, errors)
-        return run, None if front_ts is None else (front_ts, front_step), last_ts, ended
+        return run, None if front_ts is None else (front_ts, front_step), last_ts, ended, list(stretches)
 
-    def _write(self, run: Run, front: tuple | None, last_ts: int | None, ended: bool) -> None:
+    def _write(self, run: Run, front: tuple | None, last_ts: int | None, ended: bool, stretches: list[int]) -> None:
         loss_is = _kind(run.last_loss) if run.has_loss else "null"
         loss = run.last_loss if loss_is == "number" else None
-        self.run.update((loss, loss_is, run.best, run.errors, *(front or (None, None)), last_ts, ended))
+        self.run.update((loss, loss_is, run.best, run.errors, *(front or (None, None)), last_ts, ended, stretches))
 
-    def _released(self, run_id: int, run: Run, front: tuple | None, upto: float) -> tuple[list, tuple | None]:
-        """Events of the stretches that end by ``upto``, which are no longer held."""
+    def _released(self, run_id: int, run: Run, front: tuple | None, upto: float, stretches: list[int], new: dict[int, list]) -> tuple[list, tuple | None]:
+        """Events of the stretches that end by ``upto``, held or new, which leave both."""
         rows = []
-        for stretch in sorted(k for (k,) in list(self.held.keys()) if (k + 1) * self.stretch <= upto):
-            rows += [(ts, step, metric, _value(value, value_is)) for ts, step, metric, value, value_is in self.held.getValue((stretch,))[0]]
-            self.held.removeKey((stretch,))
+        for stretch in [k for k in {*stretches, *new} if (k + 1) * self.stretch <= upto]:
+            some = new.pop(stretch, [])
+            if stretch in stretches:
+                some = [*self.held.getValue((stretch,))[0], *some]
+                self.held.removeKey((stretch,))
+                stretches.remove(stretch)
+            rows += [(ts, step, metric, _value(value, value_is)) for ts, step, metric, value, value_is in some]
         rows.sort(key=_order)  # rows of one (ts, step) lie in one stretch, so steps are released whole
         return list(_release(run_id, run, rows)), rows[-1][:2] if rows else front
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         (run_id,) = key
-        run, front, last_ts, ended = self._read()
+        run, front, last_ts, ended, stretches = self._read()
         out, new, ends = [], defaultdict(list), False
         for f in rows:
             for ts, step, metric, value, value_is in zip(f["ts_ms"].tolist(), f["step"].tolist(), f["metric"], f["value"].tolist(), f["value_is"], strict=True):
@@ -153,14 +159,15 @@ class MonitorProcessor(StatefulProcessor):
                     out.append((run_id, step, "late", metric, None, _value(value, value_is), value_is))
                 else:
                     new[ts // self.stretch].append((ts, step, metric, None if value_is != "number" else float(value), value_is))
-        for stretch, some in new.items():
-            known = self.held.getValue((stretch,))[0] if self.held.containsKey((stretch,)) else []
+        ended = ended or ends
+        events, front = self._released(run_id, run, front, math.inf if ended else last_ts - self.delay, stretches, new)
+        for stretch, some in new.items():  # the rows that may still be overtaken
+            known = self.held.getValue((stretch,))[0] if stretch in stretches else []
             self.held.updateValue((stretch,), ([tuple(r) for r in known] + some,))
             if not known:
                 self.handle.registerTimer((stretch + 1) * self.stretch)
-        ended = ended or ends
-        events, front = self._released(run_id, run, front, math.inf if ended else last_ts - self.delay)
-        self._write(run, front, last_ts, ended)
+                stretches.append(stretch)
+        self._write(run, front, last_ts, ended, stretches)
         if ended and self.forget is not None:
             self.handle.registerTimer(last_ts + self.forget)
         if out or events:
@@ -168,14 +175,15 @@ class MonitorProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         (run_id,) = key
-        run, front, last_ts, ended = self._read()
+        run, front, last_ts, ended, stretches = self._read()
         if ended:
             if self.forget is not None and timerValues.getCurrentWatermarkInMs() >= last_ts + self.forget:
                 self.run.clear()
             return
-        events, front = self._released(run_id, run, front, timerValues.getCurrentWatermarkInMs())
-        if self.run.exists():
-            self._write(run, front, last_ts, ended)
+        held = len(stretches)
+        events, front = self._released(run_id, run, front, timerValues.getCurrentWatermarkInMs(), stretches, {})
+        if len(stretches) < held:
+            self._write(run, front, last_ts, ended, stretches)
         if events:
             yield pd.DataFrame(events, columns=EVENT_COLUMNS)
 
