@@ -7,12 +7,15 @@ Two implementations, chosen per job (never per row):
   a banded run (``levenshtein(a, b, t)``, O(n·t)) is tried with a band that
   covers typical noise levels, and only rows whose distance exceeds the band
   pay for the full quadratic run. Exact for every row.
-* ``arrow`` — the bit-parallel method (Myers 1999, Hyyrö 2003) in an
-  Arrow-batched pandas UDF; O(n·m/w) with Python integers as bit vectors.
+* ``arrow`` — an Arrow-batched pandas UDF: texts of one length that differ in
+  few places along a band of diagonals, many pairs at once with numpy; others by
+  the bit-parallel method (Myers 1999, Hyyrö 2003), O(n·m/w) with Python integers
+  as bit vectors.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,26 +58,117 @@ def bitparallel_distance(a: str, b: str) -> int:
     return score
 
 
+BANDED_ROWS = 256  # pairs of one banded run
+BANDED_LEAST = 64  # characters of the shorter text from which a pair is worth it
+
+
+def _core(a: str, b: str) -> tuple[str, str]:
+    """Both texts without their common start and end, which cost nothing."""
+    x, y = _points(a), _points(b)
+    n = min(len(x), len(y))
+    other = np.flatnonzero(x[:n] != y[:n])
+    first = int(other[0]) if len(other) else n
+    other = np.flatnonzero(x[first:][::-1][: n - first] != y[first:][::-1][: n - first])
+    last = int(other[0]) if len(other) else n - first
+    return a[first : len(a) - last], b[first : len(b) - last]
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
+
+
+def distances(a: list[str | None], b: list[str | None]) -> list[int | None]:
+    """Levenshtein distances of pairs; null beside a null text.
+
+    A path that leaves the diagonals -k..k takes at least 2k + 2 - d steps, with
+    d the difference of the lengths. Texts of one length are apart by the places
+    where they differ at most, so half as many diagonals hold their best path;
+    such pairs run side by side, ``BANDED_ROWS`` at a time. The others, and those
+    whose band is no narrower than the texts, take the bit-parallel method."""
+    out: list[int | None] = [None] * len(a)
+    banded = []
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        if x is None or y is None:
+            continue
+        if x == y:
+            out[i] = 0
+            continue
+        x, y = _core(x, y)
+        if len(x) == len(y) >= BANDED_LEAST:
+            p, q = _points(x), _points(y)
+            k = int(np.count_nonzero(p != q)) // 2
+            if 4 * k < len(x):
+                banded.append((k, len(p), i, p, q))
+                continue
+        out[i] = bitparallel_distance(x, y)
+    banded.sort(key=lambda r: r[:3])
+    for first in range(0, len(banded), BANDED_ROWS):
+        some = banded[first : first + BANDED_ROWS]
+        for (_, _, i, _, _), d in zip(some, _banded([r[3] for r in some], [r[4] for r in some], some[-1][0]).tolist(), strict=True):
+            out[i] = d
+    return out
+
+
+def _banded(a: list[np.ndarray], b: list[np.ndarray], k: int) -> np.ndarray:
+    """Distances of pairs of one length each along the diagonals -k..k: the
+    matrices' anti-diagonals one after the other, all pairs at once. The distance
+    of a pair of length n is on anti-diagonal 2n, on diagonal 0."""
+    rows, pad = len(a), k + 2
+    sizes = np.array([len(x) for x in a])
+    most = int(sizes.max())
+    x, y = np.full((most + 2 * pad, rows), -1, np.int32), np.full((most + 2 * pad, rows), -2, np.int32)
+    for r, (p, q) in enumerate(zip(a, b, strict=True)):
+        x[pad : pad + len(p), r], y[pad : pad + len(q), r] = p, q
+    ends: dict[int, np.ndarray] = {n: np.flatnonzero(sizes == n) for n in np.unique(sizes).tolist()}
+    out = np.zeros(rows, np.int64)
+    # the cells (i, j) of anti-diagonal s = i + j lie on the diagonals j - i of the same parity as s
+    kind, far = (np.int16, 1 << 14) if most <= 4000 else (np.int32, 1 << 29)  # an anti-diagonal adds 1 at most
+    diagonals = [np.arange(-k + ((k + parity) & 1), k + 1, 2) for parity in (0, 1)]  # even, odd
+    last = [np.full((len(d), rows), far, kind) for d in diagonals]  # the latest anti-diagonal of each parity
+    last[0][np.flatnonzero(diagonals[0] == 0)] = 0
+    zero = int(np.flatnonzero(diagonals[0] == 0)[0])
+    for s in range(1, 2 * most + 1):
+        own, other = s & 1, 1 - (s & 1)
+        d = diagonals[own]
+        if not len(d):
+            continue
+        j = (s + int(d[0])) // 2  # of the lowest diagonal; on the next, i is one less and j one more
+        i = s - j
+        at = pad + i - 1
+        new = last[own] + (x[at - len(d) + 1 : at + 1][::-1] != y[pad + j - 1 : pad + j - 1 + len(d)])
+        beside = last[other] + 1
+        if len(diagonals[other]):
+            shift = int(diagonals[other][0]) < int(d[0])  # whether the other parity starts one lower
+            low, high = (beside[:-1], beside[1:]) if shift else (beside, beside)
+            if shift:
+                np.minimum(new[: len(high)], high[: len(new)], out=new[: len(high)])
+                np.minimum(new[: len(low)], low[: len(new)], out=new[: len(low)])
+                if len(beside) == len(d):  # the top diagonal has a neighbour below only
+                    np.minimum(new[-1], beside[-1], out=new[-1])
+            else:
+                m = min(len(new), len(high))
+                np.minimum(new[:m], high[:m], out=new[:m])
+                np.minimum(new[1 : m + 1], low[: len(new) - 1], out=new[1 : m + 1])
+        last[own] = new
+        if not own and s // 2 in ends:
+            of = ends[s // 2]
+            out[of] = new[zero, of]
+    return out
+
+
 @F.pandas_udf(T.LongType())
 def _distance_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = [
-        None if (x is None or y is None) else bitparallel_distance(x, y)
-        for x, y in zip(a.tolist(), b.tolist())
-    ]
-    return pd.Series(out, dtype="Int64")
+    return pd.Series(distances(a.tolist(), b.tolist()), dtype="Int64")
 
 
 @F.pandas_udf(T.StructType([T.StructField("d", T.LongType()), T.StructField("wd", T.LongType())]))
 def _two_distances_udf(p: pd.Series, e: pd.Series, pw: pd.Series, ew: pd.Series) -> pd.DataFrame:
-    d, wd = [], []
-    for a, b, x, y in zip(p.tolist(), e.tolist(), pw.tolist(), ew.tolist()):
-        if a is None or b is None:
-            d.append(None)
-            wd.append(None)
-            continue
-        raw = bitparallel_distance(a, b)
-        d.append(raw)
-        wd.append(raw if (x == a and y == b) else bitparallel_distance(x, y))
+    a, b, x, y = (c.tolist() for c in (p, e, pw, ew))
+    d = distances(a, b)
+    wd = [raw if x[i] == a[i] and y[i] == b[i] else None for i, raw in enumerate(d)]
+    other = [i for i, raw in enumerate(d) if raw is not None and wd[i] is None]
+    for i, far in zip(other, distances([x[i] for i in other], [y[i] for i in other]), strict=True):
+        wd[i] = far
     return pd.DataFrame({"d": pd.Series(d, dtype="Int64"), "wd": pd.Series(wd, dtype="Int64")})
 
 
