@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.noise import keyboard_noise, noise_sql_duckdb
 from ..operators import corrupt
-from ..session import spread
+from ..session import spread, text_session
 from ..sources.tables import load
 
 # Reference parameters.
@@ -62,7 +62,7 @@ def all_passages(spark: SparkSession, sf_dir: str, trim: bool = True) -> DataFra
     scoring and reward queries, over every document.
 
     Passages are cropped where the documents are read; only they are spread."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    docs = load(text_session(spark), sf_dir, "documents").select("doc_id", "source", "lang", "text")
     return spread(corrupt.make_passages(docs.withColumn("round", F.lit(0)), seed=SEED, trim=trim, keep=("lang",)))
 
 

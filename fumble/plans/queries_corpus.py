@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.noise import keyboard_noise, noise_sql_duckdb
 from ..functions.noise_compat import keyboard_noise_compat
 from ..operators import corrupt, sample
-from ..session import checkpoint_path, cut_lineage, rebalance, spread
+from ..session import checkpoint_path, cut_lineage, rebalance, spread, text_session
 from ..sources.tables import load
 from .common import (EXTERNAL_PROB, EXTERNAL_SEED, K_PER_SOURCE, NOISE_IMPL, NOISE_SEED, PROB, SEED, TEST_ROUNDS,
                      all_passages, external_typos, id_sql, passages_sql, u_sql)
@@ -42,7 +42,7 @@ def q_passage_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_keyboard_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C3 over every whole document text."""
-    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = spread(load(text_session(spark), sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", keyboard_noise(F.col("text"), F.col("doc_id"), prob=PROB, seed=NOISE_SEED, impl=NOISE_IMPL).alias("typos"))
 
 
@@ -125,7 +125,7 @@ def q_split_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_compat_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C3 ``compat``: every whole document with the draws of one shared generator."""
-    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = spread(load(text_session(spark), sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", keyboard_noise_compat("text", prob=PROB, seed=NOISE_SEED)[0].alias("typos"))
 
 
@@ -142,7 +142,7 @@ def without_e(doc_id: list, text: list) -> list:
 
 
 def _prepared_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = spread(load(text_session(spark), sf_dir, "documents").select("doc_id", "source", "text"))
     return corrupt.prepare_rows(docs, without_e, checkpoint_path(spark, f"prepared-{uuid.uuid4().hex}"), inputs=("doc_id", "text"))
 
 
