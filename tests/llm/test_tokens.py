@@ -49,3 +49,35 @@ def test_plain_texts(name, unit):
     ids, sizes = enc.encode(texts)
     want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
     assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+class WithoutOffsets:
+    """A tokenizer that gives ids alone."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def __getattr__(self, name):
+        assert name != "encode_batch", "offsets are made for each id"
+        return getattr(self.tokenizer, name)
+
+
+def test_byte_level_units_are_parted_by_the_bytes_of_their_ids():
+    file, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(3)
+    whole, enc = Tokenizer.from_file(file), Encoder(file, SPACED, memo=300)
+    enc.tokenizer = WithoutOffsets(enc.tokenizer)
+    words = ["plain", "naïve,", "日本", "𝒳x", "İ.", "<|endoftext|>", "a<|endoftext|>é", "\u00e9\u0301", "x" * 400, "!?", "ß\u200b", "1٣"]
+    texts = [" ".join(rng.choice(words) + str(rng.randrange(500)) * (rng.random() < 0.5) for _ in range(rng.randrange(1, 40))) + rng.choice(["", "\n", "  \t", "\r\n\r\nx"]) for _ in range(400)]
+    for some in (texts[:200], texts[200:], texts[:200]):
+        ids, sizes = enc.encode(some)
+        want = [whole.encode(t, add_special_tokens=False).ids for t in some]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_trim_keeps_the_units_met_again():
+    enc = Encoder(public_tokenizers.path("byte_bpe_50k.json"), SPACED, memo=1 << 10)
+    enc.encode(["one two three"])
+    enc.encode(["one three x"])
+    want = enc.encode(["one three"])[0].tolist()
+    enc.trim()
+    assert sorted(enc.at) == [" one", " three", "one"] and enc.encode(["one three"])[0].tolist() == want
