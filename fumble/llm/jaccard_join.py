@@ -6,11 +6,13 @@ The Jaccard distance 1 - J is a metric; documents link within ``radius``.
    at least l of their first n - ceil(0.8 n) + l shingles, with l a tenth of the
    smaller set. One pass over the texts counts, for every document, how many of
    these first shingles occur in another text; who has too few is linked with
-   nothing, and so are most documents that only share a passage. Those left are
-   joined, over their first n - ceil(0.8 n) + 1 shingles, with the least
-   document that has the shingle; the connected components are regions that no
-   link leaves. Each task sums up what it holds before the shuffle, so a
-   shingle held by very many documents leaves a task as one row.
+   nothing, and so are most documents that only share a passage. Of those left
+   all shingles are counted, and each document takes its first
+   n - ceil(0.8 n) + 1 with the rarest first: a passage that many documents share
+   is then in no prefix but of documents that hold little else. They are joined
+   with the least document that has the shingle; the connected components are
+   regions that no link leaves. Each task sums up what it holds before the
+   shuffle, so a shingle held by very many documents leaves a task as few rows.
 2. Voronoi split. A region above ``leaf`` shingles takes pivots; every document
    goes to its nearest pivot's region, and also to that of each pivot q with
    d(x, q) - d(x, nearest) <= 2 radius: by the triangle inequality a partner
@@ -63,6 +65,7 @@ SHARE = 10  # a tenth of a set's shingles must be met again
 ROWS = 1000  # rows of an Arrow batch at a time: sets are large rows
 HELD = 1 << 19  # shingles that a task joins before it sends them, or reads before it counts them
 PART = 1 << 22  # bytes of text at a time
+CAP = 256  # sets up to which a shingle's count is told, so that the rarest come first
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _STEPS = _MIX * np.arange(1, 6, dtype=np.uint64)
 
@@ -238,8 +241,92 @@ def documents_and_counts(texts: DataFrame, k: int, percent: int) -> DataFrame:
     return texts.mapInArrow(trimmed(read), SENT).repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(meet), SENT)
 
 
-def coarse_edges(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): numbers of sets joined through shingles of their prefixes; ``members``: number, shingles."""
+def _runs(batches: Iterator[pa.RecordBatch], of: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of rows sorted by column ``of``, about ``HELD`` rows at a time, with each of its values in one part."""
+    held, rows = [], 0
+    for b in batches:
+        held.append(tuple(np.asarray(c.cast(pa.uint8()) if pa.types.is_boolean(c.type) else c) for c in b.columns))
+        rows += b.num_rows
+        if rows >= HELD:  # all but the last value, whose rows may go on
+            columns = tuple(np.concatenate(c) for c in zip(*held, strict=True))
+            last = int(np.searchsorted(columns[of], columns[of][-1]))
+            if last:
+                yield tuple(c[:last] for c in columns)
+            held, rows = [tuple(c[last:] for c in columns)], len(columns[of]) - last
+    if rows:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
+def _columns(schema: str, *columns) -> pa.RecordBatch:
+    """A batch of the named columns of whole numbers or truths."""
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if k == "boolean" else pa.int64()) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+def rare_prefixes(members: DataFrame, percent: int, cap: int = CAP) -> DataFrame:
+    """(number, token) of the prefixes of sets, the rarest shingles first, as a
+    written table; a null token stands for the first shingles by hash.
+
+    The order is any that all sets share: shingles of one set, then those of at
+    most ``cap`` sets by the count of these, then all others by hash. A set whose
+    prefix is its own alone has no partner and no row. Shingles of more sets are
+    not sent back: a set that needs them is named, and its first shingles by hash,
+    as many as its prefix, hold those that it needs. A task that holds such a
+    shingle in more than ``cap`` of ``HELD`` shingles' sets sends one row of it."""
+    sent, seen = "token long, number long, common boolean", "number long, sets long, token long"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, tokens, held = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            token, node, first, size = _grouped(_joined(tokens), np.repeat(np.array(numbers, np.int64), [len(x) for x in tokens]))
+            common = np.repeat(size > cap, size)
+            here = ~common
+            here[first] = True
+            yield _columns(sent, token[here], node[here], common[here])
+
+        for b in _cut(batches):
+            for number, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                numbers.append(number)
+                tokens.append(np.frombuffer(raw, np.int64))
+                held += len(tokens[-1])
+                if held >= HELD:
+                    yield from flush()
+                    numbers, tokens, held = [], [], 0
+        yield from flush()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shingles of 2 to ``cap`` sets for each of these, and with 1 in place of the sets how many a set has alone."""
+        for token, number, common in _runs(batches, 0):
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            size = np.diff(np.append(first, len(token)))
+            size[(size > cap) | (np.maximum.reduceat(common, first) > 0)] = 0
+            sets = np.repeat(size, np.diff(np.append(first, len(token))))
+            some = sets > 1
+            yield _columns(seen, number[some], sets[some], token[some])
+            names, alone = _tally(number[sets == 1])
+            yield _columns(seen, names, np.ones(len(names), np.int64), alone)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, sets, token in _runs(batches, 0):
+            first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+            rows = np.diff(np.append(first, len(number)))
+            n = token[first]  # a set's first row has 0 in place of the sets, and its size
+            alone = np.add.reduceat(np.where(sets == 1, token, 0), first)
+            shared = np.add.reduceat((sets > 1).astype(np.int64), first)
+            wanted = prefix_length(n, percent) - alone
+            place = np.arange(len(number)) - np.repeat(first + rows - shared, rows)  # among its shingles of several sets
+            taken_ = (place >= 0) & (place < np.repeat(wanted, rows))
+            short = number[first][wanted > shared]
+            yield _columns("number long, token long", np.concatenate([number[taken_], short]), pa.concat_arrays([pa.array(token[taken_], pa.int64()), pa.nulls(len(short), pa.int64())]))
+
+    counted = members.select("number", "shingles").mapInArrow(trimmed(read), sent).repartition("token").sortWithinPartitions("token").mapInArrow(trimmed(count), seen)
+    rows = counted.unionByName(members.select("number", F.lit(0).cast("long").alias("sets"), F.col("n").alias("token")))
+    return keep(rows.repartition("number").sortWithinPartitions("number", "sets", "token").mapInArrow(trimmed(choose), "number long, token long"), "jaccard-rare")
+
+
+def coarse_edges(members: DataFrame, percent: int, cap: int = CAP) -> DataFrame:
+    """(a, b): numbers of sets joined through shingles of their prefixes; ``members``: number, n, shingles."""
 
     def stars(token: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The tokens, the least node of each, and the pairs of other nodes with these."""
@@ -252,40 +339,38 @@ def coarse_edges(members: DataFrame, percent: int) -> DataFrame:
         column = lambda x: pa.nulls(len(a), pa.int64()) if x is None else pa.array(x, pa.int64())
         return pa.RecordBatch.from_arrays([column(token), column(a), column(b)], ["token", "a", "b"])
 
+    def by_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _cut(batches):
+            firsts = [s[: prefix_length(len(s), percent)] for s in (np.frombuffer(raw, np.int64) for raw in b.column(1).to_pylist())]
+            yield _columns("number long, token long", np.repeat(np.asarray(b.column(0)), [len(x) for x in firsts]), _joined(firsts))
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, tokens, held = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            token, least, pairs = stars(_joined(tokens), np.repeat(np.array(numbers, np.int64), [len(x) for x in tokens]))
+            token, least, pairs = stars(_joined(tokens), _joined(numbers))
             yield batch(token, least, None)
             yield batch(None, pairs[0], pairs[1])
 
-        for b in _cut(batches):
-            for number, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = np.frombuffer(raw, np.uint64)
-                numbers.append(number)
-                tokens.append(s[: prefix_length(len(s), percent)].view(np.int64))
-                held += len(tokens[-1])
+        for b in batches:
+            numbers.append(np.asarray(b.column(0)))
+            tokens.append(np.asarray(b.column(1)))
+            held += b.num_rows
             if held >= HELD:
                 yield from flush()
                 numbers, tokens, held = [], [], 0
         yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for b in batches:
-            held.append((np.asarray(b.column(0)), np.asarray(b.column(1))))
-            rows += b.num_rows
-            if rows >= HELD:  # all but the last shingle, whose rows may go on
-                token, node = (np.concatenate(c) for c in zip(*held, strict=True))
-                last = int(np.searchsorted(token, token[-1]))
-                yield batch(None, *stars(token[:last], node[:last])[2])
-                held, rows = [(token[last:], node[last:])], len(token) - last
-        if held:
-            yield batch(None, *stars(*(np.concatenate(c) for c in zip(*held, strict=True)))[2])
+        for token, node in _runs(batches, 0):
+            yield batch(None, *stars(token, node)[2])
 
     kinds = "token long, a long, b long"
-    first = keep(members.select("number", "shingles").mapInArrow(trimmed(local), kinds), "jaccard-prefixes")
+    rare = rare_prefixes(members, percent, cap)
+    common = members.join(rare.filter("token is null").select("number"), "number", "left_semi").select("number", "shingles")
+    prefixes = rare.filter("token is not null").unionByName(common.mapInArrow(trimmed(by_hash), "number long, token long"))
+    first = keep(prefixes.mapInArrow(trimmed(local), kinds), "jaccard-prefixes")
+    release(rare)
     met = first.filter("token is not null").select("token", "a").repartition("token").sortWithinPartitions("token").mapInArrow(trimmed(meet), kinds)
     edges = first.filter("token is null").select("a", "b").unionByName(met.select("a", "b"))
     edges.kept_at = first.kept_at

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,37 @@ def test_region_is_joined_whole_after_a_join(spark):
     assert links == [(i, i % 4) for i in range(4, 48)]
 
 
+def regions_of(spark, rows, cap):
+    """The sets of rows, and the coarse region of each that has one."""
+    sets = list(J.shingle_sets(pa.array([r[1] for r in rows])))
+    members = spark.createDataFrame([(i, len(s), bytearray(s.tobytes())) for i, s in enumerate(sets)], "number long, n long, shingles binary").repartition(4)
+    return sets, {r.node: r.root for r in CC.components(J.coarse_edges(members, 80, cap)).collect()}
+
+
+def test_a_common_passage_joins_no_regions(spark):
+    """Pairs of near copies that all hold one passage: a region each, not one for all."""
+    rng = random.Random(5)
+    passage, rows = prose(rng, 40, 10**6), []
+    for i in range(60):
+        own = [f"p{i}w{j}" for j in range(60)]
+        rows += [(2 * i, " ".join(own) + " " + passage, "en", "a", 0), (2 * i + 1, " ".join([*own[:-1], "other"]) + " " + passage, "en", "a", 0)]
+    for cap in (J.CAP, 10):
+        _, regions = regions_of(spark, rows, cap)
+        assert regions == {i: i - i % 2 for i in range(120)}
+
+
+@pytest.mark.parametrize("cap", [1, 2, 7, 256])
+def test_no_link_leaves_a_region(spark, cap):
+    """Also where shingles of more sets than are counted fill the prefixes."""
+    rows = near_copies(2, 3, 30, 80, 4) + chains() + passages()
+    sets, regions = regions_of(spark, rows, cap)
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if len(a) and 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+                assert regions[i] == regions[j]
+
+
 def test_edges(spark):
     assert got(frame(spark, [])) == []
     rows = [(3, None, "x", "y", 0), (2, "", "x", "y", 0), (5, "A b", "x", "y", 0), (4, "a  B", "x", "y", 0), (4, "a b", "x", "y", 0)]
