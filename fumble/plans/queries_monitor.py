@@ -92,6 +92,7 @@ def q_best_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 # each time in files of about FILE_ROWS rows.
 ARRIVALS, DELAY_SECONDS = 5, 6 * 3600
 FILE_ROWS = 1 << 20
+BUCKETS = 64  # of runs for each such file of an arrival
 
 
 def _arriving(spark: SparkSession, sf_dir: str) -> tuple[str, StructType, int]:
@@ -116,13 +117,13 @@ def _streamed(spark: SparkSession, sf_dir: str, events) -> DataFrame:
     path, schema, files = _arriving(spark, sf_dir)
     log = monitor_stream.events_log_stream(monitor_stream.stream_session(spark), path, schema, log_of, max_files=files)
     name = f"monitor-{uuid.uuid4().hex}"
-    query = monitor_stream.start(events(log), name=name)
+    query = monitor_stream.start(events(log, files), name=name)
     query.awaitTermination()
     return spark.read.parquet(checkpoint_path(spark, f"{name}/events"))
 
 
-def _ordered(log: DataFrame) -> DataFrame:
-    return monitor_stream.monitor_events(log, DELAY_SECONDS)
+def _ordered(log: DataFrame, files: int) -> DataFrame:
+    return monitor_stream.monitor_events(log, DELAY_SECONDS, buckets=BUCKETS * files)
 
 
 def q_stream_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +141,7 @@ def q_stream_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_stream_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    iv = _streamed(spark, sf_dir, monitor_stream.invalid_events)
+    iv = _streamed(spark, sf_dir, lambda log, _files: monitor_stream.invalid_events(log))
     return iv.select("run_id", "step", "metric", _kind(F.col("value")).alias("value_kind"))
 
 

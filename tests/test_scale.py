@@ -55,6 +55,40 @@ def test_rows_released_by_their_own_batch_are_not_stored():
     assert parts == whole and handle.stored <= 2 * 10 and not handle.maps and handle.values["run"][-1] == []
 
 
+def test_runs_of_a_bucket_share_calls_stretches_and_timers():
+    """What a call of Python or of the state costs is that of buckets, not of runs; each run's events are those it has alone."""
+    rng, big = random.Random(6), 1 << 60  # names that floats do not tell apart
+    names = [None, *(big + i for i in range(40))]
+    rows = [(rng.choice(names), 50 * i + rng.randrange(300), rng.choice([1.0, 3.0, float("nan")])) for i in range(2000)]
+    batches = [rows[:700], rows[700:1500], [r for r in rows[1500:] if r[0] != big], [(n, 200_000, None) for n in names]]
+
+    class Counted(Handle):
+        calls = 0
+
+        def registerTimer(self, at):
+            self.calls += 1
+            super().registerTimer(at)
+
+    def frame(batch):
+        rows = [(None if n is None else str(n), t, t, MS.LOSS if v is not None else MS.END_OF_RUN, v, "nan" if v != v else "number" if v is not None else "null") for n, t, v in batch]
+        return pd.DataFrame(rows, columns=["run", "ts_ms", "step", "metric", "value", "value_is"])
+
+    def events(parts):
+        p, handle, out = MS.MonitorProcessor(800, None), Counted(), []
+        p.init(handle)
+        for part in parts:
+            f = frame(part)
+            cut = [f.iloc[:300], f.iloc[300:]]  # as many frames as a batch takes
+            out += [tuple(None if pd.isna(x) else x for x in r) for x in p.handleInputRows((3,), iter([c for c in cut if len(c)]), None) for r in x.itertuples(index=False, name=None)]
+        return out, handle
+
+    together, handle = events(batches)
+    assert not handle.maps and handle.calls <= len(batches)
+    for n in names:
+        alone, _ = events([part for b in batches if (part := [r for r in b if r[0] == n])])
+        assert alone == [e for e in together if e[0] == n] and alone
+
+
 def test_distances_equal_the_bit_parallel_ones():
     rng = random.Random(3)
     draw = lambda n: "".join(rng.choice("abcdefg\u00e9 ") for _ in range(n))
